@@ -1,4 +1,700 @@
-"""Registered queries of the reference operators and the SQL that checks them."""
+"""Registered queries of the reference operators and the SQL that checks them.
+
+Every query runs an operator over whole tables. Where DuckDB can express the operator, its SQL stands beside it; the others
+are compared with plain Python in tests/.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import lexicon as L
+from ..functions import text as T
+from ..operators import attribution, audio, candidates, codecs, consistency, quotes, segments, service, splitting
+from ..sources import html, io
+from . import adapters as A
+from .novel import parse_novel
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.extract_quotes(quotes.normalised(A.prose(spark, sf_dir)))
+
+
+def _hinted(df: DataFrame) -> DataFrame:
+    """With the adapters' four names as hints and the first as narrator."""
+    aliases = F.create_map(*[F.lit(n) for name in A.NAMES for n in (name, name)], F.lit("长风"), F.lit("顾长风"))
+    return df.withColumns({"aliases": aliases, "hints": T.strings(A.NAMES), "narrator": F.lit(A.NAMES[0])})
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who says each quote, and which need review."""
+    return parse_novel(A.prose(spark, sf_dir), A.NAMES, narrator=A.NAMES[0]).select("doc_id", "seq", "quote_id", "speaker", "text", "confidence", "attribution_type", (F.col("confidence") < L.REVIEW_THRESHOLD).alias("review"))
+
+
+_HINTS = "['陆沉','苏晚','顾长风','林小满']"
+_S = A.STRIP
+
+# ---- text ----
+
+
+@query(f"with {A.SQL_PROSE} select doc_id, text from norm")
+def normalize_text(spark, sf_dir):
+    return quotes.normalised(A.prose(spark, sf_dir))
+
+
+@query(
+    f"with {A.SQL_PROSE}, x as (select doc_id, '祂' || replace(text, '看见', '彷佛瞭解') || '姊 反覆' as t from docs), y as (select doc_id, t, (len(t) - len(replace(t, '彷佛', ''))) // 2 as h1, (len(t) - len(replace(t, '瞭解', ''))) // 2 as h2, len(t) - len(replace(t, '姊', '')) as h3 from x) "
+    f"select doc_id, {_S('''replace(replace(replace(replace(t, '彷佛', '仿佛'), '瞭解', '了解'), '姊', '姐'), '反覆', '反复')''')} as text, h1::bigint as phrase_hits, h2::bigint as known_hits, h3::bigint as char_hits from y"
+)
+def preprocess_rules(spark, sf_dir):
+    rows = A.prose(spark, sf_dir).select("doc_id", F.concat(F.lit("祂"), F.replace("text", F.lit("看见"), F.lit("彷佛瞭解")), F.lit("姊 反覆")).alias("t"))
+    out, hits = T.preprocess("t")
+    return rows.select("doc_id", out.alias("text"), hits["phrase_fangfo_01"].alias("phrase_hits"), hits["phrase_liaojie"].alias("known_hits"), hits["char_jie"].alias("char_hits"))
+
+
+@query(f"with {A.SQL_PROSE}, x as (select 'phrase_fangfo_01' as rule, sum((len(text) - len(replace(text, '彷佛', ''))) // 2) as hits from docs union all select 'char_jie', sum(len(text) - len(replace(text, '姊', ''))) from docs) select rule, hits::bigint as hits from x")
+def rule_hits(spark, sf_dir):
+    _, hits = T.preprocess("text")
+    some = A.prose(spark, sf_dir).agg(*[F.sum(hits[r]).alias(r) for r in ("phrase_fangfo_01", "char_jie")])
+    return some.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("hits")) for r in ("phrase_fangfo_01", "char_jie")])).alias("x")).select("x.*")
+
+
+@query("select page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') as html from pages")
+def html_unescape_subset(spark, sf_dir):
+    return A._table(spark, sf_dir, "pages").select("page_id", T.html_unescape("html").alias("html"))
+
+
+@query()
+def html_unescape_full(spark, sf_dir):
+    return A._table(spark, sf_dir, "pages").select("page_id", html.html_unescape("html").alias("html"))
+
+
+@query(
+    f"with {A.SQL_BOOKS} select doc_id, {_S('''regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), '【', '“'), '】', '”'), '（', '，'), '）', '，'), '[', '【'), ']', '】'), '\\n{3,}', chr(10) || chr(10), 'g'), '([^\\n。！？!?；;：:])\\n([^\\n])', '\\1。' || chr(10) || '\\2', 'g')''')} as text from books"
+)
+def tts_cleanup(spark, sf_dir):
+    return A.books(spark, sf_dir).select("doc_id", T.tts_cleanup("text").alias("text"))
+
+
+@query("select s_suppkey, coalesce(nullif(trim(regexp_replace(coalesce(s_name, ''), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'item') as component, printf('%s_%03d.wav', coalesce(nullif(trim(regexp_replace(coalesce(s_name, ''), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'item'), (s_suppkey % 1000)::int) as wav from supplier")
+def sanitize_names(spark, sf_dir):
+    return A._table(spark, sf_dir, "supplier").select("s_suppkey", T.component("s_name").alias("component"), io.archive_name("s_name", (F.col("s_suppkey") % 1000).cast("int")).alias("wav"))
+
+
+_CUE = "[，,。；;：:\\s]*[一-龥A-Za-z0-9_]{1,24}(?:对|向|冲)?[一-龥A-Za-z0-9_]{0,12}(?:喃喃道|嘀咕道|低声道|轻声道|笑道|冷笑道|喝道|骂道|叹道|缓缓开口|开口|心想|想道|说道|说|问道|问|答道|答|喊道|喊|叫道|叫|道)[：:，,。\\s]*"
+_NARR = lambda src: f"""
+nx as (select *, {_S("regexp_replace(" + _S('raw') + ", '\\s+', ' ', 'g')")} as x from {src}),
+ns as (select *, list_transform(regexp_extract_all(x, '[^。！？!?]*[。！？!?]|[^。！？!?]+'), lambda s: regexp_replace(regexp_replace(s, '[。！？!?]$', ''), '^\\s+|\\s+$', '', 'g') || regexp_extract(s, '([。！？!?])$', 1)) as ss from nx),
+nk as (select *, list_filter(ss, lambda s: not regexp_full_match(s, '[。！？!?]?') and not regexp_full_match(s, '{_CUE}')) as kept from ns),
+nt as (select *, case when x = '' or (len(x) <= 2 and regexp_full_match(x, '[，。、！？…—和与或及以]+')) or regexp_full_match(x, '{_CUE}') then '' when len(kept) > 0 then {_S("array_to_string(kept, ' ')")} else x end as cleaned from nk)"""
+
+
+@query(f"with {A.SQL_PROSE}, src as (select doc_id, turn, line as raw from prose_lines), {_NARR('src')} select doc_id, turn, cleaned as text from nt")
+def narrator_clean(spark, sf_dir):
+    return A.conversation_lines(spark, sf_dir).select("doc_id", "turn", T.clean_narration("line").alias("text"))
+
+
+# ---- styles and segments ----
+
+_ITEMS = "[" + ",".join(f"'{i}'" for i in L.STYLE_ITEMS) + "]"
+_STYLE = f"nullif(array_to_string(list_filter(list_transform(string_split(style, ','), lambda s: lower(trim(s))), lambda s: list_contains({_ITEMS}, s)), ', '), '')"
+_FEMALE = "[" + ",".join(f"'{i}'" for i in L.FEMALE_NAMES) + "]"
+_MALE = "[" + ",".join(f"'{i}'" for i in L.MALE_NAMES) + "]"
+#: distinct in order
+_DISTINCT = lambda x: f"list_filter({x}, lambda s, i: list_position({x}, s) = i)"
+_NORM_STYLES = f"ns as (select *, list_filter(list_transform(string_split(style, ','), lambda s: lower(trim(s))), lambda s: list_contains({_ITEMS}, s)) as l0, case when speaker in ('', '旁白', 'UNKNOWN') then 'unknown' when len(list_filter({_FEMALE}, lambda n: contains(speaker, n))) > 0 then 'female' when len(list_filter({_MALE}, lambda n: contains(speaker, n))) > 0 then 'male' else 'unknown' end as g from SRC), ns1 as (select *, {_DISTINCT('l0')} as l1 from ns)"
+_FALLBACK = "case when speaker in ('旁白', 'UNKNOWN') then 'female, moderate pitch' when g = 'female' then 'female, young adult, moderate pitch' when emotion in ('cold', 'serious', 'angry') then 'male, low pitch' else 'male, young adult, moderate pitch' end"
+_WITH_GENDER = f"""ns2 as (select *, case when g in ('female', 'male') then list_concat([g], list_filter(l1, lambda p: p not in ('female', 'male'))) else l1 end as l2 from ns1),
+ns3 as (select *, case when len(list_filter(l2, lambda p: p in ('moderate pitch', 'low pitch', 'high pitch', 'very low pitch', 'very high pitch'))) > 0 then l2 else list_concat(l2, ['moderate pitch']) end as l3 from ns2),
+styled as (select *, case when speaker in ('旁白', 'UNKNOWN') then 'female, moderate pitch' when len(l1) = 0 then {_FALLBACK} else array_to_string({_DISTINCT('l3')}, ', ') end as full_style from ns3)"""
+
+
+@query(f"with {A.SQL_SEGMENTS}, {_NORM_STYLES.replace('SRC', 'seg')} select doc_id, seq, nullif(array_to_string(l1, ', '), '') as style, {_FALLBACK} as fallback, g as gender from ns1")
+def style_normalize(spark, sf_dir):
+    return A.segments(spark, sf_dir).select("doc_id", "seq", T.normalize_style("style").alias("style"), T.fallback_style("speaker", "emotion").alias("fallback"), T.gender("speaker").alias("gender"))
+
+
+@query(f"with {A.SQL_SEGMENTS}, {_NORM_STYLES.replace('SRC', 'seg')}, {_WITH_GENDER} select doc_id, seq, full_style as style from styled")
+def style_with_gender(spark, sf_dir):
+    return A.segments(spark, sf_dir).select("doc_id", "seq", T.style_with_gender("style", "speaker", "emotion").alias("style"))
+
+
+@query(f"with {A.SQL_SEGMENTS} select doc_id, seq, case when confidence >= 0.85 then 'high' when confidence >= 0.70 then 'medium' else 'low' end as confidence_label, speaker in ('未知', 'UNKNOWN') or confidence < 0.5 as needs_review from seg")
+def confidence_label(spark, sf_dir):
+    return segments.to_export(A.segments(spark, sf_dir)).select("doc_id", "seq", "confidence_label", "needs_review")
+
+
+_DOMINANT = f"{_NORM_STYLES.replace('SRC', 'seg')}, {_WITH_GENDER}, cnt as (select doc_id, speaker, full_style, count(*) as n, min(seq) as first from styled group by all), dom as (select doc_id, speaker, full_style as style from (select *, row_number() over (partition by doc_id, speaker order by n desc, first) as p from cnt) where p = 1)"
+
+
+@query(f"with {A.SQL_SEGMENTS}, {_DOMINANT} select doc_id, speaker, style from dom")
+def dominant_style(spark, sf_dir):
+    return segments.dominant_styles(A.segments(spark, sf_dir))
+
+
+@query(
+    f"with {A.SQL_SEGMENTS}, clean as (select doc_id, seq, speaker, {_S('text')} as text, case when lower({_S('emotion')}) in ('neutral','soft','cold','serious','curious','angry') then lower({_S('emotion')}) else 'neutral' end as emotion, style as raw_style from seg), "
+    f"c1 as (select *, raw_style as style from clean where text <> ''), {_NORM_STYLES.replace('SRC', 'c1')}, c2 as (select doc_id, seq, speaker, text, emotion, coalesce(nullif(array_to_string(l1, ', '), ''), {_FALLBACK}) as style from ns1), "
+    f"{_NORM_STYLES.replace('SRC', 'c2').replace('ns as', 'ms as').replace('from ns)', 'from ms)').replace('ns1 as', 'ms1 as')}, {_WITH_GENDER.replace('ns1', 'ms1').replace('ns2', 'ms2').replace('ns3', 'ms3')}, "
+    "cnt as (select doc_id, speaker, full_style, count(*) as n, min(seq) as first from styled group by all), dom as (select doc_id, speaker, full_style from (select *, row_number() over (partition by doc_id, speaker order by n desc, first) as p from cnt) where p = 1) "
+    "select c2.doc_id, c2.seq, c2.speaker, c2.text, c2.emotion, case when c2.speaker in ('旁白', 'UNKNOWN') then 'female, moderate pitch' else dom.full_style end as style, c2.speaker = 'UNKNOWN' as needs_review, c2.speaker not in ('UNKNOWN', '旁白', '陆沉', '苏晚', '未知') as suspicious from c2 join dom using (doc_id, speaker)"
+)
+def sanitize_segments(spark, sf_dir):
+    return segments.sanitize(A.segments(spark, sf_dir), ["陆沉", "苏晚", "未知"]).select("doc_id", "seq", "speaker", "text", "emotion", "style", "needs_review", "suspicious")
+
+
+@query(f"with {A.SQL_SEGMENTS}, {A.SQL_PROSE} select s.doc_id, seq, s.speaker = 'UNKNOWN' or (s.speaker not in ('', '旁白', '我', 'UNKNOWN') and not contains(d.text, s.speaker)) as needs_review, (s.speaker not in ('UNKNOWN', '旁白') and s.speaker not in ('陆沉')) or (s.speaker not in ('', '旁白', '我', 'UNKNOWN') and not contains(d.text, s.speaker)) as suspicious from seg s join docs d using (doc_id)")
+def suspicious_flags(spark, sf_dir):
+    marked = segments.mark_suspicious(A.segments(spark, sf_dir), ["陆沉"])
+    return segments.mark_missing_from_source(marked, A.prose(spark, sf_dir)).select("doc_id", "seq", "needs_review", "suspicious")
+
+
+@query(f"with {A.SQL_SEGMENTS} select doc_id, seq, quote_id, text, speaker, confidence, scene_characters, evidence from seg where confidence < 0.7")
+def review_items(spark, sf_dir):
+    return segments.review_items(A.segments(spark, sf_dir))
+
+
+@query(f"with {A.SQL_SEGMENTS} select doc_id, count(*) as quote_count, count(*) filter (confidence < 0.7) as review_count, count(*) filter (speaker in ('未知', 'UNKNOWN')) as unknown_count, count(*) filter (confidence < 0.5 or speaker in ('未知', 'UNKNOWN')) as needs_review_count from seg group by doc_id")
+def review_stats(spark, sf_dir):
+    return segments.review_stats(A.segments(spark, sf_dir))
+
+
+@query(f"with {A.SQL_SEGMENTS} select doc_id, list_sort(list(distinct speaker)) as names from seg where speaker not in ('旁白', 'UNKNOWN', '') group by doc_id")
+def observed_names(spark, sf_dir):
+    return segments.observed_names(A.segments(spark, sf_dir))
+
+
+@query(f"with {A.SQL_SEGMENTS}, f as (select doc_id, speaker, min(seq) as first from seg where speaker not in ('旁白', 'UNKNOWN', '') group by all) select doc_id, list(speaker order by first, speaker) as names from f group by doc_id")
+def known_characters(spark, sf_dir):
+    return segments.known_characters(A.segments(spark, sf_dir))
+
+
+@query(f"with {A.SQL_SEGMENTS}, r as (select *, row_number() over (partition by doc_id order by seq desc) as p from seg), f as (select doc_id, speaker, min(p) as p from r where p <= 10 and speaker not in ('旁白', 'UNKNOWN', '') group by all) select doc_id, list(speaker order by p)[1:3] as names from f group by doc_id")
+def active_speakers(spark, sf_dir):
+    return segments.active_speakers(A.segments(spark, sf_dir))
+
+
+@query(f"with {A.SQL_SEGMENTS}, n as (select doc_id, max(seq) as n from seg group by doc_id), w as (select doc_id, unnest(range(0, n, 15)) as st from n) select seg.doc_id, w.st::int as window_start, (seq - 1 - w.st)::int as local_index, seq, speaker, text from seg join w on seg.doc_id = w.doc_id and seq - 1 >= w.st and seq - 1 < w.st + 20")
+def verify_windows(spark, sf_dir):
+    return segments.verify_windows(A.segments(spark, sf_dir))
+
+
+@query(f"with {A.SQL_SEGMENTS}, f as (select doc_id, seq, case when seq % 3 = 0 then '改' || seq when seq % 3 = 1 then 'UNKNOWN' else '' end as fix from seg) select seg.doc_id, seg.seq, case when fix not in ('', 'UNKNOWN') then fix else speaker end as speaker from seg join f using (doc_id, seq)")
+def apply_fixes(spark, sf_dir):
+    base = A.segments(spark, sf_dir)
+    fix = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("改"), "seq")).when(F.col("seq") % 3 == 1, "UNKNOWN").otherwise("")
+    return segments.apply_fixes(base, segments.verify_windows(base).select("doc_id", "window_start", "local_index", fix.alias("speaker"))).select("doc_id", "seq", "speaker")
+
+
+@query("with s as (select conv_id as doc_id, turn, lag(role) over (partition by conv_id order by turn, text) as p, role, row_number() over (partition by conv_id order by turn, text) as i from conversations where conv_id is not null and turn is not null) select doc_id, i::int as chunk_idx, (sum(case when p = role then 0 else 1 end) over (partition by doc_id order by i))::int as group_no from s")
+def consecutive_groups(spark, sf_dir):
+    base = A.segments(spark, sf_dir)
+    from pyspark.sql import Window
+
+    c = A._table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    rows = c.select(F.col("conv_id").alias("doc_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("chunk_idx"), "role")
+    return segments.consecutive_groups(rows, F.col("role")).select("doc_id", "chunk_idx", "group_no")
+
+
+# ---- consistency ----
+
+_SKIP = "('旁白','未知','众人','大家','二人','三人','所有人')"
+_ADDR = "(?:对着?|朝|冲|向|望着?|看向|注视着?)\\s*([一-龥]{2,6})[一-龥，,\\s]{0,20}?(?:说道|说|道|问道|问|答道|喊道)[：:，,「\\s]*$"
+_CL = lambda x: f"greatest(0.1::double, least(1.0::double, {x}))"
+_NOTE = lambda n: f"case when coalesce(evidence, '') <> '' then evidence || '；' || {n} else {n} end"
+_O = "(partition by doc_id order by seq)"
+
+
+def _pass(name: str, src: str, hit: str, penalty: str, note: str, extra: str = "") -> str:
+    cols = extra or "speaker, attribution_type"
+    return f"{name}_h as (select *, coalesce({hit}, false) as hit from {src}), {name} as (select doc_id, seq, {cols}, scene_characters, context_before, case when hit then {_CL(f'confidence - {penalty}::double')} else confidence end as confidence, case when hit then {_NOTE(note)} else evidence end as evidence from {name}_h)"
+
+
+_FIX = f"confidence < 0.9 and speaker not in {_SKIP}"
+_P = {
+    "scene": lambda s: _pass("p_scene", s, f"{_FIX} and len(scene_characters) > 0 and not list_contains(scene_characters, speaker)", "0.15", "'场景约束：' || speaker || ' 不在 scene_characters'"),
+    "addressee": lambda s: f"ad0 as (select *, regexp_extract(right(context_before, 100), '{_ADDR}', 1) as nm, regexp_extract(right(context_before, 100), '{_ADDR}', 0) as cue from {s}), " + _pass("p_addressee", "ad0", f"{_FIX} and nm <> '' and (ends_with(speaker, nm) or starts_with(speaker, nm))", "0.15", f"'受话人陷阱：前文「' || left({_S('cue')}, 20) || '」中 ' || nm || ' 是受话对象'"),
+    "jump": lambda s: f"j0 as (select *, case when speaker not in {_SKIP} then speaker end as rs from {s}), j1 as (select *, list_sort(list_distinct(list_concat(coalesce(list(rs) over (partition by doc_id order by seq rows between 3 preceding and 1 preceding), []), coalesce(list(rs) over (partition by doc_id order by seq rows between 1 following and 3 following), [])))) as near from j0), " + _pass("p_jump", "j1", f"{_FIX} and confidence >= 0.5 and len(near) > 0 and not list_contains(near, speaker)", "0.12", "'跳变：' || speaker || ' 与前后窗口说话人 [''' || array_to_string(near, ''', ''') || '''] 无交集'"),
+    "repeat": lambda s: f"r0 as (select *, lag(speaker) over {_O} as prev, list_filter(scene_characters, lambda x: x not in {_SKIP}) as rsc from {s}), r1 as (select *, list_filter(rsc, lambda x: x <> speaker)[1] as oth from r0), " + _pass("p_repeat", "r1", f"confidence < 0.9 and speaker not in {_SKIP} and prev = speaker and attribution_type in ('implicit', 'unknown') and len(rsc) = 2 and oth is not null", "0.10", "'双人重复惩罚：' || speaker || ' 连续发言，可能应为 ' || oth || '，建议复核'"),
+    "alternation": lambda s: f"""a0 as (select *, row_number() over {_O} as rn, confidence < 0.9 as low, lag(speaker) over {_O} as ls, lag(confidence < 0.9) over {_O} as ll, case when speaker not in {_SKIP} then speaker end as rs from {s}),
+a1 as (select *, sum(case when low and ll and speaker = ls then 0 else 1 end) over {_O} as isl, last_value(rs ignore nulls) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding) as pb, first_value(rs ignore nulls) over (partition by doc_id order by seq rows between 1 following and unbounded following) as na from a0),
+a2 as (select *, rs is not null and (pb is null or pb <> rs) as bg from a1), a3 as (select *, sum(bg::int) over {_O} as run from a2),
+a4 as (select *, max(case when bg then pb end) over (partition by doc_id, run) as pp, max(case when rs is not null and na <> rs then na end) over (partition by doc_id, run) as nn, min(case when confidence < 0.65 then rn end) over (partition by doc_id, isl) as st, max(rn) over (partition by doc_id, isl) as en from a3),
+a5 as (select a4.*, b.scene_characters as sc from a4 left join (select doc_id as bd, rn as br, scene_characters from a0) b on bd = doc_id and br = st), """
+    + _pass("p_alternation", "a5", f"speaker not in {_SKIP} and en - st + 1 >= 3 and rn > st and rn < en and confidence < 0.65 and pp = nn and (len(sc) = 0 or (list_contains(sc, pp) and list_contains(sc, speaker)))", "0.05", "'连续轮替修正 → ' || pp", "case when hit then pp else speaker end as speaker, case when hit then 'implicit' else attribution_type end as attribution_type"),
+    "unknown": lambda s: f"p_unknown as (select * replace (case when speaker in ('未知', '旁白') and confidence <= 0.5 then {_CL('least(confidence, 0.35::double)')} else confidence end as confidence) from {s})",
+}
+
+
+def _consistency_sql(passes) -> str:
+    src, parts = "seg", []
+    for p in passes:
+        parts.append(_P[p](src))
+        src = f"p_{p}"
+    return f"with {A.SQL_SEGMENTS}, {', '.join(parts)} select doc_id, seq, speaker, confidence, evidence, attribution_type from {src}"
+
+
+def _consistency_query(name: str, passes):
+    def run(spark, sf_dir):
+        return consistency.fix_consistency(A.segments(spark, sf_dir), passes=passes).select("doc_id", "seq", "speaker", "confidence", "evidence", "attribution_type")
+
+    QUERIES[name], ORACLES[name] = run, _consistency_sql(passes)
+
+
+for _name, _passes in (("scene_constraint", ["scene"]), ("addressee_trap", ["addressee"]), ("jump_detect", ["jump"]), ("repeat_penalty", ["repeat"]), ("alternation", ["alternation"]), ("unknown_press", ["unknown"]), ("fix_consistency", list(consistency.PASSES))):
+    _consistency_query(_name, _passes)
+
+# ---- quotes ----
+
+_QCOLS = 'doc_id, quote_no, quote_id, text, start, "end", raw_start, raw_end'
+
+
+@query(f"with {A.SQL_QUOTES} select {_QCOLS}, raw from q")
+def quote_spans(spark, sf_dir):
+    return _quotes(spark, sf_dir).drop("context_before", "context_after")
+
+
+@query(f"with {A.SQL_QUOTES} select doc_id, quote_id, context_before, context_after from q")
+def quote_context(spark, sf_dir):
+    return _quotes(spark, sf_dir).select("doc_id", "quote_id", "context_before", "context_after")
+
+
+@query(f"with {A.SQL_QUOTES} select doc_id, quote_id, raw_start from q where raw_start <> start")
+def colon_quotes(spark, sf_dir):
+    return _quotes(spark, sf_dir).where("raw_start <> start").select("doc_id", "quote_id", "raw_start")
+
+
+@query(f"with {A.SQL_QUOTES}, d0 as (select doc_id, quote_no, quote_id, coalesce(raw_start - lag(raw_end) over (partition by doc_id order by quote_no) > 150, true) as apart from q), d1 as (select *, sum(apart::int) over (partition by doc_id order by quote_no) as block from d0), d2 as (select *, row_number() over (partition by doc_id, block order by quote_no) as p, count(*) over (partition by doc_id, block) as n from d1) select doc_id, quote_id, block::int as block, p::int as block_pos, n::int as block_size, case when n = 1 then '' else '对话块#' || block::int || ' 第' || p || '/' || n || '句' end as hint from d2")
+def dialogue_blocks(spark, sf_dir):
+    return quotes.dialogue_blocks(_quotes(spark, sf_dir)).select("doc_id", "quote_id", "block", "block_pos", "block_size", "hint")
+
+
+@query(
+    f"with {A.SQL_QUOTES}, h as (select doc_id, quote_no as before_quote, quote_id || '_n1' as quote_id, coalesce(max(raw_end) over (partition by doc_id order by quote_no rows between unbounded preceding and 1 preceding), 0) as f, raw_start as t from q), "
+    "tails as (select n.doc_id, coalesce(max(quote_no), 0) + 1 as before_quote, 'tail_n1' as quote_id, coalesce(max(raw_end), 0) as f, len(any_value(n.text)) as t from norm n left join q using (doc_id) group by n.doc_id), "
+    f"src as (select g.doc_id, before_quote, quote_id, substr(n.text, f + 1, (t - f)::int) as raw from (select * from h union all select * from tails) g join norm n using (doc_id) where f < t), {_NARR('src')} select doc_id, before_quote::int as before_quote, quote_id, cleaned as text, left(cleaned, 120) as context_before, right(cleaned, 120) as context_after from nt where cleaned <> ''"
+)
+def narration_gaps(spark, sf_dir):
+    docs = quotes.normalised(A.prose(spark, sf_dir))
+    return quotes.narration_gaps(docs, quotes.extract_quotes(docs))
+
+
+@query(f"with {A.SQL_QUOTES} select doc_id, quote_id, 0 as chapter_idx, ((quote_no - 1) // 10)::int as batch_no, ((quote_no - 1) % 10)::int as batch_pos from q")
+def quote_batches(spark, sf_dir):
+    docs = quotes.normalised(A.prose(spark, sf_dir))
+    found = quotes.extract_quotes(docs)
+    return quotes.quote_batches(found.join(quotes.chapter_of_quotes(docs, found), ["doc_id", "quote_id"])).select("doc_id", "quote_id", "chapter_idx", "batch_no", "batch_pos")
+
+
+# ---- attribution ----
+
+_FORMS = lambda r: f"list_filter([{r}, case when len({r}) >= 3 then right({r}, 2) end, case when len({r}) >= 4 then right({r}, 3) end], lambda f: f is not null)"
+
+
+@query(
+    f"with {A.SQL_QUOTES}, r as (select unnest({_HINTS}) as role, generate_subscripts({_HINTS}, 1) as ri), fm as (select role, ri, unnest({_FORMS('role')}) as form, generate_subscripts({_FORMS('role')}, 1) as fi from r), "
+    "cn as (select unnest(['', '是', '叫', '乃', '就是']) as c, generate_subscripts(['', '是', '叫', '乃', '就是'], 1) as ci), pat as (select role, '我' || c || form as cue, case when fi = 1 then 0.95::double else 0.90::double end as conf, ri * 100 + fi * 10 + ci as pr from fm, cn), "
+    "hit as (select doc_id, quote_id, role, cue, conf, row_number() over (partition by doc_id, quote_id order by pr) as p from q join pat on contains(q.text, pat.cue)) "
+    "select doc_id, quote_id, role as speaker, conf as confidence, '自我介绍：「' || left(cue, 18) || '」' as evidence, 'explicit_before' as attribution_type from hit where p = 1"
+)
+def self_identified(spark, sf_dir):
+    return _hinted(_quotes(spark, sf_dir)).select("doc_id", "quote_id", attribution.self_identified("text", "hints").alias("a")).where("a is not null").select("doc_id", "quote_id", "a.speaker", "a.confidence", "a.evidence", "a.attribution_type")
+
+
+@query(f"with {A.SQL_QUOTES}, x as (select *, replace(replace(replace(replace(replace(replace(text, '我们', ''), '我方', ''), '我国', ''), '我家', ''), '我辈', ''), '我等', '') as t from q) select doc_id, quote_id, '陆沉' as speaker, 0.82::double as confidence from x where contains(t, '我') and not contains(text, '陆沉')")
+def narrator_anchor(spark, sf_dir):
+    return _hinted(_quotes(spark, sf_dir)).select("doc_id", "quote_id", attribution.narrator_anchored("text", "narrator").alias("a")).where("a is not null").select("doc_id", "quote_id", "a.speaker", "a.confidence")
+
+
+_V = L.SPEECH_VERBS
+_G = "(众人|大家|二人|三人|所有人)\\s*(?:齐声|一齐|同时)?\\s*(?:" + _V + ")"
+_TOP = f"({L.NAME})\\s*(?:对|向|冲)({L.NAME})\\s*(?:{_V})"
+_LO = f"({L.ACTOR_NAME})(?:[^。！？!?\\n「」]{{0,18}}?)[，,]\\s*(?:{_V})"
+_CLO = f"({L.ACTOR_NAME})\\s*(?:{_V})"
+_KNOWN = "['林小满','顾长风','苏晚','长风','陆沉']"
+_CANON = lambda x: f"case when {x} = '长风' then '顾长风' else {x} end"
+
+
+def _cut_sql(x: str, markers: str, suffixes) -> str:
+    for m in markers:
+        x = f"split_part({x}, '{m}', 1)"
+    items = "[" + ",".join(f"'{s}'" for s in suffixes) + "]"
+    return f"list_reduce(list_concat([{x}], {items}), lambda a, s: case when ends_with(a, s) and len(a) > len(s) then left(a, len(a) - len(s)) else a end)"
+
+
+def _explicit_sql() -> str:
+    tries, n = [], 0
+    for side, clause, kind in (("b", "bc", "explicit_before"), ("a", "ac", "explicit_after")):
+        for p in (_G, _TOP, _LO, _CLO):
+            n += 1
+            full = f"{p}[：:，,。\\s]*$" if side == "b" else f"^[，,。\\s]*{p}"
+            to = f"regexp_extract({clause}, '{full}', 2)" if p == _TOP else "''"
+            tries.append(f"select doc_id, quote_id, {n} as pr, regexp_extract({clause}, '{full}', 1) as raw, {to} as addr, {clause} as ev, '{kind}' as kind from c")
+    cut = _cut_sql("x", "对向冲", L.SPEAKER_SUFFIXES)
+    last = _S("list_last(regexp_split_to_array(right(context_before, 48), '[。！？!?\\n]'))")
+    return (
+        f"with {A.SQL_QUOTES}, c0 as (select doc_id, quote_id, {last} as bc, regexp_split_to_array(left(context_after, 48), '[。！？!?\\n]')[1] as ah from q), "
+        + f"c as (select doc_id, quote_id, bc, case when contains(ah, '「') then '' else {_S('ah')} end as ac from c0), "
+        + f"t as ({' union all '.join(tries)}), t1 as (select *, trim(raw, ' ，,。:：') as x from t where raw <> ''), t2 as (select *, list_filter({_KNOWN}, lambda k: starts_with(x, k))[1] as k1, {cut} as cx from t1), "
+        + f"t3 as (select *, list_filter({_KNOWN}, lambda k: starts_with(cx, k) or ends_with(cx, k))[1] as k2 from t2), t4 as (select *, {_CANON('coalesce(k1, k2, cx)')} as sp from t3), "
+        + f"t5 as (select *, row_number() over (partition by doc_id, quote_id order by pr) as p from t4 where sp in ('众人','大家','二人','三人','所有人') or list_contains({_HINTS}, sp)) "
+        + f"select doc_id, quote_id, sp as speaker, 0.96::double as confidence, ev as evidence, case when sp in ('众人','大家','二人','三人','所有人') then 'group' when contains(ev, '心想') or contains(ev, '想道') then 'latent' else kind end as attribution_type, {_CANON('addr')} as addressee from t5 where p = 1"
+    )
+
+
+@query(_explicit_sql())
+def explicit_rules(spark, sf_dir):
+    return attribution.explicit(_hinted(_quotes(spark, sf_dir))).where("explicit is not null").select("doc_id", "quote_id", "explicit.*")
+
+
+_AT_END = L.SPEECH_AT_END
+_AFTER = L.NAME_VERB_AFTER
+
+
+@query(
+    f"with {A.SQL_QUOTES}, c0 as (select doc_id, quote_id, {_S('list_last(regexp_split_to_array(right(context_before, 120), ' + chr(39) + '[。！？\\n]' + chr(39) + '))')} as cl, left(context_after, 60) as ca from q), c as (select *, {_S('list_last(regexp_split_to_array(cl, ' + chr(39) + '[，、]' + chr(39) + '))')} as ti, regexp_extract(left(ca, 40), '{_AFTER}', 1) as nm from c0), "
+    f"fm as (select role, unnest({_FORMS('role')}) as form, ri * 3 + generate_subscripts({_FORMS('role')}, 1) as rk from (select unnest({_HINTS}) as role, generate_subscripts({_HINTS}, 1) as ri)), "
+    "pos as (select doc_id, quote_id, role, row_number() over (partition by doc_id, quote_id order by len(ti) - position(reverse(form) in reverse(ti)) - len(form) + 1 desc, rk) as p from c join fm on contains(ti, form)), "
+    f"r as (select c.*, pos.role as b, list_filter({_HINTS}, lambda h: ends_with(h, nm) or starts_with(h, nm))[1] as a, regexp_matches(cl, '{_AT_END}') and len(cl) >= 4 as said from c left join pos on c.doc_id = pos.doc_id and c.quote_id = pos.quote_id and pos.p = 1) "
+    f"select doc_id, quote_id, case when said and b is not null then b else a end as speaker, 0.93::double as confidence, case when said and b is not null then '前显性：「' || {_S('right(cl, 40)')} || '」' else '后显性：「' || {_S('left(ca, 30)')} || '」' end as evidence, case when said and b is not null then 'explicit_before' else 'explicit_after' end as attribution_type from r where (said and b is not null) or (nm <> '' and a is not null)"
+)
+def explicit_conservative(spark, sf_dir):
+    return _hinted(_quotes(spark, sf_dir)).select("doc_id", "quote_id", attribution.explicit_conservative("context_before", "context_after", "hints").alias("a")).where("a is not null").select("doc_id", "quote_id", "a.speaker", "a.confidence", "a.evidence", "a.attribution_type")
+
+
+@query(
+    f"with {A.SQL_QUOTES}, x as (select doc_id, quote_id, regexp_extract(right(context_before, 120), '{L.ADDRESSEE_ANYWHERE}', 1) as nm, {_S('regexp_extract(right(context_before, 120), ' + chr(39) + L.ADDRESSEE_ANYWHERE + chr(39) + ', 0)')} as cue from q) select doc_id, quote_id, case when nm <> '' and len(list_filter({_HINTS}, lambda h: ends_with(h, nm) or starts_with(h, nm))) > 0 then '⚠️注意：前文「' || cue || '」中「' || nm || '」是受话对象，不是说话人' else '' end as warning from x"
+)
+def addressee_hints(spark, sf_dir):
+    return _hinted(_quotes(spark, sf_dir)).select("doc_id", "quote_id", attribution.addressee_hint("context_before", "hints").alias("warning"))
+
+
+_CAND = f"""
+cx as (select *, context_before || chr(10) || context_after as ctx from q),
+hn as (select unnest({_HINTS}) as role), kn as (select role, row_number() over (order by encode(role)) as i from hn),
+n1 as (select doc_id, quote_id, role as name, i as ord from cx, kn where len(list_filter({_FORMS('role')}, lambda f: contains(ctx, f))) > 0),
+n2a as (select doc_id, quote_id, regexp_extract_all(ctx, '(众人|大家|二人|三人|所有人)\\s*(?:齐声|一齐|同时)?\\s*(?:说|说道|道|喊|喊道|答|答道)', 1) as gs from cx), n2 as (select doc_id, quote_id, unnest(gs) as name, 1000 + generate_subscripts(gs, 1) as ord from n2a),
+na as (select * from n1 union all select * from n2),
+rl as (select cx.doc_id, cx.quote_id, count(*) filter (na.name in ('陆沉','苏晚','顾长风','林小满')) as n from cx left join na using (doc_id, quote_id) group by all),
+nb as (select * from na union all select doc_id, quote_id, role, 5000 + i from rl, kn where n = 0),
+nc as (select * from nb union all select cx.doc_id, cx.quote_id, '陆沉', 9000 from cx where not exists (select 1 from nb where nb.doc_id = cx.doc_id and nb.quote_id = cx.quote_id and nb.name = '陆沉')),
+g as (select doc_id, quote_id, name, count(*) as c, min(ord) as o from nc group by all),
+s as (select g.*, least(case when contains(context_before, name) then position(reverse(name) in reverse(context_before)) + len(name) - 1 else 10000 end, case when contains(context_after, name) then position(name in context_after) - 1 else 10000 end) as d from g join cx using (doc_id, quote_id))"""
+
+
+@query(f"with {A.SQL_QUOTES}, {_CAND}, l as (select doc_id, quote_id, list(name order by d, -c, o) as names from s group by all) select doc_id, quote_id, list_concat(names, ['旁白', '未知'])[1:8] as candidates, names[1:8] as scene_characters from l")
+def candidates_ranked(spark, sf_dir):
+    return candidates.generate_candidates(_hinted(_quotes(spark, sf_dir))).select("doc_id", "quote_id", "candidates", "scene_characters")
+
+
+@query()
+def candidates_without_hints(spark, sf_dir):
+    bare = _quotes(spark, sf_dir).withColumn("aliases", F.create_map().cast("map<string,string>"))
+    return candidates.generate_candidates(bare).select("doc_id", "quote_id", "candidates", "candidate_sources", "scene_characters")
+
+
+@query()
+def implicit_classic(spark, sf_dir):
+    return attribution.classic(_hinted(_quotes(spark, sf_dir)))
+
+
+@query()
+def parse_novel_segments(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query(
+    "with n as (select n_nationkey % 5 as doc_id, list(['陆沉','陆公子','苏姑娘','苏晚','苏白','旁白','顾先生','顾长风','林小姐'][(n_nationkey % 9) + 1] order by n_nationkey) as obs from nation group by 1), "
+    "o as (select doc_id, list_filter(list_distinct(obs), lambda x: x not in ('', '旁白', '未知', 'UNKNOWN', '众人')) as fr from n), c as (select doc_id, unnest(list_distinct(list_concat(fr, ['顾长风', '林小满']))) as canon from o), "
+    "a as (select doc_id, unnest(fr) as alias from o), b as (select *, list_filter(['公子','姑娘','小姐','夫人','大人','先生','师兄','师姐','师妹','师父'], lambda s: ends_with(alias, s) and len(alias) > len(s))[1] as suf from a), "
+    "m as (select b.doc_id, alias, list(canon) as cs from b join c on b.doc_id = c.doc_id and canon <> alias and starts_with(canon, left(alias, len(alias) - len(suf))) where suf is not null and len(canon) > 1 group by all) select doc_id, alias, cs[1] as canonical from m where len(cs) = 1"
+)
+def alias_inference(spark, sf_dir):
+    names = ["陆沉", "陆公子", "苏姑娘", "苏晚", "苏白", "旁白", "顾先生", "顾长风", "林小姐"]
+    nation = A._table(spark, sf_dir, "nation")
+    seen = nation.groupBy((F.col("n_nationkey") % 5).alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list("n_nationkey")), lambda k: F.element_at(T.strings(names), (k % 9 + 1).cast("int"))).alias("observed"))
+    hinted = seen.withColumn("aliases", F.create_map(*[F.lit(x) for n in ("顾长风", "林小满") for x in (n, n)]))
+    return candidates.infer_aliases(hinted).select("doc_id", F.explode("inferred").alias("alias", "canonical"))
+
+
+@query(f"with {A.SQL_SEGMENTS}, al as (select distinct doc_id, speaker as alias, case speaker when '苏晚' then '苏菲亚' else '陆沉' end as canonical from seg where speaker in ('苏晚', '罗兰')) select seg.doc_id, seq, coalesce(canonical, speaker) as speaker from seg left join al on seg.doc_id = al.doc_id and speaker = alias")
+def canonicalize_speakers(spark, sf_dir):
+    seg = A.segments(spark, sf_dir)
+    groups = seg.select("doc_id").distinct().select("doc_id", F.explode(F.create_map(*[F.lit(x) for x in ("苏晚", "苏菲亚", "罗兰", "陆沉", "无人", "陆沉")])).alias("alias", "canonical"))
+    return candidates.canonicalize(seg, candidates.observed_aliases(seg, groups)).select("doc_id", "seq", "speaker")
+
+
+@query("with p as (select 'O' as speaker, 'male, low pitch' as style, null as ref_audio union all select 'F', 'female', 'clip.wav'), s as (select l_orderkey as doc_id, l_linenumber as seq, l_linestatus as speaker, case when l_linenumber % 2 = 0 then 'whisper' else '' end as style from lineitem) select doc_id, seq, s.speaker, case when p.ref_audio is not null then null else coalesce(nullif(s.style, ''), p.style, 'male, moderate pitch') end as style, p.ref_audio from s left join p using (speaker)")
+def role_profile_plan(spark, sf_dir):
+    seg = A._table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), F.col("l_linestatus").alias("speaker"), F.when(F.col("l_linenumber") % 2 == 0, "whisper").otherwise("").alias("style"))
+    profiles = spark.createDataFrame([("O", "male, low pitch", None), ("F", "female", "clip.wav")], "speaker string, style string, ref_audio string")
+    return audio.synthesis_plan(seg, profiles).select("doc_id", "seq", "speaker", "style", "ref_audio")
+
+
+# ---- splitting ----
+
+_CH = "(?m)^\\s*(?:第[零一二三四五六七八九十百千万\\d]+[章节回卷].*|Chapter\\s+\\d+.*)\\s*$"
+
+
+@query(
+    f"with {A.SQL_BOOKS}, norm as (select doc_id, {A.NORMALISE('text')} as text from books), {A.sql_spans('hd', 'norm', _CH)}, h1 as (select *, coalesce(lead(s) over (partition by doc_id order by pos), len(text)) as nx from hd), "
+    f"pt as (select doc_id, pos, {_S('raw')} as title, {_S('substr(text, e + 1, (nx - e)::int)')} as content from h1), ok as (select * from pt where content <> '') "
+    "select doc_id, (row_number() over (partition by doc_id order by pos) - 1)::int as chapter_idx, title, content from ok union all select doc_id, 0, '全文', text from norm where text <> '' and doc_id not in (select doc_id from ok)"
+)
+def chapters_split(spark, sf_dir):
+    return splitting.split_chapters(A.books(spark, sf_dir))
+
+
+_RE2 = [(n, p.replace("(?md)", "(?m)"), w) for n, p, w in L.HEADINGS]
+
+
+@query(
+    f"with {A.SQL_BOOKS}, v as (" + " union all ".join(f"select doc_id, '{n}' as pattern, len(regexp_extract_all(text, '{p}')) as hits, len(regexp_extract_all(text, '{p}')) * {w} as score, {i} as i from books" for i, (n, p, w) in enumerate(_RE2)) + "), r as (select *, row_number() over (partition by doc_id order by score desc, i) as p from v where hits >= 2) select b.doc_id, coalesce(pattern, 'none') as pattern, coalesce(hits, 0)::int as hits, coalesce(score, 0)::int as score from books b left join r on b.doc_id = r.doc_id and p = 1"
+)
+def heading_vote(spark, sf_dir):
+    return splitting.heading_vote(A.books(spark, sf_dir))
+
+
+@query(f"with {A.SQL_BOOKS}, p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '(?m)^\\s*(?:[*]{{3,}}|[-]{{3,}}|[=]{{3,}}|[—]{{3,}})\\s*$'), lambda x: {_S('x')}), lambda x: x <> '') as ps from books) select doc_id, (generate_subscripts(ps, 1) - 1)::int as chunk_idx, '段落 ' || generate_subscripts(ps, 1) as title, unnest(ps) as content from p where len(ps) >= 2")
+def scene_breaks(spark, sf_dir):
+    return splitting.scene_breaks(A.books(spark, sf_dir))
+
+
+@query()
+def paragraph_pack(spark, sf_dir):
+    return splitting.pack_paragraphs(A.books(spark, sf_dir), 600, 1200)
+
+
+@query()
+def chunk_split(spark, sf_dir):
+    return splitting.split_long_chunks(splitting.split_chapters(A.books(spark, sf_dir)).withColumnRenamed("chapter_idx", "chunk_idx"), 800)
+
+
+@query()
+def numbered_lines(spark, sf_dir):
+    return splitting.number_lines(A.books(spark, sf_dir).select("doc_id", F.lit(0).alias("chunk_idx"), F.col("text").alias("content")))
+
+
+@query()
+def line_budget(spark, sf_dir):
+    return splitting.line_budget(numbered_lines(spark, sf_dir), 900, 12)
+
+
+@query()
+def detect_structure(spark, sf_dir):
+    return splitting.detect_structure(A.books(spark, sf_dir), 600, 1200)
+
+
+@query(f"with {A.SQL_BOOKS} select doc_id, left(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_S('x')}), lambda x: x <> ''), chr(10)), 800) as sample from books")
+def detection_sample(spark, sf_dir):
+    return splitting.detection_sample(A.books(spark, sf_dir), 800)
+
+
+# ---- codecs and prompts ----
+
+
+@query(
+    f"with {A.SQL_SEGMENTS}, r as (select doc_id, seq, ['0.9', 'x', '1.7', '-1'][(seq % 4) + 1] as cf, ['eb', 'im', 'zz', 'latent'][(seq % 4) + 1] as ty, speaker from seg where seq % 5 <> 4) "
+    "select doc_id as batch_id, 'q' || seq as quote_id, speaker, case cf when '0.9' then 0.9::double when 'x' then 0.5::double when '1.7' then 1.0::double else 0.0::double end as confidence, case ty when 'eb' then 'explicit_before' when 'latent' then 'latent' else 'implicit' end as attribution_type, 'e' || seq as evidence from r"
+)
+def compact_attr_decode(spark, sf_dir):
+    s = A.segments(spark, sf_dir)
+    pick = lambda values: F.element_at(T.strings(values), (F.col("seq") % 4 + 1).cast("int"))
+    row = F.when(F.col("seq") % 5 == 4, F.concat(F.lit("| "), "seq", F.lit(" | too short"))).otherwise(F.concat(F.lit(" "), F.col("seq"), F.lit("、 | "), F.col("speaker"), F.lit("|"), pick(["0.9", "x", "1.7", "-1"]), F.lit(" | "), pick(["eb", "im", "zz", "latent"]), F.lit("| e"), F.col("seq"), F.lit(" ")))
+    rows = s.groupBy(F.col("doc_id").alias("batch_id")).agg(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))).alias("rows"), F.max("seq").alias("n"))
+    replies = rows.select("batch_id", F.transform(F.sequence(F.lit(1), "n"), lambda i: F.concat(F.lit("q"), i)).alias("quote_ids"), F.concat(F.lit("<think>1|a|1|eb|x</think>\n# header\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("\n<think>99|cut")).alias("response"))
+    return codecs.decode_attributions(replies)
+
+
+@query("with g as (select n_regionkey as doc_id, n_name as canonical, n_nationkey as k from nation) select doc_id, canonical, 'a' || k as alias from g union all select doc_id, canonical, 'b' from g")
+def alias_groups_decode(spark, sf_dir):
+    n = A._table(spark, sf_dir, "nation")
+    row = F.concat("n_name", F.lit(" | a"), F.col("n_nationkey"), F.lit(" , b,, "))
+    replies = n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.concat(F.lit("GROUPS:\n"), F.array_join(F.collect_list(row), "\n"), F.lit("\nno aliases |\n")).alias("response"))
+    return codecs.decode_alias_groups(replies)
+
+
+@query("select n_regionkey as doc_id, 0 as window_start, n_nationkey::int as local_index, n_name as speaker from nation")
+def fixes_decode(spark, sf_dir):
+    n = A._table(spark, sf_dir, "nation")
+    row = F.concat(F.col("n_nationkey"), F.lit(" | "), "n_name", F.lit("\nx | y\n7 |"))
+    replies = n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.concat(F.lit("FIXES:\n"), F.array_join(F.collect_list(row), "\n")).alias("response")).withColumn("window_start", F.lit(0))
+    return codecs.decode_fixes(replies)
+
+
+def _plans(spark, sf_dir, row, header):
+    docs = A.prose(spark, sf_dir).select("doc_id", F.lit(0).alias("chunk_idx"), F.col("text").alias("content"))
+    lines = splitting.number_lines(docs)
+    replies = lines.groupBy("doc_id", "chunk_idx").agg(F.concat(F.lit(header), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("row")))), lambda r: r["row"]), "\n")).alias("response"))
+    return docs.join(replies, ["doc_id", "chunk_idx"]), lines
+
+
+@query()
+def chunk_plan_decode(spark, sf_dir):
+    plans, lines = _plans(spark, sf_dir, F.concat(F.lit("<l"), "line_no", F.lit("> | t"), "line_no"), "CHUNKS:\n")
+    return codecs.decode_chunk_plan(plans, lines)
+
+
+@query()
+def rewrite_decode(spark, sf_dir):
+    row = F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("L"), "line_no", F.lit(" ~ 改写"), "line_no")).otherwise(F.concat(F.lit("L"), "line_no", F.lit(" =")))
+    plans, lines = _plans(spark, sf_dir, row, "OPT:\n")
+    return codecs.decode_rewrites(plans, lines)
+
+
+@query()
+def compact_decode(spark, sf_dir):
+    row = F.concat(F.lit("L"), "line_no", F.lit(" 1 ne h \""), F.left("text", F.lit(5)), F.lit("\"\nL"), "line_no", F.lit(" 0 co rest"))
+    plans, lines = _plans(spark, sf_dir, row, "ROLES: 1=陆沉|male_adult, 2=x\nSEGS:\n")
+    return codecs.decode_segments(plans, lines)
+
+
+@query("select event_id, props as json from events where props is not null")
+def json_recovery(spark, sf_dir):
+    e = A._table(spark, sf_dir, "events").where("props is not null")
+    return e.select("event_id", codecs.recover_json(F.concat(F.lit("noise } { x <"), "props", F.lit("> tail {"))).alias("json"))
+
+
+@query(f"with {A.SQL_SEGMENTS} select doc_id, seq, chr((65 + seq % 5)::int) as choice, confidence from seg")
+def choice_recovery(spark, sf_dir):
+    s = A.segments(spark, sf_dir)
+    letter = F.chr(F.lit(65) + F.col("seq") % 5)
+    body = F.concat(F.lit('{"choice": "'), letter, F.lit('", "confidence": '), F.col("confidence"), F.lit("}"))
+    reply = F.when(F.col("seq") % 3 == 0, body).when(F.col("seq") % 3 == 1, F.concat(F.lit("so:\n"), body, F.lit(" done"))).otherwise(F.concat(F.lit("choice="), letter, F.lit("; confidence: "), F.col("confidence")))
+    return s.select("doc_id", "seq", codecs.recover_choice(reply).alias("c")).select("doc_id", "seq", "c.choice", "c.confidence")
+
+
+def _prompt_rows(spark, sf_dir):
+    found = dialogue = _hinted(quotes.dialogue_blocks(_quotes(spark, sf_dir)))
+    ranked = candidates.generate_candidates(found).withColumns({"chapter_idx": F.lit(0), "warning": attribution.addressee_hint("context_before", "hints")})
+    return quotes.quote_batches(ranked)
+
+
+@query()
+def prompt_batch(spark, sf_dir):
+    return codecs.batch_prompt(_prompt_rows(spark, sf_dir))
+
+
+@query()
+def prompt_choice(spark, sf_dir):
+    return codecs.choice_task(_prompt_rows(spark, sf_dir)).select("doc_id", "quote_id", "options", "task_before", "task_after")
+
+
+@query()
+def service_calls(spark, sf_dir):
+    return service.ask(prompt_batch(spark, sf_dir).select("doc_id", "batch_no", "prompt"), service.NarratorChat(), ["doc_id", "batch_no"])
+
+
+@query()
+def chunk_analysis(spark, sf_dir):
+    docs = A.prose(spark, sf_dir).select("doc_id", F.lit(0).alias("chunk_idx"), F.col("text").alias("content"))
+    return service.analyse_chunks(splitting.number_lines(docs), service.NarratorChat(most_lines=4))
+
+
+# ---- import, export, sources ----
+
+
+@query(f"with {A.SQL_SEGMENTS} select doc_id, seq, speaker, text, emotion, style from seg")
+def import_segments(spark, sf_dir):
+    s = A.segments(spark, sf_dir)
+    packed = s.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seq", "speaker", "text", "emotion", "style"))), lambda x: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text"), x["emotion"].alias("emotion"), x["style"].alias("style")))).alias("a"))
+    rows = packed.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("a")).otherwise(F.concat(F.lit(' {"segments": '), "a", F.lit("}"))).alias("json"))
+    return io.import_segments(rows).select("doc_id", "seq", "speaker", "text", "emotion", "style")
+
+
+@query(f"with {A.SQL_SEGMENTS} select doc_id, count(*) as n, count(distinct speaker) as speakers from seg group by doc_id")
+def export_round_trip(spark, sf_dir):
+    lines = io.export_segments(A.segments(spark, sf_dir))
+    back = lines.select("doc_id", F.get_json_object("json", "$.speaker").alias("speaker"))
+    return back.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("speaker").alias("speakers"))
+
+
+@query("select p_partkey, p_size > 100 as exists from (select p_partkey, p_size * 10 as p_size from part where p_partkey is not null)")
+def file_probe(spark, sf_dir):
+    p = A._table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/clips/"), "p_partkey").alias("path"), (F.col("p_size") * 10).alias("length"))
+    return io.probe_files(p.select("p_partkey", "path"), p.select("path", "length")).select("p_partkey", "exists")
+
+
+@query("select c_custkey, regexp_replace(rtrim(u, '/'), '/v1$', '') || '/v1' as url from (select c_custkey, 'http://h' || c_custkey || case c_custkey % 3 when 0 then '/' when 1 then '/v1' else '//' end as u from customer)")
+def base_urls(spark, sf_dir):
+    c = A._table(spark, sf_dir, "customer")
+    u = F.concat(F.lit("http://h"), "c_custkey", F.when(F.col("c_custkey") % 3 == 0, "/").when(F.col("c_custkey") % 3 == 1, "/v1").otherwise("//"))
+    return c.select("c_custkey", io.base_url(u).alias("url"))
+
+
+# ---- speech planning ----
+
+_UNITS = "u as (select doc_id, len(regexp_extract_all(text, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]')) as cjk_chars, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*')) as latin_words, len(regexp_extract_all(text, '[，。！？、；：,.!?;:]')) as pauses from (select doc_id, coalesce(text, '') as text from documents))"
+
+
+@query(f"with {_UNITS} select doc_id, cjk_chars, latin_words, pauses, cjk_chars + latin_words as units from u")
+def tts_units(spark, sf_dir):
+    return audio.duration_bounds(A._table(spark, sf_dir, "documents")).select("doc_id", "cjk_chars", "latin_words", "pauses", "units")
+
+
+@query(
+    f"with {_UNITS}, e as (select *, cjk_chars + latin_words as units, cjk_chars / 3.8::double + latin_words / 2.4::double as sp from u), f as (select *, greatest(0.45::double, sp + least(pauses * 0.12::double, sp * 0.25::double)) as est from e) "
+    "select doc_id, units >= 2 as enabled, case when units >= 2 then floor(est * 10)::bigint else 0 end as est_tenths, case when units >= 2 then floor(greatest(0.45::double, est * 0.35::double) * 10)::bigint else 0 end as min_tenths, case when units >= 2 then floor(greatest(4.0::double, est * 2.8::double + 2.0::double) * 10)::bigint else 0 end as max_tenths from f where abs(est * 1000 - round(est * 1000)) > 2"
+    .replace("where abs(est * 1000 - round(est * 1000)) > 2", "")
+)
+def duration_bounds(spark, sf_dir):
+    rows = audio.duration_bounds(A._table(spark, sf_dir, "documents"))
+    # tenths, cut from the unrounded figures, as rounding halves differs between engines
+    spoken = F.col("cjk_chars") / 3.8 + F.col("latin_words") / 2.4
+    est = F.greatest(F.lit(0.45), spoken + F.least(F.col("pauses") * 0.12, spoken * 0.25))
+    tenth = lambda c: F.when(F.col("enabled"), F.floor(c * 10)).otherwise(0).cast("long")
+    return rows.select("doc_id", "enabled", tenth(est).alias("est_tenths"), tenth(F.greatest(F.lit(0.45), est * 0.35)).alias("min_tenths"), tenth(F.greatest(F.lit(4.0), est * 2.8 + 2.0)).alias("max_tenths"))
+
+
+_W = '(partition by "out" order by idx'
+
+
+@query(
+    f"""with {A.SQL_CLIPS}, t as (select *, coalesce(sum(duration) over {_W} rows between unbounded preceding and 1 preceding), 0) + (row_number() over {_W}) - 1) * 0.35::double as off, case when trim(text) = '' then '' when speaker = '旁白' then trim(text) else speaker || '：' || trim(text) end as lyric from clips)
+select "out", idx, (off * 100)::bigint as centis, lyric from t where lyric <> ''"""
+)
+def lrc_timeline(spark, sf_dir):
+    return audio.lrc(A.clips(spark, sf_dir)).select("out", "idx", F.round(F.col("offset_seconds") * 100).cast("long").alias("centis"), F.regexp_extract("line", r"\](.*)", 1).alias("lyric"))
+
+
+_VOL = "v as (select *, ((row_number() over (partition by \"out\" order by idx) - 1) // 3 + 1)::int as volume from clips)"
+
+
+@query(f'with {A.SQL_CLIPS}, {_VOL} select "out", idx, volume from v')
+def volume_pack(spark, sf_dir):
+    return audio.pack_volumes(A.clips(spark, sf_dir), most_items=3)
+
+
+@query()
+def volume_pack_by_bytes(spark, sf_dir):
+    return audio.pack_volumes(A.clips(spark, sf_dir), most_bytes=1_200_000)
+
+
+@query(f'with {A.SQL_CLIPS}, {_VOL} select "out", volume, count(*) as segments, min(idx) as start_index, max(idx) as end_index, (sum(frames * 2) + (count(*) - 1) * 11200 + 44)::bigint as size_bytes from v group by "out", volume')
+def volume_manifest(spark, sf_dir):
+    clips = A.clips(spark, sf_dir)
+    return audio.volume_manifest(clips, audio.pack_volumes(clips, most_items=3)).drop("duration_seconds")
+
+
+@query(
+    "with s as (select d.doc_id, 'q' || d.doc_id as quote_id, case l.quality when 1 then 'explicit_before' else 'implicit' end as attribution_type, d.lang as speaker, case when d.doc_id % 5 = 0 then '未知' when d.doc_id % 3 = 0 then 'en' else d.lang end as said, ['en', 'fr'] as candidates from documents d join labels l using (doc_id)) "
+    "select attribution_type, count(*) as n, avg((said = speaker)::int::double) as accuracy, avg((said in ('未知', 'UNKNOWN'))::int::double) as unknown_rate, avg(list_contains(candidates, speaker)::int::double) as candidate_recall from s group by rollup (attribution_type)"
+)
+def eval_metrics(spark, sf_dir):
+    d = A._table(spark, sf_dir, "documents").join(A._table(spark, sf_dir, "labels"), "doc_id").withColumn("quote_id", F.concat(F.lit("q"), "doc_id"))
+    gold = d.select("doc_id", "quote_id", F.when(F.col("quality") == 1, "explicit_before").otherwise("implicit").alias("attribution_type"), F.col("lang").alias("speaker"))
+    said = F.when(F.col("doc_id") % 5 == 0, "未知").when(F.col("doc_id") % 3 == 0, "en").otherwise(F.col("lang"))
+    return segments.evaluate(d.select("doc_id", "quote_id", said.alias("speaker"), T.strings(["en", "fr"]).alias("candidates")), gold)
