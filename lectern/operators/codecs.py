@@ -40,6 +40,22 @@ def decode_attributions(replies: DataFrame) -> DataFrame:
     return out.where("quote_id is not null")
 
 
+def decode_json_attributions(replies: DataFrame) -> DataFrame:
+    """replies (batch_id, quote_ids, response holding a JSON array of objects) -> as decode_attributions().
+
+    An answer's id is a quote id, else a 1-based place, else part of the first id that contains it or lies in it.
+    """
+    item = "array<struct<id:string,speaker:string,confidence:double,attribution_type:string,evidence:string>>"
+    rows = replies.select("batch_id", "quote_ids", F.explode(F.from_json(strip_thoughts("response"), item)).alias("x"))
+    i = F.coalesce("x.id", F.lit(""))
+    place = F.when(i.rlike(r"\A[0-9]+\z"), i.try_cast("int"))
+    loose = F.try_element_at(F.filter("quote_ids", lambda q: F.contains(q, i) | F.contains(i, q)), F.lit(1))
+    quote = F.when(F.array_contains("quote_ids", i), i).otherwise(F.coalesce(F.try_element_at("quote_ids", F.when(place > 0, place)), loose))
+    confidence = F.least(F.greatest(F.coalesce("x.confidence", F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
+    out = rows.select("batch_id", quote.alias("quote_id"), strip(F.coalesce("x.speaker", F.lit(L.UNKNOWN))).alias("speaker"), confidence.alias("confidence"), _mapped(strip(F.coalesce("x.attribution_type", F.lit("implicit"))), L.TYPE_CODES, "implicit").alias("attribution_type"), strip(F.coalesce("x.evidence", F.lit(""))).alias("evidence"))
+    return out.where("quote_id is not null")
+
+
 def decode_alias_groups(replies: DataFrame) -> DataFrame:
     """`canonical | alias, alias` -> doc_id, canonical, alias."""
     rows = replies.select("doc_id", F.explode(rows_of("response", "GROUPS:")).alias("row"))

@@ -71,6 +71,23 @@ def chapter_of_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     return quotes.join(offsets, "doc_id").select("doc_id", "quote_id", F.size(F.filter("offsets", lambda o: o <= F.col("start"))).alias("chapter_idx"))
 
 
+def chapter_openings(docs: DataFrame, window: int = 400) -> DataFrame:
+    """doc_id, chapter_idx, heading, opening (up to `window` characters after the heading's line, none of the next chapter);
+    chapter 0 is what stands before the first heading."""
+    line_end = lambda at: F.call_function("locate", F.lit("\n"), F.col("text"), at + 1) - 1
+    first = lambda at: F.when(F.substring("text", at + 1, F.lit(1)) == "\n", at + 1).otherwise(at)
+    marked = docs.select("doc_id", "text", F.transform(spans("text", L.CHAPTER_OFFSET), lambda s: s["start"]).alias("offsets"))
+    rows = marked.select("doc_id", "text", "offsets", F.posexplode(F.concat(F.array(F.lit(-1)), "offsets")).alias("chapter_idx", "at"))
+    rows = rows.withColumns({"next": F.coalesce(F.get("offsets", F.col("chapter_idx")), F.length("text")), "begin": first(F.col("at"))})
+    rows = rows.withColumns({"stop": line_end(F.col("begin")), "from": F.greatest(line_end(F.col("at")), F.lit(-1))})
+    heading = F.when(F.col("stop") >= 0, piece("text", "begin", "stop")).otherwise(F.substring("text", F.col("begin") + 1, F.lit(80)))
+    start = F.when(F.col("from") < 0, F.col("at")).otherwise(F.col("from"))
+    after = piece("text", start, F.least(start + window, F.col("next")))
+    before = F.substring("text", F.lit(1), F.least(F.lit(window), F.col("next")))
+    front = F.col("at") < 0
+    return rows.select("doc_id", "chapter_idx", F.when(front, "").otherwise(strip(heading)).alias("heading"), F.when(front, before).otherwise(after).alias("opening"))
+
+
 def quote_batches(quotes: DataFrame, size: int = 10) -> DataFrame:
     """Batches of `size` quotes in document order within a chapter (column chapter_idx)."""
     place = F.row_number().over(_by_doc("chapter_idx")) - 1

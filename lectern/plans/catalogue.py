@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import attribution, audio, candidates, codecs, consistency, quotes, segments, service, splitting
 from ..sources import html, io
 from . import adapters as A
-from .novel import parse_novel
+from .novel import merge_aliases as _merge_aliases, optimise_chunks, parse_novel, parse_novel_batch, plan_chunks, verify_speakers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -578,7 +578,7 @@ def choice_recovery(spark, sf_dir):
 
 
 def _prompt_rows(spark, sf_dir):
-    found = dialogue = _hinted(quotes.dialogue_blocks(_quotes(spark, sf_dir)))
+    found = _hinted(quotes.dialogue_blocks(_quotes(spark, sf_dir)))
     ranked = candidates.generate_candidates(found).withColumns({"chapter_idx": F.lit(0), "warning": attribution.addressee_hint("context_before", "hints")})
     return quotes.quote_batches(ranked)
 
@@ -604,6 +604,50 @@ def chunk_analysis(spark, sf_dir):
     return service.analyse_chunks(splitting.number_lines(docs), service.NarratorChat(most_lines=4))
 
 
+@query()
+def batch_attribution(spark, sf_dir):
+    return parse_novel_batch(A.prose(spark, sf_dir), A.NAMES, service.FirstCandidate(), A.NAMES[0]).select("doc_id", "seq", "speaker", "confidence", "attribution_type", "ruled")
+
+
+@query(f"with {A.SQL_SEGMENTS}, {A.SQL_PROSE} select doc_id, seq, speaker from seg")
+def verification_without_fixes(spark, sf_dir):
+    return verify_speakers(A.segments(spark, sf_dir), service.Scripted(lambda prompt: "FIXES:\n99 | x")).select("doc_id", "seq", "speaker")
+
+
+@query(f"with {A.SQL_SEGMENTS}, n as (select doc_id, count(distinct speaker) filter (speaker not in ('旁白', 'UNKNOWN', '')) as k from seg group by doc_id) select doc_id, seq, case when speaker = '苏晚' and k > 1 then '苏菲亚' else speaker end as speaker from seg join n using (doc_id)")
+def alias_merge(spark, sf_dir):
+    return _merge_aliases(A.segments(spark, sf_dir), service.Scripted(lambda prompt: "GROUPS:\n苏菲亚 | 苏晚, 无人")).select("doc_id", "seq", "speaker")
+
+
+def _prose_chunks(spark, sf_dir):
+    return A.prose(spark, sf_dir).select("doc_id", F.lit(0).alias("chunk_idx"), F.lit("t").alias("title"), F.col("text").alias("content"))
+
+
+@query()
+def chunk_planning(spark, sf_dir):
+    return plan_chunks(_prose_chunks(spark, sf_dir), service.Scripted(lambda prompt: "CHUNKS:\nL1-99 | 全部"))
+
+
+@query()
+def chunk_rewriting(spark, sf_dir):
+    return optimise_chunks(_prose_chunks(spark, sf_dir), service.Scripted(lambda prompt: "OPT:\nL1-99 ="))
+
+
+@query(f"with {A.SQL_SEGMENTS} select doc_id as batch_id, 'q' || seq as quote_id, speaker, confidence, case attribution_type when 'unknown' then 'unknown' when 'implicit' then 'implicit' else 'explicit_before' end as attribution_type, evidence from seg")
+def json_attr_decode(spark, sf_dir):
+    s = A.segments(spark, sf_dir)
+    i = F.when(F.col("seq") % 2 == 0, F.col("seq").cast("string")).otherwise(F.concat(F.lit("q"), "seq"))
+    rows = s.groupBy(F.col("doc_id").alias("batch_id")).agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(i.alias("id"), "speaker", "confidence", "attribution_type", "evidence").alias("x")))).alias("rows"), F.max("seq").alias("n"))
+    replies = rows.select("batch_id", F.transform(F.sequence(F.lit(1), "n"), lambda k: F.concat(F.lit("q"), k)).alias("quote_ids"), F.concat(F.lit("<think>[</think>"), F.to_json(F.transform("rows", lambda r: r["x"]))).alias("response"))
+    return codecs.decode_json_attributions(replies)
+
+
+@query()
+def perspective_chapters(spark, sf_dir):
+    opened = quotes.chapter_openings(quotes.normalised(A.books(spark, sf_dir)))
+    return opened.withColumn("shifted", attribution.perspective_shift("heading", "opening", F.lit(A.NAMES[0]), T.strings(A.NAMES)))
+
+
 # ---- import, export, sources ----
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import strings
-from ..operators import attribution, candidates, consistency, quotes, segments, service, splitting
+from ..operators import attribution, candidates, codecs, consistency, quotes, segments, service, splitting
 
 
 def _with_aliases(found: DataFrame, hints: list[str], narrator: str | None, infer: bool) -> DataFrame:
@@ -40,6 +40,74 @@ def parse_novel(docs: DataFrame, hints: list[str] | None = None, narrator: str |
     return consistency.fix_consistency(ordered, narrator)
 
 
+def parse_novel_batch(docs: DataFrame, hints: list[str], client: service.Chat, narrator: str | None = None, infer: bool = True) -> DataFrame:
+    """The rules that are sure decide first; what they leave goes to a service in batches of ten a chapter.
+
+    The narrator rule rests in chapters that somebody else tells. Only unresolved quotes reach the service.
+    """
+    text = quotes.normalised(docs)
+    found = quotes.extract_quotes(text)
+    base = _with_aliases(found, hints, narrator, infer).join(quotes.chapter_of_quotes(text, found), ["doc_id", "quote_id"])
+    told = quotes.chapter_openings(text).select("doc_id", "chapter_idx", attribution.perspective_shift("heading", "opening", F.lit(narrator), strings(hints)).alias("shifted"))
+    ranked = candidates.generate_candidates(base.join(told, ["doc_id", "chapter_idx"]))
+    sure = F.coalesce(attribution.self_identified("text", "hints"), F.when(~F.col("shifted"), attribution.narrator_anchored("text", "narrator")), attribution.explicit_conservative("context_before", "context_after", "hints"))
+    ruled = ranked.withColumn("sure", sure)
+    placed = quotes.dialogue_blocks(ruled)
+    names = F.filter("candidates", lambda n: ~n.isin(L.FALLBACK_CANDIDATES))
+    shown = F.array_join(F.when(F.size(names) > 0, names).otherwise(F.col("hints")), "、")
+    body = F.concat(F.lit("前: "), F.right("context_before", F.lit(200)), F.lit("\n近: "), F.right("context_before", F.lit(40)), F.lit("\n句: "), "text", F.lit("\n后: "), F.left("context_after", F.lit(200)), F.lit("\n"), attribution.addressee_hint("context_before", "hints"))
+    open_ = placed.where("sure is null").select("doc_id", "chapter_idx", "quote_no", "quote_id", F.concat(shown, F.when(F.col("hint") != "", F.concat(F.lit(" | "), F.col("hint"))).otherwise("")).alias("head"), body.alias("body"))
+    asked = service.attribute_batches(open_, client).select("doc_id", "quote_no", F.struct("speaker", "confidence", "evidence", "attribution_type", F.lit(None).cast("string").alias("addressee")).cast(attribution.ATTRIBUTION).alias("answer"))
+    none = attribution.attribution(F.lit(L.UNKNOWN), 0.20, "归因失败（规则+LLM均无结果）", "unknown")
+    rows = ruled.join(asked, ["doc_id", "quote_no"], "left").withColumn("a", F.coalesce("sure", "answer", none))
+    out = rows.select("doc_id", F.col("quote_no").alias("seq"), "quote_id", "text", "a.*", "candidates", "candidate_sources", "scene_characters", "context_before", "context_after", F.col("sure").isNotNull().alias("ruled"))
+    return consistency.fix_consistency(out, narrator)
+
+
+def verify_speakers(rows: DataFrame, client: service.Chat) -> DataFrame:
+    """Windows of twenty segments, five of them shared, are shown to a service; its fixes are applied, later windows win."""
+    shown = segments.verify_windows(rows)
+    item = F.concat(F.col("local_index"), F.lit(" | "), "speaker", F.lit(" | "), "text")
+    prompts = shown.groupBy("doc_id", "window_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_index", item.alias("item")))), lambda x: x["item"]), "\n").alias("prompt"))
+    replies = service.ask(prompts, client, ["doc_id", "window_start"]).where("response is not null")
+    return segments.postprocess(segments.apply_fixes(rows, codecs.decode_fixes(replies)))
+
+
+def merge_aliases(rows: DataFrame, client: service.Chat) -> DataFrame:
+    """Observed names of a document go to a service, its groups rename the speakers; failures rename nothing."""
+    names = segments.observed_names(rows).where(F.size("names") > 1).select("doc_id", F.array_join("names", "\n").alias("prompt"))
+    replies = service.ask(names, client, ["doc_id"]).where("response is not null")
+    return candidates.canonicalize(rows, candidates.observed_aliases(rows, codecs.decode_alias_groups(replies)))
+
+
+def plan_chunks(chunks: DataFrame, client: service.Chat) -> DataFrame:
+    """Chunks cut as a service plans it, where its plan covers all lines in order; else as they are."""
+    lines = splitting.number_lines(chunks)
+    prompts = _numbered(chunks, lines)
+    plans = service.ask(prompts, client, ["doc_id", "chunk_idx"]).where("response is not null").join(chunks.select("doc_id", "chunk_idx", "content"), ["doc_id", "chunk_idx"])
+    good = codecs.decode_chunk_plan(plans, lines).where("ok").select("doc_id", "chunk_idx", "part_no", "title", "content")
+    rest = chunks.join(good.select("doc_id", "chunk_idx").distinct(), ["doc_id", "chunk_idx"], "left_anti")
+    return good.unionByName(rest.select("doc_id", "chunk_idx", F.lit(1).alias("part_no"), "title", "content"))
+
+
+def optimise_chunks(chunks: DataFrame, client: service.Chat) -> DataFrame:
+    """Chunks reworded by a service where its reply covers all lines, else cleaned by rule."""
+    from ..functions.text import tts_cleanup
+
+    lines = splitting.number_lines(chunks)
+    plans = service.ask(_numbered(chunks, lines), client, ["doc_id", "chunk_idx"]).where("response is not null").join(chunks.select("doc_id", "chunk_idx", "content"), ["doc_id", "chunk_idx"])
+    good = codecs.decode_rewrites(plans, lines).where("ok").select("doc_id", "chunk_idx", F.col("content").alias("_new"))
+    return chunks.join(good, ["doc_id", "chunk_idx"], "left").withColumn("content", F.coalesce("_new", tts_cleanup("content"))).drop("_new")
+
+
+def _numbered(chunks: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, chunk_idx, prompt: title and numbered lines."""
+    row = F.concat("line_id", F.lit(": "), "text")
+    text = lines.groupBy("doc_id", "chunk_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("row")))), lambda x: x["row"]), "\n").alias("numbered_text"))
+    none = F.lit(None).cast("string")
+    return codecs.context_prompt(chunks.select("doc_id", "chunk_idx", "title").join(text, ["doc_id", "chunk_idx"]).withColumns({"known": none, "summary": none, "active": none})).select("doc_id", "chunk_idx", "prompt")
+
+
 def analyse(docs: DataFrame, client: service.Chat, target: int = 6000, most: int = 12_000) -> DataFrame:
     """docs -> chunks -> numbered lines -> segments by a chat service -> stable styles and marks."""
     chunks = splitting.detect_structure(docs, target, most)

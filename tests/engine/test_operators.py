@@ -11,7 +11,7 @@ from lectern.functions import lexicon as L
 from lectern.functions import text as T
 from lectern.functions.spans import spans
 from lectern.operators import attribution, audio, candidates, codecs, consistency, quotes, segments, service, splitting
-from lectern.plans.novel import analyse, parse_novel
+from lectern.plans.novel import analyse, merge_aliases, optimise_chunks, parse_novel, parse_novel_batch, plan_chunks, verify_speakers
 from lectern.sources import io
 from lectern.sources.html import html_unescape
 
@@ -367,3 +367,34 @@ def test_streams(spark, tmp_path):
     r = spark.table("ctx").first()
     assert (r.chunks, r.known, r.active) == (2, ["甲", "乙"], ["甲", "乙"])
     assert sorted(values(spark.table("win"), "speaker", "n", "doubtful")) == [("乙", 1, 1), ("甲", 2, 0)]
+
+
+def test_chapter_openings(spark):
+    got = quotes.chapter_openings(docs(spark, "前言\n第1章 甲的故事\n我走。\n第2章\n他走。")).orderBy("chapter_idx")
+    assert values(got, "chapter_idx", "heading", "opening") == [(0, "", "前言\n"), (1, "第1章 甲的故事", "\n我走。\n"), (2, "第2章", "\n他走。")]
+
+
+def test_batch_path_rests_the_narrator_in_foreign_chapters(spark):
+    text = "第1章 始\n「我走」\n第2章 苏晚的故事\n「我不走」\n陆沉说道：「好」\n「谁」"
+    got = parse_novel_batch(docs(spark, text), ["陆沉", "苏晚"], service.FirstCandidate(), "陆沉", infer=False).orderBy("seq").collect()
+    assert [r.ruled for r in got] == [True, False, True, False] and got[0].confidence == 0.82 and got[1].evidence == "stub"
+
+
+def test_batches_see_the_window_before(spark):
+    seen = []
+    rows = [(1, 0, i, f"q{i}", "甲", "b") for i in range(1, 13)]
+    items = spark.createDataFrame(rows, "doc_id long, chapter_idx int, quote_no int, quote_id string, head string, body string")
+    answer = lambda prompt: "\n".join(f"{i}|{'甲乙'[i % 2]}|9|im" for i in range(1, 11)) if "（批次首条）" in prompt else "1|" + re.search(r"q11 \| 甲 \| (\S+)", prompt)[1] + "|x|eb|e"
+    got = {r.quote_no: (r.speaker, r.confidence, r.attribution_type) for r in service.attribute_batches(items, service.Scripted(answer)).collect()}
+    assert got[10] == ("甲", 1.0, "implicit") and got[11] == ("甲", 0.5, "explicit_before") and got[12] == ("未知", 0.2, "unknown") and not seen
+
+
+def test_assisted_plans(spark):
+    rows = spark.createDataFrame([(1, 1, "甲", "a", "neutral", ""), (1, 2, "乙", "b", "neutral", "")], "doc_id long, seq int, speaker string, text string, emotion string, style string")
+    assert [r.speaker for r in verify_speakers(rows, service.Scripted(lambda p: "FIXES:\n1 | 丙\n0 | UNKNOWN")).orderBy("seq").collect()] == ["甲", "丙"]
+    assert [r.speaker for r in merge_aliases(rows, service.Scripted(lambda p: "甲 | 乙, 丁")).orderBy("seq").collect()] == ["甲", "甲"]
+    chunk = spark.createDataFrame([(1, 0, "t", "一\n二")], "doc_id long, chunk_idx int, title string, content string")
+    assert [r.title for r in plan_chunks(chunk, service.Scripted(lambda p: "L1 | x\nL2 | y")).orderBy("part_no").collect()] == ["x", "y"]
+    assert plan_chunks(chunk, service.Scripted(lambda p: "L1 | x")).first().title == "t"
+    assert optimise_chunks(chunk, service.Scripted(lambda p: "L1 ~ 壹\nL2 =")).first().content == "壹\n二"
+    assert optimise_chunks(chunk, service.Scripted(lambda p: "L1 =")).first().content == "一。\n二"
