@@ -64,11 +64,12 @@ def grams_column(words):
 
 @dataclass
 class Model:
-    """Gram -> weight of each class, class biases, temperature."""
+    """Gram -> weight of each class, class biases, temperature, and word parts one of which every feature holds."""
 
     weights: dict[str, list[float]]
     bias: list[float]
     temperature: float
+    cues: list[str]
 
 
 def _variants(rng, text: str, n: int):
@@ -118,7 +119,9 @@ def train(nothing: list[str], seed: int = 3) -> Model:
     z = logits()[test]
     loss = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(z)), y[test]], 1e-12)).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)} if len(z) else {1.0: 0.0}
     kept = {g: w[i].round(6).tolist() for g, i in at.items() if np.abs(w[i]).max() >= LEAST_WEIGHT}
-    return Model(kept, b.tolist(), min(loss, key=loss.get))
+    telling = {w for g in kept for w in g.split()} - common
+    cues = sorted({max((p for p in w.split(".") if p), key=len) for w in telling})
+    return Model(kept, b.tolist(), min(loss, key=loss.get), cues)
 
 
 def fit(docs: DataFrame, none_rows: int = NONE_ROWS) -> Model:
@@ -134,7 +137,9 @@ def scan(docs: DataFrame, model: Model, sure: float = SURE, cover: float = COVER
     """documents (doc_id, text) -> doc_id, families, n_notices, n_unknown, top_score."""
     spark = docs.sparkSession
     base = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
-    lines = base.where("text is not null").select("row_key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # every feature holds a cue, so texts and then lines without one can't score; the n-grams of the others are made
+    cued = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in model.cues]))
+    lines = base.where(F.col("text").isNotNull() & cued("text")).select("row_key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(cued("line"))
     table = spark.createDataFrame([(g, w) for g, w in sorted(model.weights.items())], "gram string, w array<double>")
     grams = lines.select("row_key", "pos", "line", F.explode(grams_column(words_column(F.col("line")))).alias("gram"))
     # few paragraphs hold a feature; only these go on. Repeated rows have equal keys and count once
