@@ -24,6 +24,8 @@ from .common import materialize, shared_dir
 LEAST_BYTES = 100
 RECORDS_PER_FILE = 2000
 EPOCH = 1_700_000_000
+#: So many digests (about 10 MB) may be broadcast.
+BROADCAST_DIGESTS = 100_000
 _END = "\r\n\r\n"
 INDEX = "url_key string, captured string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, record_offset long, record_length long"
 
@@ -36,13 +38,20 @@ def url_key(url):
 
 
 def captures(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, n_bytes, refers_to. Only (digest, page_id) is aggregated, combined before the shuffle."""
+    """page_id, url, payload, digest, n_bytes, refers_to.
+
+    Only (digest, page_id) is aggregated, combined before the shuffle. Digests that occur twice are broadcast if their count
+    allows it, so payloads stay where they are; beyond, payloads are shuffled once, and skewed digests split.
+    """
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "").alias("url"),
         F.coalesce("html", F.lit("")).alias("payload"),
     ).withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "n_bytes": F.octet_length("payload").cast("long")})
     shared = base.where((F.col("n_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
+    shared = materialize(shared, "archive-shared")
+    if shared.count() <= BROADCAST_DIGESTS:
+        shared = F.broadcast(shared)
     return base.join(shared, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))).drop("first_id")
 
 
