@@ -25,6 +25,8 @@ MIN_CHARS = 8
 #: Sketches of 2^LG_K registers err by 1.04 / 2^(LG_K / 2), 1.6 % here; estimates within NEAR of the threshold (over six
 #: standard errors, and one site at least) are counted exactly.
 LG_K, NEAR = 12, 0.1
+#: So many line keys (a few MB) may be broadcast; beyond, joins shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def normalised(line):
@@ -38,26 +40,30 @@ def document_lines(docs: DataFrame, site: str = "source", min_chars: int = MIN_C
     return norm.select("doc_id", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"))
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """keys with a broadcast hint if their count is within BROADCAST_KEYS; else joins shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h1, h2, n_sites, first_doc of the lines on at least min_sites distinct sites."""
+    """h1, h2, n_sites, first_doc of the lines on at least min_sites distinct sites.
+
+    Sketches are made and merged before the shuffle, so a line that every task sees is one row a task.
+    """
     low, high = min(min_sites - 1, int(min_sites * (1 - NEAR))), max(min_sites + 1, int(min_sites * (1 + NEAR)) + 1)
-    # a line that occurs less often, or on one site only, needs no sketch
-    key = F.when(F.col("site").isNotNull(), F.xxhash64("site"))
-    wide = lines.groupBy("h1", "h2").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    wide = wide.where((F.col("lo") < F.col("hi")) & (F.col("n") >= min_sites)).select("h1", "h2", "first_doc")
-    some = lines.join(wide.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    sketch = some.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate")).where(F.col("estimate") >= low)
-    near = some.join(sketch.where(F.col("estimate") <= high).select("h1", "h2"), ["h1", "h2"], "left_semi")
-    exact = near.select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("site").alias("exact"))
-    judged = sketch.join(exact, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("exact", "estimate").alias("n_sites")).where(F.col("n_sites") >= min_sites)
-    return judged.join(wide, ["h1", "h2"])
+    sketched = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
+    estimate = F.hll_sketch_estimate("sketch").alias("estimate")
+    wide = materialize(sketched.where(F.col("n") >= min_sites).select("h1", "h2", "first_doc", estimate).where(F.col("estimate") >= low), "lines-wide")
+    near = lines.select("h1", "h2", "site").join(_small(wide.where(F.col("estimate") <= high).select("h1", "h2")), ["h1", "h2"]).distinct()
+    exact = near.groupBy("h1", "h2").agg(F.count("site").alias("exact"))
+    return wide.join(exact, ["h1", "h2"], "left").select("h1", "h2", "first_doc", F.coalesce("exact", "estimate").alias("n_sites")).where(F.col("n_sites") >= min_sites)
 
 
 def removals(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, gone (the numbers, from 0, of the lines to remove); only documents that lose lines."""
     lines = materialize(document_lines(docs, site, min_chars), "lines")
     shared = materialize(boilerplate(lines, min_sites), "lines-boilerplate")
-    found = lines.join(shared, ["h1", "h2"]).select("h1", "h2", "doc_id", "pos", "first_doc")
+    found = lines.join(_small(shared), ["h1", "h2"]).select("h1", "h2", "doc_id", "pos", "first_doc")
     elsewhere = found.where("doc_id <> first_doc").select("doc_id", "pos")
     at_home = found.where("doc_id = first_doc").groupBy("h1", "h2", "doc_id").agg(F.array_sort(F.collect_set("pos")).alias("all"))
     repeats = at_home.where(F.size("all") > 1).select("doc_id", F.explode(F.slice("all", F.lit(2), F.size("all"))).alias("pos"))
