@@ -215,3 +215,21 @@ def speech_units(c) -> dict[str, Column]:
 def lyric_line(speaker, text) -> Column:
     s, t = strip(F.coalesce(col(speaker), F.lit(""))), strip(F.coalesce(col(text), F.lit("")))
     return F.when((t == "") | s.isin("", L.NARRATOR), t).otherwise(F.concat(s, F.lit("："), t))
+
+
+def voice_name(c) -> Column:
+    """Lower case, without a trailing desktop mark, blanks collapsed."""
+    return F.regexp_replace(F.replace(F.lower(strip(F.coalesce(col(c), F.lit("")))), F.lit(" desktop"), F.lit("")), r"\s+", " ")
+
+
+def voice_style(sex, locale) -> Column:
+    """The style tags of a catalogue voice."""
+    s, l = F.lower(strip(F.coalesce(col(sex), F.lit("")))), strip(F.coalesce(col(locale), F.lit("")))
+    accent = F.when(l == "zh-CN", "chinese accent").when(l == "ja-JP", "japanese accent").when(l == "en-US", "english accent")
+    return F.concat_ws(", ", F.when(s.isin("female", "male"), s), accent, F.lit("moderate pitch"))
+
+
+def speech_rate(style) -> Column:
+    """One step faster for the young, one slower for the old."""
+    s = F.lower(F.coalesce(col(style), F.lit("")))
+    return s.rlike("child|teenager|young adult").cast("int") - F.contains(s, F.lit("elderly")).cast("int")

@@ -239,6 +239,20 @@ def choice_task(quotes: DataFrame, context: int = 220) -> DataFrame:
     return quotes.withColumns({"options": options, "task_before": F.right("context_before", F.lit(context)), "task_after": F.left(after, F.lit(context))})
 
 
+def training_row(tasks: DataFrame, gold: str = "gold_speaker") -> DataFrame:
+    """choice_task() rows with the letter of the gold name; null where it is no option."""
+    at = F.array_position(F.transform("options", lambda o: F.substring(o, 4, 1000)), F.col(gold))
+    return tasks.withColumn("gold_label", F.when(at > 0, F.chr(at + 64)))
+
+
+def decode_pattern_guess(c) -> Column:
+    """struct<pattern, confidence, reason> of a `PATTERN: pattern | confidence | reason` row; null without one."""
+    row = F.try_element_at(F.filter(rows_of(c, "#"), lambda r: F.startswith(r, F.lit("PATTERN:"))), F.lit(1))
+    parts = F.transform(F.split(F.substring(row, 9, 100_000), "\\|", 3), strip)
+    get = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(""))
+    return F.when(row.isNotNull(), F.struct(F.coalesce(F.nullif(get(1), F.lit("")), F.lit("none")).alias("pattern"), get(2).alias("confidence"), get(3).alias("reason")))
+
+
 def context_prompt(chunks: DataFrame) -> DataFrame:
     """chunks with title, numbered_text and (nullable) known, summary, active -> prompt with a context block if any is set."""
     part = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), F.col(c)))

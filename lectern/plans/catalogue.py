@@ -593,6 +593,25 @@ def prompt_choice(spark, sf_dir):
     return codecs.choice_task(_prompt_rows(spark, sf_dir)).select("doc_id", "quote_id", "options", "task_before", "task_after")
 
 
+@query()
+def choice_training_rows(spark, sf_dir):
+    tasks = codecs.choice_task(_prompt_rows(spark, sf_dir)).withColumn("gold_speaker", F.element_at("hints", 1))
+    return codecs.training_row(tasks).select("doc_id", "quote_id", "options", "gold_speaker", "gold_label")
+
+
+@query(f"with {A.SQL_SEGMENTS} select doc_id, seq, case when seq % 3 = 0 then null when seq % 3 = 1 then 'numbered' else 'none' end as pattern, case when seq % 3 = 1 then speaker when seq % 3 = 2 then '' end as confidence from seg")
+def pattern_guess_decode(spark, sf_dir):
+    reply = F.when(F.col("seq") % 3 == 0, "no answer").when(F.col("seq") % 3 == 1, F.concat(F.lit("so\n PATTERN: numbered | "), F.col("speaker"), F.lit(" | a|b"))).otherwise("PATTERN:")
+    return A.segments(spark, sf_dir).select("doc_id", "seq", codecs.decode_pattern_guess(reply).alias("g")).select("doc_id", "seq", "g.pattern", "g.confidence")
+
+
+@query(f"with {A.SQL_SEGMENTS} select doc_id, seq, case when contains(lower(style), 'child') then 1 when contains(lower(style), 'elderly') then -1 else 0 end as rate, case seq % 3 when 0 then 'female, chinese accent, moderate pitch' when 1 then 'male, moderate pitch' else 'english accent, moderate pitch' end as voice_style from seg")
+def voice_tags(spark, sf_dir):
+    s = A.segments(spark, sf_dir)
+    pick = lambda *v: F.element_at(T.strings(v), (F.col("seq") % 3 + 1).cast("int"))
+    return s.select("doc_id", "seq", T.speech_rate("style").alias("rate"), T.voice_style(pick(" Female", "MALE", "x"), pick("zh-CN", "de-DE", "en-US")).alias("voice_style"))
+
+
 @query()
 def service_calls(spark, sf_dir):
     return service.ask(prompt_batch(spark, sf_dir).select("doc_id", "batch_no", "prompt"), service.NarratorChat(), ["doc_id", "batch_no"])
