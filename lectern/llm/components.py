@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -22,6 +22,8 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
         ahead = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         moved = materialize(moved.join(ahead, "component").select("node", "old", F.least("component", "further").alias("component")), f"{name}-labels")
         changed = moved.where("component <> old").limit(1).count()
+        discard(labels)
         labels = moved.select("node", "component")
         if not changed:
+            discard(both)
             return labels

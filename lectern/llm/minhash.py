@@ -15,14 +15,16 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE_SEPARATED, materialize, mix64, utf8_parts, words_of
+from .common import SPACE_SEPARATED, batches_of, discard, materialize, mix64, utf8_parts, words_of
 from .components import connected_components
 
 #: Production parameters: five-word shingles, similarity 3/4, 48 bands of 6 hashes (a pair at 0.75 misses all bands
 #: with probability 8e-5), batches of 32 hashes, and at most 1e-5 posterior chance to prune a true pair per test.
 WORDS, SHARE, BANDS, ROWS, BATCH, MISS = 5, (3, 4), 48, 6, 32, 1e-5
 HASHES = BANDS * ROWS
-BLOCK = 512
+BLOCK = 256
+#: So many document ids (some ten MB) may be broadcast.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20_011)
 _MULTIPLY = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -36,7 +38,7 @@ def shingle_set(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     if n == 0:
         return words
     if n < size:
-        return mix64((words * _PLACES[:n]).sum(keepdims=True) + np.uint64(n) * _PLACES[size])
+        return mix64((words * _PLACES[:n]).sum(keepdims=True) ^ _PLACES[size + n : size + n + 1])
     total = np.zeros(n - size + 1, np.uint64)
     for j in range(size):
         total += words[j : n - size + 1 + j] * _PLACES[j]
@@ -90,30 +92,34 @@ def prune_bounds(share: float = SHARE[0] / SHARE[1], miss: float = MISS, batch:
     return tuple(bounds)
 
 
-def bayes_keep(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of the paired signatures a, b (k x HASHES) stay after every batch; pruned rows are not compared again."""
-    alive, matches, seen = np.arange(len(a)), np.zeros(len(a), np.int64), 0
-    for n, least in prune_bounds():
-        matches[alive] += (a[alive, seen:n] == b[alive, seen:n]).sum(axis=1)
-        alive, seen = alive[matches[alive] >= least], n
+def bayes_matches(sigs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matching hashes of the pairs of rows (a, b) of sigs (n x HASHES); -1 for pairs pruned after some batch, whose later
+    hashes are not compared."""
+    steps = sigs.reshape(len(sigs), HASHES // BATCH, BATCH)
+    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
+    for step, (_, least) in enumerate(prune_bounds()):
+        matches[alive] += (steps[a[alive], step] == steps[b[alive], step]).sum(axis=1, dtype=np.int32)
+        keep = matches[alive] >= least
+        matches[alive[~keep]] = -1
+        alive = alive[keep]
         if not len(alive):
             break
-    keep = np.zeros(len(a), bool)
-    keep[alive] = True
-    return keep
+    return matches
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), HASHES)
+    return utf8_parts(column)[0].view(np.uint16).reshape(len(column), HASHES)
 
 
 def _prune(batches):
     import pyarrow as pa
 
     for batch in batches:
-        if batch.num_rows:
-            keep = bayes_keep(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+        n = batch.num_rows
+        if n:
+            both = np.concatenate([_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b"))])
+            keep = pa.array(bayes_matches(both, np.arange(n), np.arange(n, 2 * n)) >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
 def _verify(batches):
@@ -148,41 +154,113 @@ def _with_both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", f"{value}_a", f"{value}_b")
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose rid is among ids (distinct, written). Few ids are broadcast, behind a count, so other texts
+    stay where they are; beyond, one shuffle sorts them out."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rid", "left_semi")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among pairs (a, b); only the texts of ids in a pair are moved."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    full = _with_both(pairs, texts.join(wanted, "rid", "left_semi"), "text")
+    wanted = materialize(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "minhash-wanted")
+    full = _with_both(pairs, _only(texts, wanted), "text")
     return full.sortWithinPartitions("a").mapInArrow(_verify, "a long, b long")
 
 
-def _cross_schema() -> str:
-    return "a long, b long, ca long, cb long, matches int, more boolean"
+PAIRS_AT_ONCE = 1 << 17
+
 
+def _linked_pairs(table):
+    """Links among the rows of whole block pairs: role 0 against role 1, across components.
 
-def _cross(limit: int):
-    """Within one block pair of one bucket: pairs of different components that the Bayesian test keeps, best first."""
+    A pair that shares several buckets is taken up in the first of its common bands only. The Bayesian test prunes, full sets
+    decide; a set is made once a block at most.
+    """
+    from functools import lru_cache
 
-    def run(pdf):
-        import pandas as pd
+    import pyarrow as pa
 
-        minor, every = pdf[pdf.role == 0], pdf[pdf.role == 1]
-        if not len(minor) or not len(every):
-            return pd.DataFrame({"a": [], "b": [], "ca": [], "cb": [], "matches": [], "more": []}).astype({"a": "int64", "b": "int64", "ca": "int64", "cb": "int64", "matches": "int32", "more": bool})
-        m, e = (np.frombuffer(b"".join(x.sig), np.uint16).reshape(len(x), HASHES) for x in (minor, every))
-        mc, ec, mr, er = minor.comp.to_numpy(), every.comp.to_numpy(), minor.rid.to_numpy(), every.rid.to_numpy()
+    key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "mb", "ab")])
+    role, rid, comp, band = (table.column(c).to_numpy() for c in ("role", "rid", "comp", "band"))
+    sigs = _matrix(table.column("sig"))
+    shared = table.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(rid), BANDS)
+    data, offsets = utf8_parts(table.column("text"))
+
+    @lru_cache(maxsize=4 * BLOCK)
+    def full_set(row: int) -> np.ndarray:
+        span = data[offsets[row] : offsets[row + 1]]
+        return shingle_set(words_of(span, np.array([0, len(span)]), SPACE_SEPARATED)[0])
+
+    first = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+    end = np.append(first[1:], len(rid))
+    minors = np.add.reduceat(role == 0, first)
+    others = end - first - minors
+    sizes = minors * others
+    num, den = SHARE
+    group = 0
+    while group < len(first):
+        upto = max(group + 1, int(np.searchsorted(np.cumsum(sizes[group:]), PAIRS_AT_ONCE, side="right")) + group)
+        many = sizes[group:upto]
+        g = np.repeat(np.arange(group, upto), many)
+        local = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        i, j = first[g] + local // np.maximum(others[g], 1), first[g] + minors[g] + local % np.maximum(others[g], 1)
+        apart = comp[i] != comp[j]
+        i, j = i[apart], j[apart]
+        alive = bayes_matches(sigs, i, j) >= 0
+        i, j = i[alive], j[alive]
+        common = (shared[i] == shared[j]) & (shared[i] != 0)
+        here = common.argmax(axis=1) == band[i] if len(i) else alive[:0]
         found = []
-        for i in range(len(m)):
-            other = np.flatnonzero(ec != mc[i])
-            other = other[bayes_keep(np.broadcast_to(m[i], (len(other), HASHES)), e[other])] if len(other) else other
-            if len(other):
-                found.append(pd.DataFrame({"a": np.minimum(mr[i], er[other]), "b": np.maximum(mr[i], er[other]), "ca": np.minimum(mc[i], ec[other]), "cb": np.maximum(mc[i], ec[other]), "matches": (e[other] == m[i]).sum(axis=1).astype(np.int32)}))
-        out = pd.concat(found) if found else pd.DataFrame({k: pd.Series(dtype="int64") for k in ("a", "b", "ca", "cb", "matches")})
-        out = out.drop_duplicates(["a", "b"]).sort_values(["matches", "a", "b"], ascending=[False, True, True])
-        place = out.groupby(["ca", "cb"]).cumcount()
-        size = out.groupby(["ca", "cb"])["a"].transform("size") if len(out) else place
-        return out.assign(more=size > limit)[place < limit].astype({"matches": "int32", "more": bool})
+        for x, y in zip(i[here].tolist(), j[here].tolist()):
+            one, two = full_set(x), full_set(y)
+            if num * max(len(one), len(two)) > den * min(len(one), len(two)):
+                continue
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            if den * both >= num * (len(one) + len(two) - both):
+                found.append((min(rid[x], rid[y]), max(rid[x], rid[y])))
+        cols = np.array(found, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1])], ["a", "b"])
+        group = upto
+
+
+def _cross(batches):
+    """Rows sorted by block pair and role; a block pair that goes on in the next batch waits for it."""
+    import pyarrow as pa
 
-    return run
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        table = table.combine_chunks()
+        if not table.num_rows:
+            continue
+        key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "mb", "ab")])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
+        done = int(cuts[-1]) + 1 if len(cuts) else 0
+        if done:
+            yield from _linked_pairs(table.slice(0, done).combine_chunks())
+        held = table.slice(done)
+    if held is not None and held.num_rows:
+        yield from _linked_pairs(held.combine_chunks())
+
+
+def _open_blocks(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, apart from their pivots, dealt into pairs of blocks: the members
+    outside a bucket's main component (role 0) against all of its members (role 1)."""
+    where = members.where("rid <> pivot").join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select("bucket", "band", "rid", F.coalesce("component", "rid").alias("comp"))
+    per = where.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    split = per.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "main", "size", (F.col("size") - F.col("top")).alias("minor"))
+    open_ = materialize(where.join(split, "bucket").select("bucket", "band", "rid", "comp", (F.col("comp") != F.col("main")).alias("is_minor"), F.ceil(F.col("minor") / BLOCK).cast("int").alias("mbs"), F.ceil(F.col("size") / BLOCK).cast("int").alias("abs_")), "minhash-open")
+    mine, theirs = F.pmod(F.xxhash64("rid"), F.col("mbs")).cast("int"), F.pmod(F.xxhash64("rid", F.lit(1)), F.col("abs_")).cast("int")
+    as_minor = open_.where("is_minor").select("bucket", "band", "rid", "comp", F.lit(0).alias("role"), mine.alias("mb"), F.explode(F.sequence(F.lit(0), F.col("abs_") - 1)).alias("ab"))
+    as_any = open_.select("bucket", "band", "rid", "comp", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"), theirs.alias("ab"))
+    # a document's open buckets by band, 0 where it has none
+    pairs = F.map_from_entries(F.collect_list(F.struct("band", "bucket")))
+    mine_all = open_.groupBy("rid").agg(pairs.alias("m")).select("rid", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long"))).alias("buckets"))
+    mine_all = materialize(mine_all, "minhash-open-rids")
+    one_text = _only(texts, mine_all.select("rid")).dropDuplicates(["rid"])
+    full = sigs.join(mine_all, "rid").join(one_text, "rid")
+    blocks = as_minor.unionByName(as_any).join(full, "rid").repartition("bucket", "mb", "ab")
+    return blocks.sortWithinPartitions("bucket", "mb", "ab", "role")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -190,44 +268,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     1. one pass makes each document's set size, set hash and signature; equal sets fall into one class;
     2. every class is compared with the least id of each band bucket it lies in (work in proportion to bucket sizes);
-    3. buckets that still hold several components are compared block by block, only across components, best pairs first,
-       until no untested pair is left that the Bayesian test keeps. A pair is a link only if the full sets say so.
+    3. in buckets that still hold several components, blocks are compared inside a task, only across components, each pair in
+       one bucket: the Bayesian test prunes, full sets decide, and only links leave the task.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(base.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "minhash-signed")
     classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")), "minhash-classes")
     sigs = classes.select("rid", "sig")
     texts = base.withColumnRenamed("doc_id", "rid")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substring("sig", k * 2 * ROWS + 1, F.lit(2 * ROWS)), k))).alias("bucket")
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substring("sig", k * 2 * ROWS + 1, F.lit(2 * ROWS)), k))).alias("band", "bucket")
     placed = sigs.select("rid", band)
     shared = placed.groupBy("bucket").agg(F.min("rid").alias("pivot"), F.max("rid").alias("last")).where("pivot < last").select("bucket", "pivot")
     members = materialize(placed.join(shared, "bucket"), "minhash-members")
-    tested = materialize(members.where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct(), "minhash-pairs")
-    kept = materialize(_with_both(tested, sigs, "sig").mapInArrow(_prune, "a long, b long"), "minhash-kept")
+    met = materialize(members.where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct(), "minhash-pairs")
+    kept = materialize(_with_both(met, sigs, "sig").mapInArrow(_prune, "a long, b long"), "minhash-kept")
     links = materialize(_confirm(kept, texts), "minhash-links")
     labels = connected_components(links, "minhash-cc")
-    limit = 16
-    while True:
-        where = members.where("rid <> pivot").join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select("bucket", "rid", F.coalesce("component", "rid").alias("comp"))
-        per = where.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        split = per.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "main", "size", (F.col("size") - F.col("top")).alias("minor"))
-        open_ = where.join(split, "bucket").select("bucket", "rid", "comp", (F.col("comp") != F.col("main")).alias("is_minor"), F.ceil(F.col("minor") / BLOCK).cast("int").alias("mbs"), F.ceil(F.col("size") / BLOCK).cast("int").alias("abs_"))
-        mine, theirs = F.pmod(F.xxhash64("rid"), F.col("mbs")).cast("int"), F.pmod(F.xxhash64("rid", F.lit(1)), F.col("abs_")).cast("int")
-        as_minor = open_.where("is_minor").select("bucket", "rid", "comp", F.lit(0).alias("role"), mine.alias("mb"), F.explode(F.sequence(F.lit(0), F.col("abs_") - 1)).alias("ab"))
-        as_any = open_.select("bucket", "rid", "comp", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"), theirs.alias("ab"))
-        blocks = as_minor.unionByName(as_any).join(sigs, "rid")
-        found = materialize(blocks.groupBy("bucket", "mb", "ab").applyInPandas(_cross(limit), _cross_schema()), "minhash-cross")
-        fresh = found.groupBy("a", "b", "ca", "cb").agg(F.max("matches").alias("matches")).join(tested, ["a", "b"], "left_anti")
-        fresh = materialize(fresh.select("a", "b"), "minhash-fresh")
-        new = fresh.count()
-        if not new and not found.where("more").limit(1).count():
-            break
-        limit *= 8
-        if not new:
-            continue
-        links = links.unionByName(materialize(_confirm(fresh, texts), "minhash-links"))
-        tested = tested.unionByName(fresh)
-        labels = connected_components(links, "minhash-cc")
+    with batches_of(spark, 1000):
+        late = materialize(_open_blocks(members, labels, sigs, texts).mapInArrow(_cross, "a long, b long"), "minhash-cross")
+    if late.limit(1).count():
+        first, labels = labels, connected_components(links.unionByName(late), "minhash-cc")
+        discard(first)
+    discard(members, met, kept, links, late)
     named = classes.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rid").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["n_shingles", "set_a", "set_b"], "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
