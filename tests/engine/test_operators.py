@@ -405,3 +405,29 @@ def test_training_rows_and_voices(spark):
     got = codecs.training_row(codecs.choice_task(df)).orderBy("gold_speaker").collect()
     assert [(r.options, r.gold_label) for r in got] == [(["A. 甲", "B. 未知"], None), (["A. 甲", "B. 乙", "C. 未知"], "B")]
     assert spark.range(1).select(T.voice_name(F.lit(" Anna  Desktop X")).alias("v")).first().v == "anna x"
+
+
+def structure(text, target, most):
+    """Titles and contents as a plain pass: headings, else scenes, else paragraphs."""
+    breaks = r"(?m)^\s*(?:[*]{3,}|[-]{3,}|[=]{3,}|[—]{3,})\s*$"
+    scenes = lambda t, n: [(f"{n} {i}", c) for i, c in enumerate(ps, 1)] if len(ps := [x.strip() for x in re.split(breaks, t) if x.strip()]) >= 2 else []
+    packed = lambda t, n: [(f"{n} {i}", c) for i, c in enumerate(pack(t, target, most), 1)]
+    cut = lambda units: [x for n, c in units for x in ([(n, c)] if len(c) <= most else packed(c, n))]
+    heads = list(re.finditer(r"(?m)^第\s*[一二三\d]+\s*章[：:．.\s].*$", text))
+    chapters = [(m.group().strip(), c) for m, n in zip(heads, heads[1:] + [None]) if (c := text[m.end() : n.start() if n else len(text)].strip())] if len(heads) >= 2 else []
+    if chapters:
+        return [x for n, c in chapters for x in ([(n, c)] if len(c) <= most else cut(scenes(c, n)) or packed(c, n))]
+    return cut(scenes(text, "段落")) or packed(text, "全文")
+
+
+def test_structure_detection(spark):
+    rng, texts = random.Random(11), []
+    for _ in range(60):
+        rows = [rng.choice(["第1章 甲", "第2章 乙", "***", "字" * rng.randrange(1, 40), "「" + "话" * rng.randrange(1, 30) + "」", "字。" * 20]) for _ in range(rng.randrange(1, 14))]
+        texts.append("\n\n".join(rows))
+    got = {}
+    for r in splitting.detect_structure(docs(spark, *texts), 40, 80).orderBy("doc_id", "chunk_idx").collect():
+        got.setdefault(r.doc_id, []).append((r.title, r.content))
+    assert got == {i: structure(t.strip(), 40, 80) for i, t in enumerate(texts) if structure(t.strip(), 40, 80)}
+    own = splitting.detect_structure(docs(spark, "A1\nx\nA2\ny"), override="(?md)^A\\d$").collect()
+    assert [(r.heading_pattern, r.title, r.content) for r in own] == [("custom_regex", "A1", "x"), ("custom_regex", "A2", "y")]
