@@ -149,11 +149,10 @@ def detection_sample(docs: DataFrame, limit: int = 5000) -> DataFrame:
     return docs.select("doc_id", F.left(F.array_join(lines, "\n"), F.lit(limit)).alias("sample"))
 
 
-def _chapters(text: Column, pattern: str) -> Column:
-    """array<struct<title, content>> between the matches of a heading pattern; empty chapters go."""
-    found = spans(text, pattern)
-    part = lambda m, i: F.struct(strip(F.regexp_replace(strip(m["raw"]), r"\A#+", "")).alias("title"), strip(F.substring(text, m["end"] + 1, F.greatest(F.coalesce(F.get(found, i + 1)["start"], F.length(text)) - m["end"], F.lit(0)))).alias("content"))
-    return F.filter(F.transform(found, part), lambda p: p["content"] != "")
+def _chapters(text: str, heads: str) -> Column:
+    """array<struct<title, content>> between headings (a column of spans); empty chapters go."""
+    part = lambda m, i: F.struct(strip(F.regexp_replace(strip(m["raw"]), r"\A#+", "")).alias("title"), strip(F.substring(text, m["end"] + 1, F.greatest(F.coalesce(F.get(heads, i + 1)["start"], F.length(text)) - m["end"], F.lit(0)))).alias("content"))
+    return F.filter(F.transform(heads, part), lambda p: p["content"] != "")
 
 
 def _scenes(content: Column, title: Column) -> Column:
@@ -186,15 +185,15 @@ def detect_structure(docs: DataFrame, target: int = 6000, most: int = 12_000, ov
     if override:
         chosen = F.when(F.regexp_count("text", F.lit(override)) >= 1, "custom_regex").otherwise(chosen)
     voted = base.withColumn("heading_pattern", F.coalesce(chosen, F.lit("none")))
-    none = F.array().cast("array<struct<title:string,content:string>>")
-    by_name = none
+    by_name = F.array().cast("array<struct<start:int,end:int,raw:string>>")
     for name, regex in [(n, p) for n, p, _ in L.HEADINGS] + ([("custom_regex", override)] if override else []):
-        by_name = F.when(F.col("heading_pattern") == name, _chapters(F.col("text"), regex)).otherwise(by_name)
-    marked = voted.withColumn("chapters", by_name)
+        by_name = F.when(F.col("heading_pattern") == name, spans("text", regex)).otherwise(by_name)
+    # one column after another, so that no lambda spells out (and repeats) a scan of the text
+    marked = voted.withColumn("heads", by_name).withColumn("chapters", _chapters("text", "heads")).withColumn("scenes", F.when(F.size("chapters") == 0, _scenes(F.col("text"), F.lit("段落"))))
     fits = lambda u: F.length(u["content"]) <= most
     cut = lambda u: F.when(fits(u), F.array(u)).otherwise(_packed(u["content"], u["title"], target, most))
     expand = lambda u: F.when(fits(u), F.array(u)).otherwise(F.coalesce(F.flatten(F.transform(_scenes(u["content"], u["title"]), cut)), _packed(u["content"], u["title"], target, most)))
-    scenes = _scenes(F.col("text"), F.lit("段落"))
+    scenes = F.col("scenes")
     headed = F.size("chapters") > 0
     units = F.when(headed, F.flatten(F.transform("chapters", expand))).when(scenes.isNotNull(), F.flatten(F.transform(scenes, cut))).otherwise(_packed(F.col("text"), F.lit("全文"), target, most))
     method = F.when(headed, "heading").when(scenes.isNotNull(), "scene_break").otherwise("paragraph")
