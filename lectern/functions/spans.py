@@ -12,10 +12,11 @@ from pyspark.sql import Column, functions as F
 from .text import col
 
 
-def spans(text, pattern: str) -> Column:
-    """array<struct<start:int, end:int, raw:string>>, 0-based, ends exclusive, in order."""
+def spans(text, pattern) -> Column:
+    """array<struct<start:int, end:int, raw:string>>, 0-based, ends exclusive, in order. The pattern is text or a column."""
     t = col(text)
-    found, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+    pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    found, gaps = F.regexp_extract_all(t, pattern, F.lit(0)), F.split(t, pattern, -1)
     sizes = F.zip_with(F.transform(F.slice(gaps, F.lit(1), F.size(found)), lambda g: F.length(g)), F.transform(found, lambda m: F.length(m)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     ends = F.aggregate(
         sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),

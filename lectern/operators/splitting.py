@@ -185,17 +185,21 @@ def detect_structure(docs: DataFrame, target: int = 6000, most: int = 12_000, ov
     if override:
         chosen = F.when(F.regexp_count("text", F.lit(override)) >= 1, "custom_regex").otherwise(chosen)
     voted = base.withColumn("heading_pattern", F.coalesce(chosen, F.lit("none")))
-    by_name = F.array().cast("array<struct<start:int,end:int,raw:string>>")
-    for name, regex in [(n, p) for n, p, _ in L.HEADINGS] + ([("custom_regex", override)] if override else []):
-        by_name = F.when(F.col("heading_pattern") == name, spans("text", regex)).otherwise(by_name)
-    # one column after another, so that no lambda spells out (and repeats) a scan of the text
-    marked = voted.withColumn("heads", by_name).withColumn("chapters", _chapters("text", "heads")).withColumn("scenes", F.when(F.size("chapters") == 0, _scenes(F.col("text"), F.lit("段落"))))
-    fits = lambda u: F.length(u["content"]) <= most
-    cut = lambda u: F.when(fits(u), F.array(u)).otherwise(_packed(u["content"], u["title"], target, most))
-    expand = lambda u: F.when(fits(u), F.array(u)).otherwise(F.coalesce(F.flatten(F.transform(_scenes(u["content"], u["title"]), cut)), _packed(u["content"], u["title"], target, most)))
-    scenes = F.col("scenes")
-    headed = F.size("chapters") > 0
-    units = F.when(headed, F.flatten(F.transform("chapters", expand))).when(scenes.isNotNull(), F.flatten(F.transform(scenes, cut))).otherwise(_packed(F.col("text"), F.lit("全文"), target, most))
-    method = F.when(headed, "heading").when(scenes.isNotNull(), "scene_break").otherwise("paragraph")
-    done = marked.select("doc_id", method.alias("method"), F.when(headed, F.col("heading_pattern")).otherwise("none").alias("heading_pattern"), F.size("chapters").alias("chapter_count"), units.alias("units"))
+    regexes = {n: p for n, p, _ in L.HEADINGS} | ({"custom_regex": override} if override else {})
+    regex = F.try_element_at(F.create_map(*[F.lit(x) for kv in regexes.items() for x in kv]), "heading_pattern")
+    found = F.coalesce(spans("text", F.col("regex")), F.array().cast("array<struct<start:int,end:int,raw:string>>"))
+    # one column after another: chapters or scenes or the whole, then scenes of what is too long, then paragraphs of that;
+    # so no lambda spells out (and repeats) a scan of the text, and the plan stays small
+    unit = "array<struct<title:string,content:string,loose:boolean>>"
+    as_units = lambda parts, loose: F.transform(parts, lambda p: F.struct(p["title"].alias("title"), p["content"].alias("content"), F.lit(loose).alias("loose")))
+    marked = voted.withColumn("regex", regex).withColumn("heads", found).withColumn("chapters", _chapters("text", "heads")).withColumn("scenes", F.when(F.size("chapters") == 0, _scenes(F.col("text"), F.lit("段落"))))
+    headed, split = F.size("chapters") > 0, F.col("scenes").isNotNull()
+    whole = F.array(F.struct(F.lit("全文").alias("title"), F.col("text").alias("content"), F.lit(True).alias("loose")))
+    first = marked.withColumn("units", F.when(headed, as_units("chapters", False)).when(split, as_units("scenes", False)).otherwise(whole).cast(unit))
+    inner = lambda u: F.when(F.length(u["content"]) > most, as_units(_scenes(u["content"], u["title"]), False))
+    second = first.withColumn("units", F.when(headed, F.flatten(F.transform("units", lambda u: F.coalesce(inner(u), F.array(u))))).otherwise(F.col("units")))
+    last = lambda u: F.when(u["loose"] | (F.length(u["content"]) > most), as_units(_packed(u["content"], u["title"], target, most), False)).otherwise(F.array(u))
+    third = second.withColumn("units", F.flatten(F.transform("units", last)))
+    method = F.when(headed, "heading").when(split, "scene_break").otherwise("paragraph")
+    done = third.select("doc_id", method.alias("method"), F.when(headed, F.col("heading_pattern")).otherwise("none").alias("heading_pattern"), F.size("chapters").alias("chapter_count"), "units")
     return done.select("doc_id", "method", "heading_pattern", "chapter_count", F.posexplode("units").alias("chunk_idx", "u")).select("doc_id", "method", "heading_pattern", "chapter_count", "chunk_idx", "u.title", "u.content")
