@@ -54,8 +54,10 @@ def test_network_reads_every_byte_and_its_gradient_is_right():
     net.table[at] -= 2e-2
     down = loss()
     assert abs((up - down) / 2e-2 - grads[0][at]) < 0.05 * abs(grads[0][at]) + 1e-4
-    _, places = net.regions(text)
-    assert places.max() + quality.WIDTH >= 1001 - quality.POOL * quality.STRIDE
+    _, places, recent = net.regions(text)
+    assert places.max() * quality.STRIDE + quality.WIDTH >= 1001 - quality.POOL * quality.STRIDE
+    back = quality.recency(np.frombuffer(b"Ingerou Ingerou Ingerou xyzw", np.uint8))
+    assert back.tolist() == [0, 0, 4, 4, 4, 4, 0]
     tail = text.copy()
     net.table[:, 255, :] = 50.0
     tail[-1] = 255
