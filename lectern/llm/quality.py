@@ -162,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     share = F.when(F.col("good"), shares.get(True, 0.0)).otherwise(shares.get(False, 0.0))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     short = docs.where(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", "text")
-    rows = sorted((r["doc_id"], r["text"], r["good"]) for r in short.join(drawn, "doc_id").dropDuplicates(["doc_id"]).collect())
+    # the draw is bounded by rows_per_class, so it is sent to the documents and not they to it
+    rows = sorted((r["doc_id"], r["text"], r["good"]) for r in short.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).collect())
     if not rows:
         return None, 0.0
     net = train([r[1].encode() for r in rows], [float(r[2]) for r in rows])
