@@ -172,7 +172,7 @@ def detect_structure(docs: DataFrame, target: int = 6000, most: int = 12_000, ov
 
     Headings by an own pattern (if it hits), else by vote, else by a guess that hits twice; chapters that are too long are cut
     at scene breaks, and what is still too long between paragraphs. Without headings scene breaks, then paragraphs cut the
-    whole text. Preprocessing comes first; an empty text gives nothing. Row-local: nothing is shuffled.
+    whole text. Preprocessing comes first; an empty text gives nothing. One window numbers the chunks of a document.
     """
     clean, _ = preprocess("text")
     base = docs.select("doc_id", clean.alias("text")).where("text <> ''")
@@ -196,10 +196,14 @@ def detect_structure(docs: DataFrame, target: int = 6000, most: int = 12_000, ov
     headed, split = F.size("chapters") > 0, F.col("scenes").isNotNull()
     whole = F.array(F.struct(F.lit("全文").alias("title"), F.col("text").alias("content"), F.lit(True).alias("loose")))
     first = marked.withColumn("units", F.when(headed, as_units("chapters", False)).when(split, as_units("scenes", False)).otherwise(whole).cast(unit))
-    inner = lambda u: F.when(F.length(u["content"]) > most, as_units(_scenes(u["content"], u["title"]), False))
-    second = first.withColumn("units", F.when(headed, F.flatten(F.transform("units", lambda u: F.coalesce(inner(u), F.array(u))))).otherwise(F.col("units")))
-    last = lambda u: F.when(u["loose"] | (F.length(u["content"]) > most), as_units(_packed(u["content"], u["title"], target, most), False)).otherwise(F.array(u))
-    third = second.withColumn("units", F.flatten(F.transform("units", last)))
+    # units become rows before they are cut further: folds inside lambdas are slow
     method = F.when(headed, "heading").when(split, "scene_break").otherwise("paragraph")
-    done = third.select("doc_id", method.alias("method"), F.when(headed, F.col("heading_pattern")).otherwise("none").alias("heading_pattern"), F.size("chapters").alias("chapter_count"), "units")
-    return done.select("doc_id", "method", "heading_pattern", "chapter_count", F.posexplode("units").alias("chunk_idx", "u")).select("doc_id", "method", "heading_pattern", "chapter_count", "chunk_idx", "u.title", "u.content")
+    keep = ["doc_id", "method", "heading_pattern", "chapter_count"]
+    rows = first.select("doc_id", method.alias("method"), F.when(headed, F.col("heading_pattern")).otherwise("none").alias("heading_pattern"), F.size("chapters").alias("chapter_count"), F.posexplode("units").alias("i", "u")).select(*keep, "i", "u.*")
+    alone = F.array(F.struct("title", "content", "loose"))
+    inner = F.when((F.col("method") == "heading") & (F.length("content") > most), as_units(_scenes(F.col("content"), F.col("title")), False))
+    rows = rows.select(*keep, "i", F.posexplode(F.coalesce(inner, alone)).alias("j", "u")).select(*keep, "i", "j", "u.*")
+    cut = F.when(F.col("loose") | (F.length("content") > most), as_units(_packed(F.col("content"), F.col("title"), target, most), False)).otherwise(alone)
+    rows = rows.select(*keep, "i", "j", F.posexplode(cut).alias("k", "u")).select(*keep, "i", "j", "k", "u.title", "u.content")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("i", "j", "k")) - 1
+    return rows.select(*keep, number.alias("chunk_idx"), "title", "content")
