@@ -22,9 +22,9 @@ def _pick(values, index):
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, turn, line: each turn as narration or as a quote with one of eight kinds of cue."""
+    """doc_id, turn, line: each whole turn as narration or as a quote with one of eight kinds of cue."""
     c = _table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
-    rows = c.select(F.col("conv_id").alias("doc_id"), "turn", "role", F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r]+", " "), 1, 120).alias("t"), _pick(NAMES, F.col("conv_id")).alias("n1"), _pick(NAMES, F.col("conv_id") + 1).alias("n2"), F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(8)).alias("k"))
+    rows = c.select(F.col("conv_id").alias("doc_id"), "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r]+", " ").alias("t"), _pick(NAMES, F.col("conv_id")).alias("n1"), _pick(NAMES, F.col("conv_id") + 1).alias("n2"), F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(8)).alias("k"))
     line = (
         F.when(F.col("role") == "system", F.col("t"))
         .when(F.col("k") == 0, F.concat("n1", F.lit("说道：「"), "t", F.lit("」")))
@@ -34,7 +34,7 @@ def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("k") == 4, F.concat(F.lit("「我"), "t", F.lit("」  那个")))
         .when(F.col("k") == 5, F.concat(F.lit("众人齐声道：「"), "t", F.lit("」")))
         .when(F.col("k") == 6, F.concat("n2", F.lit("看见"), "n1", F.lit("，推门走进。『我是"), "n2", F.lit("』"), "t"))
-        .otherwise(F.concat("n1", F.lit("心想："), F.left("t", F.lit(40)), F.lit("。")))
+        .otherwise(F.concat("n1", F.lit("心想："), "t", F.lit("。")))
     )
     return rows.select("doc_id", "turn", line.alias("line"))
 
