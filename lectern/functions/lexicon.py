@@ -94,5 +94,18 @@ DEFAULT_RULES = [
     ("phrase_liaojie", "literal", "瞭解", "了解", 95),
     ("char_jie", "literal", "姊", "姐", 94),
     ("phrase_fanfu", "literal", "反覆", "反复", 90),
+    ("char_black", "literal", "黒", "黑", 80),
+    ("char_drink", "literal", "飮", "饮", 80),
+    ("char_lai", "literal", "瀬", "濑", 80),
+    ("char_dan", "literal", "弾", "弹", 80),
+    ("char_jian", "literal", "剣", "剑", 80),
+    ("char_chuan", "literal", "伝", "传", 80),
+    ("char_bu", "literal", "歩", "步", 70),
+    ("char_jia", "literal", "仮", "假", 70),
+    ("char_quan", "literal", "圏", "圈", 70),
+    ("pronoun_ni", "literal", "妳", "你", 60),
+    ("pronoun_ta", "literal", "牠", "它", 60),
+    # (?:✽\s*){3,} without a repeated group, whose depth Java keeps on the stack
+    ("decorative_separator", "regex", r"(?U)✽[\s\x1c-\x1f]*✽[\s\x1c-\x1f]*✽[✽\s\x1c-\x1f]*", "***", 50),
 ]
 PRESERVED = ["祂"]

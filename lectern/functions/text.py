@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..sources import html
 from . import lexicon as L
 
 
@@ -41,13 +42,15 @@ def tts_cleanup(c) -> Column:
 
 
 def preprocess(c, rules=None, preserved=None) -> tuple[Column, dict[str, Column]]:
-    """Ordered rules by falling priority (stable) on text whose preserved tokens are shielded; hits per rule count on the
-    text as earlier rules left it."""
+    """HTML entities, then ordered rules by falling priority (stable), on text whose preserved tokens are shielded; hits per
+    rule count on the text as earlier rules left it."""
     rules = sorted(L.DEFAULT_RULES if rules is None else rules, key=lambda r: -r[4])
     preserved = L.PRESERVED if preserved is None else preserved
     x, hits = F.coalesce(col(c), F.lit("")), {}
     for i, token in enumerate(preserved):
         x = F.replace(x, F.lit(token), F.lit(f"PRESERVE_{i}"))
+    # only texts with an ampersand travel to Python
+    x = F.coalesce(html.html_unescape(F.when(F.contains(x, F.lit("&")), x)), x)
     for rule, kind, source, target, _ in rules:
         if kind == "regex":
             hits[rule] = F.regexp_count(x, F.lit(source)).cast("long")

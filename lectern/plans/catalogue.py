@@ -68,8 +68,8 @@ def preprocess_rules(spark, sf_dir):
 @query(f"with {A.SQL_PROSE}, x as (select 'phrase_fangfo_01' as rule, sum((len(text) - len(replace(text, '彷佛', ''))) // 2) as hits from docs union all select 'char_jie', sum(len(text) - len(replace(text, '姊', ''))) from docs) select rule, hits::bigint as hits from x")
 def rule_hits(spark, sf_dir):
     _, hits = T.preprocess("text")
-    some = A.prose(spark, sf_dir).agg(*[F.sum(hits[r]).alias(r) for r in ("phrase_fangfo_01", "char_jie")])
-    return some.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("hits")) for r in ("phrase_fangfo_01", "char_jie")])).alias("x")).select("x.*")
+    some = A.prose(spark, sf_dir).select(*[h.alias(r) for r, h in hits.items()]).agg(*[F.sum(r).alias(r) for r in hits])
+    return some.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("hits")) for r in hits])).alias("x")).select("x.*")
 
 
 @query("select page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') as html from pages")
