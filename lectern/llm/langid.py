@@ -4,7 +4,8 @@ Defined results
 * null text, or text without a letter: `und`, score 0; likewise when no language could be learned;
 * any other text gets the language of the centroid with the greatest cosine; ties go to the language that sorts first;
 * `rejected` says that the cosine lies below the language's own training distances (a quantile); lang_pred stays;
-* learning uses rows that are not held out, with a non-null lang and doc_id; every row is predicted, repeated rows alike;
+* learning uses rows that are not held out, with a non-null lang and doc_id, and knows every lang among them; every row is
+  predicted, repeated rows alike;
 * an empty table gives an empty result; other columns are ignored.
 """
 
@@ -17,9 +18,10 @@ from .common import SEGMENT_BYTES, _LOWER, held_out, segments, utf8_parts
 
 DIM = 4096
 SIZES = (1, 2, 3)
-#: The classifier is fitted on about so many rows a language (each row of a language has the same chance, by its hash), at
-#: most MAX_LANGUAGES languages. Only their vectors come to the driver: 16 KB a row, however long the text.
-ROWS_PER_LANGUAGE, MAX_LANGUAGES = 400, 64
+#: The classifier is fitted on about so many rows a language (each row of a language has the same chance, by its hash), fewer
+#: if all languages together would pass MAX_ROWS, but LEAST_ROWS of each at least. Only their vectors come to the driver:
+#: 16 KB a row, however long the text.
+ROWS_PER_LANGUAGE, MAX_ROWS, LEAST_ROWS = 400, 25_600, 8
 CLUSTERS, ROUNDS, REJECT_QUANTILE = 3, 10, 0.005
 
 _LETTER = np.zeros(256, bool)
@@ -93,11 +95,14 @@ class Model:
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     """Learn from rows that are not held out; None if there is nothing to learn from."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    known = known.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()
+    if not found:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_language / n))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20)
+    rows_each = min(rows_per_language, max(LEAST_ROWS, MAX_ROWS // len(found)))
+    # a language's least draw always counts, so none goes without a row
+    below = [(r["lang"], max(int(min(1.0, rows_each / r["n"]) * (1 << 20)), r["least"] + 1)) for r in found]
+    drawn = known.join(F.broadcast(docs.sparkSession.createDataFrame(below, "lang string, below long")), "lang").where("draw < below")
 
     def vectors(batches):
         import pyarrow as pa
@@ -106,7 +111,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model |
             counts = ngram_counts(*utf8_parts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([c.astype("<f4").tobytes() for c in counts], pa.binary())], ["lang", "v"])
 
-    rows = known.where(draw).select("lang", "text").mapInArrow(vectors, "lang string, v binary").collect()
+    rows = drawn.select("lang", "text").mapInArrow(vectors, "lang string, v binary").collect()
     rows = sorted((r["lang"], bytes(r["v"])) for r in rows)
     return Model([r[0] for r in rows], np.stack([np.frombuffer(r[1], "<f4") for r in rows])) if rows else None
 
