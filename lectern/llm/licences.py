@@ -6,9 +6,11 @@ templates confirm a prediction. The weights are learned on the driver from the n
 at random, against a bounded draw of paragraphs of the documents themselves.
 
 Defined results
-* a paragraph is a line; null text and empty lines have none;
+* a paragraph is a line, or a line with lines that follow it in its block (lines without words end blocks), so notices may be
+  wrapped at any width; null text and empty lines have none;
 * a paragraph whose best class is a family with probability of at least `sure`, and whose words cover the share `cover` of
-  one of the family's templates, is a notice of that family; one that is like a notice otherwise is `unknown`;
+  one of the family's templates, is a notice of that family, if none of that family lies inside it; those of a family that
+  overlap count once. A line that is like a notice otherwise, and in none, is `unknown`;
 * every document row gives a row: families (sorted, comma-joined, `` if none), n_notices, n_unknown, top_score;
 * repeated rows and a null doc_id give the results of their own text; an empty table gives an empty result; other columns
   are ignored.
@@ -20,21 +22,21 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Short notices by family.
 TEMPLATES = {
-    "agpl": ["this program is licensed under the gnu affero general public license version 3", "licensed under the gnu affero general public license"],
+    "agpl": ["this program is free software you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "this program is licensed under the gnu affero general public license version 3", "licensed under the gnu affero general public license"],
     "apache": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the apache license", "released under the apache license version 2.0"],
     "bsd": ["licensed under the bsd 3-clause license", "redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license"],
     "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"],
     "cc-by-sa": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 2", "you can redistribute it and/or modify it under the terms of the gnu general public license"],
+    "gpl": ["this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 2", "you can redistribute it and/or modify it under the terms of the gnu general public license"],
     "isc": ["released under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "lgpl": ["licensed under the gnu lesser general public license version 3", "released under the gnu lesser general public license"],
+    "lgpl": ["this library is free software you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version", "licensed under the gnu lesser general public license version 3", "released under the gnu lesser general public license"],
     "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license", "licensed under the mozilla public license version 2.0"],
+    "mpl": ["this source code form is subject to the terms of the mozilla public license v. 2.0 if a copy of the mpl was not distributed with this file you can obtain one at", "this source code form is subject to the terms of the mozilla public license", "licensed under the mozilla public license version 2.0"],
     "unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense"],
 }
 #: Notices of no listed family teach the unknown class.
@@ -44,6 +46,8 @@ CLASSES = (NONE, UNKNOWN, *sorted(TEMPLATES))
 #: Bounds of the fit: paragraphs drawn as examples of no notice, random variants of each template, smallest weight kept.
 NONE_ROWS, VARIANTS, EPOCHS, RATE, LEAST_WEIGHT = 2000, 24, 150, 2.0, 0.02
 SURE, COVER = 0.6, 0.75
+#: Words of the longest template; a paragraph ends with the line that brings the words after its first line to so many.
+LONGEST = max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
 
 
 def grams_of(text: str) -> list[str]:
@@ -139,21 +143,36 @@ def scan(docs: DataFrame, model: Model, sure: float = SURE, cover: float = COVER
     base = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     # every feature holds a cue, so texts and then lines without one can't score; the n-grams of the others are made
     cued = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in model.cues]))
-    lines = base.where(F.col("text").isNotNull() & cued("text")).select("row_key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(cued("line"))
+    split = base.where(F.col("text").isNotNull() & cued("text")).select("row_key", F.split("text", "\n").alias("all")).withColumn("cued", F.transform("all", cued))
+    lines = split.select("row_key", "all", "cued", F.explode(F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.exists(F.slice("cued", i + 1, LONGEST + 1), lambda c: c))).alias("pos"))
+    # each line has a word, so LONGEST lines that follow hold LONGEST words
+    ahead = lines.select("row_key", "pos", F.slice("cued", F.col("pos") + 1, LONGEST + 1).alias("cued"), F.transform(F.slice("all", F.col("pos") + 1, LONGEST + 1), words_column).alias("words"))
+    ahead = ahead.where(F.size(F.col("words")[0]) > 0).select("*", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("n"))
+    inner = F.flatten(F.slice("words", F.lit(2), F.greatest(F.col("n") - 2, F.lit(0))))
+    whole = F.forall(F.slice("words", F.lit(1), F.col("n")), lambda w: F.size(w) > 0) & F.exists(F.slice("cued", F.lit(1), F.col("n")), lambda c: c)
+    paragraphs = ahead.where((F.size(inner) < LONGEST) & whole).select("row_key", "pos", "n", F.flatten(F.slice("words", F.lit(1), F.col("n"))).alias("words"))
     table = spark.createDataFrame([(g, w) for g, w in sorted(model.weights.items())], "gram string, w array<double>")
-    grams = lines.select("row_key", "pos", "line", F.explode(grams_column(words_column(F.col("line")))).alias("gram"))
+    grams = paragraphs.select("row_key", "pos", "n", "words", F.explode(grams_column(F.col("words"))).alias("gram"))
     # few paragraphs hold a feature; only these go on. Repeated rows have equal keys and count once
-    hits = grams.join(F.broadcast(table), "gram").dropDuplicates(["row_key", "pos", "gram"])
-    sums = hits.groupBy("row_key", "pos").agg(F.first("line").alias("line"), *[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(CLASSES))])
+    hits = grams.join(F.broadcast(table), "gram").dropDuplicates(["row_key", "pos", "n", "gram"])
+    sums = hits.groupBy("row_key", "pos", "n").agg(F.first("words").alias("words"), *[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(CLASSES))])
     logits = [(F.col(f"s{k}") + model.bias[k]) / model.temperature for k in range(len(CLASSES))]
-    scored = sums.select("row_key", "pos", "line", F.array(*logits).alias("z")).withColumn("top", F.array_max("z"))
+    scored = sums.select("row_key", "pos", "n", "words", F.array(*logits).alias("z")).withColumn("top", F.array_max("z"))
     scored = scored.withColumn("mass", F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top"))))
-    scored = scored.select("row_key", "pos", grams_column(words_column(F.col("line"))).alias("grams"), (F.array_position(F.col("z"), F.col("top")) - 1).cast("int").alias("class"), (F.lit(1.0) / F.col("mass")).alias("score")).where(F.col("class") > 0)
+    scored = scored.select("row_key", "pos", "n", grams_column(F.col("words")).alias("grams"), (F.array_position(F.col("z"), F.col("top")) - 1).cast("int").alias("class"), (F.lit(1.0) / F.col("mass")).alias("score")).where(F.col("class") > 0)
     templates = spark.createDataFrame([(CLASSES.index(name), grams_of(t)) for name, ts in TEMPLATES.items() for t in ts], "class int, template array<string>")
     share = F.size(F.array_intersect("grams", "template")) / F.size("template")
-    judged = scored.join(F.broadcast(templates), "class", "left").groupBy("row_key", "pos", "class", "score").agg(F.max(F.coalesce(share, F.lit(0.0))).alias("share"))
+    judged = scored.join(F.broadcast(templates), "class", "left").groupBy("row_key", "pos", "n", "class", "score").agg(F.max(F.coalesce(share, F.lit(0.0))).alias("share"))
     family = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("class") + 1)
     sure_of = (F.col("class") > 1) & (F.col("score") >= sure) & (F.col("share") >= cover)
-    named = judged.select("row_key", "score", F.when(sure_of, family).alias("family"))
-    found = named.groupBy("row_key").agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count("family").alias("n_notices"), (F.count("*") - F.count("family")).alias("n_unknown"), F.max("score").alias("top_score"))
+    last = (F.col("pos") + F.col("n") - 1).alias("last")
+    named = judged.select("row_key", "pos", "n", last, "score", F.when(sure_of, family).alias("family")).where((F.col("n") == 1) | F.col("family").isNotNull())
+    # by last line: what begins no later than an earlier one begins holds that one
+    ends = Window.partitionBy("row_key", "family").orderBy("last", F.desc("pos"))
+    least = F.coalesce(F.max("pos").over(ends.rowsBetween(Window.unboundedPreceding, -1)) < F.col("pos"), F.lit(True))
+    reach = F.max(F.when(F.col("family").isNotNull(), F.col("last"))).over(Window.partitionBy("row_key").orderBy("pos"))
+    named = named.withColumn("least", F.col("family").isNotNull() & least).withColumn("inside", F.coalesce(reach >= F.col("pos"), F.lit(False)))
+    named = named.where(F.col("least") | (F.col("family").isNull() & ~F.col("inside")))
+    named = named.withColumn("first", F.coalesce(F.lag("last").over(ends) < F.col("pos"), F.lit(True)))
+    found = named.groupBy("row_key").agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count(F.when(F.col("first"), F.col("family"))).alias("n_notices"), (F.count("*") - F.count("family")).alias("n_unknown"), F.max("score").alias("top_score"))
     return base.select("doc_id", "row_key").join(found, "row_key", "left").select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"))
