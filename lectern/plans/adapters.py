@@ -93,12 +93,12 @@ NORMALISE = lambda x: STRIP(f"regexp_replace(regexp_replace(replace(replace(tran
 
 SQL_PROSE = f"""
 conv as (
-  select conv_id, turn, role, substr(regexp_replace(coalesce(text, ''), '[\\n\\r]+', ' ', 'g'), 1, 120) as t, {_N}[(conv_id % 4) + 1] as n1, {_N}[((conv_id + 1) % 4) + 1] as n2, (conv_id * 7 + turn * 3) % 8 as k
+  select conv_id, turn, role, regexp_replace(coalesce(text, ''), '[\\n\\r]+', ' ', 'g') as t, {_N}[(conv_id % 4) + 1] as n1, {_N}[((conv_id + 1) % 4) + 1] as n2, (conv_id * 7 + turn * 3) % 8 as k
   from conversations where conv_id is not null and turn is not null
 ), prose_lines as (
   select conv_id as doc_id, turn, case when role = 'system' then t when k = 0 then n1 || '说道：「' || t || '」' when k = 1 then '「' || t || '」' || n1 || '问道。' when k = 2 then n1 || '对' || n2 || '说：“' || t || '”'
     when k = 3 then '「' || t || '」' when k = 4 then '「我' || t || '」  那个' when k = 5 then '众人齐声道：「' || t || '」' when k = 6 then n2 || '看见' || n1 || '，推门走进。『我是' || n2 || '』' || t
-    else n1 || '心想：' || left(t, 40) || '。' end as line from conv
+    else n1 || '心想：' || t || '。' end as line from conv
 ), docs as (select doc_id, string_agg(line, chr(10) order by turn, line) as text from prose_lines group by doc_id),
 norm as (select doc_id, {NORMALISE('text')} as text from docs)"""
 
