@@ -16,6 +16,11 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def let(value, body) -> Column:
+    """body(value) with the value worked out once a row, wherever body names it and however projections are merged."""
+    return F.element_at(F.transform(F.array(col(value)), body), 1)
+
+
 def strip(c) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(col(c), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")

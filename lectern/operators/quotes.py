@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as L
-from ..functions.spans import piece, spans
-from ..functions.text import clean_narration, lstrip, strip
+from ..functions.spans import blocks, cut, piece, running, spans
+from ..functions.text import clean_narration, let, lstrip, strip
 
 
 def normalised(docs: DataFrame) -> DataFrame:
@@ -15,27 +15,39 @@ def normalised(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", normalize_text("text"))
 
 
-def _quote_array(text):
-    """Bracket quotes that are no mere nouns, and colon quotes that don't begin inside a kept bracket quote."""
-    after = lambda s: lstrip(F.substring(text, s["end"] + 1, F.lit(4)))
-    brackets = F.filter(spans(text, L.BRACKET_QUOTE), lambda s: ~after(s).rlike(L.NOMINAL_AFTER))
-    from_bracket = F.transform(brackets, lambda s: F.struct(s["start"].alias("raw_start"), s["end"].alias("raw_end"), s["start"].alias("start"), s["end"].alias("end"), strip(F.substring(s["raw"], F.lit(2), F.length(s["raw"]) - 2)).alias("text"), s["raw"].alias("raw")))
-    colon = F.transform(spans(text, L.COLON_QUOTE), lambda s: F.struct(s["start"].alias("raw_start"), s["end"].alias("raw_end"), (s["end"] - F.length(F.regexp_extract(s["raw"], "[：:](.*)", 1))).alias("start"), s["end"].alias("end"), strip(F.regexp_extract(s["raw"], "[：:](.*)", 1)).alias("text"), s["raw"].alias("raw")))
-    return from_bracket, colon
+def _marks(text) -> Column:
+    """Quotes of a text in order: bracket quotes that are no mere nouns, and colon quotes that don't begin inside a kept
+    bracket quote. Ends so far are a running maximum over both kinds, so no quote is compared with all others."""
+    after = lambda parts, s: lstrip(cut(parts, s["end"], s["end"] + 4))
+    mark = lambda s, start, inner, colon: F.struct(s["start"].alias("raw_start"), F.lit(colon).alias("colon"), s["end"].alias("raw_end"), start.alias("start"), strip(inner).alias("text"), s["raw"].alias("raw"))
+    said = lambda raw: F.regexp_extract(raw, "[：:](.*)", 1)
+
+    def both(parts):
+        brackets = F.filter(spans(text, L.BRACKET_QUOTE), lambda s: ~after(parts, s).rlike(L.NOMINAL_AFTER))
+        first = F.transform(brackets, lambda s: mark(s, s["start"], F.substring(s["raw"], F.lit(2), F.length(s["raw"]) - 2), False))
+        second = F.transform(spans(text, L.COLON_QUOTE), lambda s: mark(s, s["end"] - F.length(said(s["raw"])), said(s["raw"]), True))
+        return F.sort_array(F.concat(first, second))
+
+    def free(marks):
+        reach = running(F.transform(marks, lambda m: F.when(m["colon"], 0).otherwise(m["raw_end"])), F.greatest)
+        return let(reach, lambda r: F.filter(marks, lambda m, i: ~m["colon"] | (F.get(r, i) <= m["raw_start"])))
+
+    return let(blocks(text), lambda parts: let(both(parts), free))
 
 
 def extract_quotes(docs: DataFrame, context: int = L.CONTEXT_CHARS) -> DataFrame:
     """docs (doc_id, text, normalised) -> doc_id, quote_no, quote_id, text, start, end, raw_start, raw_end, contexts, raw.
 
-    One pass, no shuffle: spans, the anti join against bracket quotes and the numbering all work on the row's arrays.
+    One pass, no shuffle: spans, containment, numbering and contexts are made inside the row, in time that follows the length
+    of the text; only finished quotes are exploded, never the text with them.
     """
-    first, colon = _quote_array(F.col("text"))
-    marked = docs.select("doc_id", F.col("text").alias("doc_text"), first.alias("b"), colon.alias("c"))
-    free = F.filter("c", lambda c: ~F.exists("b", lambda b: (b["raw_start"] <= c["raw_start"]) & (c["raw_start"] < b["raw_end"])))
-    rows = marked.select("doc_id", "doc_text", F.posexplode(F.array_sort(F.concat("b", free))).alias("pos", "q"))
-    before = strip(piece("doc_text", F.greatest(F.lit(0), F.col("q.start") - context), F.col("q.start")))
-    after = strip(piece("doc_text", F.col("q.end"), F.least(F.length("doc_text"), F.col("q.end") + context)))
-    return rows.select("doc_id", (F.col("pos") + 1).alias("quote_no"), F.format_string("q%04d", F.col("pos") + 1).alias("quote_id"), "q.text", "q.start", "q.end", "q.raw_start", "q.raw_end", before.alias("context_before"), after.alias("context_after"), "q.raw")
+
+    def cited(text):
+        near = lambda parts, m: F.struct(m.alias("m"), strip(cut(parts, F.greatest(F.lit(0), m["start"] - context), m["start"])).alias("before"), strip(cut(parts, m["raw_end"], m["raw_end"] + context)).alias("after"))
+        return let(blocks(text), lambda parts: F.transform(_marks(text), lambda m: near(parts, m)))
+
+    rows = docs.select("doc_id", F.posexplode(let("text", cited)).alias("pos", "q"))
+    return rows.select("doc_id", (F.col("pos") + 1).alias("quote_no"), F.format_string("q%04d", F.col("pos") + 1).alias("quote_id"), "q.m.text", "q.m.start", F.col("q.m.raw_end").alias("end"), "q.m.raw_start", "q.m.raw_end", F.col("q.before").alias("context_before"), F.col("q.after").alias("context_after"), "q.m.raw")
 
 
 def _by_doc(*more):
@@ -54,14 +66,24 @@ def dialogue_blocks(quotes: DataFrame, gap: int = L.DIALOGUE_GAP) -> DataFrame:
 
 def narration_gaps(docs: DataFrame, quotes: DataFrame, context: int = L.CONTEXT_CHARS) -> DataFrame:
     """Cleaned text between quotes: doc_id, before_quote (the quote number it precedes; one more than the last for the
-    tail), quote_id, text, contexts."""
-    reach = F.coalesce(F.max("raw_end").over(_by_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = quotes.select("doc_id", F.col("quote_no").alias("before_quote"), F.concat("quote_id", F.lit("_n1")).alias("quote_id"), reach.alias("from"), F.col("raw_start").alias("upto"))
-    # tails of all documents, those without quotes included
-    last = quotes.groupBy("doc_id").agg(F.max("raw_end").alias("reach"), F.max("quote_no").alias("n"))
-    tails = docs.select("doc_id", F.length("text").alias("upto")).join(last, "doc_id", "left").select("doc_id", (F.coalesce("n", F.lit(0)) + 1).alias("before_quote"), F.lit("tail_n1").alias("quote_id"), F.coalesce("reach", F.lit(0)).alias("from"), "upto")
-    gaps = heads.unionByName(tails).where(F.col("from") < F.col("upto"))
-    text = gaps.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id").select("doc_id", "before_quote", "quote_id", clean_narration(piece("doc_text", "from", "upto")).alias("text"))
+    tail), quote_id, text, contexts.
+
+    Offsets of a document's quotes travel to its text as one array, so the text is shuffled once and cut inside its row.
+    """
+    per = quotes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("quote_no", "quote_id", "raw_start", "raw_end"))).alias("qs"))
+    kind = "array<struct<before_quote:int,quote_id:string,upto:int>>"
+
+    def gaps(text, qs):
+        ends = F.concat(F.array(F.lit(0)), running(F.transform(qs, lambda q: q["raw_end"]), F.greatest))
+        heads = F.transform(qs, lambda q: F.struct(q["quote_no"], F.concat(q["quote_id"], F.lit("_n1")), q["raw_start"]))
+        tail = F.array(F.struct(F.coalesce(F.try_element_at(qs, F.lit(-1))["quote_no"], F.lit(0)) + 1, F.lit("tail_n1"), F.length(text)))
+        open_ = F.zip_with(F.concat(heads.cast(kind), tail.cast(kind)), ends, lambda g, e: F.struct(g.alias("g"), e.alias("begin")))
+        wide = F.filter(open_, lambda o: o["begin"] < o["g"]["upto"])
+        return let(blocks(text), lambda parts: F.transform(wide, lambda o: F.struct(o["g"]["before_quote"].alias("before_quote"), o["g"]["quote_id"].alias("quote_id"), cut(parts, o["begin"], o["g"]["upto"]).alias("raw"))))
+
+    none = F.array().cast("array<struct<quote_no:int,quote_id:string,raw_start:int,raw_end:int>>")
+    found = docs.select("doc_id", "text").join(per, "doc_id", "left").select("doc_id", F.explode(let("text", lambda t: let(F.coalesce("qs", none), lambda qs: gaps(t, qs)))).alias("g"))
+    text = found.select("doc_id", "g.before_quote", "g.quote_id", clean_narration("g.raw").alias("text"))
     return text.where("text <> ''").select("*", F.left("text", F.lit(context)).alias("context_before"), F.right("text", F.lit(context)).alias("context_after"))
 
 
