@@ -128,7 +128,7 @@ def decode_segments(replies: DataFrame, lines: DataFrame) -> DataFrame:
     """
     role_rows = F.filter(F.transform(F.split("response", "\n", -1), strip), lambda r: F.startswith(r, F.lit("ROLES:")))
     entry = lambda e: F.struct(strip(F.substring_index(e, "=", 1)).alias("id"), strip(F.substring_index(F.regexp_extract(e, r"(?s)^[^=]*=(.*)$", 1), "|", 1)).alias("name"), strip(F.replace(F.regexp_extract(e, r"(?s)^[^=|]*=[^|]*\|(.*)$", 1), F.lit("_"), F.lit(" "))).alias("style"))
-    entries = F.filter(F.flatten(F.transform(role_rows, lambda r: F.filter(F.split(F.substring(r, 7, 100_000), ",", -1), lambda e: F.instr(e, "=") > 0))), lambda e: strip(F.substring_index(e, "=", 1)) != "")
+    entries = F.filter(F.flatten(F.transform(role_rows, lambda r: F.filter(F.split(F.substring(r, F.lit(7), F.length(r)), ",", -1), lambda e: F.instr(e, "=") > 0))), lambda e: strip(F.substring_index(e, "=", 1)) != "")
     head = replies.select("doc_id", "chunk_idx", "response", F.transform(entries, entry).alias("roles"))
     body = F.when(F.instr("response", "SEGS:") > 0, F.substring("response", F.call_function("instr", F.col("response"), F.lit("SEGS:")) + 5, F.length("response"))).otherwise(F.col("response"))
     rows = head.select("doc_id", "chunk_idx", "roles", F.posexplode(F.filter(rows_of(body, "SEGS:"), lambda r: ~F.startswith(r, F.lit("ROLES:")))).alias("row_no", "row"))
@@ -233,7 +233,7 @@ def choice_task(quotes: DataFrame, context: int = 220) -> DataFrame:
     """quotes with candidates -> options (letter, name; at most 26, 未知 always among them) and contexts cut for one choice."""
     names = F.slice(F.array_distinct(F.concat("candidates", strings([L.UNKNOWN]))), 1, 26)
     options = F.transform(names, lambda n, i: F.concat(F.chr(i + 65), F.lit(". "), n))
-    rest = F.substring("context_after", 2, 10_000)
+    rest = F.substring("context_after", F.lit(2), F.length("context_after"))
     second = F.call_function("instr", rest, F.lit("「"))
     after = F.when(second > 0, F.left("context_after", second)).otherwise(F.col("context_after"))
     return quotes.withColumns({"options": options, "task_before": F.right("context_before", F.lit(context)), "task_after": F.left(after, F.lit(context))})
@@ -241,14 +241,14 @@ def choice_task(quotes: DataFrame, context: int = 220) -> DataFrame:
 
 def training_row(tasks: DataFrame, gold: str = "gold_speaker") -> DataFrame:
     """choice_task() rows with the letter of the gold name; null where it is no option."""
-    at = F.array_position(F.transform("options", lambda o: F.substring(o, 4, 1000)), F.col(gold))
+    at = F.array_position(F.transform("options", lambda o: F.substring(o, F.lit(4), F.length(o))), F.col(gold))
     return tasks.withColumn("gold_label", F.when(at > 0, F.chr(at + 64)))
 
 
 def decode_pattern_guess(c) -> Column:
     """struct<pattern, confidence, reason> of a `PATTERN: pattern | confidence | reason` row; null without one."""
     row = F.try_element_at(F.filter(rows_of(c, "#"), lambda r: F.startswith(r, F.lit("PATTERN:"))), F.lit(1))
-    parts = F.transform(F.split(F.substring(row, 9, 100_000), "\\|", 3), strip)
+    parts = F.transform(F.split(F.substring(row, F.lit(9), F.length(row)), "\\|", 3), strip)
     get = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(""))
     return F.when(row.isNotNull(), F.struct(F.coalesce(F.nullif(get(1), F.lit("")), F.lit("none")).alias("pattern"), get(2).alias("confidence"), get(3).alias("reason")))
 

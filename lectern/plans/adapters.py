@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions import lexicon as L
 from ..functions.text import strings
 
 NAMES = ["陆沉", "苏晚", "顾长风", "林小满"]
@@ -21,10 +22,18 @@ def _pick(values, index):
     return F.element_at(strings(values), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 
+#: A line that holds a source of most rules of the built-in profile, and a separator.
+RULED = "牠歩出仮山，黒夜弾剣伝瀬圏，妳彷彿反覆瞭解彷佛，姊姊飮茶。✽ ✽✽"
+
+
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, turn, line: each whole turn as narration or as a quote with one of eight kinds of cue."""
+    """doc_id, turn, heading, line: each whole turn as narration or as a quote with one of ten kinds of cue. Every fourth turn
+    opens a chapter; a third of the documents' chapters are told as somebody's story."""
     c = _table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
-    rows = c.select(F.col("conv_id").alias("doc_id"), "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r]+", " ").alias("t"), _pick(NAMES, F.col("conv_id")).alias("n1"), _pick(NAMES, F.col("conv_id") + 1).alias("n2"), F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(8)).alias("k"))
+    rows = c.select(
+        F.col("conv_id").alias("doc_id"), "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r]+", " ").alias("t"),
+        _pick(NAMES, F.col("conv_id")).alias("n1"), _pick(NAMES, F.col("conv_id") + 1).alias("n2"), F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(10)).alias("k"),
+    )
     line = (
         F.when(F.col("role") == "system", F.col("t"))
         .when(F.col("k") == 0, F.concat("n1", F.lit("说道：「"), "t", F.lit("」")))
@@ -34,14 +43,20 @@ def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("k") == 4, F.concat(F.lit("「我"), "t", F.lit("」  那个")))
         .when(F.col("k") == 5, F.concat(F.lit("众人齐声道：「"), "t", F.lit("」")))
         .when(F.col("k") == 6, F.concat("n2", F.lit("看见"), "n1", F.lit("，推门走进。『我是"), "n2", F.lit("』"), "t"))
-        .otherwise(F.concat("n1", F.lit("心想："), "t", F.lit("。")))
+        .when(F.col("k") == 7, F.concat("n1", F.lit("心想："), "t", F.lit("。")))
+        .when(F.col("k") == 8, F.concat(F.lit("他笑道：「"), "t", F.lit("」")))
+        .otherwise(F.concat("t", F.lit(RULED)))
     )
-    return rows.select("doc_id", "turn", line.alias("line"))
+    number = (F.col("turn") / 4).cast("int").cast("string")
+    story = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat("n2", F.lit("的故事"))).otherwise(F.lit("归途"))
+    heading = F.when(F.pmod("turn", F.lit(4)) == 0, F.concat(F.lit("第"), number, F.lit("章 "), story))
+    return rows.select("doc_id", "turn", heading.alias("heading"), line.alias("line"))
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: a document a conversation."""
-    lines = conversation_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("ls"))
+    headed = F.concat_ws("\n", "heading", "line").alias("line")
+    lines = conversation_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("turn", headed))).alias("ls"))
     return lines.select("doc_id", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
 
 
@@ -93,17 +108,23 @@ NORMALISE = lambda x: STRIP(f"regexp_replace(regexp_replace(replace(replace(tran
 
 SQL_PROSE = f"""
 conv as (
-  select conv_id, turn, role, regexp_replace(coalesce(text, ''), '[\\n\\r]+', ' ', 'g') as t, {_N}[(conv_id % 4) + 1] as n1, {_N}[((conv_id + 1) % 4) + 1] as n2, (conv_id * 7 + turn * 3) % 8 as k
+  select conv_id, turn, role, regexp_replace(coalesce(text, ''), '[\\n\\r]+', ' ', 'g') as t,
+    {_N}[(conv_id % 4) + 1] as n1, {_N}[((conv_id + 1) % 4) + 1] as n2, (conv_id * 7 + turn * 3) % 10 as k
   from conversations where conv_id is not null and turn is not null
 ), prose_lines as (
-  select conv_id as doc_id, turn, case when role = 'system' then t when k = 0 then n1 || '说道：「' || t || '」' when k = 1 then '「' || t || '」' || n1 || '问道。' when k = 2 then n1 || '对' || n2 || '说：“' || t || '”'
-    when k = 3 then '「' || t || '」' when k = 4 then '「我' || t || '」  那个' when k = 5 then '众人齐声道：「' || t || '」' when k = 6 then n2 || '看见' || n1 || '，推门走进。『我是' || n2 || '』' || t
-    else n1 || '心想：' || t || '。' end as line from conv
-), docs as (select doc_id, string_agg(line, chr(10) order by turn, line) as text from prose_lines group by doc_id),
-norm as (select doc_id, {NORMALISE('text')} as text from docs)"""
-
-_BRACKET = "「[^「」]{1,1000}」|\"[^\"\\n]{1,300}\""
-_COLON = "[一-龥A-Za-z0-9_]{1,24}?(?:说|说道|问|问道|答|答道|喊|喊道|道|心想|想道)[：:][^。！？!?\\n「」\"]{1,240}[。！？!?]"
+  select conv_id as doc_id, turn,
+    case when turn % 4 = 0 then '第' || (turn // 4) || '章 ' || case when conv_id % 3 = 0 then n2 || '的故事' else '归途' end end as heading,
+    case when role = 'system' then t when k = 0 then n1 || '说道：「' || t || '」' when k = 1 then '「' || t || '」' || n1 || '问道。'
+    when k = 2 then n1 || '对' || n2 || '说：“' || t || '”' when k = 3 then '「' || t || '」' when k = 4 then '「我' || t || '」  那个'
+    when k = 5 then '众人齐声道：「' || t || '」' when k = 6 then n2 || '看见' || n1 || '，推门走进。『我是' || n2 || '』' || t
+    when k = 7 then n1 || '心想：' || t || '。' when k = 8 then '他笑道：「' || t || '」' else t || '{RULED}' end as line
+  from conv
+), docs as (
+  select doc_id, string_agg(line, chr(10) order by turn, line) as text
+  from (select doc_id, turn, concat_ws(chr(10), heading, line) as line from prose_lines) group by doc_id
+), norm as (select doc_id, {NORMALISE('text')} as text from docs)"""
+
+_BRACKET, _COLON = L.BRACKET_QUOTE, L.COLON_QUOTE
 
 
 def sql_spans(name: str, source: str, pattern: str) -> str:

@@ -12,7 +12,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import attribution, audio, candidates, codecs, consistency, quotes, segments, service, splitting
 from ..sources import html, io
-from . import adapters as A
+from . import adapters as A, oracles
 from .novel import merge_aliases as _merge_aliases, optimise_chunks, parse_novel, parse_novel_batch, plan_chunks, verify_speakers
 
 QUERIES: dict = {}
@@ -44,8 +44,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_novel(A.prose(spark, sf_dir), A.NAMES, narrator=A.NAMES[0]).select("doc_id", "seq", "quote_id", "speaker", "text", "confidence", "attribution_type", (F.col("confidence") < L.REVIEW_THRESHOLD).alias("review"))
 
 
-_HINTS = "['陆沉','苏晚','顾长风','林小满']"
-_S = A.STRIP
+_HINTS, _S = oracles.HINTS, A.STRIP
 
 # ---- text ----
 
@@ -55,17 +54,14 @@ def normalize_text(spark, sf_dir):
     return quotes.normalised(A.prose(spark, sf_dir))
 
 
-@query(
-    f"with {A.SQL_PROSE}, x as (select doc_id, '祂' || replace(text, '看见', '彷佛瞭解') || '姊 反覆' as t from docs), y as (select doc_id, t, (len(t) - len(replace(t, '彷佛', ''))) // 2 as h1, (len(t) - len(replace(t, '瞭解', ''))) // 2 as h2, len(t) - len(replace(t, '姊', '')) as h3 from x) "
-    f"select doc_id, {_S('''replace(replace(replace(replace(t, '彷佛', '仿佛'), '瞭解', '了解'), '姊', '姐'), '反覆', '反复')''')} as text, h1::bigint as phrase_hits, h2::bigint as known_hits, h3::bigint as char_hits from y"
-)
+@query(oracles.preprocess_rules())
 def preprocess_rules(spark, sf_dir):
     rows = A.prose(spark, sf_dir).select("doc_id", F.concat(F.lit("祂"), F.replace("text", F.lit("看见"), F.lit("彷佛瞭解")), F.lit("姊 反覆")).alias("t"))
     out, hits = T.preprocess("t")
     return rows.select("doc_id", out.alias("text"), hits["phrase_fangfo_01"].alias("phrase_hits"), hits["phrase_liaojie"].alias("known_hits"), hits["char_jie"].alias("char_hits"))
 
 
-@query(f"with {A.SQL_PROSE}, x as (select 'phrase_fangfo_01' as rule, sum((len(text) - len(replace(text, '彷佛', ''))) // 2) as hits from docs union all select 'char_jie', sum(len(text) - len(replace(text, '姊', ''))) from docs) select rule, hits::bigint as hits from x")
+@query(oracles.rule_hits())
 def rule_hits(spark, sf_dir):
     _, hits = T.preprocess("text")
     some = A.prose(spark, sf_dir).select(*[h.alias(r) for r, h in hits.items()]).agg(*[F.sum(r).alias(r) for r in hits])
@@ -77,7 +73,7 @@ def html_unescape_subset(spark, sf_dir):
     return A._table(spark, sf_dir, "pages").select("page_id", T.html_unescape("html").alias("html"))
 
 
-@query()
+@query(oracles.HTML)
 def html_unescape_full(spark, sf_dir):
     return A._table(spark, sf_dir, "pages").select("page_id", html.html_unescape("html").alias("html"))
 
@@ -94,7 +90,7 @@ def sanitize_names(spark, sf_dir):
     return A._table(spark, sf_dir, "supplier").select("s_suppkey", T.component("s_name").alias("component"), io.archive_name("s_name", (F.col("s_suppkey") % 1000).cast("int")).alias("wav"))
 
 
-_CUE = "[，,。；;：:\\s]*[一-龥A-Za-z0-9_]{1,24}(?:对|向|冲)?[一-龥A-Za-z0-9_]{0,12}(?:喃喃道|嘀咕道|低声道|轻声道|笑道|冷笑道|喝道|骂道|叹道|缓缓开口|开口|心想|想道|说道|说|问道|问|答道|答|喊道|喊|叫道|叫|道)[：:，,。\\s]*"
+_CUE = L.CUE_ONLY
 _NARR = lambda src: f"""
 nx as (select *, {_S("regexp_replace(" + _S('raw') + ", '\\s+', ' ', 'g')")} as x from {src}),
 ns as (select *, list_transform(regexp_extract_all(x, '[^。！？!?]*[。！？!?]|[^。！？!?]+'), lambda s: regexp_replace(regexp_replace(s, '[。！？!?]$', ''), '^\\s+|\\s+$', '', 'g') || regexp_extract(s, '([。！？!?])$', 1)) as ss from nx),
@@ -212,7 +208,7 @@ def consecutive_groups(spark, sf_dir):
 # ---- consistency ----
 
 _SKIP = "('旁白','未知','众人','大家','二人','三人','所有人')"
-_ADDR = "(?:对着?|朝|冲|向|望着?|看向|注视着?)\\s*([一-龥]{2,6})[一-龥，,\\s]{0,20}?(?:说道|说|道|问道|问|答道|喊道)[：:，,「\\s]*$"
+_ADDR = L.ADDRESSEE_AT_END
 _CL = lambda x: f"greatest(0.1::double, least(1.0::double, {x}))"
 _NOTE = lambda n: f"case when coalesce(evidence, '') <> '' then evidence || '；' || {n} else {n} end"
 _O = "(partition by doc_id order by seq)"
@@ -292,7 +288,7 @@ def narration_gaps(spark, sf_dir):
     return quotes.narration_gaps(docs, quotes.extract_quotes(docs))
 
 
-@query(f"with {A.SQL_QUOTES} select doc_id, quote_id, 0 as chapter_idx, ((quote_no - 1) // 10)::int as batch_no, ((quote_no - 1) % 10)::int as batch_pos from q")
+@query(oracles.quote_batches())
 def quote_batches(spark, sf_dir):
     docs = quotes.normalised(A.prose(spark, sf_dir))
     found = quotes.extract_quotes(docs)
@@ -301,7 +297,7 @@ def quote_batches(spark, sf_dir):
 
 # ---- attribution ----
 
-_FORMS = lambda r: f"list_filter([{r}, case when len({r}) >= 3 then right({r}, 2) end, case when len({r}) >= 4 then right({r}, 3) end], lambda f: f is not null)"
+_FORMS = oracles.FORMS
 
 
 @query(
@@ -382,28 +378,16 @@ def addressee_hints(spark, sf_dir):
     return _hinted(_quotes(spark, sf_dir)).select("doc_id", "quote_id", attribution.addressee_hint("context_before", "hints").alias("warning"))
 
 
-_CAND = f"""
-cx as (select *, context_before || chr(10) || context_after as ctx from q),
-hn as (select unnest({_HINTS}) as role), kn as (select role, row_number() over (order by encode(role)) as i from hn),
-n1 as (select doc_id, quote_id, role as name, i as ord from cx, kn where len(list_filter({_FORMS('role')}, lambda f: contains(ctx, f))) > 0),
-n2a as (select doc_id, quote_id, regexp_extract_all(ctx, '(众人|大家|二人|三人|所有人)\\s*(?:齐声|一齐|同时)?\\s*(?:说|说道|道|喊|喊道|答|答道)', 1) as gs from cx), n2 as (select doc_id, quote_id, unnest(gs) as name, 1000 + generate_subscripts(gs, 1) as ord from n2a),
-na as (select * from n1 union all select * from n2),
-rl as (select cx.doc_id, cx.quote_id, count(*) filter (na.name in ('陆沉','苏晚','顾长风','林小满')) as n from cx left join na using (doc_id, quote_id) group by all),
-nb as (select * from na union all select doc_id, quote_id, role, 5000 + i from rl, kn where n = 0),
-nc as (select * from nb union all select cx.doc_id, cx.quote_id, '陆沉', 9000 from cx where not exists (select 1 from nb where nb.doc_id = cx.doc_id and nb.quote_id = cx.quote_id and nb.name = '陆沉')),
-g as (select doc_id, quote_id, name, count(*) as c, min(ord) as o from nc group by all),
-s as (select g.*, least(case when contains(context_before, name) then position(reverse(name) in reverse(context_before)) + len(name) - 1 else 10000 end, case when contains(context_after, name) then position(name in context_after) - 1 else 10000 end) as d from g join cx using (doc_id, quote_id))"""
-
-
-@query(f"with {A.SQL_QUOTES}, {_CAND}, l as (select doc_id, quote_id, list(name order by d, -c, o) as names from s group by all) select doc_id, quote_id, list_concat(names, ['旁白', '未知'])[1:8] as candidates, names[1:8] as scene_characters from l")
+@query(f"with {A.SQL_QUOTES}, {oracles.CAND}, l as (select doc_id, quote_id, list(name order by d, -c, o) as names from s group by all) select doc_id, quote_id, list_concat(names, ['旁白', '未知'])[1:8] as candidates, names[1:8] as scene_characters from l")
 def candidates_ranked(spark, sf_dir):
     return candidates.generate_candidates(_hinted(_quotes(spark, sf_dir))).select("doc_id", "quote_id", "candidates", "scene_characters")
 
 
-@query()
+@query(oracles.candidates_without_hints())
 def candidates_without_hints(spark, sf_dir):
     bare = _quotes(spark, sf_dir).withColumn("aliases", F.create_map().cast("map<string,string>"))
-    return candidates.generate_candidates(bare).select("doc_id", "quote_id", "candidates", "candidate_sources", "scene_characters")
+    named = F.transform(F.map_entries("candidate_sources"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+")))
+    return candidates.generate_candidates(bare).select("doc_id", "quote_id", "candidates", named.alias("sources"), "scene_characters")
 
 
 @query()
@@ -473,27 +457,27 @@ def scene_breaks(spark, sf_dir):
     return splitting.scene_breaks(A.books(spark, sf_dir))
 
 
-@query()
+@query(oracles.paragraph_pack())
 def paragraph_pack(spark, sf_dir):
     return splitting.pack_paragraphs(A.books(spark, sf_dir), 600, 1200)
 
 
-@query()
+@query(oracles.chunk_split())
 def chunk_split(spark, sf_dir):
     return splitting.split_long_chunks(splitting.split_chapters(A.books(spark, sf_dir)).withColumnRenamed("chapter_idx", "chunk_idx"), 800)
 
 
-@query()
+@query(oracles.numbered_lines())
 def numbered_lines(spark, sf_dir):
     return splitting.number_lines(A.books(spark, sf_dir).select("doc_id", F.lit(0).alias("chunk_idx"), F.col("text").alias("content")))
 
 
-@query()
+@query(oracles.line_budget())
 def line_budget(spark, sf_dir):
     return splitting.line_budget(numbered_lines(spark, sf_dir), 900, 12)
 
 
-@query()
+@query(oracles.detect_structure())
 def detect_structure(spark, sf_dir):
     return splitting.detect_structure(A.books(spark, sf_dir), 600, 1200)
 
@@ -542,20 +526,20 @@ def _plans(spark, sf_dir, row, header):
     return docs.join(replies, ["doc_id", "chunk_idx"]), lines
 
 
-@query()
+@query(oracles.chunk_plan_decode())
 def chunk_plan_decode(spark, sf_dir):
     plans, lines = _plans(spark, sf_dir, F.concat(F.lit("<l"), "line_no", F.lit("> | t"), "line_no"), "CHUNKS:\n")
     return codecs.decode_chunk_plan(plans, lines)
 
 
-@query()
+@query(oracles.rewrite_decode())
 def rewrite_decode(spark, sf_dir):
     row = F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("L"), "line_no", F.lit(" ~ 改写"), "line_no")).otherwise(F.concat(F.lit("L"), "line_no", F.lit(" =")))
     plans, lines = _plans(spark, sf_dir, row, "OPT:\n")
     return codecs.decode_rewrites(plans, lines)
 
 
-@query()
+@query(oracles.compact_decode())
 def compact_decode(spark, sf_dir):
     row = F.concat(F.lit("L"), "line_no", F.lit(" 1 ne h \""), F.left("text", F.lit(5)), F.lit("\"\nL"), "line_no", F.lit(" 0 co rest"))
     plans, lines = _plans(spark, sf_dir, row, "ROLES: 1=陆沉|male_adult, 2=x\nSEGS:\n")
@@ -579,21 +563,22 @@ def choice_recovery(spark, sf_dir):
 
 def _prompt_rows(spark, sf_dir):
     found = _hinted(quotes.dialogue_blocks(_quotes(spark, sf_dir)))
-    ranked = candidates.generate_candidates(found).withColumns({"chapter_idx": F.lit(0), "warning": attribution.addressee_hint("context_before", "hints")})
+    told = quotes.chapter_of_quotes(quotes.normalised(A.prose(spark, sf_dir)), found).select("doc_id", "quote_id", "chapter_idx")
+    ranked = candidates.generate_candidates(found.join(told, ["doc_id", "quote_id"])).withColumns({"warning": attribution.addressee_hint("context_before", "hints")})
     return quotes.quote_batches(ranked)
 
 
-@query()
+@query(oracles.prompt_batch())
 def prompt_batch(spark, sf_dir):
     return codecs.batch_prompt(_prompt_rows(spark, sf_dir))
 
 
-@query()
+@query(oracles.prompt_choice())
 def prompt_choice(spark, sf_dir):
     return codecs.choice_task(_prompt_rows(spark, sf_dir)).select("doc_id", "quote_id", "options", "task_before", "task_after")
 
 
-@query()
+@query(oracles.choice_training_rows())
 def choice_training_rows(spark, sf_dir):
     tasks = codecs.choice_task(_prompt_rows(spark, sf_dir)).withColumn("gold_speaker", F.element_at("hints", 1))
     return codecs.training_row(tasks).select("doc_id", "quote_id", "options", "gold_speaker", "gold_label")
@@ -661,9 +646,9 @@ def json_attr_decode(spark, sf_dir):
     return codecs.decode_json_attributions(replies)
 
 
-@query()
+@query(oracles.perspective_chapters())
 def perspective_chapters(spark, sf_dir):
-    opened = quotes.chapter_openings(quotes.normalised(A.books(spark, sf_dir)))
+    opened = quotes.chapter_openings(quotes.normalised(A.prose(spark, sf_dir)))
     return opened.withColumn("shifted", attribution.perspective_shift("heading", "opening", F.lit(A.NAMES[0]), T.strings(A.NAMES)))
 
 
@@ -741,7 +726,7 @@ def volume_pack(spark, sf_dir):
     return audio.pack_volumes(A.clips(spark, sf_dir), most_items=3)
 
 
-@query()
+@query(oracles.volume_pack_by_bytes())
 def volume_pack_by_bytes(spark, sf_dir):
     return audio.pack_volumes(A.clips(spark, sf_dir), most_bytes=1_200_000)
 
