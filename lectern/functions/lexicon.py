@@ -109,3 +109,7 @@ DEFAULT_RULES = [
     ("decorative_separator", "regex", r"(?U)✽[\s\x1c-\x1f]*✽[\s\x1c-\x1f]*✽[✽\s\x1c-\x1f]*", "***", 50),
 ]
 PRESERVED = ["祂"]
+#: Steps of preprocessing that run unless a profile disables them.
+PREPROCESS_STEPS = ("html_unescape", "apply_ordered_rules")
+#: Characters of a chunk to aim at, and at most.
+CHUNK_TARGET, CHUNK_MOST = 6000, 12_000

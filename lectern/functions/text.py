@@ -46,16 +46,22 @@ def tts_cleanup(c) -> Column:
     return strip(x)
 
 
-def preprocess(c, rules=None, preserved=None) -> tuple[Column, dict[str, Column]]:
+def _shield(i: int) -> str:
+    """What stands for a preserved token while rules run: private-use marks that no rule names."""
+    return f"\ue000PRESERVE_{i}\ue001"
+
+
+def preprocess(c, rules=None, preserved=None, steps=L.PREPROCESS_STEPS) -> tuple[Column, dict[str, Column]]:
     """HTML entities, then ordered rules by falling priority (stable), on text whose preserved tokens are shielded; hits per
-    rule count on the text as earlier rules left it."""
-    rules = sorted(L.DEFAULT_RULES if rules is None else rules, key=lambda r: -r[4])
+    rule count on the text as earlier rules left it. Only the enabled steps run."""
+    rules = sorted(L.DEFAULT_RULES if rules is None else rules, key=lambda r: -r[4]) if "apply_ordered_rules" in steps else []
     preserved = L.PRESERVED if preserved is None else preserved
     x, hits = F.coalesce(col(c), F.lit("")), {}
     for i, token in enumerate(preserved):
-        x = F.replace(x, F.lit(token), F.lit(f"PRESERVE_{i}"))
-    # only texts with an ampersand travel to Python
-    x = F.coalesce(html.html_unescape(F.when(F.contains(x, F.lit("&")), x)), x)
+        x = F.replace(x, F.lit(token), F.lit(_shield(i)))
+    if "html_unescape" in steps:
+        # only texts with an ampersand travel to Python
+        x = F.coalesce(html.html_unescape(F.when(F.contains(x, F.lit("&")), x)), x)
     for rule, kind, source, target, _ in rules:
         if kind == "regex":
             hits[rule] = F.regexp_count(x, F.lit(source)).cast("long")
@@ -64,10 +70,47 @@ def preprocess(c, rules=None, preserved=None) -> tuple[Column, dict[str, Column]
             hits[rule] = ((F.length(x) - F.length(F.replace(x, F.lit(source), F.lit("")))) / len(source)).cast("long")
             x = F.replace(x, F.lit(source), F.lit(target))
     for i, token in enumerate(preserved):
-        x = F.replace(x, F.lit(f"PRESERVE_{i}"), F.lit(token))
+        x = F.replace(x, F.lit(_shield(i)), F.lit(token))
     return strip(F.replace(x, F.lit("\r\n"), F.lit("\n"))), hits
 
 
+def preprocess_steps(df, c, rules=None, preserved=None, steps=L.PREPROCESS_STEPS):
+    """(df with helper columns, the cleaned text, a struct of what was done) over a text column of df.
+
+    The text after entities is a column of its own; a rule's count and its replacement then are one fold over the array of
+    rules, so neither the text nor the plan is repeated for each rule. The struct has applied, original_chars,
+    processed_chars, html_unescape_changed and rule_hits (id and count of the rules that hit).
+    """
+    rules = sorted(L.DEFAULT_RULES if rules is None else rules, key=lambda r: -r[4]) if "apply_ordered_rules" in steps else []
+    preserved = L.PRESERVED if preserved is None else preserved
+    raw = F.coalesce(col(c), F.lit(""))
+    shielded = raw
+    for i, token in enumerate(preserved):
+        shielded = F.replace(shielded, F.lit(token), F.lit(_shield(i)))
+    out = df.withColumn("_shielded", shielded)
+    decoded = F.coalesce(html.html_unescape(F.when(F.contains("_shielded", F.lit("&")), F.col("_shielded"))), F.col("_shielded")) if "html_unescape" in steps else F.col("_shielded")
+    out = out.withColumn("_decoded", decoded)
+    kind = "struct<text:string,hits:array<struct<id:string,count:bigint>>>"
+    table = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(k == "regex").alias("regex"), F.lit(s).alias("source"), F.lit(t).alias("target")) for i, k, s, t, _ in rules]) if rules else None
+
+    def step(acc, r):
+        count = F.when(r["regex"], F.regexp_count(acc["text"], r["source"])).otherwise(F.floor((F.length(acc["text"]) - F.length(F.replace(acc["text"], r["source"], F.lit("")))) / F.length(r["source"])))
+        new = F.when(r["regex"], F.regexp_replace(acc["text"], r["source"], r["target"])).otherwise(F.replace(acc["text"], r["source"], r["target"]))
+        return let(count.cast("long"), lambda n: F.when(n > 0, F.struct(new.alias("text"), F.concat(acc["hits"], F.array(F.struct(r["id"].alias("id"), n.alias("count")))).alias("hits")).cast(kind)).otherwise(acc))
+
+    begun = F.struct(F.col("_decoded").alias("text"), F.array().cast("array<struct<id:string,count:bigint>>").alias("hits")).cast(kind)
+    out = out.withColumn("_ruled", F.aggregate(table, begun, step) if rules else begun)
+    text = F.col("_ruled.text")
+    for i, token in enumerate(preserved):
+        text = F.replace(text, F.lit(_shield(i)), F.lit(token))
+    out = out.withColumn("_cleaned", strip(F.replace(text, F.lit("\r\n"), F.lit("\n"))))
+    info = F.struct(
+        (F.col("_cleaned") != strip(raw)).alias("applied"), F.length(raw).alias("original_chars"), F.length("_cleaned").alias("processed_chars"),
+        (F.col("_decoded") != F.col("_shielded")).alias("html_unescape_changed"), F.col("_ruled.hits").alias("rule_hits"),
+    )
+    return out, F.col("_cleaned"), info
+
+
 def html_unescape(c) -> Column:
     """The named entities of common use and decimal references up to two bytes; see sources.html for the whole table."""
     x = col(c)

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import col, lyric_line, speech_units
+from ..functions.folds import emitted
+from ..functions.text import col, let, lyric_line, speech_units
 
 
-def duration_bounds(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with cjk_chars, latin_words, pauses, units, enabled, estimated_seconds, min_seconds, max_seconds (to 3 places)."""
+def duration_bounds(rows: DataFrame, text: str = "text", digits: int | None = 3) -> DataFrame:
+    """rows with cjk_chars, latin_words, pauses, units, enabled, estimated_seconds, min_seconds, max_seconds (to `digits`
+    places, unrounded with None)."""
     out = rows.withColumns(speech_units(text)).withColumn("units", F.col("cjk_chars") + F.col("latin_words"))
     spoken = F.col("cjk_chars") / L.CJK_PER_SECOND + F.col("latin_words") / L.WORDS_PER_SECOND
     estimate = F.greatest(F.lit(L.LEAST_SECONDS), spoken + F.least(F.col("pauses") * L.PAUSE_SECONDS, spoken * L.PAUSE_SHARE))
     enabled = F.col("units") >= L.LEAST_UNITS
-    rounded = lambda c: F.when(enabled, F.round(c, 3)).otherwise(0.0)
+    rounded = lambda c: F.when(enabled, c if digits is None else F.round(c, digits)).otherwise(0.0)
     return out.withColumns({"enabled": enabled, "estimated_seconds": rounded(estimate), "min_seconds": rounded(F.greatest(F.lit(L.LEAST_SECONDS), estimate * L.LEAST_RATIO)), "max_seconds": rounded(F.greatest(F.lit(L.MOST_SECONDS), estimate * L.MOST_RATIO + L.MOST_SLACK))})
 
 
@@ -68,19 +70,27 @@ def pack_volumes(clips: DataFrame, silence_ms: int = L.SILENCE_MS, most_bytes: i
     A left fold over the clips of one output with a three-number state; the order of clips decides, so an output is one
     group, bounded by the length of one narration.
     """
-    kind = "struct<volume:int,n:int,bytes:bigint,volumes:array<int>>"
+    state = "struct<volume:int,n:int,bytes:bigint>"
     item = F.struct("idx", (F.col("frames") * F.col("channels") * L.SAMPLE_BYTES).alias("bytes"), (F.floor(F.col("sample_rate") * max(0, silence_ms) / 1000) * F.col("channels") * L.SAMPLE_BYTES).alias("gap"))
-    start = F.struct(F.lit(1).alias("volume"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("volumes")).cast(kind)
+    start = F.struct(F.lit(1).alias("volume"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"))
 
     def step(a, c):
         ahead = a["bytes"] + c["bytes"] + F.when(a["n"] > 0, c["gap"]).otherwise(0)
         full = (a["n"] > 0) & ((a["n"] >= most_items) | (F.lit(most_bytes > 0) & (ahead > most_bytes)))
-        volume = a["volume"] + full.cast("int")
-        return F.struct(volume.alias("volume"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, c["bytes"]).otherwise(ahead).alias("bytes"), F.concat(a["volumes"], F.array(volume)).alias("volumes")).cast(kind)
+        return let(full, lambda f: F.struct((a["volume"] + f.cast("int")).alias("volume"), F.when(f, 1).otherwise(a["n"] + 1).alias("n"), F.when(f, c["bytes"]).otherwise(ahead).alias("bytes")))
 
     ordered = clips.groupBy("out").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    packed = ordered.select("out", F.explode(F.arrays_zip(F.transform("items", lambda i: i["idx"]).alias("idx"), F.aggregate("items", start, step, lambda a: a["volumes"]).alias("volume"))).alias("z"))
-    return packed.select("out", F.col("z.idx").alias("idx"), F.col("z.volume").alias("volume"))
+    packed = ordered.select("out", F.explode(let("items", lambda xs: F.zip_with(xs, emitted(xs, state, start, step, lambda a: a["volume"]), lambda x, v: F.struct(x["idx"].alias("idx"), v.alias("volume"))))).alias("z"))
+    return packed.select("out", "z.idx", "z.volume")
+
+
+def require_one_format(clips: DataFrame) -> DataFrame:
+    """clips as they are; an error if the clips of an output differ in sample rate or channels."""
+    odd = clips.groupBy("out").agg(F.min("sample_rate").alias("r0"), F.max("sample_rate").alias("r1"), F.min("channels").alias("c0"), F.max("channels").alias("c1"))
+    told = F.concat(F.lit("clips of output "), F.col("out").cast("string"), F.lit(" differ in format"))
+    checked = odd.select(F.col("out").alias("_out"), F.when((F.col("r0") != F.col("r1")) | (F.col("c0") != F.col("c1")), F.raise_error(told)).otherwise(F.lit("one")).alias("_format"))
+    # the joined mark is read, so the check is not pruned away
+    return clips.join(checked, clips["out"] == F.col("_out")).where("_format = 'one'").select(*[clips[c] for c in clips.columns])
 
 
 def volume_manifest(clips: DataFrame, volumes: DataFrame, silence_ms: int = L.SILENCE_MS) -> DataFrame:

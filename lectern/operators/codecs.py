@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import lexicon as L
-from ..functions.text import col, strings, strip
+from ..functions.text import col, let, strings, strip
 
 
 def strip_thoughts(c) -> Column:
@@ -29,10 +29,13 @@ def _mapped(code: Column, codes: dict[str, str], default: str) -> Column:
 def decode_attributions(replies: DataFrame) -> DataFrame:
     """replies (batch_id, quote_ids, response) -> batch_id, quote_id, speaker, confidence, attribution_type, evidence.
 
-    `n|speaker|confidence|type|evidence`; rows with fewer than four fields, without a number or out of range are skipped.
+    `n|speaker|confidence|type|evidence`; rows with fewer than four fields, without a number or out of range are skipped; of
+    several answers to a place the last one counts.
     """
-    rows = replies.select("batch_id", "quote_ids", F.explode(rows_of(strip_thoughts("response"), "#")).alias("row"))
-    parts = rows.select("batch_id", "quote_ids", F.split("row", "\\|", -1).alias("p")).where(F.size("p") >= 4)
+    answers = lambda row: F.struct(F.split(row, "\\|", -1).alias("p"), F.regexp_replace(F.regexp_extract(row, r"^[^|]*", 0), "[^0-9]", "").alias("n"))
+    given = F.filter(F.transform(rows_of(strip_thoughts("response"), "#"), answers), lambda a: F.size(a["p"]) >= 4)
+    last = lambda xs: F.filter(xs, lambda a, i: ~F.exists(F.slice(xs, i + 2, F.size(xs)), lambda later: later["n"].try_cast("int") == a["n"].try_cast("int")))
+    parts = replies.select("batch_id", "quote_ids", F.explode(let(given, last)).alias("a")).select("batch_id", "quote_ids", "a.p")
     number = F.regexp_replace(F.col("p")[0], "[^0-9]", "").try_cast("int")
     given = strip(F.col("p")[2]).try_cast("double")
     confidence = F.least(F.greatest(F.when(given.isNull() | F.isnan(given), 0.5).otherwise(given), F.lit(0.0)), F.lit(1.0))
@@ -239,6 +242,16 @@ def choice_task(quotes: DataFrame, context: int = 220) -> DataFrame:
     return quotes.withColumns({"options": options, "task_before": F.right("context_before", F.lit(context)), "task_after": F.left(after, F.lit(context))})
 
 
+def single_choice(tasks: DataFrame) -> DataFrame:
+    """choice_task() rows with a recorded `response` -> speaker, confidence, attribution_type: the option of the chosen letter;
+    未知 at .2 where the reply names none."""
+    told = tasks.withColumn("_c", recover_choice("response"))
+    at = F.ascii(F.upper("_c.choice")) - 65
+    name = F.transform("options", lambda o: F.substring(o, F.lit(4), F.length(o)))
+    chosen = F.when(at >= 0, F.get(name, at))
+    return told.withColumns({"speaker": F.coalesce(chosen, F.lit(L.UNKNOWN)), "confidence": F.when(chosen.isNull(), 0.2).otherwise(F.coalesce("_c.confidence", F.lit(0.5))), "attribution_type": F.when(chosen.isNull(), "unknown").otherwise("implicit")}).drop("_c")
+
+
 def training_row(tasks: DataFrame, gold: str = "gold_speaker") -> DataFrame:
     """choice_task() rows with the letter of the gold name; null where it is no option."""
     at = F.array_position(F.transform("options", lambda o: F.substring(o, F.lit(4), F.length(o))), F.col(gold))

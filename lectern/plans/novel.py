@@ -40,7 +40,7 @@ def parse_novel(docs: DataFrame, hints: list[str] | None = None, narrator: str |
     return consistency.fix_consistency(ordered, narrator)
 
 
-def parse_novel_batch(docs: DataFrame, hints: list[str], client: service.Chat, narrator: str | None = None, infer: bool = True) -> DataFrame:
+def parse_novel_batch(docs: DataFrame, hints: list[str], client: service.Chat | DataFrame, narrator: str | None = None, infer: bool = True) -> DataFrame:
     """The rules that are sure decide first; what they leave goes to a service in batches of ten a chapter.
 
     The narrator rule rests in chapters that somebody else tells. Only unresolved quotes reach the service.
@@ -64,8 +64,11 @@ def parse_novel_batch(docs: DataFrame, hints: list[str], client: service.Chat, n
     return consistency.fix_consistency(out, narrator)
 
 
-def verify_speakers(rows: DataFrame, client: service.Chat) -> DataFrame:
-    """Windows of twenty segments, five of them shared, are shown to a service; its fixes are applied, later windows win."""
+def verify_speakers(rows: DataFrame, client: service.Chat | DataFrame) -> DataFrame:
+    """Windows of twenty segments, five of them shared, are shown to a service; its fixes are applied, later windows win.
+
+    As everywhere here, a table of recorded replies may stand for the service: service.ask() says how.
+    """
     shown = segments.verify_windows(rows)
     item = F.concat(F.col("local_index"), F.lit(" | "), "speaker", F.lit(" | "), "text")
     prompts = shown.groupBy("doc_id", "window_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_index", item.alias("item")))), lambda x: x["item"]), "\n").alias("prompt"))
@@ -73,14 +76,14 @@ def verify_speakers(rows: DataFrame, client: service.Chat) -> DataFrame:
     return segments.postprocess(segments.apply_fixes(rows, codecs.decode_fixes(replies)))
 
 
-def merge_aliases(rows: DataFrame, client: service.Chat) -> DataFrame:
+def merge_aliases(rows: DataFrame, client: service.Chat | DataFrame) -> DataFrame:
     """Observed names of a document go to a service, its groups rename the speakers; failures rename nothing."""
     names = segments.observed_names(rows).where(F.size("names") > 1).select("doc_id", F.array_join("names", "\n").alias("prompt"))
     replies = service.ask(names, client, ["doc_id"]).where("response is not null")
     return candidates.canonicalize(rows, candidates.observed_aliases(rows, codecs.decode_alias_groups(replies)))
 
 
-def plan_chunks(chunks: DataFrame, client: service.Chat) -> DataFrame:
+def plan_chunks(chunks: DataFrame, client: service.Chat | DataFrame) -> DataFrame:
     """Chunks cut as a service plans it, where its plan covers all lines in order; else as they are."""
     lines = splitting.number_lines(chunks)
     prompts = _numbered(chunks, lines)
@@ -90,7 +93,7 @@ def plan_chunks(chunks: DataFrame, client: service.Chat) -> DataFrame:
     return good.unionByName(rest.select("doc_id", "chunk_idx", F.lit(1).alias("part_no"), "title", "content"))
 
 
-def optimise_chunks(chunks: DataFrame, client: service.Chat) -> DataFrame:
+def optimise_chunks(chunks: DataFrame, client: service.Chat | DataFrame) -> DataFrame:
     """Chunks reworded by a service where its reply covers all lines, else cleaned by rule."""
     from ..functions.text import tts_cleanup
 
@@ -108,10 +111,35 @@ def _numbered(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     return codecs.context_prompt(chunks.select("doc_id", "chunk_idx", "title").join(text, ["doc_id", "chunk_idx"]).withColumns({"known": none, "summary": none, "active": none})).select("doc_id", "chunk_idx", "prompt")
 
 
-def analyse(docs: DataFrame, client: service.Chat, target: int = 6000, most: int = 12_000) -> DataFrame:
-    """docs -> chunks -> numbered lines -> segments by a chat service -> stable styles and marks."""
-    chunks = splitting.detect_structure(docs, target, most)
+def presplit(chunks: DataFrame, most_chars: int = 6000, most_lines: int = 120) -> DataFrame:
+    """Chunks whose numbered text is long are cut into line slices before a service plans them; the others stay."""
     lines = splitting.number_lines(chunks.select("doc_id", "chunk_idx", "content"))
-    said = service.analyse_chunks(lines, client)
+    size = lines.groupBy("doc_id", "chunk_idx").agg(F.count("*").alias("n"), F.sum(F.length("line_id") + 2 + F.length("text") + 1).alias("c"))
+    long_ = size.where((F.col("n") >= most_lines) | (F.col("c") > most_chars)).select("doc_id", "chunk_idx")
+    parts = splitting.line_slices(chunks.join(long_, ["doc_id", "chunk_idx"], "left_semi"), most_chars, most_lines).select("doc_id", "chunk_idx", "part", "title", "content")
+    rest = chunks.join(long_, ["doc_id", "chunk_idx"], "left_anti").select("doc_id", "chunk_idx", F.lit(0).alias("part"), "title", "content")
+    return rest.unionByName(parts)
+
+
+def prompt_budget(target: int | None, max_tokens: int) -> int:
+    """Characters that a planning prompt may show: the wish, or 2.4 a token, between 1,800 and 6,000."""
+    return int(min(max(target or 2.4 * max_tokens, 1800), 6000))
+
+
+def plan_and_optimise(chunks: DataFrame, planner: service.Chat | DataFrame, writer: service.Chat | DataFrame) -> DataFrame:
+    """plan_chunks(), then optimise_chunks() on its parts, numbered anew within a document."""
+    parts = plan_chunks(chunks, planner)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_idx", "part_no")) - 1
+    return optimise_chunks(parts.select("doc_id", place.alias("chunk_idx"), "title", "content"), writer)
+
+
+def analyse(docs: DataFrame, client: service.Chat, target: int = L.CHUNK_TARGET, most: int = L.CHUNK_MOST, mode: str = "chapter") -> DataFrame:
+    """docs -> chunks -> numbered lines -> segments by a chat service -> stable styles and marks.
+
+    `mode` says which chunks share a context: see service.context_groups().
+    """
+    chunks = service.context_groups(splitting.detect_structure(docs, target, most), mode)
+    lines = splitting.number_lines(chunks.select("doc_id", "chunk_idx", "content")).join(chunks.select("doc_id", "chunk_idx", "group_no"), ["doc_id", "chunk_idx"])
+    said = service.analyse_chunks(lines, client, by=("doc_id", "group_no"))
     numbered = said.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_idx", "seq")))
     return segments.mark_missing_from_source(segments.postprocess(numbered), docs)

@@ -27,7 +27,7 @@ def texts(values) -> str:
 
 def _rules(source: str) -> str:
     """rule0(doc_id, t), rule1 ..., each with the hits of its rule as h<i>."""
-    out = [f"rule0 as (select doc_id, replace(text, '祂', 'PRESERVE_0') as t from {source})"]
+    out = [f"rule0 as (select doc_id, replace(text, '祂', chr(57344) || 'PRESERVE_0' || chr(57345)) as t from {source})"]
     for i, (_, kind, old, new, _) in enumerate(sorted(L.DEFAULT_RULES, key=lambda r: -r[4]), 1):
         if kind == "regex":
             hits, text = f"len(regexp_extract_all(t, '{re2(old)}'))", f"regexp_replace(t, '{re2(old)}', '{new}', 'g')"
@@ -39,7 +39,7 @@ def _rules(source: str) -> str:
 
 _LAST_RULE = len(L.DEFAULT_RULES)
 _RULE_IDS = [r[0] for r in sorted(L.DEFAULT_RULES, key=lambda r: -r[4])]
-_CLEAN = STRIP("replace(replace(t, 'PRESERVE_0', '祂'), chr(13) || chr(10), chr(10))")
+_CLEAN = STRIP("replace(replace(t, chr(57344) || 'PRESERVE_0' || chr(57345), '祂'), chr(13) || chr(10), chr(10))")
 
 
 def preprocess_rules() -> str:
@@ -168,7 +168,7 @@ p as (
     string_agg('L' || line_no || ': ' || text, chr(10) order by line_no) as numbered_text
   from bg join lines using (doc_id, chunk_idx, line_no) group by doc_id, chunk_idx, part
 )
-select doc_id, chunk_idx, part, substr(content, a + 1, b - a) as content, line_ids, numbered_text from p join src using (doc_id, chunk_idx)"""
+select doc_id, chunk_idx, part, 't（第' || (part + 1) || '部分）' as title, {STRIP('substr(content, a + 1, b - a)')} as content, line_ids, numbered_text from p join src using (doc_id, chunk_idx)"""
 
 
 def _structure(target: int, most: int) -> str:
@@ -404,3 +404,136 @@ v as (
   from (select "out", c.idx, v.volume, v.n, c.b, v.bytes + c.b + c.gap as ahead, v.n >= {L.VOLUME_ITEMS} or v.bytes + c.b + c.gap > {most} as full_ from v join c using ("out") where c.idx = v.idx + 1)
 )
 select "out", idx, volume::int as volume from v"""
+
+
+# ---- information about a text ----
+
+
+def preprocess_info() -> str:
+    hits = ", ".join(f"case when h{i + 1} > 0 then '{n}=' || h{i + 1} end" for i, n in enumerate(_RULE_IDS))
+    return f"""with {A.SQL_PROSE}, {_rules('docs')}
+select d.doc_id, {_CLEAN} as text, {_CLEAN} <> {STRIP('d.text')} as applied, len(d.text)::int as original_chars, len({_CLEAN})::int as processed_chars,
+  false as html_unescape_changed, concat_ws(',', {hits}) as rule_hits
+from rule{_LAST_RULE} r join docs d using (doc_id)"""
+
+
+def structure_info(target: int = 600, most: int = 1200) -> str:
+    return f"""with recursive {_clean_books()}, {_structure(target, most)},
+per as (select doc_id, any_value(method) as method, any_value(heading_pattern) as heading_pattern, any_value(chapter_count) as chapter_count, count(*)::int as n from units group by doc_id)
+select b.doc_id, coalesce(method, 'empty') as method, coalesce(heading_pattern, 'none') as heading_pattern, coalesce(chapter_count, 0) as chapter_count, coalesce(n, 0) as seed_chunk_count,
+  c.text is not null and best.pattern is null as used_llm_detection, case when c.text is not null and best.pattern is null then 'md_heading' else 'none' end as llm_pattern,
+  {target} as target_chars, {most} as max_chars, len(b.text)::int as original_chars, len(coalesce(c.text, ''))::int as processed_chars, coalesce(c.text, '') <> {STRIP('b.text')} as applied
+from books b left join clean c using (doc_id) left join per using (doc_id) left join best using (doc_id)"""
+
+
+def context_groups(target: int = 600, most: int = 1200) -> str:
+    return f"""with recursive {_clean_books()}, {_structure(target, most)},
+n as (select doc_id, (row_number() over (partition by doc_id order by i, j, k) - 1)::int as chunk_idx, {STRIP("string_split(title || ' - x', ' - ')[1]")} as key from units),
+l as (select *, lag(key) over (partition by doc_id order by chunk_idx) as p from n)
+select doc_id, chunk_idx, (sum(case when p = key then 0 else 1 end) over (partition by doc_id order by chunk_idx))::int as group_no from l"""
+
+
+def heading_split() -> str:
+    pattern = next(p for n, p, _ in L.HEADINGS if n == "chapter_en")
+    title = STRIP(f"regexp_replace({STRIP('raw')}, '^#+', '')")
+    return f"""with {A.SQL_BOOKS}, {_chapters('ch', 'books', pattern, title)}
+select doc_id, (i - 1)::int as chapter_idx, title, content from ch
+union all select doc_id, 0, '全文', text from books where regexp_matches(text, '{re2(pattern)}') and doc_id not in (select doc_id from ch)"""
+
+
+def coerced_chunks() -> str:
+    return f"""with c as (
+  select conv_id as doc_id, case when turn % 3 = 0 then '题' || turn end as title, case when turn % 4 = 1 then '' else {STRIP("coalesce(text, '')")} end as content,
+    row_number() over (partition by conv_id order by turn, text) as i
+  from conversations where conv_id is not null and turn is not null
+)
+select doc_id, (row_number() over (partition by doc_id order by i))::int as part_no, coalesce(title, '章 - 第' || i || '块') as title, content from c where content <> ''"""
+
+
+# ---- names and replies ----
+
+
+def alias_inference() -> str:
+    return f"""with {A.SQL_SEGMENTS},
+n as (
+  select doc_id, list(case when seq % 3 = 0 then left(speaker, 1) || '公子' when seq % 5 = 0 then left(speaker, 2) || '先生' else speaker end order by seq) as obs from seg group by doc_id
+),
+o as (select doc_id, list_filter({DISTINCT('obs')}, lambda x: not list_contains({texts(L.ALIAS_SKIP_NAMES)}, x)) as fr from n),
+c as (select doc_id, unnest(list_distinct(list_concat(fr, ['顾长风', '林小满']))) as canon from o),
+a as (select doc_id, unnest(fr) as alias from o),
+b as (select *, list_filter({texts(L.ALIAS_TITLE_SUFFIXES)}, lambda s: ends_with(alias, s) and len(alias) > len(s))[1] as suf from a),
+m as (
+  select b.doc_id, alias, list(canon) as cs from b join c on b.doc_id = c.doc_id and canon <> alias and starts_with(canon, left(alias, len(alias) - len(suf)))
+  where suf is not null and len(canon) > 1 group by all
+)
+select doc_id, alias, cs[1] as canonical from m where len(cs) = 1"""
+
+
+def alias_groups_decode() -> str:
+    return f"with {A.SQL_SEGMENTS} select doc_id, speaker as canonical, 'a' || seq as alias from seg union all select doc_id, speaker, 'b' from seg"
+
+
+def fixes_decode() -> str:
+    return f"""with {A.SQL_SEGMENTS}, n as (select doc_id, max(seq) as n from seg group by doc_id), w as (select doc_id, unnest(range(0, n, 15)) as st from n)
+select seg.doc_id, w.st::int as window_start, (seq - 1 - w.st)::int as local_index, speaker from seg join w on seg.doc_id = w.doc_id and seq - 1 >= w.st and seq - 1 < w.st + 20"""
+
+
+_TTS = lambda x: STRIP(
+    "regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(" + x + ", chr(13) || chr(10), chr(10)), '【', '“'), '】', '”'), '（', '，'), '）', '，'), '[', '【'), ']', '】'), "
+    "'\\n{3,}', chr(10) || chr(10), 'g'), '([^\\n。！？!?；;：:])\\n([^\\n])', '\\1。' || chr(10) || '\\2', 'g')"
+)
+_SIZED = "n as (select doc_id, chunk_idx, max(line_no) as n, max(start + len(text)) as reach from lines group by doc_id, chunk_idx)"
+_PLANNED = f"""{_SIZED},
+planned as (
+  select src.doc_id, src.chunk_idx, content, n, case when src.doc_id % 2 = 0 and n >= 3 then 2 else 1 end as parts,
+    (select max(start + len(text)) from lines l where l.doc_id = src.doc_id and l.line_no = 2) as e2, (select min(start) from lines l where l.doc_id = src.doc_id and l.line_no = 1) as s1,
+    (select min(start) from lines l where l.doc_id = src.doc_id and l.line_no = 3) as s3, reach
+  from src join n using (doc_id, chunk_idx)
+),
+cutup as (
+  select doc_id, chunk_idx, 1 as part_no, case when parts = 2 then '头' else 't' end as title, case when parts = 2 then {STRIP('substr(content, s1 + 1, e2 - s1)')} else content end as content from planned
+  union all
+  select doc_id, chunk_idx, 2, '尾', {STRIP('substr(content, s3 + 1, reach - s3)')} from planned where parts = 2
+)"""
+
+
+def chunk_planning() -> str:
+    return f"with recursive {_PROSE_CHUNKS}, {_lines('src')}, {_PLANNED} select doc_id, chunk_idx, part_no, title, content from cutup"
+
+
+def plan_then_rewrite() -> str:
+    return f"""with recursive {_PROSE_CHUNKS}, {_lines('src')}, {_PLANNED}
+select doc_id, (row_number() over (partition by doc_id order by chunk_idx, part_no) - 1)::int as chunk_idx, title, {_TTS('content')} as content from cutup"""
+
+
+def chunk_rewriting() -> str:
+    return f"""with recursive {_PROSE_CHUNKS}, {_lines('src')}, {_SIZED}, one as (select doc_id, chunk_idx, start, len(text) as k from lines where line_no = 1)
+select doc_id, chunk_idx, 't' as title, case when doc_id % 2 = 0 and n >= 2 then {STRIP("left(content, start) || '新' || substr(content, start + k + 1)")}
+  when n = 1 and doc_id % 2 = 1 then {STRIP('content')} else {_TTS('content')} end as content
+from src join n using (doc_id, chunk_idx) join one using (doc_id, chunk_idx)"""
+
+
+def presplit_chunks(most_chars: int = 1500, most_lines: int = 20) -> str:
+    return f"""with recursive {_BOOK_CHUNKS}, {_lines('src')},
+size as (select doc_id, chunk_idx, count(*) as n, sum(len('L' || line_no) + 3 + len(text)) as c from lines group by doc_id, chunk_idx),
+{_budget(most_chars, most_lines)},
+p as (select doc_id, chunk_idx, part, min(start) as a, max(start + len(text)) as b from bg join lines using (doc_id, chunk_idx, line_no) group by doc_id, chunk_idx, part)
+select doc_id, chunk_idx, part, 't（第' || (part + 1) || '部分）' as title, {STRIP('substr(content, a + 1, b - a)')} as content
+from p join src using (doc_id, chunk_idx) join size using (doc_id, chunk_idx) where n >= {most_lines} or c > {most_chars}
+union all
+select doc_id, chunk_idx, 0, 't', content from src left join size using (doc_id, chunk_idx) where not coalesce(n >= {most_lines} or c > {most_chars}, false)"""
+
+
+_REPLY = "\n".join(f"{i}|{A.NAMES[i % 4]}|0.{i % 10}|{'im' if i % 2 else 'zz'}|e{i}" for i in range(1, 10)) + "\n1|苏晚|0.95|ea|again\nbad | row"
+
+
+def service_calls() -> str:
+    reply = " || chr(10) || ".join(f"'{x}'" for x in _REPLY.split("\n"))
+    return f"with {A.SQL_QUOTES}, {_chaptered()} select distinct doc_id, chapter_idx, batch_no, {reply} as response, null::varchar as error, 0 as attempts from inch"
+
+
+def single_choice() -> str:
+    return f"""with {A.SQL_QUOTES}, {CAND}, {RANKED},
+opt as (select doc_id, quote_id, {DISTINCT("list_concat(candidates, ['未知'])")}[1:26] as names from ranked),
+x as (select doc_id, quote_id, case when quote_no % 7 <> 6 then names[(quote_no % 5) + 1] end as name from opt join q using (doc_id, quote_id))
+select doc_id, quote_id, coalesce(name, '未知') as speaker, case when name is null then 0.2::double else 0.8::double end as confidence, case when name is null then 'unknown' else 'implicit' end as attribution_type from x"""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import col, component, strip
+from ..functions import lexicon as L
+from ..functions.text import col, component, confidence_label, strip, voice_name, voice_style
 
 SEGMENT = "speaker string, text string, emotion string, style string, ref_audio string, ref_text string, voice_engine string, voice_name string, voice_locale string, cfg_value double, inference_timesteps int"
 EXPORT = [
@@ -41,28 +43,74 @@ def import_segments(rows: DataFrame, text: str = "json") -> DataFrame:
 
 
 def export_segments(segments: DataFrame) -> DataFrame:
-    """The export fields that are there, with a JSON line of each row."""
-    fields = [c for c in EXPORT if c in segments.columns]
-    return segments.select("doc_id", "seq", F.to_json(F.struct(*fields)).alias("json"))
-
-
-def read_rules(spark: SparkSession, path: str) -> list[tuple]:
-    """A rule profile's rules as (id, kind, source, target, priority); rules are configuration, so they come to the driver."""
-    profile = spark.read.json(path, multiLine=True)
-    rules = profile.select(F.explode("rules").alias("r")).select("r.id", F.coalesce("r.match_type", F.lit("literal")), "r.source", F.coalesce("r.target", F.lit("")), F.col("r.priority").cast("int"))
-    return [tuple(r) for r in rules.where("source <> ''").collect()]
-
-
-def _number(content, at: int, size: int) -> Column:
-    """A little-endian number of `size` bytes from byte `at`."""
-    return F.conv(F.concat(*[F.hex(F.substring(content, at + i + 1, 1)) for i in reversed(range(size))]), 16, 10).cast("long")
+    """doc_id, seq, json: the export fields that are there, empty texts for missing ones that are shown, and the marks a
+    reader sees (`_confidence`, `_evidence`, `_needs_review`)."""
+    kinds = dict(segments.dtypes)
+    blank = {"emotion": "neutral", "style": "", "voice_engine": "", "voice_name": "", "voice_locale": "", "attribution_type": ""}
+    field = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(blank[c])).alias(c) if c in blank and kinds[c] == "string" else F.col(c)
+    fields = [field(c) for c in EXPORT if c in segments.columns]
+    marks = []
+    if "confidence" in segments.columns:
+        unsure = F.col("speaker").isin("未知", "UNKNOWN") | F.coalesce(F.col("confidence") < 0.5, F.lit(False))
+        marks = [confidence_label("confidence").alias("_confidence"), unsure.alias("_needs_review")]
+    if "evidence" in segments.columns:
+        marks.append(F.coalesce("evidence", F.lit("")).alias("_evidence"))
+    return segments.select("doc_id", "seq", F.to_json(F.struct(*fields, *marks)).alias("json"))
+
+
+def restore_segments(rows: DataFrame) -> DataFrame:
+    """The inverse of export_segments(): empty texts are nulls again, missing speakers are the narrator, missing confidences 1."""
+    kinds = {"cfg_value": "double", "inference_timesteps": "int", "confidence": "double", "candidates": "array<string>", "scene_characters": "array<string>", "candidate_sources": "map<string,array<string>>"}
+    parsed = rows.select("doc_id", "seq", F.from_json("json", ", ".join(f"{c} {kinds.get(c, 'string')}" for c in EXPORT)).alias("s")).select("doc_id", "seq", "s.*")
+    default = {"speaker": "旁白", "text": "", "emotion": "neutral", "context_before": "", "context_after": ""}
+    text = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default[c])) if c in default else F.nullif(F.col(c), F.lit(""))
+    new = {c: text(c) for c in EXPORT if c not in kinds} | {"confidence": F.coalesce("confidence", F.lit(1.0))}
+    new |= {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("candidates", "scene_characters")} | {"candidate_sources": F.coalesce("candidate_sources", F.create_map().cast("map<string,array<string>>"))}
+    return parsed.withColumns(new)
+
+
+GOLD = "quote_id string, quote_text string, speaker string, addressee string, evidence string, attribution_type string, scene_characters array<string>, candidates array<string>, confidence double"
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled quotes, a JSON object a line; broken lines are left out."""
+    return gold_of(spark.read.text(path), "value")
+
+
+def gold_of(rows: DataFrame, text: str = "json") -> DataFrame:
+    """The same from a text column; the other columns stay."""
+    keep = [c for c in rows.columns if c != text]
+    parsed = rows.select(*keep, F.from_json(text, GOLD).alias("g")).where("g.quote_id is not null and g.speaker is not null")
+    return parsed.select(*keep, "g.*")
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[list[tuple], list[str], list[str]]:
+    """A rule profile: rules as (id, kind, source, target, priority), preserved tokens, enabled steps. Configuration, so it
+    comes to the driver. A missing or broken profile gives the built-in one; rules without a source go."""
+    schema = (
+        "rules array<struct<id:string,match_type:string,source:string,target:string,priority:int>>, preserve array<string>, "
+        "pipeline array<struct<id:string,action:string,enabled:boolean>>, _broken string"
+    )
+    try:
+        found = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_broken").json(path, multiLine=True).first()
+    except AnalysisException:
+        found = None
+    if found is None or found["_broken"] is not None:
+        return list(L.DEFAULT_RULES), list(L.PRESERVED), list(L.PREPROCESS_STEPS)
+    rules = [(r["id"] or r["source"], (r["match_type"] or "literal").strip().lower(), r["source"], r["target"] or "", r["priority"] or 0) for r in found["rules"] or [] if r["source"]]
+    steps = [p["action"].strip().lower() for p in found["pipeline"] or [] if p["action"] and p["enabled"] is not False]
+    return rules, [t for t in found["preserve"] or [] if t], steps
 
 
 def wav_metadata(files: DataFrame) -> DataFrame:
-    """binaryFile rows of PCM16 clips with a plain 44-byte header -> path, channels, sample_rate, frames, duration."""
-    head = F.substring("content", 1, 44)
-    base = files.select("path", _number(head, 22, 2).alias("channels"), _number(head, 24, 4).alias("sample_rate"), _number(head, 40, 4).alias("bytes"), _number(head, 34, 2).alias("bits"))
-    frames = F.when(F.col("channels") > 0, F.floor(F.col("bytes") / (F.col("channels") * F.col("bits") / 8))).otherwise(0)
+    """binaryFile rows of PCM clips -> path, channels, sample_rate, frames, duration; other chunks may stand before the data."""
+    head = F.hex(F.substring("content", 1, 4096))
+    little = lambda h: F.conv(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
+    short = lambda h: F.conv(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("long")
+    form, data = r"^(?:..)*?666D7420.{8}(.{4})(.{4})(.{8}).{12}(.{4})", r"^(?:..)*?64617461(.{8})"
+    part = lambda p, i: F.nullif(F.regexp_extract(head, p, i), F.lit(""))
+    base = files.select("path", short(part(form, 2)).alias("channels"), little(part(form, 3)).alias("sample_rate"), short(part(form, 4)).alias("bits"), little(part(data, 1)).alias("bytes"))
+    frames = F.when(F.col("channels") * F.col("bits") > 0, F.floor(F.col("bytes") / (F.col("channels") * F.col("bits") / 8))).otherwise(0)
     return base.withColumn("frames", frames).withColumn("duration", F.when(F.col("sample_rate") > 0, F.col("frames") / F.col("sample_rate")).otherwise(0.0)).drop("bytes", "bits")
 
 
@@ -112,14 +160,36 @@ def base_url(c) -> Column:
     return F.when(F.endswith(x, F.lit("/v1")), x).otherwise(F.concat(x, F.lit("/v1")))
 
 
+def absolute_url(base, url) -> Column:
+    """A file's address below a base address; whole addresses and missing ones stay."""
+    u, b = col(url), F.rtrim(strip(col(base)), F.lit("/"))
+    return F.when(F.coalesce(u, F.lit("")) == "", u).when(u.rlike("^https?://"), u).otherwise(F.concat(b, F.lit("/"), F.ltrim(u, F.lit("/"))))
+
+
+def voice_join(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """wanted (voice_name, …) with found, system_voice_name, voice_style of the catalogue's voice (name, locale, gender) of the
+    same normalised name, the first of them by locale; a left join on a table of voices, which is small."""
+    per = catalogue.groupBy(voice_name("name").alias("_k")).agg(F.min_by(F.struct("name", "locale", "gender"), F.struct("locale", "name")).alias("_v"))
+    both = wanted.withColumn("_n", voice_name("voice_name")).join(per, F.col("_n") == F.col("_k"), "left")
+    style = F.when(F.col("_v").isNotNull(), voice_style("_v.gender", "_v.locale"))
+    return both.select(*wanted.columns, F.col("_v").isNotNull().alias("found"), F.col("_v.name").alias("system_voice_name"), style.alias("voice_style"))
+
+
 def archive_name(base, idx) -> Column:
     return F.concat(component(base), F.format_string("_%03d.wav", col(idx)))
 
 
 def write_jsonl(segments: DataFrame, path: str) -> None:
+    """A JSON line a segment."""
     segments.write.json(path)
 
 
+def as_objects(segments: DataFrame) -> DataFrame:
+    """doc_id, json: a document's segments as one object {"segments": [...]}, in order."""
+    lines = export_segments(segments)
+    return lines.groupBy("doc_id").agg(F.concat(F.lit('{"segments":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "json"))), lambda x: x["json"]), ","), F.lit("]}")).alias("json"))
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
     shown = manifest.withColumn("duration_seconds", F.format_string("%.2f", "duration_seconds"))
     shown.write.option("sep", "\t").csv(path, header=True)

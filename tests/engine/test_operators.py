@@ -359,6 +359,10 @@ def test_wav_headers_and_uploads(spark, tmp_path):
         w.writeframes(b"\0" * 4 * 22050)
     r = io.wav_metadata(spark.read.format("binaryFile").load(str(tmp_path))).first()
     assert (r.channels, r.sample_rate, r.frames, r.duration) == (2, 22050, 22050, 1.0)
+    raw = (tmp_path / "a.wav").read_bytes()
+    (tmp_path / "b.wav").write_bytes(raw[:36] + b"LIST\x04\0\0\0data" + raw[36:])
+    r = io.wav_metadata(spark.read.format("binaryFile").load(str(tmp_path / "b.wav"))).first()
+    assert (r.channels, r.sample_rate) == (2, 22050)
     name, raw = io.decode_upload(F.lit("My voice.WAV"), F.lit("data:audio/wav;base64," + base64.b64encode(b"abc").decode()))
     r = spark.range(1).select(name.alias("n"), raw.alias("r")).first()
     assert bytes(r.r) == b"abc" and re.fullmatch(r"My_voice_[0-9a-f]{10}\.wav", r.n)
@@ -373,10 +377,21 @@ def test_files_go_out_and_come_back(spark, tmp_path):
     (tmp_path / "h.json").write_text('{"陆沉": ["陆公子"]}', encoding="utf-8")
     assert values(io.read_hints(spark, str(tmp_path / "h.json")), "canonical", "aliases") == [("陆沉", ["陆公子"])]
     (tmp_path / "r.json").write_text('{"rules": [{"id": "a", "match_type": "regex", "source": "x+", "target": "y", "priority": 3}]}')
-    rules = io.read_rules(spark, str(tmp_path / "r.json"))
-    out, hits = T.preprocess("text", rules, [])
+    rules, preserved, steps = io.read_rules(spark, str(tmp_path / "r.json"))
+    assert (preserved, steps) == ([], [])
+    out, hits = T.preprocess("text", rules, preserved)
     r = docs(spark, "axxbx").select(out.alias("o"), hits["a"].alias("h")).first()
     assert (r.o, r.h) == ("ayby", 2)
+    (tmp_path / "p.json").write_text('{"rules": [{"source": "a", "target": "b"}, {"source": ""}], "preserve": ["x"], "pipeline": [{"id": "h", "action": "HTML_unescape"}, {"id": "o", "action": "apply_ordered_rules", "enabled": false}]}')
+    rules, preserved, steps = io.read_rules(spark, str(tmp_path / "p.json"))
+    assert (rules, preserved, steps) == ([("a", "literal", "a", "b", 0)], ["x"], ["html_unescape"])
+    out, hits = T.preprocess("text", rules, preserved, steps)
+    assert docs(spark, "a&amp;x").select(out.alias("o")).first().o == "a&x" and not hits
+    (tmp_path / "broken.json").write_text("{no json")
+    for path in ("broken.json", "nowhere.json"):
+        assert io.read_rules(spark, str(tmp_path / path)) == (L.DEFAULT_RULES, L.PRESERVED, list(L.PREPROCESS_STEPS))
+    (tmp_path / "gold.jsonl").write_text('{"quote_id": "q1", "speaker": "甲", "scene_characters": ["甲"]}\nbroken\n{"quote_id": "q2"}\n', encoding="utf-8")
+    assert values(io.read_gold(spark, str(tmp_path / "gold.jsonl")), "quote_id", "speaker") == [("q1", "甲")]
     io.write_manifest(spark.createDataFrame([("v", 1, 2.0)], "file string, segments int, duration_seconds double"), str(tmp_path / "m"))
     assert "2.00" in next((tmp_path / "m").glob("part*")).read_text()
 
@@ -397,6 +412,84 @@ def test_catalogue_and_models(spark):
     assert (r.a, r.b) == ("mimo:clone", "local")
 
 
+def test_recognised_names():
+    reply = {"entities": [{"text": " 陆沉 ", "label": "PER"}, {"word": "城", "type": "LOC"}], "more": [[("苏晚", "x", "NR"), ("雨",)], [{"a": {"span": "陆沉", "tag": "人名"}}], None, "陆"]}
+    assert service.person_names(reply) == ["陆沉", "苏晚"] and service.person_names(None) == []
+
+
+def test_recognised_names_of_rows(spark):
+    rows = spark.createDataFrame([(1, "甲乙"), (2, "")], "doc_id long, context string")
+    backend = service.RecognisedJson(lambda t: '[{"text": "%s", "label": "PER"}, {"text": "%s", "label": "PER"}]' % (t[:1], t[:1]))
+    assert [r.entities for r in service.recognise(rows, backend).orderBy("doc_id").collect()] == [["甲"], []]
+
+
+def test_choices_of_one_quote():
+    row = {"context_before": "前", "text": "句", "context_after": "后"}
+    ranker = lambda reply: service.ChoiceRanker(service.Scripted(lambda prompt: reply))
+    assert ranker('{"choice": "b", "confidence": 0.9}').rank(row, ["甲", "乙"], ["甲"]) == ("乙", 0.9, "选择 B", "implicit")
+    assert ranker("choice = C").rank(row, ["甲", "乙"], [])[:2] == ("未知", 0.5) and ranker("?").rank(row, ["甲"], [])[0] == "未知"
+    assert ranker('{"choice": "Z"}').rank(row, ["甲"], [])[3] == "unknown"
+
+
+def test_one_answer_format_for_columns_and_stages(spark):
+    reply = "<think>1|a|1|eb|x</think>\n# 1|h|1|eb\n1|甲|0.9|eb|e\n 2、 | 乙|x|zz\n1| 丙 |7|la| f \r\n3|丁|0.1\n0|x|1|im|\n9|x|1|im|\n<think>2|cut|1|im"
+    stage = service.decode_answers(reply, 3)
+    ids = ["q1", "q2", "q3"]
+    rows = spark.createDataFrame([(1, ids, reply)], "batch_id long, quote_ids array<string>, response string")
+    columns = {ids.index(r.quote_id): (r.speaker, r.confidence, r.attribution_type, r.evidence) for r in codecs.decode_attributions(rows).collect()}
+    assert stage == columns == {0: ("丙", 1.0, "latent", "f"), 1: ("乙", 0.5, "implicit", "")}
+
+
+def test_clips_of_one_output_share_a_format(spark):
+    clips = spark.createDataFrame([(1, 1, 10, 16000, 1), (1, 2, 10, 22050, 1)], "out long, idx long, frames long, sample_rate int, channels int")
+    assert audio.require_one_format(clips.where("idx = 1")).count() == 1
+    with pytest.raises(Exception, match="differ in format"):
+        audio.require_one_format(clips).collect()
+
+
+def test_inherited_line_ids(spark):
+    chunk = spark.createDataFrame([(1, 0, "t", "一\n\n二\n三", ["L7", "L8", "L9"]), (2, 0, "t", "一\n二", ["L7"])], "doc_id long, chunk_idx int, title string, content string, ids array<string>")
+    got = splitting.line_slices(chunk, 2, 9, "ids").orderBy("doc_id", "part")
+    assert values(got, "doc_id", "title", "content", "line_ids") == [(1, "t（第1部分）", "一\n\n二", ["L7", "L8"]), (1, "t（第2部分）", "三", ["L9"]), (2, "t（第1部分）", "一\n二", ["L1", "L2"])]
+
+
+def test_progress_is_observed(spark):
+    rows = spark.createDataFrame([("甲", 0.9), ("未知", 0.2)], "speaker string, confidence double")
+    counted, seen = segments.observed(rows)
+    counted.collect()
+    assert seen.get == {"rows": 2, "doubtful": 1, "unknown": 1}
+
+
+def test_context_modes(spark):
+    chunks = spark.createDataFrame([(1, i, t) for i, t in enumerate(["甲 - 1", "甲 - 2", "乙", "甲 - 3"])], "doc_id long, chunk_idx int, title string")
+    modes = {m: [r.group_no for r in service.context_groups(chunks, m).orderBy("chunk_idx").collect()] for m in ("off", "full", "chapter")}
+    assert modes == {"off": [1, 2, 3, 4], "full": [1, 1, 1, 1], "chapter": [1, 1, 2, 3]}
+
+
+def test_prompt_budgets():
+    from lectern.plans.novel import prompt_budget
+
+    assert [prompt_budget(*x) for x in ((None, 100), (None, 1000), (None, 9000), (3000, 0))] == [1800, 2400, 6000, 3000]
+
+
+def test_review_counts_of_a_ranker(spark):
+    rows = [(1, 1, "甲", 0.96, "e", "implicit", ["甲", "乙"]), (1, 2, "甲", 0.42, "e", "implicit", ["甲", "乙"]), (1, 3, "甲", 0.5, "e", "implicit", ["甲"])]
+    df = spark.createDataFrame(rows, "doc_id long, seq int, speaker string, confidence double, evidence string, attribution_type string, candidates array<string>")
+    assert segments.review_counts(segments.review_write_back(df, service.FirstChoice())).first().asDict() == {"doc_id": 1, "total_reviewed": 2, "corrected": 1, "confirmed": 1, "failed": 0, "skipped": 1}
+
+
+def test_timelines_and_archives_are_written(spark, tmp_path):
+    lines = spark.createDataFrame([(1, 2, "[00:01.00]b"), (1, 1, "[00:00.00]a")], "out long, idx long, line string")
+    io.write_lrc(lines, str(tmp_path / "lrc"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "lrc")).collect()] == ["[00:00.00]a", "[00:01.00]b"]
+    rows = spark.createDataFrame([("2024-01-01", "wav", "x")], "day string, category string, path string")
+    io.write_archive(rows, str(tmp_path / "arc"))
+    assert spark.read.parquet(str(tmp_path / "arc/day=2024-01-01/category=wav")).first().path == "x"
+    for _ in range(2):
+        io.append_calls(rows, str(tmp_path / "calls"))
+    assert spark.read.parquet(str(tmp_path / "calls")).count() == 2
+
+
 def test_streams(spark, tmp_path):
     from lectern.streaming import context
 
