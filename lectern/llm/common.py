@@ -31,10 +31,12 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a session that names none, such as a
-    local one in a test, gets a temporary folder of its own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. A local session that names none gets a
+    temporary folder of its own; on a cluster that is an error, as executors could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_folders:
             _own_folders[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -42,10 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: dict[str, list[str]] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, known to clear_scratch()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,9 +71,14 @@ def discard(*frames: DataFrame) -> None:
     """Delete what materialize() wrote for these frames; call it only when all that reads them is written."""
     for df in frames:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            spark = df.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this session's operators left in the shared folder. For callers that have written their results: a result
+    that is still to be read may rest on such a table."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 @contextmanager
@@ -92,6 +114,29 @@ def utf8_parts(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def shards(batches, column: str, limit: int):
+    """Record batches cut anew so that each holds about `limit` bytes of a text column: small ones are joined, large ones
+    sliced by whole rows. A longer row stands alone."""
+    import pyarrow as pa
+
+    held, size = [], 0
+
+    def whole():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        _, offsets = utf8_parts(batch.column(column))
+        for first, end in segments(offsets, limit):
+            part = int(offsets[end] - offsets[first])
+            if held and size + part > limit:
+                yield whole()
+                held, size = [], 0
+            held.append(batch.slice(first, end - first))
+            size += part
+    if held:
+        yield whole()
+
+
 def segments(offsets: np.ndarray, limit: int = SEGMENT_BYTES):
     """Runs (first row, end row) of whole rows holding about `limit` bytes each; a longer row stands alone."""
     first, n = 0, len(offsets) - 1

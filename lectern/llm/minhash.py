@@ -23,8 +23,12 @@ from .components import connected_components
 WORDS, SHARE, BANDS, ROWS, BATCH, MISS = 5, (3, 4), 48, 6, 32, 1e-5
 HASHES = BANDS * ROWS
 BLOCK = 256
+#: Members that are checked against one copy of their pivot's text.
+GROUP = 512
 #: So many document ids (some ten MB) may be broadcast.
 BROADCAST_IDS = 1_000_000
+#: A class of equal sets with more rows than this is joined by broadcast, apart from the others, so no task gets all of it.
+HOT_ROWS = 20_000
 
 _rng = np.random.default_rng(20_011)
 _MULTIPLY = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -123,28 +127,26 @@ def _prune(batches):
 
 
 def _verify(batches):
-    """Exact test on full sets. Sets of ids seen just before are kept, as pairs come sorted by a."""
+    """Exact test on full sets over rows sorted by group: a group's pivot (role 0), whose set is held, then its members."""
     import pyarrow as pa
 
     num, den = SHARE
+    pivot, held = None, None
     for batch in batches:
-        kept_a, kept_b, last, held = [], [], None, None
-        texts_a, texts_b = utf8_parts(batch.column("text_a")), utf8_parts(batch.column("text_b"))
-
-        def one(parts, i):
-            data, offsets = parts
+        kept_a, kept_b = [], []
+        data, offsets = utf8_parts(batch.column("text"))
+        for i, (a, rid, role) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "rid", "role")))):
             span = data[offsets[i] : offsets[i + 1]]
-            words, _ = words_of(span, np.array([0, len(span)]), SPACE_SEPARATED)
-            return shingle_set(words)
-
-        for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
-            if a != last:
-                last, held = a, one(texts_a, i)
-            other = one(texts_b, i)
-            both = len(np.intersect1d(held, other, assume_unique=True))
-            if both and den * both >= num * (len(held) + len(other) - both):
+            if role and pivot != a:
+                continue
+            found = shingle_set(words_of(span, np.array([0, len(span)]), SPACE_SEPARATED)[0])
+            if not role:
+                pivot, held = a, found
+                continue
+            both = len(np.intersect1d(held, found, assume_unique=True))
+            if both and den * both >= num * (len(held) + len(found) - both):
                 kept_a.append(a)
-                kept_b.append(b)
+                kept_b.append(rid)
         yield pa.RecordBatch.from_arrays([pa.array(kept_a, pa.int64()), pa.array(kept_b, pa.int64())], ["a", "b"])
 
 
@@ -155,16 +157,27 @@ def _with_both(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
 
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts whose rid is among ids (distinct, written). Few ids are broadcast, behind a count, so other texts
-    stay where they are; beyond, one shuffle sorts them out."""
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rid", "left_semi")
+    """The rows of texts whose rid is among ids (distinct, written), one a rid. Few ids are broadcast, behind a count, so other
+    texts stay where they are; beyond, one shuffle sorts them out. Rows of one rid: the one whose text sorts first."""
+    some = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rid", "left_semi")
+    return some.groupBy("rid").agg(F.min("text").alias("text"))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among pairs (a, b); only the texts of ids in a pair are moved."""
-    wanted = materialize(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "minhash-wanted")
-    full = _with_both(pairs, _only(texts, wanted), "text")
-    return full.sortWithinPartitions("a").mapInArrow(_verify, "a long, b long")
+    """Links among pairs (a, b), a a pivot.
+
+    A pivot's members are dealt into groups of about GROUP, so a pivot of any size is many tasks' work, and its text is sent
+    once a group, not once a pair. Only the texts of ids in a pair are moved.
+    """
+    dealt = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    members = pairs.join(dealt, "a").select("a", F.col("b").alias("rid"), F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.lit(1).alias("role"))
+    pivots = dealt.select("a", F.col("a").alias("rid"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("role"))
+    rows = materialize(members.unionByName(pivots), "minhash-groups")
+    wanted = materialize(rows.select("rid").distinct(), "minhash-wanted")
+    full = rows.join(_only(texts, wanted), "rid").select("a", "g", "role", "rid", "text")
+    links = materialize(full.repartition("a", "g").sortWithinPartitions("a", "g", "role").mapInArrow(_verify, "a long, b long"), "minhash-links")
+    discard(rows, wanted)
+    return links
 
 
 PAIRS_AT_ONCE = 1 << 17
@@ -191,6 +204,13 @@ def _linked_pairs(table):
         span = data[offsets[row] : offsets[row + 1]]
         return shingle_set(words_of(span, np.array([0, len(span)]), SPACE_SEPARATED)[0])
 
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
     first = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
     end = np.append(first[1:], len(rid))
     minors = np.add.reduceat(role == 0, first)
@@ -212,11 +232,16 @@ def _linked_pairs(table):
         here = common.argmax(axis=1) == band[i] if len(i) else alive[:0]
         found = []
         for x, y in zip(i[here].tolist(), j[here].tolist()):
+            # components that this task has joined need no second link
+            u, v = root(int(comp[x])), root(int(comp[y]))
+            if u == v:
+                continue
             one, two = full_set(x), full_set(y)
             if num * max(len(one), len(two)) > den * min(len(one), len(two)):
                 continue
             both = len(np.intersect1d(one, two, assume_unique=True))
             if den * both >= num * (len(one) + len(two) - both):
+                parent[max(u, v)] = min(u, v)
                 found.append((min(rid[x], rid[y]), max(rid[x], rid[y])))
         cols = np.array(found, np.int64).reshape(-1, 2).T
         yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1])], ["a", "b"])
@@ -243,9 +268,9 @@ def _cross(batches):
         yield from _linked_pairs(held.combine_chunks())
 
 
-def _open_blocks(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+def _open_blocks(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Rows of the buckets that hold several components, apart from their pivots, dealt into pairs of blocks: the members
-    outside a bucket's main component (role 0) against all of its members (role 1)."""
+    outside a bucket's main component (role 0) against all of its members (role 1). Also the written tables it reads."""
     where = members.where("rid <> pivot").join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select("bucket", "band", "rid", F.coalesce("component", "rid").alias("comp"))
     per = where.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     split = per.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "main", "size", (F.col("size") - F.col("top")).alias("minor"))
@@ -257,10 +282,9 @@ def _open_blocks(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts:
     pairs = F.map_from_entries(F.collect_list(F.struct("band", "bucket")))
     mine_all = open_.groupBy("rid").agg(pairs.alias("m")).select("rid", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long"))).alias("buckets"))
     mine_all = materialize(mine_all, "minhash-open-rids")
-    one_text = _only(texts, mine_all.select("rid")).dropDuplicates(["rid"])
-    full = sigs.join(mine_all, "rid").join(one_text, "rid")
+    full = sigs.join(mine_all, "rid").join(_only(texts, mine_all.select("rid")), "rid")
     blocks = as_minor.unionByName(as_any).join(full, "rid").repartition("bucket", "mb", "ab")
-    return blocks.sortWithinPartitions("bucket", "mb", "ab", "role")
+    return blocks.sortWithinPartitions("bucket", "mb", "ab", "role"), [open_, mine_all]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -274,7 +298,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(base.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "minhash-signed")
-    classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")), "minhash-classes")
+    classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig"), F.count("*").alias("n_rows")), "minhash-classes")
     sigs = classes.select("rid", "sig")
     texts = base.withColumnRenamed("doc_id", "rid")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substring("sig", k * 2 * ROWS + 1, F.lit(2 * ROWS)), k))).alias("band", "bucket")
@@ -283,18 +307,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(placed.join(shared, "bucket"), "minhash-members")
     met = materialize(members.where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct(), "minhash-pairs")
     kept = materialize(_with_both(met, sigs, "sig").mapInArrow(_prune, "a long, b long"), "minhash-kept")
-    links = materialize(_confirm(kept, texts), "minhash-links")
+    links = _confirm(kept, texts)
     labels = connected_components(links, "minhash-cc")
     with batches_of(spark, 1000):
-        late = materialize(_open_blocks(members, labels, sigs, texts).mapInArrow(_cross, "a long, b long"), "minhash-cross")
+        blocks, read = _open_blocks(members, labels, sigs, texts)
+        late = materialize(blocks.mapInArrow(_cross, "a long, b long"), "minhash-cross")
     if late.limit(1).count():
         first, labels = labels, connected_components(links.unionByName(late), "minhash-cc")
         discard(first)
-    discard(members, met, kept, links, late)
-    named = classes.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rid").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["n_shingles", "set_a", "set_b"], "left")
+    discard(members, met, kept, links, late, *read)
+    named = classes.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select("n_shingles", "set_a", "set_b", "n_rows", F.coalesce("component", "rid").alias("component"))
+    named = materialize(named, "minhash-named")
+    discard(classes, labels)
+    key = ["n_shingles", "set_a", "set_b"]
+    hot = named.where(F.col("n_rows") > HOT_ROWS).select(*key, F.col("component").alias("hot"))
+    # there are at most rows / HOT_ROWS hot classes; their rows take part in no shuffle, nor do those without words
+    known = signed.select("doc_id", *key).join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, key, "left")
+    done = known.where("hot is not null or n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("hot").alias("component"))
+    rest = known.where("hot is null and n_shingles > 0 and doc_id is not null").join(named, key).select("doc_id", "n_shingles", "component")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", group.alias("component_id"), (F.col("doc_id") == group).alias("kept"))
+    return done.unionByName(rest).select("doc_id", "n_shingles", group.alias("component_id"), (F.col("doc_id") == group).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

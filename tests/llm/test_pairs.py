@@ -76,6 +76,30 @@ def test_near_duplicates_of_a_large_bucket(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_beyond_the_bounds(spark, monkeypatch):
+    """The ways for large data: ids that are not broadcast, pivots dealt into groups, classes too hot for one task."""
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(minhash, "GROUP", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows = near_rows()
+    rows += [(1000 + i, rows[3][1]) for i in range(30)]
+    for hot in (3, 1_000_000):
+        monkeypatch.setattr(minhash, "HOT_ROWS", hot)
+        got = minhash.near_duplicates(frame(spark, [(i, t, "s") for i, t in rows])).collect()
+        assert len(got) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from lectern.llm.common import clear_scratch, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    minhash.near_duplicates(frame(spark, [(1, "a b c d e f", "s"), (2, "a b c d e f", "s")])).collect()
+    clear_scratch(spark)
+    assert not [f for f in os.listdir(folder) if f.startswith("minhash")]
+
+
 def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
     text = "a b c d e f g"
     got = minhash.near_duplicates(frame(spark, [(5, text, "s"), (5, text, "s"), (7, text, "s"), (None, text, "s")])).collect()
