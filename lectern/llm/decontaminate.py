@@ -1,8 +1,9 @@
 """Benchmark passages in training documents, found with suffix arrays over the documents' words.
 
-Each shard of documents (an Arrow batch) gets a suffix array over its words; every suffix of every benchmark item is
+Each shard of documents (SHARD_BYTES of text) gets a suffix array over its words; every suffix of every benchmark item is
 binary-searched in it, which gives all verbatim occurrences, their locations and, merged along a diagonal, the longest
-matches.
+matches. A benchmark of up to BROADCAST_BYTES is sent to the tasks and judged in one pass. A larger one is worked off in
+blocks, one pass each: a block's hits are written before the next block is sent, and documents get the union of their hits.
 
 Defined results
 * words are runs of 0-9, a-z (A-Z lowered) and non-ASCII characters; null text has none: n_words 0, not contaminated;
@@ -18,11 +19,13 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM_WORDS, utf8_parts, words_of
+from .common import ALNUM_WORDS, discard, materialize, shards, utf8_parts, words_of
 
 WINDOW = 10
-#: The benchmark travels to the tasks in blocks of about so many bytes of text, so no single broadcast grows with it.
-BLOCK_BYTES = 16 << 20
+#: A suffix array is made over about so many bytes of text.
+SHARD_BYTES = 32 << 20
+#: Most bytes of benchmark text that are broadcast at once.
+BROADCAST_BYTES = 16 << 20
 
 
 class Bench:
@@ -122,93 +125,172 @@ def shard_matches(hashes: np.ndarray, at: np.ndarray, bench: Bench) -> tuple[np.
     return origin[order[np.repeat(lo[hit], many) + inside]], which
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    spark = benchmark.sparkSession
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    out = []
-    for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect()
-        out.append(spark.sparkContext.broadcast(Bench(sorted((r[0], r[1]) for r in rows), window)))
-    return out
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+
+def _block_count(benchmark: DataFrame, block_bytes: int) -> int:
+    total = _items(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-total // block_bytes))
+
 
+def _block(benchmark: DataFrame, window: int, block: int, blocks: int):
+    """One block of the benchmark as a broadcast; its size is bounded by how blocks are cut."""
+    rows = _items(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+    return benchmark.sparkSession.sparkContext.broadcast(Bench(sorted((r[0], r[1]) for r in rows), window))
 
-def _judged(batch, blocks):
-    """Per row: words, hit words and the ids of occurring items."""
-    data, offsets = utf8_parts(batch.column("text"))
-    hashes, at = words_of(data, offsets, ALNUM_WORDS)
-    n = len(offsets) - 1
-    cover, items = np.zeros(len(hashes) + 1, np.int64), [set() for _ in range(n)]
-    for block in blocks:
-        bench = block.value
-        position, window = shard_matches(hashes, at, bench)
-        if len(position):
-            np.add.at(cover, position, 1)
-            np.add.at(cover, position + bench.size[window], -1)
-            pairs = np.unique(np.stack([np.searchsorted(at, position, side="right") - 1, bench.owner[window]]), axis=1)
-            for row, item in pairs.T.tolist():
-                items[row].add(item)
+
+def _matches(hashes: np.ndarray, at: np.ndarray, bench: Bench):
+    """Maximal verbatim matches as (row, item, first word in the row, first word in the item, words)."""
+    position, which = shard_matches(hashes, at, bench)
+    if not len(position):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    doc = np.searchsorted(at, position, side="right") - 1
+    begin, place, size, owner = position - at[doc], bench.place[which], bench.size[which], bench.owner[which]
+    order = np.lexsort((begin, begin - place, owner, doc))
+    doc, begin, place, size, owner = (x[order] for x in (doc, begin, place, size, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (begin[1:] - place[1:] != begin[:-1] - place[:-1]) | (begin[1:] > begin[:-1] + 1)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(order)) - 1
+    return doc[starts], owner[starts], begin[starts], place[starts], begin[ends] + size[ends] - begin[starts]
+
+
+def _covered(n_rows: int, at: np.ndarray, doc: np.ndarray, begin: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How many words of each row lie in a match."""
+    cover = np.zeros(int(at[-1]) + 1, np.int64)
+    np.add.at(cover, at[doc] + begin, 1)
+    np.add.at(cover, at[doc] + begin + words, -1)
     hit = np.append(0, np.cumsum(np.cumsum(cover[:-1]) > 0))
-    return np.diff(at), hit[at[1:]] - hit[at[:-1]], items
+    return hit[at[1:]] - hit[at[:-1]]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """-> doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted as strings)."""
-    blocks = _blocks(benchmark, window, block_bytes)
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, longest_match long"
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            words, hits, items = _judged(batch, blocks)
-            names = [sorted(map(str, x)) for x in items]
-            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(hits), pa.array([len(x) for x in names], pa.int64()), pa.array(digests, pa.string()), pa.array(hits > 0), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+def _report(ids, n_words, n_hit, items, longest):
+    import pyarrow as pa
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    names = [sorted(map(str, x)) for x in items]
+    digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digests, pa.string()), pa.array(np.asarray(n_hit) > 0), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int64())],
+        [c.split()[0] for c in SCHEMA.split(", ")],
+    )
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Maximal verbatim matches: doc_id, item_id, doc_word, item_word, n_words."""
-    blocks = _blocks(benchmark, window, block_bytes)
+def _judged(batch, bench: Bench):
+    """Per row: words, hit words, the ids of occurring items, words of the longest match."""
+    hashes, at = words_of(*utf8_parts(batch.column("text")), ALNUM_WORDS)
+    n = batch.num_rows
+    doc, owner, begin, _, words = _matches(hashes, at, bench)
+    items, longest = [set() for _ in range(n)], np.zeros(n, np.int64)
+    for row, item in set(zip(doc.tolist(), owner.tolist())):
+        items[row].add(item)
+    np.maximum.at(longest, doc, words)
+    return np.diff(at), _covered(n, at, doc, begin, words), items, longest
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            hashes, at = words_of(*utf8_parts(batch.column("text")), ALNUM_WORDS)
-            ids = batch.column("doc_id").to_pylist()
-            rows = []
-            for block in blocks:
-                bench = block.value
-                position, which = shard_matches(hashes, at, bench)
-                if not len(position):
-                    continue
-                doc = np.searchsorted(at, position, side="right") - 1
-                begin, place, size, owner = position - at[doc], bench.place[which], bench.size[which], bench.owner[which]
-                order = np.lexsort((begin, begin - place, owner, doc))
-                doc, begin, place, size, owner = (x[order] for x in (doc, begin, place, size, owner))
-                new = np.ones(len(order), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (begin[1:] - place[1:] != begin[:-1] - place[:-1]) | (begin[1:] > begin[:-1] + 1)
-                starts = np.flatnonzero(new)
-                ends = np.append(starts[1:], len(order)) - 1
-                rows += zip((ids[d] for d in doc[starts]), owner[starts].tolist(), begin[starts].tolist(), place[starts].tolist(), (begin[ends] + size[ends] - begin[starts]).tolist())
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, doc_word long, item_word long, n_words long")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without contaminated rows, all columns kept; one pass, no shuffle."""
-    blocks = _blocks(benchmark, window, block_bytes)
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """-> doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted as strings), longest_match (words)."""
+    slim, blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _block_count(benchmark, block_bytes)
+    if blocks > 1:
+        return _by_blocks(slim, benchmark, window, blocks)
+    shared = _block(benchmark, window, 0, 1)
 
     def run(batches):
+        for batch in shards(batches, "text", SHARD_BYTES):
+            yield _report(batch.column("doc_id"), *_judged(batch, shared.value))
+
+    return slim.mapInArrow(run, SCHEMA)
+
+
+def _row_key():
+    """Rows of equal id and text have equal keys, and equal results."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), F.col("text"), F.col("doc_id")).alias("k2")]
+
+
+def _by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, blocks: int) -> DataFrame:
+    """contamination() with one pass a block. Matches of a row are few; they are grouped by row and united."""
+    keyed = docs.select(*_row_key(), "doc_id", "text")
+    found = None
+    for b in range(blocks):
+        shared = _block(benchmark, window, b, blocks)
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            for batch in shards(batches, "text", SHARD_BYTES):
+                hashes, at = words_of(*utf8_parts(batch.column("text")), ALNUM_WORDS)
+                doc, owner, begin, _, words = _matches(hashes, at, shared.value)
+                rows = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([batch.column("k1").take(rows), batch.column("k2").take(rows), pa.array(owner), pa.array(begin), pa.array(words)], ["k1", "k2", "item", "begin", "words"])
+
+        part = materialize(keyed.mapInArrow(run, "k1 long, k2 long, item long, begin long, words long").distinct(), "bench-hits")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    spans = F.array_sort(F.collect_set(F.struct("begin", "words")))
+    # united length of sorted spans: what reaches beyond the end so far counts
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc, s):
+        end = s["begin"] + s["words"]
+        return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0).cast("long"), end - F.greatest(acc["end"], s["begin"]))).alias("n"))
+
+    per = found.groupBy("k1", "k2").agg(F.aggregate(spans, start, step, lambda acc: acc["n"]).alias("n_hit"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"), F.max("words").alias("longest_match"))
+
+    def count(batches):
         import pyarrow as pa
 
         for batch in batches:
-            _, hits, _ = _judged(batch, blocks)
-            yield batch.filter(pa.array(hits == 0))
+            _, at = words_of(*utf8_parts(batch.column("text")), ALNUM_WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("doc_id"), pa.array(np.diff(at))], ["k1", "k2", "doc_id", "n_words"])
+
+    rows = keyed.mapInArrow(count, "k1 long, k2 long, doc_id long, n_words long").join(per, ["k1", "k2"], "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", none), "longest_match": F.coalesce("longest_match", F.lit(0)).cast("long")})
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "longest_match")
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Maximal verbatim matches: doc_id, item_id, doc_word, item_word, n_words. A block of the benchmark a pass, as above."""
+    slim, blocks, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _block_count(benchmark, block_bytes), None
+    for b in range(blocks):
+        shared = _block(benchmark, window, b, blocks)
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            for batch in shards(batches, "text", SHARD_BYTES):
+                hashes, at = words_of(*utf8_parts(batch.column("text")), ALNUM_WORDS)
+                doc, *found = _matches(hashes, at, shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *map(pa.array, found)], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+
+        part = slim.mapInArrow(run, "doc_id long, item_id long, doc_word long, item_word long, n_words long")
+        if blocks > 1:
+            part = materialize(part, "bench-matches")
+            shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without contaminated rows, all columns kept; one pass a block, no shuffle."""
+    blocks = _block_count(benchmark, block_bytes)
+    for b in range(blocks):
+        shared = _block(benchmark, window, b, blocks)
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            for batch in shards(batches, "text", SHARD_BYTES):
+                yield batch.filter(pa.array(_judged(batch, shared.value)[1] == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+        left = docs.mapInArrow(run, docs.schema)
+        if blocks > 1:
+            left = materialize(left, "bench-left")
+            shared.destroy()
+            if b:
+                discard(docs)
+        docs = left
+    return docs

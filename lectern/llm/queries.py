@@ -78,7 +78,7 @@ select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
   case when page_id > first_id then first_id end as refers_to,
   array_to_string(list_reverse(string_split(regexp_extract(lower(u), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?(?:www\\.)?([^/?#:]*)', 1), '.')), ',')
     || ')' || regexp_replace(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*', '') as url_key,
-  strftime(make_timestamp((1700000000 + coalesce(page_id, 0)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured
+  strftime(make_timestamp((1700000000 + ((coalesce(page_id, 0) % 315360000) + 315360000) % 315360000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured
 from c
 """
 
@@ -97,12 +97,18 @@ dw as (
   select rid, i, size, array_to_string(w[i:i + size - 1], ' ') as win
   from (select rid, w, size, unnest(range(1, len(w) - size + 2)) as i from d, sizes where len(w) >= size)
 ), hit as (select rid, i, dw.size, item_id from dw join bw using (win) where dw.size = bw.size),
+bp as (
+  select item_id, i as place, least(len(w), 10) as size, array_to_string(w[i:i + 9], ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)
+), dg as (select distinct rid, item_id, i, i - place as diag, dw.size from dw join bp using (win) where dw.size = bp.size),
+dn as (select *, i - row_number() over (partition by rid, item_id, diag order by i) as run from dg),
+longest as (select rid, max(n) as longest_match from (select rid, max(i + size) - min(i) as n from dn group by rid, item_id, diag, run) group by rid),
 words as (select rid, count(distinct pos) as n_hit from (select rid, unnest(range(i, i + size)) as pos from hit) group by rid),
 items as (select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names from (select distinct rid, item_id::varchar as item_id from hit) group by rid)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
-  case when names is null then []::varchar[] else string_split(names, ',') end as items
-from d left join words using (rid) left join items using (rid)
+  case when names is null then []::varchar[] else string_split(names, ',') end as items, coalesce(longest_match, 0)::bigint as longest_match
+from d left join words using (rid) left join items using (rid) left join longest using (rid)
 """
 
 ORACLES = {"op4_warc_index": _WARC, "op8_line_dedup": lines.ORACLE, "op9_decontamination": _WINDOWS, "op10_top_k_search": _TOP_K}

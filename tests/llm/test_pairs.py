@@ -160,6 +160,19 @@ def brute_hits(text, items, size=10):
     return len(w), len(hit), len(found), sorted(found)
 
 
+def test_shards_hold_bounded_bytes():
+    import pyarrow as pa
+
+    from lectern.llm.common import shards
+
+    texts = ["a" * n for n in (1, 5, 400, 3, 0, 90, 90, 20)] + [None]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 4], pa.string()), "n": list(range(i, min(i + 4, 9)))}) for i in (0, 4, 8)]
+    got = list(shards(iter(batches), "text", 100))
+    assert [n for b in got for n in b.column("n").to_pylist()] == list(range(9))
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column("text").to_pylist()) <= 100 for b in got)
+    assert list(shards(iter([]), "text", 100)) == []
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 200])
 def test_contamination_matches_brute_force(spark, block_bytes):
     rng = random.Random(2)
@@ -194,7 +207,7 @@ def test_top_k_matches_brute_force(spark):
     rows[17] = (17, rows[16][1])
     rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] + [0.0] * 5), (None, [0.1] * 6), (500, [0.0] * 6), (600, [1.0, 2.0]), (301, rows[3][1]), (301, rows[3][1])]
     vectors = topk.scaled(spark.createDataFrame([(i, v, 3, 4) for i, v in rows], "vec_id long, embedding array<float>, rank int, score int"))
-    for block_bytes in (1 << 20, 64):
+    for block_bytes in (1 << 20, 1500):
         got = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10, block_bytes).collect()
         ok = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
         want = defaultdict(list)
@@ -208,3 +221,27 @@ def test_top_k_matches_brute_force(spark):
         assert dict(have) == {k: v for k, v in want.items() if v}
     none = vectors.limit(0)
     assert topk.top_k(none, none).count() == 0
+
+
+def test_top_k_of_repeated_queries_and_huge_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3e38, 1.0]), (2, [0.0, 5.0]), (3, [-3e38, 2.0]), (100, [3e38, 3e38])]
+    vectors = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = {}
+    for r in topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    most = (1 << 63) - 1
+    # of query 0 the vector (0, 1) sorts first
+    assert got[0] == [(100, most), (2, 5 * 1024 * 1024), (3, 2 * 1024 * 1024)]
+    assert got[100] == [(0, most), (0, most), (1, most)]
+
+
+def test_the_bound_stops_the_search():
+    rng = np.random.default_rng(1)
+    weights = np.array([1.0, 0.02, 0.02, 0.02])
+    vectors = np.floor(1024 * rng.normal(0, 1, (4000, 4)) * weights)
+    shard, none = topk.Shard(np.arange(4000), vectors), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    scores, ids = shard.search(-1, np.array([900.0, 10.0, -10.0, 0.0]), 10, none)
+    exact = vectors @ np.array([900.0, 10.0, -10.0, 0.0])
+    order = np.lexsort((np.arange(4000), -exact))[:10]
+    assert ids.tolist() == order.tolist() and scores.tolist() == exact[order].astype(int).tolist()
+    assert shard.scored < 1500
