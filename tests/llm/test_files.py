@@ -39,6 +39,43 @@ def test_archives_round_trip(spark):
     assert warc.capture_history(pages.limit(0)).count() == 0
 
 
+def test_capture_times_are_utc_and_bounded(spark):
+    rows = [(0, "http://a/", "x"), (10**15, "http://a/", "y"), (-5, "http://a/", "z"), ((1 << 63) - 1, "http://a/", "z"), (None, "http://a/", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    zone, seen = spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for name in ("America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            seen.append(sorted((str(r.page_id), r.captured) for r in warc.capture_history(pages).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert seen[0] == seen[1]
+    from datetime import datetime, timezone
+
+    for page, when in seen[0]:
+        seconds = warc.EPOCH + (0 if page == "None" else int(page)) % warc.SPAN
+        assert when == datetime.fromtimestamp(seconds, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def test_many_digests_meet_by_salt(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(warc, "SALTS", 3)
+    rows = [(i, f"http://h{i % 7}/{i}", "same" * 50 if i % 3 else f"own {i} " * 40) for i in range(90)] + [(4, "http://h4/4", "same" * 50), (None, "http://n/", "same" * 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.capture_history(pages).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, "revisit", 1) if i is not None and i % 3 and i != 1 else (i, "response", None)) for i, _, _ in rows)
+
+
+def test_archives_hold_bounded_bytes(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h/{i:04d}", "x" * (500 if i % 5 else 20_000)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(pages, str(tmp_path / "w"), classes=((1000, 20), (1 << 62, 2)))
+    files = [f for f in (tmp_path / "w").rglob("part-*")]
+    assert len(files) >= 28 and max(f.stat().st_size for f in files) < 45_000
+    merged = warc.merge_index(warc.read_archives(spark, str(tmp_path / "w")), 3).collect()
+    assert [r.page_id for r in merged] == list(range(200))
+
+
 def check_pack(lengths):
     seen = {d: [] for d in range(len(lengths))}
     for tier, seq in packing.pack(lengths):
