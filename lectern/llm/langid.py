@@ -19,9 +19,9 @@ from .common import SEGMENT_BYTES, _LOWER, held_out, segments, utf8_parts
 DIM = 4096
 SIZES = (1, 2, 3)
 #: The classifier is fitted on about so many rows a language (each row of a language has the same chance, by its hash), fewer
-#: if all languages together would pass MAX_ROWS, but LEAST_ROWS of each at least. Only their vectors come to the driver:
-#: 16 KB a row, however long the text.
-ROWS_PER_LANGUAGE, MAX_ROWS, LEAST_ROWS = 400, 25_600, 8
+#: if all languages together would pass MAX_ROWS, but LEAST_ROWS of each at least. Only their sparse counts come to the driver,
+#: 24 KB a row at most, however long the text; as a matrix MAX_ROWS of them take 105 MB.
+ROWS_PER_LANGUAGE, MAX_ROWS, LEAST_ROWS = 400, 6400, 8
 CLUSTERS, ROUNDS, REJECT_QUANTILE = 3, 10, 0.005
 
 _LETTER = np.zeros(256, bool)
@@ -30,16 +30,20 @@ _LETTER[128:] = True
 
 
 def ngram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """rows x DIM counts of letter n-grams; all other bytes read as one blank. Long rows are taken block by block."""
+    """rows x DIM counts of letter n-grams; all other bytes read as one blank. Long rows are taken block by block; a block
+    also reads the bytes behind it that its last n-grams need, so blocks change nothing."""
     n = len(offsets) - 1
     out = np.zeros((n, DIM), np.float32)
     fold = np.where(_LETTER[_LOWER], _LOWER, 32).astype(np.uint8)
     for first, end in segments(offsets, SEGMENT_BYTES // 2):
         for begin in range(int(offsets[first]), int(offsets[end]), SEGMENT_BYTES):
             stop = min(begin + SEGMENT_BYTES, int(offsets[end]))
-            block = fold[data[begin:stop]].astype(np.uint32)
-            row = np.repeat(np.arange(end - first), np.diff(np.clip(offsets[first : end + 1], begin, stop)))
+            beyond = min(stop + max(SIZES) - 1, int(offsets[end]))
+            wide = fold[data[begin:beyond]].astype(np.uint32)
+            rows = np.repeat(np.arange(end - first), np.diff(np.clip(offsets[first : end + 1], begin, beyond)))
             for size in SIZES:
+                upto = min(stop - begin + size - 1, len(wide))
+                block, row = wide[:upto], rows[:upto]
                 if len(block) < size:
                     continue
                 code = np.zeros(len(block) - size + 1, np.uint32)
@@ -109,11 +113,17 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model |
 
         for batch in batches:
             counts = ngram_counts(*utf8_parts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([c.astype("<f4").tobytes() for c in counts], pa.binary())], ["lang", "v"])
+            slots = [np.flatnonzero(c) for c in counts]
+            cols = [pa.array([x.astype("<u2").tobytes() for x in slots], pa.binary()), pa.array([c[x].astype("<f4").tobytes() for c, x in zip(counts, slots)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), *cols], ["lang", "slots", "counts"])
 
-    rows = drawn.select("lang", "text").mapInArrow(vectors, "lang string, v binary").collect()
-    rows = sorted((r["lang"], bytes(r["v"])) for r in rows)
-    return Model([r[0] for r in rows], np.stack([np.frombuffer(r[1], "<f4") for r in rows])) if rows else None
+    rows = sorted((r["lang"], bytes(r["slots"]), bytes(r["counts"])) for r in drawn.select("lang", "text").mapInArrow(vectors, "lang string, slots binary, counts binary").collect())
+    if not rows:
+        return None
+    dense = np.zeros((len(rows), DIM), np.float32)
+    for i, (_, slots, counts) in enumerate(rows):
+        dense[i, np.frombuffer(slots, "<u2")] = np.frombuffer(counts, "<f4")
+    return Model([r[0] for r in rows], dense)
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
