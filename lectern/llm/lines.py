@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: A line on at least so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -25,8 +25,10 @@ MIN_CHARS = 8
 #: Sketches of 2^LG_K registers err by 1.04 / 2^(LG_K / 2), 1.6 % here; estimates within NEAR of the threshold (over six
 #: standard errors, and one site at least) are counted exactly.
 LG_K, NEAR = 12, 0.1
-#: So many line keys (a few MB) may be broadcast; beyond, joins shuffle.
-BROADCAST_KEYS = 200_000
+#: So many line keys (a few MB) may be broadcast; beyond, lines are dealt over SALTS tasks a key and meet by shuffle.
+BROADCAST_KEYS, SALTS = 200_000, 16
+#: Line numbers to remove that may be broadcast to the documents (some 8 MB); beyond, both are shuffled by document.
+BROADCAST_REMOVALS = 1_000_000
 
 
 def normalised(line):
@@ -40,39 +42,58 @@ def document_lines(docs: DataFrame, site: str = "source", min_chars: int = MIN_C
     return norm.select("doc_id", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2"))
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """keys with a broadcast hint if their count is within BROADCAST_KEYS; else joins shuffle."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+def _with_keys(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """lines joined with keys (h1, h2 once each, written). Few keys are broadcast, behind a count; of many, each is copied for
+    SALTS shares of its lines, so a line that a third of all rows hold is many tasks' work."""
+    if keys.count() <= BROADCAST_KEYS:
+        return lines.join(F.broadcast(keys), ["h1", "h2"])
+    copies = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(copies, ["h1", "h2", "salt"]).drop("salt")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h1, h2, n_sites, first_doc of the lines on at least min_sites distinct sites.
 
-    Sketches are made and merged before the shuffle, so a line that every task sees is one row a task.
+    Only a line that occurs min_sites times can be on so many sites, so lines are counted first and few are sketched. Counts
+    and sketches are merged before the shuffle: a line that every task sees is one row a task.
     """
     low, high = min(min_sites - 1, int(min_sites * (1 - NEAR))), max(min_sites + 1, int(min_sites * (1 + NEAR)) + 1)
-    sketched = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    estimate = F.hll_sketch_estimate("sketch").alias("estimate")
-    wide = materialize(sketched.where(F.col("n") >= min_sites).select("h1", "h2", "first_doc", estimate).where(F.col("estimate") >= low), "lines-wide")
-    near = lines.select("h1", "h2", "site").join(_small(wide.where(F.col("estimate") <= high).select("h1", "h2")), ["h1", "h2"]).distinct()
-    exact = near.groupBy("h1", "h2").agg(F.count("site").alias("exact"))
-    return wide.join(exact, ["h1", "h2"], "left").select("h1", "h2", "first_doc", F.coalesce("exact", "estimate").alias("n_sites")).where(F.col("n_sites") >= min_sites)
+    often = materialize(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= min_sites).select("h1", "h2", "first_doc"), "lines-often")
+    sketched = _with_keys(lines, often).groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
+    wide = materialize(sketched.select("h1", "h2", "first_doc", F.hll_sketch_estimate("sketch").alias("estimate")).where(F.col("estimate") >= low), "lines-wide")
+    near = materialize(wide.where(F.col("estimate") <= high).select("h1", "h2"), "lines-near")
+    exact = _with_keys(lines.select("h1", "h2", "site", "doc_id"), near).select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("site").alias("exact"))
+    out = wide.join(exact, ["h1", "h2"], "left").select("h1", "h2", "first_doc", F.coalesce("exact", "estimate").alias("n_sites")).where(F.col("n_sites") >= min_sites)
+    out = materialize(out, "lines-boilerplate")
+    discard(often, wide, near)
+    return out
 
 
 def removals(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, gone (the numbers, from 0, of the lines to remove); only documents that lose lines."""
     lines = materialize(document_lines(docs, site, min_chars), "lines")
-    shared = materialize(boilerplate(lines, min_sites), "lines-boilerplate")
-    found = lines.join(_small(shared), ["h1", "h2"]).select("h1", "h2", "doc_id", "pos", "first_doc")
+    shared = boilerplate(lines, min_sites)
+    found = _with_keys(lines, shared).select("h1", "h2", "doc_id", "pos", "first_doc")
     elsewhere = found.where("doc_id <> first_doc").select("doc_id", "pos")
     at_home = found.where("doc_id = first_doc").groupBy("h1", "h2", "doc_id").agg(F.array_sort(F.collect_set("pos")).alias("all"))
     repeats = at_home.where(F.size("all") > 1).select("doc_id", F.explode(F.slice("all", F.lit(2), F.size("all"))).alias("pos"))
-    return elsewhere.unionByName(repeats).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    gone = materialize(elsewhere.unionByName(repeats).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "lines-gone")
+    discard(lines, shared)
+    return gone
 
 
 def _cleaned(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the lines to remove. Few removals are broadcast, behind their count, so texts stay where they are."""
     keyed = gone.select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
+    if (gone.agg(F.sum(F.size("gone") + 2)).first()[0] or 0) <= BROADCAST_REMOVALS:
+        keyed = F.broadcast(keyed)
+
+    def rest(lines):
+        # a set difference of line numbers, so a long text costs no more than its length
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    kept = F.element_at(F.transform(F.array(F.split("text", "\n")), rest), 1)
     return docs.join(keyed, docs["doc_id"] == keyed["__gone_id"], "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
 
 

@@ -139,6 +139,23 @@ def test_lines_of_many_sites_keep_one_occurrence(spark):
     assert lines.clean_lines(frame(spark, [])).collect() == []
 
 
+def test_lines_beyond_the_bounds(spark, monkeypatch):
+    """Keys and removals that are not broadcast, and a very long text, give the same as brute force."""
+    rng = random.Random(6)
+    shared = [f"shared line number {k}" for k in range(6)]
+    rows = [(i, "\n".join(rng.choice(shared + [f"own line {i} {j}"]) for j in range(8)), f"site{rng.randrange(9 + i % 7)}") for i in range(120)]
+    rows.append((500, "\n".join(rng.choice(shared) if j % 50 == 0 else f"long text line {j}" for j in range(60_000)), "site1"))
+    where = defaultdict(list)
+    for i, t, s in sorted(rows):
+        for pos, line in enumerate(t.split("\n")):
+            where[line].append((i, pos, s))
+    gone = {(i, pos) for places in where.values() if len({s for _, _, s in places}) >= 10 for i, pos, _ in places[1:]}
+    want = {i: "\n".join(x for pos, x in enumerate(t.split("\n")) if (i, pos) not in gone) for i, t, _ in rows}
+    for name, value in (("BROADCAST_KEYS", 0), ("BROADCAST_REMOVALS", 0), ("SALTS", 3)):
+        monkeypatch.setattr(lines, name, value)
+        assert {r.doc_id: r.text for r in lines.clean_lines(frame(spark, rows)).collect()} == want
+
+
 @pytest.mark.parametrize("sites", [9, 10, 11, 400])
 def test_lines_near_the_threshold_are_exact(spark, sites):
     docs = frame(spark, [(i, "shared line of text", f"site{i % sites}") for i in range(max(24, sites))])
