@@ -6,7 +6,8 @@ window
 2. tiers are packed from long to short; a gap is filled with the longest pieces of shorter tiers that fit, and at last with
    a cut of the shortest piece that doesn't;
 3. when nothing is left to fill the last gap, the content is laid out in tiers of powers of two, so nothing is padded;
-4. sequences are dealt into step groups of equal token counts, each of one tier.
+4. sequences are dealt into step groups, each of one tier and of exactly STEP_TOKENS tokens; a group that a window leaves open
+   is filled by the next one, so a task leaves one shorter group a tier at most.
 
 Defined results
 * null text is empty; a document is its token ids followed by the end id, so an empty one has a single token;
@@ -155,10 +156,11 @@ def _packer(name: str, tiers: tuple[int, ...], window_tokens: int, step_tokens:
         # ids are unique over tasks: 23 bits of partition, 40 of a counter
         base = TaskContext.get().partitionId() << 40
         made, groups, held, ids, tokens = 0, 0, [], [], 0
+        steps: dict[int, tuple[int, int]] = {}
 
         def flush():
             nonlocal made, groups, held, ids, tokens
-            rows, steps = [], {}
+            rows = []
             for tier, seq in sorted(pack([len(x) for x in held], tiers), key=lambda x: -x[0]):
                 if steps.get(tier, (0, 0))[1] + tier > step_tokens or tier not in steps:
                     steps[tier] = (groups, 0)

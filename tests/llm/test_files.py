@@ -98,6 +98,20 @@ def test_packing_covers_each_token_once_without_padding(seed):
     check_pack([1])
 
 
+def test_step_groups_are_balanced(spark, sf):
+    """All groups of a tier hold the same tokens, but for the last one of each task."""
+    docs = table(spark, sf, "documents").repartition(2)
+    got = packing.pack_documents(docs, window_tokens=5000, step_tokens=4096).toPandas()
+    groups = got.groupby(["step_group", "tier"]).length.sum().reset_index()
+    assert (groups.groupby("step_group").tier.count() == 1).all() and groups.length.max() == 4096
+    task = groups.step_group // (1 << 40)
+    short = groups[groups.length < 4096]
+    assert (short.groupby([task[short.index], "tier"]).length.count() == 1).all()
+    assert (groups.length == 4096).sum() > 20
+    sums = got.groupby("sequence_id").length.sum()
+    assert (sums == got.groupby("sequence_id").tier.first()).all()
+
+
 def test_packed_ids_are_those_of_the_tokenizer(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -120,6 +134,82 @@ def test_packed_ids_are_those_of_the_tokenizer(spark, sf):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def plain_pipeline(rows, scores, benchmark):
+    """The five decisions one after another in plain Python, on (doc_id, text, source) with given scores: what is left."""
+    import re
+    from collections import defaultdict
+
+    rows = sorted((r for r in rows if scores[r[0]] >= 0.7), key=lambda r: r[0])
+    places = defaultdict(list)
+    for d, text, site in rows:
+        for pos, line in enumerate((text or "").split("\n")):
+            norm = re.sub(r"[ \t\n\x0b\f\r]+", " ", line).strip(" ").lower()
+            if len(norm) >= 8:
+                places[norm].append((d, pos, site))
+    gone = {(d, pos) for found in places.values() if len({s for *_, s in found}) >= 10 for d, pos, _ in sorted(found)[1:]}
+    rows = [(d, None if t is None else "\n".join(x for pos, x in enumerate(t.split("\n")) if (d, pos) not in gone), s) for d, t, s in rows]
+    low = lambda t: (t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+    sets = {}
+    for d, t, _ in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", low(t))
+        sets[d] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    group = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {k: new if v == old else v for k, v in group.items()}
+    rows = [r for r in rows if group[r[0]] == r[0]]
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    windows = {tuple(w[i : i + 10]) for _, t in benchmark if (w := words(t)) for i in range(max(1, len(w) - 9))}
+    sizes = {len(x) for x in windows}
+    clean = lambda w: not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    return {d: t for d, t, _ in rows if clean(words(t))}
+
+
+def pipeline_fixture(spark, tmp_path):
+    """Documents with boilerplate, copies, near copies, benchmark passages, nulls, empties, a very long text and extra columns."""
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in ("al", "be", "ga", "de", "ep", "ze", "eta", "th") for b in range(30)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    benchmark = [(i, prose(n)) for i, n in enumerate((25, 14, 10))] + [(9, ""), (10, None)]
+    rows = [(i, f"{prose(40)}\nSubscribe to our newsletter\n{prose(30)}", f"site{i % 14}") for i in range(60)]
+    base = prose(120).split()
+    rows += [(100 + i, " ".join(base), f"site{i}") for i in range(5)]
+    rows += [(110 + i, " ".join(base[:60] + [f"changed{i}"] + base[61:]), "site1") for i in range(4)]
+    rows += [(120, prose(20) + " " + benchmark[0][1] + " " + prose(20), "s"), (121, prose(9) + "\n" + benchmark[2][1].upper(), "s"), (122, benchmark[1][1][:-8], "s")]
+    rows += [(130, None, "s"), (131, "", "s"), (132, "  \n ", None), (133, prose(40_000), "s"), (134, "one two", "s"), (135, "one two", "t")]
+    frame = spark.createDataFrame([(d, t, "en", s, len(t or ""), "k", 0.5, 7) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, score double, bucket int")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(d, d % 2, 0) for d, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return rows, benchmark
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path, monkeypatch):
+    from lectern.llm import quality
+
+    rows, benchmark = pipeline_fixture(spark, tmp_path)
+    scores = {d: 0.1 if d in (3, 17, 101, 134) else 0.9 for d, *_ in rows}
+    # scores are given, so that the decisions can be followed by hand
+    rejected = [d for d in scores if scores[d] < 0.7]
+    monkeypatch.setattr(quality, "fit", lambda docs, labels: None)
+    monkeypatch.setattr(quality, "keep_good", lambda docs, model: docs.where(~F.col("doc_id").isin(rejected)))
+    want = plain_pipeline(rows, scores, benchmark)
+    pieces = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens, r.ids_crc32))
+    assert set(pieces) == set(want) and 0 < len(want) < len(rows)
+    encode = packing.encoder()
+    for d, text in want.items():
+        ids = np.append(encode(text or ""), np.uint32(0)).astype("<u4")
+        at = 0
+        for start, length, total, crc in sorted(pieces[d]):
+            assert start == at and total == len(ids) and crc == zlib.crc32(ids[at : at + length].tobytes())
+            at += length
+        assert at == len(ids)
+
+
 def test_pipeline_stages_agree_with_the_operators(spark, sf):
     docs = table(spark, sf, "documents")
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
