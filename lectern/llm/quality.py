@@ -9,7 +9,8 @@ the maximum of the pooled responses over all regions of the document are combine
 Defined results
 * null and empty text: a document without chunks, scored by the network's bias alone;
 * learning uses labelled rows that are not held out, with a non-null doc_id and quality; repeated labels of one document
-  count once, by their mean, at 0.5 as good; a document labelled with one class only gives that class's prior;
+  count once, by their mean, at 0.5 as good; of documents that share an id the text that sorts first is learned from; labels
+  of one class only give a network that has seen that class alone;
 * without any labelled row every score is 0.5, so every document is rejected by predict() and none by keep_good();
 * every row is scored, repeated rows alike; an empty table gives an empty result; other columns are ignored by score()
   and kept by keep_good().
@@ -31,23 +32,27 @@ STEPS, BATCH, RATE = 450, 32, 0.01
 #: This share of the good training texts is cut to a random piece of CUT bytes, as short texts are rare and good.
 CUT_SHARE, CUT = 0.3, (8, 160)
 BLOCK_CHUNKS = 1 << 15
+#: How far back repetition is seen, and the bytes of a block in which it is looked for (a multiple of STRIDE).
+REACH, RECENCY_BLOCK = 1 << 16, 1 << 18
 
 
 def recency(text: np.ndarray) -> np.ndarray:
-    """For every STRIDE-th byte: 0 if its four bytes are new, else 1 + log2 of the distance to where they stood last."""
-    n = len(text) - 3
-    if n < 1:
-        return np.zeros(-(-len(text) // STRIDE), np.uint8)
-    code = text[:n].astype(np.uint32)
-    for j in range(1, 4):
-        code = (code << np.uint32(8)) | text[j : n + j]
-    order = np.argsort(code, kind="stable")
-    same = code[order[1:]] == code[order[:-1]]
-    back = np.zeros(n, np.int64)
-    back[order[1:]] = np.where(same, order[1:] - order[:-1], 0)
-    back = back[::STRIDE]
+    """For every STRIDE-th byte: 0 if its four bytes did not stand within REACH bytes before, else 1 + log2 of the distance to
+    where they stood last. Long texts are taken in blocks, each with the REACH bytes before it."""
     out = np.zeros(-(-len(text) // STRIDE), np.uint8)
-    out[: len(back)] = np.where(back > 0, np.minimum(1 + np.log2(np.maximum(back, 1)), BUCKETS - 1), 0)
+    for first in range(0, max(len(text) - 3, 0), RECENCY_BLOCK):
+        begin, end = max(0, first - REACH), min(first + RECENCY_BLOCK, len(text) - 3)
+        part = text[begin : end + 3]
+        code = part[: end - begin].astype(np.uint32)
+        for j in range(1, 4):
+            code = (code << np.uint32(8)) | part[j : end - begin + j]
+        order = np.argsort(code, kind="stable")
+        same = code[order[1:]] == code[order[:-1]]
+        back = np.zeros(end - begin, np.int64)
+        back[order[1:]] = np.where(same, order[1:] - order[:-1], 0)
+        back = back[first - begin :: STRIDE]
+        back[back > REACH] = 0
+        out[first // STRIDE : first // STRIDE + len(back)] = np.where(back > 0, np.minimum(1 + np.log2(np.maximum(back, 1)), BUCKETS - 1), 0)
     return out
 
 
@@ -163,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     short = docs.where(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", "text")
     # the draw is bounded by rows_per_class, so it is sent to the documents and not they to it
-    rows = sorted((r["doc_id"], r["text"], r["good"]) for r in short.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).collect())
+    found = short.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))
+    rows = sorted((r["doc_id"], r["text"], r["good"]) for r in found.collect())
     if not rows:
         return None, 0.0
     net = train([r[1].encode() for r in rows], [float(r[2]) for r in rows])

@@ -64,6 +64,42 @@ def test_network_reads_every_byte_and_its_gradient_is_right():
     assert net.logit(tail) != net.logit(text)
 
 
+def plain_logit(net, text):
+    """The network chunk by chunk: filters, shift and rectifier, the maximum of each region, then mean and maximum."""
+    recent = [0] * (-(-len(text) // quality.STRIDE))
+    for k in range(len(recent)):
+        i = k * quality.STRIDE
+        if i + 4 <= len(text):
+            before = [j for j in range(max(0, i - quality.REACH), i) if text[j : j + 4] == text[i : i + 4]]
+            recent[k] = min(int(1 + np.log2(i - before[-1])), quality.BUCKETS - 1) if before else 0
+    chunks = max(1, -(-(len(text) - quality.WIDTH) // quality.STRIDE) + 1) if text else 0
+    responses = []
+    for c in range(chunks):
+        total = np.zeros(quality.FILTERS)
+        for j in range(quality.WIDTH):
+            at = c * quality.STRIDE + j
+            total += net.table[j, text[at] if at < len(text) else 0]
+        for j in range(quality.LAGS):
+            total += net.lags[j, recent[c + j] if c + j < len(recent) else 0]
+        responses.append(total)
+    if not responses:
+        return float(net.bias[0])
+    pooled = [np.maximum(np.max(responses[i : i + quality.POOL], axis=0) + net.shift, 0) for i in range(0, chunks, quality.POOL)]
+    return float(np.mean(pooled, axis=0) @ net.mean_weight + np.max(pooled, axis=0) @ net.max_weight + net.bias[0])
+
+
+def test_network_matches_a_plain_convolution(monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_CHUNKS", 128)
+    monkeypatch.setattr(quality, "RECENCY_BLOCK", 64)
+    monkeypatch.setattr(quality, "REACH", 200)
+    net, rng = quality.Network(3), np.random.default_rng(2)
+    net.shift += rng.normal(0, 0.1, quality.FILTERS).astype(np.float32)
+    net.bias += np.float32(0.3)
+    texts = [b"", b"a", b"abc", b"abcd", b"12345678", b"123456789", b"word " * 300, "übermäßig ".encode() * 40, bytes(rng.integers(0, 256, 3000).astype(np.uint8)), b"ab" * 700 + b"xyz"]
+    for text in texts:
+        assert abs(net.logit(np.frombuffer(text, np.uint8)) - plain_logit(net, text)) < 1e-3, text[:20]
+
+
 def test_language_on_held_out_rows(spark, docs):
     model = langid.fit(docs)
     got = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
