@@ -41,10 +41,18 @@ TEMPLATES = {
 }
 #: Notices of no listed family teach the unknown class.
 UNLISTED = ["licensed under the acme source license", "released under our own terms of use", "this file is covered by the vendor license agreement", "all rights reserved see the license file for terms", "licensed under a proprietary license version 1"]
+#: Sentences that speak of licences, rights or permission and are no notices.
+HARD_NEGATIVES = [
+    "he lost his driving license on the way home", "you need permission from the city to park here", "the film is under copyright and cannot be shown in public",
+    "a license to operate the plant was granted in march", "the software asks for permission before it reads your files", "the museum released a free version of the map under pressure",
+    "the general public was not admitted without a license", "her fishing license expired in version 2 of the story", "the apache people lived in the southwest", "he studied at mit and released a book",
+    "the source of the river is subject to the terms of the treaty", "the foundation published a free program of concerts", "redistribution of wealth is permitted by law",
+]
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = (NONE, UNKNOWN, *sorted(TEMPLATES))
 #: Bounds of the fit: paragraphs drawn as examples of no notice, random variants of each template, smallest weight kept.
 NONE_ROWS, VARIANTS, EPOCHS, RATE, LEAST_WEIGHT = 2000, 24, 150, 2.0, 0.02
+TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)
 SURE, COVER = 0.6, 0.75
 #: Words of the longest template; a paragraph ends with the line that brings the words after its first line to so many.
 LONGEST = max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
@@ -68,12 +76,17 @@ def grams_column(words):
 
 @dataclass
 class Model:
-    """Gram -> weight of each class, class biases, temperature, and word parts one of which every feature holds."""
+    """Gram -> weight of each class, class biases, temperature, and word parts one of which every feature holds.
+
+    `reliability` is the expected calibration error on templates that the temperature's fit had not seen: the mean gap between
+    stated probability and share of right answers over ten bins.
+    """
 
     weights: dict[str, list[float]]
     bias: list[float]
     temperature: float
     cues: list[str]
+    reliability: float
 
 
 def _variants(rng, text: str, n: int):
@@ -84,48 +97,67 @@ def _variants(rng, text: str, n: int):
         yield " ".join((["the"] if rng.random() < 0.2 else []) + (keep or words))
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _regression(r, c, y, rows: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by gradient descent over the chosen rows of the cells (r, c), classes weighing alike."""
+    goal, n = np.eye(len(CLASSES))[y], len(y)
+    share = (rows / np.bincount(y, weights=rows, minlength=len(CLASSES))[y].clip(1))[:, None] / len(CLASSES)
+    w, b = np.zeros((n_features, len(CLASSES))), np.zeros(len(CLASSES))
+    b[0] = 3.0
+    for _ in range(EPOCHS):
+        z = np.tile(b, (n, 1))
+        np.add.at(z, r, w[c])
+        d = (_softmax(z) - goal) * share
+        g = np.zeros_like(w)
+        np.add.at(g, c, d[r])
+        w -= RATE * (g + 1e-4 * w)
+    return w, b
+
+
+def calibration_error(p: np.ndarray, y: np.ndarray, bins: int = 10) -> float:
+    top, right = p.max(axis=1), p.argmax(axis=1) == y
+    at = np.minimum((top * bins).astype(int), bins - 1)
+    return float(sum(abs(top[at == k].sum() - right[at == k].sum()) for k in range(bins)) / max(1, len(y)))
+
+
 def train(nothing: list[str], seed: int = 3) -> Model:
-    """Multinomial logistic regression by gradient descent; a fifth of the examples sets the temperature.
+    """Multinomial logistic regression on variants of the templates, on sentences that only sound like notices, and on lines
+    of the documents.
 
-    Only grams with a word that the examples of no notice lack are features, so a paragraph without any has the biases for
-    logits, and these say `none`.
+    The temperature is fitted on templates that a first regression has not seen (one of each family that has several, a fifth
+    of the other examples); the weights are then learned from all. Only grams with a word that the documents' lines lack are
+    features, so a paragraph without any has the biases for logits, and these say `none`.
     """
     rng = np.random.default_rng(seed)
-    rows = [(0, t) for t in nothing]
+    rows, unseen = [(0, t) for t in nothing], [bool(rng.random() < 0.2) for _ in nothing]
     for k, name in enumerate(CLASSES):
-        for t in UNLISTED if name == UNKNOWN else TEMPLATES.get(name, []):
-            rows += [(k, v) for v in _variants(rng, t, VARIANTS)]
+        known = UNLISTED if name == UNKNOWN else HARD_NEGATIVES if name == NONE else TEMPLATES[name]
+        for i, t in enumerate(known):
+            made = [(k, v) for v in _variants(rng, t, VARIANTS)]
+            rows += made
+            unseen += [i == len(known) - 1 and len(known) > 1] * len(made)
     common = {w for t in nothing for w in grams_of(t) if " " not in w}
     names = sorted({g for k, t in rows if k for g in grams_of(t) if set(g.split()) - common})
     at = {g: i for i, g in enumerate(names)}
     cells = [(r, at[g]) for r, (_, t) in enumerate(rows) for g in grams_of(t) if g in at]
     r, c = np.array(cells, np.int64).reshape(-1, 2).T
-    y = np.array([k for k, _ in rows])
-    goal, test = np.eye(len(CLASSES))[y], rng.random(len(rows)) < 0.2
-    share = (~test / np.bincount(y, weights=~test, minlength=len(CLASSES))[y].clip(1))[:, None] / len(CLASSES)
-    w, b = np.zeros((len(names), len(CLASSES))), np.zeros(len(CLASSES))
-    b[0] = 3.0
-
-    def logits():
-        z = np.tile(b, (len(rows), 1))
-        np.add.at(z, r, w[c])
-        return z
-
-    def softmax(z):
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
-
-    for _ in range(EPOCHS):
-        d = (softmax(logits()) - goal) * share
-        g = np.zeros_like(w)
-        np.add.at(g, c, d[r])
-        w -= RATE * (g + 1e-4 * w)
-    z = logits()[test]
-    loss = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(z)), y[test]], 1e-12)).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)} if len(z) else {1.0: 0.0}
+    y, test = np.array([k for k, _ in rows]), np.array(unseen)
+    w, b = _regression(r, c, y, (~test).astype(float), len(names))
+    z = np.tile(b, (len(rows), 1))
+    np.add.at(z, r, w[c])
+    z, truth = z[test], y[test]
+    loss = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), truth], 1e-12)).mean() for t in TEMPERATURES} if len(z) else {1.0: 0.0}
+    temperature = min(loss, key=loss.get)
+    error = calibration_error(_softmax(z / temperature), truth) if len(z) else 0.0
+    w, b = _regression(r, c, y, np.ones(len(rows)), len(names))
     kept = {g: w[i].round(6).tolist() for g, i in at.items() if np.abs(w[i]).max() >= LEAST_WEIGHT}
     telling = {w for g in kept for w in g.split()} - common
     cues = sorted({max((p for p in w.split(".") if p), key=len) for w in telling})
-    return Model(kept, b.tolist(), min(loss, key=loss.get), cues)
+    return Model(kept, b.tolist(), temperature, cues, error)
 
 
 def fit(docs: DataFrame, none_rows: int = NONE_ROWS) -> Model:
@@ -137,12 +169,20 @@ def fit(docs: DataFrame, none_rows: int = NONE_ROWS) -> Model:
     return train(sorted(x["line"] for x in lines))
 
 
-def scan(docs: DataFrame, model: Model, sure: float = SURE, cover: float = COVER) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, families, n_notices, n_unknown, top_score."""
+def _row_key():
+    """128 bits of id and text: rows with equal keys are repeated rows, and have equal results."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit("second"), F.col("text"), F.col("doc_id")).alias("b"))
+
+
+def scan(docs: DataFrame, model: Model, sure: float = SURE, cover: float = COVER, only_cued: bool = True) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, families, n_notices, n_unknown, top_score.
+
+    `only_cued` leaves texts and lines out that hold no part of any feature; it changes the work, not the result.
+    """
     spark = docs.sparkSession
-    base = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
+    base = docs.select("doc_id", "text").withColumn("row_key", _row_key())
     # every feature holds a cue, so texts and then lines without one can't score; the n-grams of the others are made
-    cued = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in model.cues]))
+    cued = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in model.cues])) if only_cued else F.lit(True)
     split = base.where(F.col("text").isNotNull() & cued("text")).select("row_key", F.split("text", "\n").alias("all")).withColumn("cued", F.transform("all", cued))
     lines = split.select("row_key", "all", "cued", F.explode(F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.exists(F.slice("cued", i + 1, LONGEST + 1), lambda c: c))).alias("pos"))
     # each line has a word, so LONGEST lines that follow hold LONGEST words
