@@ -1,8 +1,14 @@
 """Personal data: fixed patterns per kind, and a skip-chain conditional random field that adds what they miss.
 
 Nodes are the spans of the patterns and other number-like or address-like tokens of a document. Chain edges join
-neighbours, skip edges join consecutive mentions with equal or similar content, wherever they stand; loopy message passing
-then makes labels agree along both. Spans of the patterns are evidence and always stay.
+neighbours; skip edges join consecutive mentions with equal content, and consecutive ones with similar content, wherever they
+stand; loopy message passing then makes labels agree along all of them. Spans of the patterns are evidence and always stay.
+
+All potentials are fitted together by pseudo-likelihood: each node of known label is predicted from its shape and its
+neighbours' labels. Mentions are masked for that: a share of the pattern spans is repeated in a form that no pattern takes,
+with the span's label as the truth, next to a stranger of the same form, so what the field must do later is what it is
+fitted to do. A token that no pattern takes
+counts as a negative only if nothing like it is personal data.
 
 Defined results
 * null text is empty: no spans, all counts 0, digest of the empty string;
@@ -31,7 +37,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 OTHER = re.compile(r"(?P<email>[^\s@|\",;<>()]{1,64}@[^\s@|\",;<>()]{0,255}[A-Za-z0-9])|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})|(?P<phone>\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4})|(?P<card>[0-9]{7,19})")
 _DIGITS = re.compile(r"[0-9]")
 #: The field is fitted on the nodes of about so many documents, drawn by the hash of doc_id.
-TRAIN_DOCS, EPOCHS, RATE, SWEEPS = 4000, 200, 0.5, 8
+TRAIN_DOCS, EPOCHS, RATE = 4000, 300, 0.5
+#: Masked repetitions of pattern spans in training, and how much a masked one counts.
+MASK_SHARE, MASK_WEIGHT = 0.5, 4.0
+#: Messages are passed until none changes by more than TOLERANCE, at most SWEEPS times.
+SWEEPS, TOLERANCE = 500, 1e-4
 LABELS = 1 + len(KINDS)
 
 
@@ -89,98 +99,156 @@ def _features(piece: str) -> list[int]:
 FEATURES = 37
 
 
+CHAIN, EQUAL, SIMILAR = range(3)
+
+
+def _keys(piece: str) -> tuple[set[str], set[str]]:
+    """What a mention shares with others of equal, and of similar content."""
+    digits = "".join(_DIGITS.findall(piece))
+    if "@" in piece:
+        local = piece.lower().partition("@")[0]
+        return {piece.lower()}, {f"local:{local}"} if len(local) >= 4 else set()
+    if "." in piece and piece.count(".") == 3:
+        return {digits + piece}, {"net:" + piece.rpartition(".")[0]}
+    if len(digits) < 7:
+        return set(), set()
+    return {digits[-10:]}, {"tail:" + digits[-7:]} | ({"head:" + digits[:8]} if len(digits) >= 12 else set())
+
+
+def masked_form(kind: int, piece: str, draw: float) -> str | None:
+    """A form of a pattern span that no pattern takes, as texts have them; None if there is none."""
+    digits = "".join(_DIGITS.findall(piece))
+    if kind == 0:
+        return piece.partition("@")[0] + "@" + piece.partition("@")[2].partition(".")[0]
+    if kind == 2:
+        return digits[:-1] if draw < 0.5 else digits[-12:]
+    if kind == 3:
+        tail = digits[-10:]
+        return tail if draw < 0.3 or len(tail) < 10 else f"{tail[:3]} {tail[3:6]}-{tail[6:]}" if draw < 0.7 else f"({tail[:3]}) {tail[3:6]}-{tail[6:]}"
+    return None
+
+
 class Nodes:
     """Nodes and edges of documents, appended one document after another."""
 
     def __init__(self):
-        self.spans, self.doc, self.observed, self.features = [], [], [], []
-        self.chain, self.skip = [], []
+        self.spans, self.doc, self.observed, self.truth, self.features = [], [], [], [], []
+        self.edges: list[tuple[int, int, int]] = []
 
-    def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
+    def add(self, doc: int, text: str, base: list[tuple[int, int, int]], masks=None) -> None:
+        """With `masks`, a random source, masked repetitions of pattern spans are added as nodes of known label."""
         if not base and "@" not in text and not _DIGITS.search(text):
             return
-        taken = sorted((a, b) for _, a, b in base)
-        found = [(a, b, k + 1) for k, a, b in base]
+        merged: list[list[int]] = []
+        for a, b in sorted((a, b) for _, a, b in base):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        found = [(a, b, k + 1, k + 1, text[a:b]) for k, a, b in base]
         at = 0
         for m in OTHER.finditer(text):
             a, b = m.span()
-            while at < len(taken) and taken[at][1] <= a:
+            while at < len(merged) and merged[at][1] <= a:
                 at += 1
-            if not any(x < b and a < y for x, y in taken[at : at + 4]):
-                found.append((a, b, 0))
-        found.sort()
-        last: dict[str, int] = {}
-        for i, (a, b, label) in enumerate(found):
-            node, piece = len(self.spans), text[a:b]
+            if at == len(merged) or merged[at][0] >= b:
+                found.append((a, b, 0, 0, m.group()))
+        if masks is not None:
+            for k, a, b in base:
+                form = masked_form(k, text[a:b], masks.random()) if masks.random() < MASK_SHARE else None
+                if form:
+                    # a stranger of the same shape is no personal data of this document, so shapes alone decide nothing
+                    strange = "".join(str(masks.randrange(10)) if c.isdigit() else chr(97 + masks.randrange(26)) if c.isalpha() else c for c in form)
+                    found += [(at_, at_, 0, label, x) for at_, label, x in ((masks.randrange(len(text) + 1), k + 1, form), (masks.randrange(len(text) + 1), 0, strange))]
+        found.sort(key=lambda x: x[:3])
+        first, groups = len(self.spans), {}
+        last: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for i, (a, b, label, truth, piece) in enumerate(found):
+            node = first + i
             self.spans.append((a, b))
             self.doc.append(doc)
             self.observed.append(label)
+            self.truth.append(truth)
             self.features.append(_features(piece))
             if i:
-                self.chain.append((node - 1, node))
-            digits = "".join(_DIGITS.findall(piece))
-            key = piece.lower() if "@" in piece else digits if "." in piece else digits[-10:] if len(digits) >= 7 else ""
-            if key:
-                if key in last:
-                    self.skip.append((last[key], node))
-                last[key] = node
+                self.edges.append((node - 1, node, CHAIN))
+            for seen, keys, kind in zip(last, _keys(piece), (EQUAL, SIMILAR)):
+                for key in sorted(keys):
+                    if key in seen:
+                        self.edges.append((seen[key], node, kind))
+                    seen[key] = node
+                    groups.setdefault(key, []).append(node)
+        # what looks like personal data of this document is no negative; a masked form keeps its label
+        for members in groups.values():
+            if any(self.observed[n] for n in members):
+                for n in members:
+                    if not self.observed[n] and not self.truth[n]:
+                        self.truth[n] = -1
 
     def arrays(self):
-        pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
-        return np.array(self.observed, np.int64), np.array(self.features, np.int64).reshape(-1, 8), pairs(self.chain), pairs(self.skip)
+        edges = np.array(self.edges, np.int64).reshape(-1, 3)
+        return np.array(self.observed, np.int64), np.array(self.truth, np.int64), np.array(self.features, np.int64).reshape(-1, 8), edges
 
 
 class Field:
-    """Unary weights (FEATURES x LABELS) and one agreement weight for chain and for skip edges."""
+    """Unary weights (FEATURES x LABELS) and an agreement weight for each kind of edge."""
 
-    def __init__(self, unary: np.ndarray, chain: float, skip: float):
-        self.unary, self.chain, self.skip = unary, chain, skip
+    def __init__(self, unary: np.ndarray, agree: np.ndarray):
+        self.unary, self.agree = unary, np.asarray(agree, float)
 
     def marginals(self, nodes: Nodes) -> np.ndarray:
-        """Loopy sum-product over all documents at once; documents share no edge."""
-        observed, features, chain, skip = nodes.arrays()
+        """Loopy sum-product over all documents at once; documents share no edge. Exact where edges make no loop."""
+        observed, _, features, edges = nodes.arrays()
         local = self.unary[features].sum(axis=1)
         seen = np.flatnonzero(observed)
         local[seen, observed[seen]] += 25.0
-        edges = np.concatenate([chain, skip])
-        weight = np.concatenate([np.full(len(chain), self.chain), np.full(len(skip), self.skip)])
+        n, weight = len(edges), self.agree[edges[:, 2]]
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+        back = np.concatenate([np.arange(n) + n, np.arange(n)])
         gain = np.expm1(np.concatenate([weight, weight]))[:, None]
-        message = np.zeros((len(src), LABELS))
-        for _ in range(SWEEPS):
+        message = np.zeros((2 * n, LABELS))
+        for _ in range(SWEEPS if n else 0):
             total = local.copy()
             np.add.at(total, dst, message)
             out = total[src] - message[back]
             p = np.exp(out - out.max(axis=1, keepdims=True))
             fresh = np.log(p.sum(axis=1, keepdims=True) + gain * p)
-            message = 0.5 * message + 0.5 * (fresh - fresh.max(axis=1, keepdims=True))
+            fresh -= fresh.max(axis=1, keepdims=True)
+            moved = np.abs(fresh - message).max()
+            message = 0.5 * message + 0.5 * fresh
+            if moved < TOLERANCE:
+                break
         np.add.at(local, dst, message)
         p = np.exp(local - local.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
 
 def fit_field(nodes: Nodes) -> Field:
-    """Unary weights by logistic regression of pattern labels on shapes, agreement weights from the share of edges whose
-    ends carry one label (smoothed log-odds, at least 1 for mentions of equal content)."""
-    observed, features, chain, skip = nodes.arrays()
-    unary = np.zeros((FEATURES, LABELS))
+    """All potentials together, by the pseudo-likelihood of nodes whose label is known given their neighbours'."""
+    observed, truth, features, edges = nodes.arrays()
+    unary, agree = np.zeros((FEATURES, LABELS)), np.full(3, 0.5)
     unary[0, 0] = 2.0
-    if len(observed):
-        goal = np.eye(LABELS)[observed]
-        for _ in range(EPOCHS):
-            z = unary[features].sum(axis=1)
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            grad = np.zeros_like(unary)
-            np.add.at(grad, features, ((p - goal) / len(goal))[:, None, :])
-            unary -= RATE * (grad + 1e-4 * unary)
-
-    def agreement(edges: np.ndarray) -> float:
-        same = int((observed[edges[:, 0]] == observed[edges[:, 1]]).sum()) if len(edges) else 0
-        return float(np.log((same + 1) / (len(edges) - same + 1)))
-
-    return Field(unary, float(np.clip(agreement(chain), 0, 0.5)), float(np.clip(agreement(skip), 1, 4)))
+    if not len(observed):
+        return Field(unary, agree)
+    near = np.zeros((3, len(truth), LABELS))
+    for a, b in (edges[:, :2].T, edges[:, 1::-1].T):
+        known = truth[b] >= 0
+        np.add.at(near, (edges[known, 2], a[known], truth[b][known]), 1.0)
+    rows = np.flatnonzero(truth >= 0)
+    weight = np.where((observed[rows] == 0) & (truth[rows] > 0), MASK_WEIGHT, 1.0)[:, None]
+    weight = weight / weight.sum()
+    goal, shape, near = np.eye(LABELS)[truth[rows]], features[rows], near[:, rows]
+    for _ in range(EPOCHS):
+        z = unary[shape].sum(axis=1) + np.tensordot(agree, near, 1)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        d = (p - goal) * weight
+        grad = np.zeros_like(unary)
+        np.add.at(grad, shape, d[:, None, :])
+        unary -= RATE * (grad + 1e-4 * unary)
+        # neighbours never repel, so messages stay well defined
+        agree = np.maximum(agree - RATE * ((near * d).sum(axis=(1, 2)) + 1e-4 * agree), 0.0)
+    return Field(unary, agree)
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
@@ -190,24 +258,26 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
     drawn = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1.0, train_docs / max(1, n)) * (1 << 20))
 
     def nodes_of(batches):
+        import random
+
         import pyarrow as pa
 
+        kinds = [pa.int64()] + [pa.list_(pa.int64())] * 4
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                nodes = Nodes()
-                nodes.add(0, text.as_py(), base_spans(text.as_py()))
-                rows.append((doc_id, nodes.observed, [x for f in nodes.features for x in f], [x for e in nodes.chain for x in e], [x for e in nodes.skip for x in e]))
-            kinds = [pa.int64()] + [pa.list_(pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc_id", "o", "f", "c", "s"])
+                nodes, body = Nodes(), text.as_py()
+                nodes.add(0, body, base_spans(body), random.Random(doc_id))
+                rows.append((doc_id, nodes.observed, nodes.truth, [x for f in nodes.features for x in f], [x for e in nodes.edges for x in e]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["doc_id", "o", "t", "f", "e"])
 
     whole = Nodes()
-    for r in sorted(drawn.mapInArrow(nodes_of, "doc_id long, o array<long>, f array<long>, c array<long>, s array<long>").collect()):
+    for r in sorted(drawn.mapInArrow(nodes_of, "doc_id long, o array<long>, t array<long>, f array<long>, e array<long>").collect()):
         first = len(whole.observed)
         whole.observed += r["o"]
+        whole.truth += r["t"]
         whole.features += [r["f"][i : i + 8] for i in range(0, len(r["f"]), 8)]
-        whole.chain += [(r["c"][i] + first, r["c"][i + 1] + first) for i in range(0, len(r["c"]), 2)]
-        whole.skip += [(r["s"][i] + first, r["s"][i + 1] + first) for i in range(0, len(r["s"]), 2)]
+        whole.edges += [(r["e"][i] + first, r["e"][i + 1] + first, r["e"][i + 2]) for i in range(0, len(r["e"]), 3)]
     return fit_field(whole)
 
 
@@ -225,11 +295,11 @@ def all_spans(texts: list[str], field: Field) -> tuple[list, list]:
     return base, [sorted(x) for x in every]
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def find_personal_data(docs: DataFrame, field: Field) -> DataFrame:
-    """documents -> doc_id, counts and digest of the pattern spans, all spans, n_added."""
+    """documents -> doc_id, counts and digest of the pattern spans, all spans, how many were added, and how many there are."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
@@ -240,6 +310,6 @@ def find_personal_data(docs: DataFrame, field: Field) -> DataFrame:
             base, every = all_spans(texts, shared.value)
             counts = [pa.array([sum(1 for s in b if s[0] == k) for b in base], pa.int64()) for k in range(4)]
             digest = pa.array([hashlib.sha256(digest_text(b).encode()).hexdigest() for b in base], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array([digest_text(e) for e in every], pa.string()), pa.array([len(e) - len(b) for b, e in zip(base, every)], pa.int64())], [c.split()[0] for c in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digest, pa.array([digest_text(e) for e in every], pa.string()), pa.array([len(e) - len(b) for b, e in zip(base, every)], pa.int64()), pa.array([len(e) for e in every], pa.int64())], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

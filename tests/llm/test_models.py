@@ -194,6 +194,80 @@ def test_field_carries_labels_over_distant_mentions(spark, docs):
     assert pii.find_personal_data(docs.limit(0), field).count() == 0
 
 
+def graph(rng, n, edges):
+    nodes = pii.Nodes()
+    for _ in range(n):
+        nodes.spans.append((0, 1))
+        nodes.doc.append(0)
+        nodes.observed.append(rng.choice([0, 0, 1, 3]))
+        nodes.truth.append(0)
+        nodes.features.append([rng.randrange(pii.FEATURES) for _ in range(8)])
+    nodes.edges = edges
+    return nodes
+
+
+def exact_marginals(field, nodes):
+    """Every labelling of a small graph, weighed by its potentials."""
+    from itertools import product
+
+    n, local = len(nodes.spans), field.unary[np.array(nodes.features)].sum(axis=1)
+    for i, o in enumerate(nodes.observed):
+        local[i, o] += 25.0 if o else 0.0
+    out = np.zeros((n, pii.LABELS))
+    for labels in product(range(pii.LABELS), repeat=n):
+        w = np.exp(sum(local[i, y] for i, y in enumerate(labels)) - local.max(axis=1).sum() + sum(field.agree[k] for a, b, k in nodes.edges if labels[a] == labels[b]))
+        for i, y in enumerate(labels):
+            out[i, y] += w
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_messages_give_exact_marginals():
+    import random
+
+    rng, noise = random.Random(3), np.random.default_rng(3)
+    for _ in range(20):
+        field = pii.Field(noise.normal(0, 0.3, (pii.FEATURES, pii.LABELS)), np.abs(noise.normal(0, 1.5, 3)))
+        tree = graph(rng, 6, [(rng.randrange(i), i, rng.randrange(3)) for i in range(1, 6)])
+        assert np.abs(field.marginals(tree) - exact_marginals(field, tree)).max() < 1e-3
+        loop = graph(rng, 5, [(0, 1, 0), (1, 2, 0), (2, 3, 0), (3, 4, 0), (0, 4, 1), (1, 3, 2)])
+        assert np.abs(field.marginals(loop) - exact_marginals(field, loop)).max() < 0.15
+    assert field.marginals(graph(rng, 3, [])).shape == (3, pii.LABELS)
+
+
+def test_a_label_travels_along_a_long_chain():
+    field = pii.Field(np.zeros((pii.FEATURES, pii.LABELS)), np.array([6.0, 6.0, 6.0]))
+    nodes = graph(__import__("random").Random(1), 60, [(i, i + 1, 0) for i in range(59)])
+    nodes.observed = [1] + [0] * 59
+    assert (field.marginals(nodes).argmax(axis=1) == 1).all()
+
+
+def test_masked_mentions_are_found_again(spark, docs):
+    """Held-out documents, each with a masked repetition of one of its own spans far away, and one of a stranger's."""
+    import random
+
+    from lectern.llm.common import held_out
+
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    field, rng = pii.fit(docs.where(~held_out())), random.Random(5)
+    found = wrong = total = strangers = 0
+    for r in docs.where(held_out()).select("text").collect():
+        base = pii.base_spans(r.text or "")
+        for k, a, b in base:
+            form = pii.masked_form(k, r.text[a:b], rng.random())
+            if not form:
+                continue
+            text = r.text + " tail " + "words " * 200 + form
+            own, every = pii.all_spans([text], field)
+            total += 1
+            found += (k, len(text) - len(form), len(text)) in every[0]
+            other = "".join(str(rng.randrange(10)) for _ in range(10))
+            text = r.text + " tail " + "words " * 200 + other
+            strangers += 1
+            wrong += any(x[1] >= len(r.text) for x in set(pii.all_spans([text], field)[1][0]) - set(own[0]))
+    assert total > 60 and found / total >= 0.9, (found, total)
+    assert wrong / strangers <= 0.05, (wrong, strangers)
+
+
 def test_licences(spark, docs):
     model = licences.fit(docs)
     got = {r.doc_id: r for r in licences.scan(docs, model).collect()}
