@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontaminate, lines, minhash, packing, quality
-from lectern.llm.common import materialize, table
+from lectern.llm.common import discard, materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage wrote is deleted when its successor is written, but for the last one, which the result reads."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.lower().replace(' ', '-')}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The first stage is a trained network, which SQL cannot express; tests compare the pipeline with brute force.
+#: The first stage is a trained network, which SQL cannot express; a test compares the whole pipeline with plain Python, row for
+#: row, on a small fixture.
 ORACLE_SQL = None
