@@ -23,7 +23,7 @@ from .common import ALNUM_WORDS, discard, materialize, shards, utf8_parts, words
 
 WINDOW = 10
 #: A suffix array is made over about so many bytes of text.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 #: Most bytes of benchmark text that are broadcast at once.
 BROADCAST_BYTES = 16 << 20
 
