@@ -51,7 +51,8 @@ HEADINGS = [
     ("md_heading", "(?md)^#{1,2}\\s+\\S.*$", 2),
 ]
 SCENE_BREAK = "(?md)^\\s*(?:[*]{3,}|[-]{3,}|[=]{3,}|[—]{3,})\\s*$"
-SENTENCE_END = "[。！？!?…]+[”』」'\")）]*"
+SENTENCE_MARKS = "。！？!?…"
+SENTENCE_END = f"[{SENTENCE_MARKS}]+[”』」'\")）]*"
 
 # corrections
 SKIP_SPEAKERS = ["旁白", "未知", "众人", "大家", "二人", "三人", "所有人"]
@@ -109,6 +110,8 @@ DEFAULT_RULES = [
     ("decorative_separator", "regex", r"(?U)✽[\s\x1c-\x1f]*✽[\s\x1c-\x1f]*✽[✽\s\x1c-\x1f]*", "***", 50),
 ]
 PRESERVED = ["祂"]
+#: Unicode white space and the four separators beside it.
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Steps of preprocessing that run unless a profile disables them.
 PREPROCESS_STEPS = ("html_unescape", "apply_ordered_rules")
 #: Characters of a chunk to aim at, and at most.

@@ -23,11 +23,11 @@ def let(value, body) -> Column:
 
 def strip(c) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(col(c), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(col(c), F.lit(L.WHITE_SPACE))
 
 
 def lstrip(c) -> Column:
-    return F.regexp_replace(col(c), r"(?U)\A[\s\x1c-\x1f]+", "")
+    return F.ltrim(col(c), F.lit(L.WHITE_SPACE))
 
 
 def normalize_text(c) -> Column:
@@ -96,7 +96,9 @@ def preprocess_steps(df, c, rules=None, preserved=None, steps=L.PREPROCESS_STEPS
     def step(acc, r):
         count = F.when(r["regex"], F.regexp_count(acc["text"], r["source"])).otherwise(F.floor((F.length(acc["text"]) - F.length(F.replace(acc["text"], r["source"], F.lit("")))) / F.length(r["source"])))
         new = F.when(r["regex"], F.regexp_replace(acc["text"], r["source"], r["target"])).otherwise(F.replace(acc["text"], r["source"], r["target"]))
-        return let(count.cast("long"), lambda n: F.when(n > 0, F.struct(new.alias("text"), F.concat(acc["hits"], F.array(F.struct(r["id"].alias("id"), n.alias("count")))).alias("hits")).cast(kind)).otherwise(acc))
+        # most texts hold few of the sources: one byte search tells, before anything is counted
+        seen = F.when(r["regex"] | F.contains(acc["text"], r["source"]), count.cast("long")).otherwise(0)
+        return let(seen, lambda n: F.when(n > 0, F.struct(new.alias("text"), F.concat(acc["hits"], F.array(F.struct(r["id"].alias("id"), n.alias("count")))).alias("hits")).cast(kind)).otherwise(acc))
 
     begun = F.struct(F.col("_decoded").alias("text"), F.array().cast("array<struct<id:string,count:bigint>>").alias("hits")).cast(kind)
     out = out.withColumn("_ruled", F.aggregate(table, begun, step) if rules else begun)

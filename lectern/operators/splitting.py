@@ -127,7 +127,7 @@ def soft_split(line, most: int = 160) -> Column:
     """array<string>: a long line is cut at the first sentence end at or after `most` characters."""
 
     def pieces(x):
-        sentences = F.regexp_extract_all(x, F.lit(f"[\\s\\S]*?(?:{L.SENTENCE_END})|[\\s\\S]+\\z"), F.lit(0))
+        sentences = F.regexp_extract_all(x, F.lit(f"[^{L.SENTENCE_MARKS}]*+{L.SENTENCE_END}|[^{L.SENTENCE_MARKS}]++"), F.lit(0))
         ends = lambda s, x: let(s["shut"], lambda new: F.struct((s["g"] + new.cast("int")).alias("g"), s["n"], F.when(new, x["len"]).otherwise(s["size"] + x["len"]).alias("size"), s["shut"]))
         step = lambda s, x: let(ends(s, x), lambda t: F.struct(t["g"], t["n"], t["size"], t["size"] >= most))
         start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(False).alias("shut"))

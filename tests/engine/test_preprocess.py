@@ -46,3 +46,10 @@ def test_structure_sees_entities_and_separators(spark):
     texts = ["甲文。\n&#42;&#42;&#42;\n乙文。", "第一章 一\n甲\n第二章 二\n乙\n✽ ✽ ✽"]
     got = splitting.detect_structure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "chunk_idx").collect()
     assert [(r.method, r.content) for r in got] == [("scene_break", "甲文。"), ("scene_break", "乙文。"), ("heading", "甲"), ("heading", "乙\n***")]
+
+
+def test_white_space_is_what_python_strips(spark):
+    assert set(L.WHITE_SPACE) == {c for c in map(chr, range(0x110000)) if c.isspace()}
+    texts = ["", " ", L.WHITE_SPACE, None, "\u3000甲 乙\u2009\x1f", "\x85a\n\nb\xa0", "\u200b甲\u200b", "甲" + " " * 100_000 + "乙 "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(T.strip("t").alias("s"), T.lstrip("t").alias("l"), "t").collect()
+    assert all(r.t is None and r.s is None or (r.s, r.l) == (r.t.strip(), r.t.lstrip()) for r in rows)
