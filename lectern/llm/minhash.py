@@ -183,20 +183,53 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 PAIRS_AT_ONCE = 1 << 17
 
 
-def _linked_pairs(table):
-    """Links among the rows of whole block pairs: role 0 against role 1, across components.
+def _candidates(table):
+    """(i, j) row arrays of whole block pairs, some at a time: role 0 against role 1, across components, that pass the Bayesian
+    test. A pair that shares several buckets is taken up in the first of its common bands only."""
+    key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "mb", "ab")])
+    role, comp, band = (table.column(c).to_numpy() for c in ("role", "comp", "band"))
+    sigs = _matrix(table.column("sig"))
+    shared = table.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(role), BANDS)
+    first = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+    end = np.append(first[1:], len(role))
+    minors = np.add.reduceat(role == 0, first)
+    others = end - first - minors
+    sizes = minors * others
+    group = 0
+    while group < len(first):
+        upto = max(group + 1, int(np.searchsorted(np.cumsum(sizes[group:]), PAIRS_AT_ONCE, side="right")) + group)
+        many = sizes[group:upto]
+        g = np.repeat(np.arange(group, upto), many)
+        local = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        i, j = first[g] + local // np.maximum(others[g], 1), first[g] + minors[g] + local % np.maximum(others[g], 1)
+        apart = comp[i] != comp[j]
+        i, j = i[apart], j[apart]
+        alive = bayes_matches(sigs, i, j) >= 0
+        i, j = i[alive], j[alive]
+        common = (shared[i] == shared[j]) & (shared[i] != 0)
+        here = common.argmax(axis=1) == band[i] if len(i) else alive[:0]
+        yield i[here], j[here]
+        group = upto
 
-    A pair that shares several buckets is taken up in the first of its common bands only. The Bayesian test prunes, full sets
-    decide; a set is made once a block at most.
-    """
+
+def _open_ids(table):
+    """The rows of whole block pairs that have a candidate partner, each once."""
+    import pyarrow as pa
+
+    rid = table.column("rid").to_numpy()
+    seen = [np.zeros(0, np.int64)]
+    for i, j in _candidates(table):
+        seen.append(np.unique(np.concatenate([rid[i], rid[j]])))
+    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(seen)), pa.int64())], ["rid"])
+
+
+def _linked_pairs(table):
+    """Links among the candidates of whole block pairs: full sets decide; a set is made once a block at most."""
     from functools import lru_cache
 
     import pyarrow as pa
 
-    key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "mb", "ab")])
-    role, rid, comp, band = (table.column(c).to_numpy() for c in ("role", "rid", "comp", "band"))
-    sigs = _matrix(table.column("sig"))
-    shared = table.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(rid), BANDS)
+    rid, comp = (table.column(c).to_numpy() for c in ("rid", "comp"))
     data, offsets = utf8_parts(table.column("text"))
 
     @lru_cache(maxsize=4 * BLOCK)
@@ -211,27 +244,10 @@ def _linked_pairs(table):
             parent[x] = x = parent.get(parent[x], parent[x])
         return x
 
-    first = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-    end = np.append(first[1:], len(rid))
-    minors = np.add.reduceat(role == 0, first)
-    others = end - first - minors
-    sizes = minors * others
     num, den = SHARE
-    group = 0
-    while group < len(first):
-        upto = max(group + 1, int(np.searchsorted(np.cumsum(sizes[group:]), PAIRS_AT_ONCE, side="right")) + group)
-        many = sizes[group:upto]
-        g = np.repeat(np.arange(group, upto), many)
-        local = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        i, j = first[g] + local // np.maximum(others[g], 1), first[g] + minors[g] + local % np.maximum(others[g], 1)
-        apart = comp[i] != comp[j]
-        i, j = i[apart], j[apart]
-        alive = bayes_matches(sigs, i, j) >= 0
-        i, j = i[alive], j[alive]
-        common = (shared[i] == shared[j]) & (shared[i] != 0)
-        here = common.argmax(axis=1) == band[i] if len(i) else alive[:0]
+    for i, j in _candidates(table):
         found = []
-        for x, y in zip(i[here].tolist(), j[here].tolist()):
+        for x, y in zip(i.tolist(), j.tolist()):
             # components that this task has joined need no second link
             u, v = root(int(comp[x])), root(int(comp[y]))
             if u == v:
@@ -245,11 +261,11 @@ def _linked_pairs(table):
                 found.append((min(rid[x], rid[y]), max(rid[x], rid[y])))
         cols = np.array(found, np.int64).reshape(-1, 2).T
         yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1])], ["a", "b"])
-        group = upto
 
 
-def _cross(batches):
-    """Rows sorted by block pair and role; a block pair that goes on in the next batch waits for it."""
+def _by_block_pair(batches, work):
+    """work() on tables of whole block pairs. Rows come sorted by block pair and role; a block pair that goes on in the next
+    batch waits for it."""
     import pyarrow as pa
 
     held = None
@@ -262,15 +278,26 @@ def _cross(batches):
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0))
         done = int(cuts[-1]) + 1 if len(cuts) else 0
         if done:
-            yield from _linked_pairs(table.slice(0, done).combine_chunks())
+            yield from work(table.slice(0, done).combine_chunks())
         held = table.slice(done)
     if held is not None and held.num_rows:
-        yield from _linked_pairs(held.combine_chunks())
+        yield from work(held.combine_chunks())
+
+
+def _screen(batches):
+    return _by_block_pair(batches, _open_ids)
+
+
+def _cross(batches):
+    return _by_block_pair(batches, _linked_pairs)
 
 
 def _open_blocks(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Rows of the buckets that hold several components, apart from their pivots, dealt into pairs of blocks: the members
-    outside a bucket's main component (role 0) against all of its members (role 1). Also the written tables it reads."""
+    outside a bucket's main component (role 0) against all of its members (role 1). Also the written tables it reads.
+
+    Signatures go first and find the rows that have a candidate at all; only these are dealt again, with their texts.
+    """
     where = members.where("rid <> pivot").join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select("bucket", "band", "rid", F.coalesce("component", "rid").alias("comp"))
     per = where.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     split = per.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket", "main", "size", (F.col("size") - F.col("top")).alias("minor"))
@@ -282,9 +309,14 @@ def _open_blocks(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts:
     pairs = F.map_from_entries(F.collect_list(F.struct("band", "bucket")))
     mine_all = open_.groupBy("rid").agg(pairs.alias("m")).select("rid", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long"))).alias("buckets"))
     mine_all = materialize(mine_all, "minhash-open-rids")
-    full = sigs.join(mine_all, "rid").join(_only(texts, mine_all.select("rid")), "rid")
-    blocks = as_minor.unionByName(as_any).join(full, "rid").repartition("bucket", "mb", "ab")
-    return blocks.sortWithinPartitions("bucket", "mb", "ab", "role"), [open_, mine_all]
+    known = sigs.join(mine_all, "rid")
+    dealt = as_minor.unionByName(as_any)
+
+    def in_blocks(full):
+        return dealt.join(full, "rid").repartition("bucket", "mb", "ab").sortWithinPartitions("bucket", "mb", "ab", "role")
+
+    alive = materialize(in_blocks(known).mapInArrow(_screen, "rid long").distinct(), "minhash-alive")
+    return in_blocks(known.join(alive, "rid").join(_only(texts, alive), "rid")), [open_, mine_all, alive]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,7 +325,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     1. one pass makes each document's set size, set hash and signature; equal sets fall into one class;
     2. every class is compared with the least id of each band bucket it lies in (work in proportion to bucket sizes);
     3. in buckets that still hold several components, blocks are compared inside a task, only across components, each pair in
-       one bucket: the Bayesian test prunes, full sets decide, and only links leave the task.
+       one bucket: the Bayesian test over signatures finds the rows with a candidate, whose full sets then decide; only links
+       leave the task.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
