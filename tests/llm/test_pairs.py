@@ -89,26 +89,6 @@ def test_near_duplicates_beyond_the_bounds(spark, monkeypatch):
         assert len(got) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
-def test_blocks_carry_texts_of_rows_with_candidates_only(spark, monkeypatch):
-    """One bucket of copies and of documents unlike all others, in blocks of five: texts of the latter are not dealt out."""
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(minhash, "BLOCK", 5)
-    rng = random.Random(12)
-    rows = [(i, t) for i, t in near_rows()[:48]] + [(100 + i, " ".join(words(rng, 90))) for i in range(60)]
-    want = {i: c for i, (_, c) in brute_components(rows).items()}
-    texts = spark.createDataFrame(rows, "rid long, text string")
-    sigs = texts.withColumnRenamed("rid", "doc_id").mapInArrow(minhash._sign, "doc_id long, n_shingles long, set_a long, set_b long, sig binary").select(F.col("doc_id").alias("rid"), "sig")
-    members = spark.createDataFrame([(7, 0, i, -1) for i, _ in rows], "bucket long, band int, rid long, pivot long")
-    labels = spark.createDataFrame([], "node long, component long")
-    blocks, _ = minhash._open_blocks(members, labels, sigs, texts)
-    dealt = {r.rid for r in blocks.select("rid").distinct().collect()}
-    linked = {i for i, c in want.items() if list(want.values()).count(c) > 1}
-    assert linked <= dealt and not dealt & {i for i, _ in rows if i >= 100}
-    found = connected_components(blocks.mapInArrow(minhash._cross, "a long, b long"), "test-cc").collect()
-    assert {r.node: r.component for r in found} == {i: want[i] for i in linked}
-
-
 def test_scratch_tables_are_deleted(spark):
     import os
 
