@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licences, lines, packing, pii, quality, topk, warc
+from . import decontaminate, langid, licences, lines, packing, pii, quality, topk, toxicity, warc
 from .common import table
 from .minhash import near_duplicates
 
@@ -55,7 +55,12 @@ def op10_top_k_search(spark, sf_dir):
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_packing, op4_warc_index, op5_personal_data, op6_licence_scan, op7_language_id, op8_line_dedup, op9_decontamination, op10_top_k_search)}
+def op11_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_packing, op4_warc_index, op5_personal_data, op6_licence_scan, op7_language_id, op8_line_dedup, op9_decontamination, op10_top_k_search, op11_toxicity)}
 
 _TOP_K = """
 with v as (
