@@ -19,7 +19,8 @@ ALNUM_WORDS = np.zeros(256, bool)
 ALNUM_WORDS[ord("0") : ord("9") + 1] = True
 ALNUM_WORDS[ord("a") : ord("z") + 1] = True
 ALNUM_WORDS[128:] = True
-_LOWER = np.arange(256, dtype=np.uint8)
+_SAME = np.arange(256, dtype=np.uint8)
+_LOWER = _SAME.copy()
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
@@ -180,11 +181,12 @@ def _hash_block(block: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.
     return starts, mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of rows in `data`, and for each row the index of its first word.
+def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of rows in `data`, and for each row the index of its first word.
 
-    Only A-Z are lowered. Work goes block by block, so memory does not follow the length of a row.
+    Words are lower-cased (A-Z only) unless `lower` is off. Work goes block by block, so memory does not follow the length of a row.
     """
+    fold = _LOWER if lower else _SAME
     hashes, counts = [], np.zeros(len(offsets) - 1, np.int64)
     for row in range(len(offsets) - 1):
         pass_from, end = int(offsets[row]), int(offsets[row + 1])
@@ -194,12 +196,12 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tupl
         while pass_from < end:
             upto = min(pass_from + SEGMENT_BYTES, end)
             while upto < end:
-                tail = np.flatnonzero(~is_word[_LOWER[data[pass_from:upto]]])
+                tail = np.flatnonzero(~is_word[fold[data[pass_from:upto]]])
                 if len(tail):
                     upto = pass_from + int(tail[-1]) + 1
                     break
                 upto = min(upto + SEGMENT_BYTES, end)
-            _, h = _hash_block(_LOWER[data[pass_from:upto]], is_word)
+            _, h = _hash_block(fold[data[pass_from:upto]], is_word)
             hashes.append((row, h))
             counts[row] += len(h)
             pass_from = upto
@@ -217,7 +219,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tupl
             continue
         base, stop = int(offsets[first]), int(offsets[end])
         cuts = (offsets[first + 1 : end] - base).astype(np.int64)
-        block = np.insert(_LOWER[data[base:stop]], cuts, 32)
+        block = np.insert(fold[data[base:stop]], cuts, 32)
         starts, h = _hash_block(block, is_word)
         begins = (offsets[first:end] - base) + np.arange(end - first)
         index = np.searchsorted(starts, begins)

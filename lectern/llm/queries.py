@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licences, lines, packing, pii, quality, topk, toxicity, warc
+from . import audit, decontaminate, langid, licences, lines, packing, pii, quality, topk, toxicity, warc
 from .common import table
 from .minhash import near_duplicates
 
@@ -60,7 +60,11 @@ def op11_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_packing, op4_warc_index, op5_personal_data, op6_licence_scan, op7_language_id, op8_line_dedup, op9_decontamination, op10_top_k_search, op11_toxicity)}
+def op12_filter_audit(spark, sf_dir):
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_packing, op4_warc_index, op5_personal_data, op6_licence_scan, op7_language_id, op8_line_dedup, op9_decontamination, op10_top_k_search, op11_toxicity, op12_filter_audit)}
 
 _TOP_K = """
 with v as (
@@ -116,4 +120,4 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join words using (rid) left join items using (rid) left join longest using (rid)
 """
 
-ORACLES = {"op4_warc_index": _WARC, "op8_line_dedup": lines.ORACLE, "op9_decontamination": _WINDOWS, "op10_top_k_search": _TOP_K}
+ORACLES = {"op4_warc_index": _WARC, "op8_line_dedup": lines.ORACLE, "op9_decontamination": _WINDOWS, "op10_top_k_search": _TOP_K, "op12_filter_audit": audit.ORACLE}
