@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audit, decontaminate, langid, licences, lines, packing, pii, quality, topk, toxicity, warc
+from . import audit, decontaminate, langid, licences, lines, packing, pii, quality, repetition, topk, toxicity, warc
 from .common import table
 from .minhash import near_duplicates
 
@@ -64,7 +64,11 @@ def op12_filter_audit(spark, sf_dir):
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_packing, op4_warc_index, op5_personal_data, op6_licence_scan, op7_language_id, op8_line_dedup, op9_decontamination, op10_top_k_search, op11_toxicity, op12_filter_audit)}
+def op13_periodic_runs(spark, sf_dir):
+    return repetition.periodic_runs(table(spark, sf_dir, "documents"), repetition.rewritten)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_packing, op4_warc_index, op5_personal_data, op6_licence_scan, op7_language_id, op8_line_dedup, op9_decontamination, op10_top_k_search, op11_toxicity, op12_filter_audit, op13_periodic_runs)}
 
 _TOP_K = """
 with v as (
