@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import SPACE_SEPARATED, batches_of, discard, materialize, shards, utf8_parts, words_of
 
 LETTERS = "ABCDE"
-SHARD_BYTES, DICTIONARY_BYTES = 2 << 20, 16 << 20
+SHARD_BYTES, DICTIONARY_BYTES = 2 << 20, 4 << 20
 #: Rows of a side that may be broadcast (some 10 MB); beyond, it is copied for SALTS shares of the documents and shuffled.
 BROADCAST_ROWS, SALTS = 200_000, 16
 _SYMBOLS = np.zeros(256, bool)
@@ -55,7 +55,10 @@ def _encoded(column, bits: int):
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[inside])])
     coded = words.dictionary_encode()
     distinct = coded.dictionary
-    hashes, _ = words_of(*utf8_parts(pa.array([b" ".join(distinct.to_pylist())], pa.large_binary())), SPACE_SEPARATED, lower=False)
+    # the distinct words, a space between them, in blocks of bounded size
+    raw, ends = utf8_parts(distinct)
+    blocks = np.append(np.arange(0, len(distinct), 1 << 14), len(distinct))
+    hashes, _ = words_of(np.insert(raw, ends[1:-1], 32) if len(distinct) else raw, ends[blocks] + np.minimum(blocks, max(len(distinct) - 1, 0)), SPACE_SEPARATED, lower=False)
     rows = np.searchsorted(offsets, starts, side="right") - 1
     return rows, coded.indices.to_numpy().astype(np.int64), distinct, (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -74,9 +77,14 @@ def shared_codes(docs: DataFrame, bits: int = 63) -> dict[bytes, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(codes[first : first + (1 << 16)]), distinct.slice(first, 1 << 16).cast(pa.binary())], ["code", "word"])
 
     dictionary = docs.select("text").mapInArrow(found, "code long, word binary").repartition("code").distinct()
-    clash = dictionary.groupBy("code").agg(F.count("*").alias("n"), F.collect_list("word").alias("words")).where("n > 1")
-    words = sorted(w for r in clash.collect() for w in sorted(bytes(x) for x in r["words"])[1:])
-    return {w: -1 - i for i, w in enumerate(words)}
+    clash = [r["code"] for r in dictionary.groupBy("code").count().where("count > 1").select("code").collect()]
+    if not clash:
+        return {}
+    sharing = docs.sparkSession.createDataFrame([(c,) for c in clash], "code long")
+    words: dict[int, list[bytes]] = {}
+    for r in dictionary.join(F.broadcast(sharing), "code").collect():
+        words.setdefault(r["code"], []).append(bytes(r["word"]))
+    return {w: -1 - i for i, w in enumerate(sorted(w for ws in words.values() for w in sorted(ws)[1:]))}
 
 
 SHARD = "doc_id array<long>, part array<string>, indptr array<int>, indices array<long>, counts array<int>, upper array<long>, points array<long>, symbols array<boolean>, digest array<binary>"
