@@ -1,4 +1,4 @@
-"""Left folds over arrays that emit a number an element, in time that follows the array's length.
+"""Left folds over arrays that emit a value an element, in time that follows the array's length.
 
 A fold that grows an array copies it for each element; here it grows an array for a block of elements and an array of blocks.
 """
@@ -11,13 +11,13 @@ from .spans import FOLDED
 from .text import col, let
 
 
-def emitted(items, state: str, start: Column, step, emit) -> Column:
-    """array<int>: emit(state) after each element of items; step(state, element) gives the next state, of type `state`."""
-    outer, inner = f"struct<s:{state},out:array<array<int>>>", f"struct<s:{state},out:array<int>>"
-    none = F.array().cast("array<int>")
+def emitted(items, state: str, start: Column, step, emit, kind: str = "int") -> Column:
+    """array<kind>: emit(state) after each element of items; step(state, element) gives the next state, of type `state`."""
+    outer, inner = f"struct<s:{state},out:array<array<{kind}>>>", f"struct<s:{state},out:array<{kind}>>"
+    none = F.array().cast(f"array<{kind}>")
 
     def one(acc, x):
-        return let(step(acc["s"], x).cast(state), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(emit(s).cast("int"))).alias("out")).cast(inner))
+        return let(step(acc["s"], x).cast(state), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(emit(s).cast(kind))).alias("out")).cast(inner))
 
     def block(acc, xs):
         done = F.aggregate(xs, F.struct(acc["s"].alias("s"), none.alias("out")).cast(inner), one)
@@ -25,7 +25,7 @@ def emitted(items, state: str, start: Column, step, emit) -> Column:
 
     def whole(xs):
         runs = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / FOLDED).cast("int")), lambda k: F.slice(xs, (k * FOLDED + 1).cast("int"), FOLDED))
-        return F.aggregate(runs, F.struct(start.cast(state).alias("s"), F.array().cast("array<array<int>>").alias("out")).cast(outer), block, lambda acc: F.flatten(acc["out"]))
+        return F.aggregate(runs, F.struct(start.cast(state).alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out")).cast(outer), block, lambda acc: F.flatten(acc["out"]))
 
     return let(col(items), whole)
 

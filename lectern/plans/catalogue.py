@@ -12,7 +12,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import attribution, audio, candidates, codecs, consistency, quotes, segments, service, splitting
 from ..sources import html, io
-from . import adapters as A, extras, oracles  # noqa: F401  (extras registers queries of its own)
+from . import adapters as A, extras, oracles, sequential  # noqa: F401  (extras registers queries of its own)
 from .novel import parse_novel
 from .registry import ORACLES, QUERIES, query
 
@@ -376,12 +376,25 @@ def candidates_without_hints(spark, sf_dir):
     return candidates.generate_candidates(bare).select("doc_id", "quote_id", "candidates", named.alias("sources"), "scene_characters")
 
 
-@query()
+def _told_passes(source: str) -> tuple[str, str]:
+    """All corrections in order on `source`, the scene rule sparing the narrator."""
+    parts = []
+    for name in consistency.PASSES:
+        sql = _P[name](source)
+        parts.append(sql.replace(_FIX, f"{_FIX} and speaker <> '{A.NAMES[0]}'") if name == "scene" else sql)
+        source = f"p_{name}"
+    return ", ".join(parts), source
+
+
+_CUES = (ORACLES["self_identified"], ORACLES["narrator_anchor"], ORACLES["explicit_rules"])
+
+
+@query(sequential.implicit_classic(*_CUES))
 def implicit_classic(spark, sf_dir):
     return attribution.classic(_hinted(_quotes(spark, sf_dir)))
 
 
-@query()
+@query(sequential.parse_novel(*_CUES, _told_passes))
 def parse_novel_segments(spark, sf_dir):
     return flagship(spark, sf_dir)
 

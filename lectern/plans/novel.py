@@ -29,8 +29,10 @@ def parse_novel(docs: DataFrame, hints: list[str] | None = None, narrator: str |
     hints = hints or []
     text = quotes.normalised(docs)
     found = quotes.extract_quotes(text)
-    said = attribution.classic(_with_aliases(found, hints, narrator, infer), ranker)
-    rows = said.join(found.select("doc_id", "quote_no", "quote_id", "text", "context_before", "context_after"), ["doc_id", "quote_no"])
+    kept = ("quote_id", "text", "context_before", "context_after")
+    rows = attribution.classic(_with_aliases(found, hints, narrator, infer), ranker, carry=kept)
+    if ranker is not None:
+        rows = rows.join(found.select("doc_id", "quote_no", *kept), ["doc_id", "quote_no"])
     rows = rows.withColumn("_sub", F.lit(1))
     if narration:
         gaps = quotes.narration_gaps(text, found)
