@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import lexicon as L
+from ..functions.spans import blocks, cut, running, spans
 from ..functions.text import col, let, strings, strip
 
 
@@ -44,12 +45,12 @@ def decode_attributions(replies: DataFrame) -> DataFrame:
 
 
 def decode_json_attributions(replies: DataFrame) -> DataFrame:
-    """replies (batch_id, quote_ids, response holding a JSON array of objects) -> as decode_attributions().
+    """replies (batch_id, quote_ids, response that holds a JSON array of objects, see recover_array) -> as decode_attributions().
 
     An answer's id is a quote id, else a 1-based place, else part of the first id that contains it or lies in it.
     """
     item = "array<struct<id:string,speaker:string,confidence:double,attribution_type:string,evidence:string>>"
-    rows = replies.select("batch_id", "quote_ids", F.explode(F.from_json(strip_thoughts("response"), item)).alias("x"))
+    rows = replies.select("batch_id", "quote_ids", F.explode(F.from_json(recover_array("response"), item)).alias("x")).where("x is not null")
     i = F.coalesce("x.id", F.lit(""))
     place = F.when(i.rlike(r"\A[0-9]+\z"), i.try_cast("int"))
     loose = F.try_element_at(F.filter("quote_ids", lambda q: F.contains(q, i) | F.contains(i, q)), F.lit(1))
@@ -208,6 +209,35 @@ def recover_json(texts: pd.Series) -> pd.Series:
     return texts.map(recover)
 
 
+def recover_array(c) -> Column:
+    """The JSON array of a reply that thinks aloud, as text: a fenced one if it parses, else the array that opens furthest to
+    the right of all that close and parse; null if none does.
+
+    A running sum over the brackets gives depths. Of the brackets that touch one depth, opening and closing ones alternate, so
+    sorted by depth and place each bracket stands beside its partner. Candidates are parsed from the right until one fits.
+    Brackets in strings count like others, as in an answer cut short nobody can tell.
+    """
+    kind = "struct<level:int,at:int,opens:boolean>"
+
+    def paired(brackets):
+        depths = running(F.transform(brackets, lambda b: F.when(b["raw"] == "[", 1).otherwise(-1)), lambda a, b: a + b)
+        placed = F.zip_with(brackets, depths, lambda b, d: F.struct((d + (b["raw"] == "]").cast("int")).alias("level"), b["start"].alias("at"), (b["raw"] == "[").alias("opens")).cast(kind))
+        beside = lambda xs: F.zip_with(xs, F.slice(xs, F.lit(2), F.size(xs)), lambda x, y: F.when(x["opens"] & ~y["opens"] & (x["level"] == y["level"]), F.struct(x["at"].alias("start"), (y["at"] + 1).alias("end"))))
+        return let(F.array_sort(placed), lambda xs: F.sort_array(F.filter(beside(xs), lambda p: p.isNotNull()), asc=False))
+
+    def parsed(piece):
+        # the parser reads one value and ignores what follows; as a field and as an element nothing can follow
+        whole = [F.try_parse_json(F.concat(F.lit(a), piece, F.lit(b))).isNotNull() for a, b in (('{"a":', "}"), ("[", "]"))]
+        return F.when(whole[0] & whole[1], piece)
+
+    def last(text):
+        found = lambda parts, pairs: F.aggregate(pairs, F.lit(None).cast("string"), lambda acc, p: F.coalesce(acc, let(cut(parts, p["start"], p["end"]), parsed)))
+        return let(blocks(text), lambda parts: let(let(spans(text, "[\\[\\]]"), paired), lambda pairs: found(parts, pairs)))
+
+    fence = r"(?s)```(?:json)?\s*(\[.*?\])\s*```"
+    return let(strip_thoughts(c), lambda text: F.coalesce(parsed(F.nullif(F.regexp_extract(text, fence, 1), F.lit(""))), last(text)))
+
+
 def recover_choice(c) -> Column:
     """struct<choice, confidence> of a reply that is JSON, holds JSON, or only mentions both fields."""
     kind = "choice string, confidence double"

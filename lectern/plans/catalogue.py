@@ -627,6 +627,31 @@ def json_attr_decode(spark, sf_dir):
     return codecs.decode_json_attributions(replies)
 
 
+def _noisy_replies(spark, sf_dir):
+    """An answer a segment as a JSON array, in replies of eight shapes."""
+    number = F.col("seq").cast("string")
+    item = F.concat(F.lit('{"id": "'), F.when(F.col("seq") % 2 == 0, number).otherwise(F.concat(F.lit("q"), number)), F.lit('", "speaker": "'), "speaker", F.lit('", "confidence": 0.'), (F.col("seq") % 10).cast("string"), F.lit("}"))
+    rows = A.segments(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("rows"), F.max("seq").alias("n"))
+    array = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["item"]), ", "), F.lit("]"))
+    shape = F.pmod("doc_id", F.lit(len(oracles.REPLY_SHAPES))).cast("int")
+    part = lambda i: F.get(T.strings([s[i] for s in oracles.REPLY_SHAPES]), shape)
+    body = F.when(shape < 6, F.col("array")).otherwise(F.translate("array", "[]", ""))
+    return rows.select("doc_id", "n", array.alias("array")).select("doc_id", "n", F.concat(part(0), body, part(1)).alias("response"))
+
+
+@query(f"with {A.SQL_SEGMENTS}, {oracles.recovered_arrays()} select doc_id, json from found")
+def json_array_recovery(spark, sf_dir):
+    """The array of each noisy reply, null where none closes and parses."""
+    return _noisy_replies(spark, sf_dir).select("doc_id", codecs.recover_array("response").alias("json"))
+
+
+@query(oracles.json_array_answers())
+def json_array_answers(spark, sf_dir):
+    """Attributions out of noisy replies."""
+    replies = _noisy_replies(spark, sf_dir).select(F.col("doc_id").alias("batch_id"), F.transform(F.sequence(F.lit(1), "n"), lambda k: F.concat(F.lit("q"), k)).alias("quote_ids"), "response")
+    return codecs.decode_json_attributions(replies)
+
+
 @query(oracles.perspective_chapters())
 def perspective_chapters(spark, sf_dir):
     opened = quotes.chapter_openings(quotes.normalised(A.prose(spark, sf_dir)))

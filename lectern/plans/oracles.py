@@ -537,3 +537,44 @@ def single_choice() -> str:
 opt as (select doc_id, quote_id, {DISTINCT("list_concat(candidates, ['未知'])")}[1:26] as names from ranked),
 x as (select doc_id, quote_id, case when quote_no % 7 <> 6 then names[(quote_no % 5) + 1] end as name from opt join q using (doc_id, quote_id))
 select doc_id, quote_id, coalesce(name, '未知') as speaker, case when name is null then 0.2::double else 0.8::double end as confidence, case when name is null then 'unknown' else 'implicit' end as attribution_type from x"""
+
+
+#: Shapes of a reply around its array: thoughts with brackets, prose with arrays, a fence, a thought cut short, a fence that does
+#: not parse, stray brackets behind, nothing but nested numbers, no array that closes.
+REPLY_SHAPES = [
+    ("<think>maybe [1, 2] or [{</think>", ""), ("first [1,2] then ", " end."), ("see [3]\n```json\n", "\n```\nand [9]"), ("so ", "<think>[[["),
+    ("```\n[1, oops]\n``` again ", ""), ("", " ] [oops"), ("[1, [2, 3]] instead of (", ")]"), ("[[ (", ")"),
+]
+
+
+def noisy_replies() -> str:
+    """noisy(doc_id, n, answers, response): an answer a segment, in one of the shapes."""
+    before, after = (texts([s[i] for s in REPLY_SHAPES]).replace("\n", "' || chr(10) || '") for i in (0, 1))
+    return f"""
+noisy_a as (
+  select doc_id, max(seq) as n, '[' || string_agg('{{"id": "' || case when seq % 2 = 0 then seq::varchar else 'q' || seq end || '", "speaker": "' || speaker || '", "confidence": 0.' || (seq % 10) || '}}', ', ' order by seq) || ']' as answers
+  from seg group by doc_id
+), noisy as (
+  select doc_id, n, answers, {before}[(doc_id % {len(REPLY_SHAPES)}) + 1] || case when doc_id % {len(REPLY_SHAPES)} < 6 then answers else replace(replace(answers, '[', ''), ']', '') end || {after}[(doc_id % {len(REPLY_SHAPES)}) + 1] as response
+  from noisy_a
+)"""
+
+
+def recovered_arrays() -> str:
+    """found(doc_id, n, json): brackets paired by depth, the candidate furthest to the right that parses."""
+    return f"""{noisy_replies()},
+thought as (select doc_id, n, {STRIP("regexp_replace(regexp_replace(response, '<think>.*?</think>', '', 'gs'), '<think>.*$', '', 's')")} as text from noisy),
+{A.sql_spans('bk', 'thought', '[\\[\\]]')},
+lv as (select doc_id, text, s, e, raw, sum(case raw when '[' then 1 else -1 end) over (partition by doc_id order by s) + (raw = ']')::int as level from bk),
+nx as (select *, lead(raw) over w as raw2, lead(e) over w as e2 from lv window w as (partition by doc_id, level order by s)),
+cand as (select doc_id, s, substr(text, s + 1, e2 - s) as piece from nx where raw = '[' and raw2 = ']'),
+fence as (select doc_id, n, regexp_extract(text, '(?s)```(?:json)?\\s*(\\[.*?\\])\\s*```', 1) as f from thought),
+best as (select doc_id, arg_max(piece, s) as json from cand where json_valid(piece) group by doc_id),
+found as (select doc_id, n, case when f <> '' and json_valid(f) then f else json end as json from fence left join best using (doc_id))"""
+
+
+def json_array_answers() -> str:
+    return f"""with {A.SQL_SEGMENTS}, {recovered_arrays()},
+items as (select doc_id, n, unnest(from_json(json, '["JSON"]')) as x from found where json is not null),
+said as (select doc_id, n, x->>'id' as i, x->>'speaker' as speaker, (x->>'confidence')::double as confidence from items where json_type(x) = 'OBJECT')
+select doc_id as batch_id, case when starts_with(i, 'q') then i else 'q' || i end as quote_id, speaker, confidence, 'implicit' as attribution_type, '' as evidence from said"""
