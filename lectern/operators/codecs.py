@@ -123,6 +123,21 @@ def decode_rewrites(plans: DataFrame, lines: DataFrame) -> DataFrame:
     return both.select("doc_id", "chunk_idx", strip(F.concat(F.array_join(parts, ""), tail)).alias("content"), F.coalesce(F.col("fine") & (F.col("reach") == F.col("n")), F.lit(False)).alias("ok"))
 
 
+#: A row of a compact reply: lines, role, emotion, confidence or anchor, anchor.
+SEGMENT_ROW = r"^(L\d+)(?:-(L\d+))?\s+(\S+)\s+(\S+)(?:\s+(\S+)(?:\s+(.*))?)?$"
+
+
+def _segment_rows(response: str) -> Column:
+    body = F.when(F.instr(response, "SEGS:") > 0, F.substring(response, F.call_function("instr", F.col(response), F.lit("SEGS:")) + 5, F.length(response))).otherwise(F.col(response))
+    return F.filter(rows_of(body, "SEGS:"), lambda r: ~F.startswith(r, F.lit("ROLES:")))
+
+
+def readable_rows(response: str, lines: Column) -> Column:
+    """The rows of a compact reply that decode_segments() can place among so many lines."""
+    first = lambda r: F.substring(F.regexp_extract(r, SEGMENT_ROW, 1), 2, 9).try_cast("int")
+    return F.filter(_segment_rows(response), lambda r: r.rlike(SEGMENT_ROW) & (first(r) >= 1) & (first(r) <= lines))
+
+
 def decode_segments(replies: DataFrame, lines: DataFrame) -> DataFrame:
     """replies (doc_id, chunk_idx, response) and numbered lines -> doc_id, chunk_idx, seq, speaker, style, emotion,
     confidence_label, text, line_id.
@@ -134,15 +149,13 @@ def decode_segments(replies: DataFrame, lines: DataFrame) -> DataFrame:
     entry = lambda e: F.struct(strip(F.substring_index(e, "=", 1)).alias("id"), strip(F.substring_index(F.regexp_extract(e, r"(?s)^[^=]*=(.*)$", 1), "|", 1)).alias("name"), strip(F.replace(F.regexp_extract(e, r"(?s)^[^=|]*=[^|]*\|(.*)$", 1), F.lit("_"), F.lit(" "))).alias("style"))
     entries = F.filter(F.flatten(F.transform(role_rows, lambda r: F.filter(F.split(F.substring(r, F.lit(7), F.length(r)), ",", -1), lambda e: F.instr(e, "=") > 0))), lambda e: strip(F.substring_index(e, "=", 1)) != "")
     head = replies.select("doc_id", "chunk_idx", "response", F.transform(entries, entry).alias("roles"))
-    body = F.when(F.instr("response", "SEGS:") > 0, F.substring("response", F.call_function("instr", F.col("response"), F.lit("SEGS:")) + 5, F.length("response"))).otherwise(F.col("response"))
-    rows = head.select("doc_id", "chunk_idx", "roles", F.posexplode(F.filter(rows_of(body, "SEGS:"), lambda r: ~F.startswith(r, F.lit("ROLES:")))).alias("row_no", "row"))
-    tokens = r"^(L\d+)(?:-(L\d+))?\s+(\S+)\s+(\S+)(?:\s+(\S+)(?:\s+(.*))?)?$"
-    g = lambda i: F.regexp_extract("row", tokens, i)
+    rows = head.select("doc_id", "chunk_idx", "roles", F.posexplode(_segment_rows("response")).alias("row_no", "row"))
+    g = lambda i: F.regexp_extract("row", SEGMENT_ROW, i)
     fourth = g(5)
     sure = fourth.isin(list(L.CONFIDENCE_CODES))
     role = F.try_element_at(F.filter(F.concat(F.array(F.struct(F.lit("0").alias("id"), F.lit("旁白").alias("name"), F.lit("female moderate pitch").alias("style"))), "roles"), lambda r: r["id"] == g(3)), F.lit(-1))
     speaker = F.when(g(3) == "?", "UNKNOWN").when(g(3) == "0", "旁白").otherwise(F.coalesce(F.nullif(role["name"], F.lit("")), F.lit("UNKNOWN")))
-    parsed = rows.where(F.col("row").rlike(tokens)).select(
+    parsed = rows.where(F.col("row").rlike(SEGMENT_ROW)).select(
         "doc_id", "chunk_idx", "row_no", F.substring(g(1), 2, 9).cast("int").alias("a"), F.substring(F.coalesce(F.nullif(g(2), F.lit("")), g(1)), 2, 9).cast("int").alias("b"),
         speaker.alias("speaker"), F.when(g(3) == "?", "").otherwise(F.coalesce(role["style"], F.lit(""))).alias("style"), _mapped(F.lower(g(4)), L.EMOTION_CODES, "neutral").alias("emotion"),
         F.when(sure, _mapped(fourth, L.CONFIDENCE_CODES, "high")).otherwise("high").alias("confidence_label"), strip(F.when(sure, g(6)).otherwise(F.concat_ws(" ", F.nullif(fourth, F.lit("")), F.nullif(g(6), F.lit(""))))).alias("anchor"),

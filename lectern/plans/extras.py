@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import attribution, audio, candidates, codecs, quotes, segments, service, splitting
+from ..operators import attribution, audio, candidates, codecs, quotes, resplit, segments, service, splitting
 from ..sources import io
 from . import adapters as A, oracles as O
 from .novel import merge_aliases, optimise_chunks, parse_novel_batch, plan_and_optimise, plan_chunks, presplit, verify_speakers
@@ -181,11 +181,32 @@ def batch_stats(spark, sf_dir):
     return segments.parse_stats(parse_novel_batch(A.prose(spark, sf_dir), A.NAMES, _every_batch(spark, sf_dir), A.NAMES[0], infer=False))
 
 
-@query()
+def _recorded_calls(spark, sf_dir, most_chars: int = 2000):
+    """The prose's numbered lines, and a recorded call for every range of them of up to so many characters, or of one line."""
+    chunks = _prose_chunks(spark, sf_dir)
+    lines = splitting.number_lines(chunks.select("doc_id", "chunk_idx", "content")).withColumn("title", F.lit("t"))
+    size = F.greatest(F.lit(1), F.length("text"))
+    reach = Window.partitionBy("doc_id", "chunk_idx").orderBy("line_no")
+    ends = lines.select("doc_id", "chunk_idx", "line_no", F.sum(size).over(reach).alias("upto"), size.alias("len"))
+    per = ends.groupBy("doc_id", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("line_no", "upto", "len"))).alias("ls"))
+    row = per.select("doc_id", "chunk_idx", "ls", F.explode("ls").alias("a"))
+    ranges = row.select("doc_id", "chunk_idx", F.col("a.line_no").alias("first"), F.explode(F.filter("ls", lambda b: (b["line_no"] == F.col("a.line_no")) | ((b["line_no"] > F.col("a.line_no")) & (b["upto"] - F.col("a.upto") + F.col("a.len") <= most_chars)))).alias("b"))
+    calls = ranges.select("doc_id", "chunk_idx", "first", F.col("b.line_no").alias("last")).withColumns({"error": F.expr(O.CALL_KIND), "unreadable": F.expr(O.CALL_UNREADABLE)})
+    rest = F.when(F.col("last") > F.col("first"), F.concat(F.lit("\nL2-L"), F.col("last") - F.col("first") + 1, F.lit(" 1 ne h"))).otherwise("")
+    reply = F.when(F.col("error").isNull(), F.when(F.col("unreadable"), "I cannot do that.").otherwise(F.concat(F.lit("ROLES: 1=陆沉|male_adult\nSEGS:\nL1 0 co m"), rest)))
+    return lines, calls.select("doc_id", "chunk_idx", "first", "last", reply.alias("response"), "error")
+
+
+@query(O.chunk_analysis())
 def chunk_analysis(spark, sf_dir):
-    """Numbered lines through the sequential stage, with replies that fail for more than four lines."""
-    docs = A.prose(spark, sf_dir).select("doc_id", F.lit(0).alias("chunk_idx"), F.col("text").alias("content"))
-    return service.analyse_chunks(splitting.number_lines(docs), service.NarratorChat(most_lines=4))
+    """Numbered lines over recorded calls that fail in every way: cut smaller by kind, what can't be cut kept with its reason."""
+    return resplit.analyse_recorded(*_recorded_calls(spark, sf_dir), 1000, 40)
+
+
+@query(O.resplit_events())
+def chunk_resplits(spark, sf_dir):
+    """Every cut and every range given up on the way."""
+    return resplit.resplit_events(*_recorded_calls(spark, sf_dir), 1000, 40)
 
 
 # ---- reviews ----

@@ -578,3 +578,62 @@ def json_array_answers() -> str:
 items as (select doc_id, n, unnest(from_json(json, '["JSON"]')) as x from found where json is not null),
 said as (select doc_id, n, x->>'id' as i, x->>'speaker' as speaker, (x->>'confidence')::double as confidence from items where json_type(x) = 'OBJECT')
 select doc_id as batch_id, case when starts_with(i, 'q') then i else 'q' || i end as quote_id, speaker, confidence, 'implicit' as attribution_type, '' as evidence from said"""
+
+
+#: What a recorded call of a range ended with, from the document and the range alone; one expression in both dialects.
+CALL_KIND = """case when doc_id % 5 = 0 and last - first >= 6 then 'Request timed out' when doc_id % 5 = 0 and first % 9 = 0 then 'read timeout'
+when doc_id % 5 = 1 and (last - first >= 4 or first % 8 = 0) then 'finish_reason=length' when doc_id % 5 = 2 and mod(first + 3, 7) <= last - first and last - first > 0 then 'blocked by content_filter'
+when doc_id % 5 = 2 and first % 7 = 4 then 'blocked by content_filter' when doc_id % 5 = 3 and first % 6 = 0 then '503 try again' end"""
+CALL_UNREADABLE = "doc_id % 5 = 3 and (last - first >= 5 or first % 11 = 0)"
+
+
+def _resplit(budget: int, most_lines: int) -> str:
+    from ..operators.resplit import limits
+
+    by = {k: limits(k, budget, most_lines) for k in ("timeout", "decode", "length", "filter")}
+    pick = lambda kind, i: f"case {kind} when 'timeout' then {by['timeout'][i]} when 'decode' then {by['decode'][i]} when 'length' then {by['length'][i]} else {by['filter'][i]} end"
+    owners = lambda chars, count: (
+        f"list_reduce(list_concat([{{'g': 0, 'n': 0, 'z': 0, 'o': []::int[]}}], list_transform(sizes[first:last], lambda s: {{'g': 0, 'n': 0, 'z': s, 'o': []::int[]}})), lambda a, x: "
+        f"case when a.n > 0 and (a.n >= {count} or a.z + x.z > {chars}) then {{'g': a.g + 1, 'n': 1, 'z': x.z, 'o': list_append(a.o, a.g + 1)}} else {{'g': a.g, 'n': a.n + 1, 'z': a.z + x.z, 'o': list_append(a.o, a.g)}} end).o"
+    )
+    parts = lambda o: f"list_transform(range(0, {o}[-1] + 1), lambda g: {{'first': (first + list_position({o}, g) - 1)::int, 'last': (first + list_position({o}, g) + len(list_filter({o}, lambda y: y = g)) - 2)::int, 'title': title || '（第' || (g + 1) || '部分）'}})"
+    asked = lambda source: f"""(
+      select *, {parts('own')} as parts from (
+        select *, case when tried = 'timeout' and own0[-1] = 0 then 'decode' else tried end as kind, case when tried = 'timeout' and own0[-1] = 0 then {owners(by['decode'][0], by['decode'][1])} else own0 end as own from (
+          select *, {owners("lc", "ln")} as own0 from (
+            select *, {pick('tried', 0)} as lc, {pick('tried', 1)} as ln from (
+              select *, case when error like '%timed out%' or error like '%timeout%' then 'timeout' when error like '%content_filter%' then 'filter' when error like '%finish_reason=length%' then 'length' when error is not null or unreadable then 'decode' end as tried from (
+                select p.*, sz.sizes, {CALL_KIND} as error, {CALL_UNREADABLE} as unreadable from {source} p join sz using (doc_id)))))))"""
+    return f"""
+sz as (select doc_id, list(greatest(1, len(text)) order by line_no) as sizes, sum(len('L' || line_no) + 2 + len(text) + 1) - 1 as shown from lines group by doc_id),
+s0 as (select doc_id, sizes, shown, 1 as first, len(sizes)::int as last, 't' as title from sz),
+s1 as (select *, {owners(budget, most_lines)} as own from s0),
+s2 as (select doc_id, first, last, title, case when (last > {most_lines} or shown > {2 * budget}) and own[-1] > 0 then {parts('own')} else [{{'first': first, 'last': last, 'title': title}}] end as parts from s1),
+rec as (
+  select doc_id, x.first, x.last, x.title from (select doc_id, unnest(parts) as x from s2)
+  union all
+  select doc_id, x.first, x.last, x.title from (select doc_id, unnest(parts) as x from {asked('rec')} where kind is not null and len(parts) > 1)
+),
+visited as (select doc_id, first, last, title, kind, error, len(parts) as n from {asked('rec')})"""
+
+
+def chunk_analysis(budget: int = 1000, most_lines: int = 40) -> str:
+    return f"""with recursive {_PROSE_CHUNKS}, {_lines('src')}, {_resplit(budget, most_lines)},
+placed as (select v.*, unnest(range(first, last + 1)) as line_no from visited v where kind is null or n < 2),
+segs as (
+  select p.doc_id, p.line_no, p.first, case kind when 'filter' then 'content_filter' when 'length' then 'finish_reason_length' when 'decode' then 'compact_decode_failed' end as skip_reason,
+    case when kind is null and p.line_no = first then '旁白' when kind is null then '{NARRATOR}' else 'UNKNOWN' end as speaker,
+    case when kind is null and p.line_no = first then 'female moderate pitch' when kind is null then 'male adult' else 'female, moderate pitch' end as style,
+    case when kind is null and p.line_no = first then 'cold' else 'neutral' end as emotion, case when kind is null and p.line_no = first then 'medium' when kind is null then 'high' else 'low' end as confidence_label,
+    text, 'L' || p.line_no as line_id, kind is not null as needs_review, case when kind is not null then title end as source_title, coalesce(error, 'empty compact reply') as detail
+  from placed p join lines using (doc_id, line_no)
+)
+select doc_id, 0 as chunk_idx, (row_number() over (partition by doc_id order by line_no))::int as seq, speaker, style, emotion, confidence_label, text, line_id, needs_review, skip_reason, source_title,
+  case when skip_reason is not null then source_title || ' ' || line_id || ' 触发 ' || skip_reason || '，已保留原文并跳过 LLM 角色归属。' || detail end as evidence
+from segs"""
+
+
+def resplit_events(budget: int = 1000, most_lines: int = 40) -> str:
+    return f"""with recursive {_PROSE_CHUNKS}, {_lines('src')}, {_resplit(budget, most_lines)}
+select doc_id, 0 as chunk_idx, case kind when 'filter' then 'content_filter' else kind end || case when n > 1 then '_split' else '_skip' end as event, title, first, last, (case when n > 1 then n else 0 end)::int as parts
+from visited where kind is not null"""
