@@ -82,24 +82,33 @@ def removals(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
     return gone
 
 
-def _cleaned(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the lines to remove. Few removals are broadcast, behind their count, so texts stay where they are."""
-    keyed = gone.select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone"))
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs has not."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _cleaned(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, str]:
+    """docs without the lines to remove, and the name of the column that says which went. Few removals are broadcast, behind their count, so texts stay where they are."""
+    key, went = _free(docs, "__gone_id"), _free(docs, "__gone")
+    keyed = gone.select(F.col("doc_id").alias(key), F.col("gone").alias(went))
     if (gone.agg(F.sum(F.size("gone") + 2)).first()[0] or 0) <= BROADCAST_REMOVALS:
         keyed = F.broadcast(keyed)
 
     def rest(lines):
         # a set difference of line numbers, so a long text costs no more than its length
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(went))
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
     kept = F.element_at(F.transform(F.array(F.split("text", "\n")), rest), 1)
-    return docs.join(keyed, docs["doc_id"] == keyed["__gone_id"], "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    return docs.join(keyed, docs["doc_id"] == keyed[key], "left").withColumn("text", F.when(F.col(went).isNull(), F.col("text")).otherwise(kept)), went
 
 
 def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with later occurrences of boilerplate lines removed from text; the same columns."""
-    return _cleaned(docs, removals(docs, site, min_sites, min_chars)).select(*[docs[c] if c != "text" else F.col("text") for c in docs.columns])
+    return _cleaned(docs, removals(docs, site, min_sites, min_chars))[0].select(*[docs[c] if c != "text" else F.col("text") for c in docs.columns])
 
 
 def line_report(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -107,7 +116,8 @@ def line_report(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     gone = removals(docs, site, min_sites, min_chars)
     base = docs.select("doc_id", "text")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return _cleaned(base.withColumn("__lines", n_lines), gone).select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), "text")
+    cleaned, went = _cleaned(base.withColumn("__lines", n_lines), gone)
+    return cleaned.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.coalesce(F.size(went), F.lit(0)).cast("long").alias("n_removed"), "text")
 
 
 ORACLE = f"""
