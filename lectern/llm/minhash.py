@@ -4,6 +4,8 @@ Defined results
 * null or wordless text: shingle set is empty (n_shingles 0), linked with nothing, its own component;
 * fewer than `words` words: the whole word sequence is the one shingle;
 * repeated rows and exact copies: one class, represented by the smallest doc_id, expanded by a join and never into pairs;
+* a doc_id that repeats with different texts: each row is a document of its own, linked by its own text; its component_id is
+  still the smallest doc_id reachable from it;
 * null doc_id: no part in any group; component_id and kept are null;
 * empty table: empty result with the same columns; other columns of the input are ignored, whatever their names.
 """
@@ -13,7 +15,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import SPACE_SEPARATED, batches_of, discard, materialize, mix64, utf8_parts, words_of
 from .components import connected_components
@@ -76,7 +78,7 @@ def _sign(batches):
             s = shingle_set(words[at[i] : at[i + 1]])
             if len(s):
                 counts[i], (ones[i], twos[i]), sigs[i] = len(s), _set_key(s), signature(s).tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(ones), pa.array(twos), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(counts), pa.array(ones), pa.array(twos), pa.array(sigs, pa.binary())], ["doc_id", "th", "n_shingles", "set_a", "set_b", "sig"])
 
 
 @lru_cache(maxsize=8)
@@ -288,7 +290,32 @@ def _open_blocks(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per input row.
+    """documents (doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per input row."""
+    return _grouped(docs).drop("th")
+
+
+def _own_ids(classes: DataFrame, texts: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame, int | None]:
+    """classes (doc, th, …) and texts (doc_id, text) with `rid`, one a class: its smallest doc_id, or where that is another
+    class's too, an id below all others. The third part is the least doc_id, if any doc_id has several texts."""
+    several = signed.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.min("th").alias("one"), F.max("th").alias("two"))
+    twice = materialize(several.where("one <> two").select("doc"), "minhash-twice")
+    n = twice.count()
+    if not n:
+        discard(twice)
+        return classes.withColumnRenamed("doc", "rid"), texts.withColumnRenamed("doc_id", "rid"), None
+    few = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+    lowest = min(classes.agg(F.min("doc")).first()[0], 0)
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("set_a", "set_b", "n_shingles"))
+    mine = materialize(classes.join(few, "doc", "left_semi").withColumn("place", place).withColumn("rid", F.when(F.col("place") == 1, F.col("doc")).otherwise(F.lit(lowest - 1) - F.monotonically_increasing_id())).drop("place"), "minhash-own-ids")
+    others = classes.join(few, "doc", "left_anti").withColumn("rid", F.col("doc"))
+    named = mine.select(F.col("doc").alias("doc_id"), "th", "rid")
+    own = texts.join(few.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").withColumn("th", F.xxhash64("text")).join(named, ["doc_id", "th"]).select("rid", "text")
+    rest = texts.join(few.withColumnRenamed("doc", "doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("rid"), "text")
+    return others.unionByName(mine), own.unionByName(rest), lowest
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """near_duplicates() with `th`, a hash of the row's text.
 
     1. one pass makes each document's set size, set hash and signature; equal sets fall into one class;
     2. every class is compared with the least id of each band bucket it lies in (work in proportion to bucket sizes);
@@ -297,10 +324,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(base.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "minhash-signed")
-    classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig"), F.count("*").alias("n_rows")), "minhash-classes")
+    signed = materialize(base.withColumn("th", F.xxhash64("text")).mapInArrow(_sign, "doc_id long, th long, n_shingles long, set_a long, set_b long, sig binary"), "minhash-signed")
+    classes = materialize(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.first("sig").alias("sig"), F.count("*").alias("n_rows")).select("n_shingles", "set_a", "set_b", "least.th", F.col("least.doc_id").alias("doc"), "sig", "n_rows"), "minhash-classes")
+    whole = classes
+    classes, texts, lowest = _own_ids(classes, base, signed)
     sigs = classes.select("rid", "sig")
-    texts = base.withColumnRenamed("doc_id", "rid")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substring("sig", k * 2 * ROWS + 1, F.lit(2 * ROWS)), k))).alias("band", "bucket")
     placed = sigs.select("rid", band)
     shared = placed.groupBy("bucket").agg(F.min("rid").alias("pivot"), F.max("rid").alias("last")).where("pivot < last").select("bucket", "pivot")
@@ -316,20 +344,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         first, labels = labels, connected_components(links.unionByName(late), "minhash-cc")
         discard(first)
     discard(members, met, kept, links, late, *read)
-    named = classes.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select("n_shingles", "set_a", "set_b", "n_rows", F.coalesce("component", "rid").alias("component"))
+    named = classes.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").select("n_shingles", "set_a", "set_b", "n_rows", *(["doc"] if lowest is not None else []), F.coalesce("component", "rid").alias("component"))
     named = materialize(named, "minhash-named")
-    discard(classes, labels)
+    discard(whole, labels)
+    if lowest is not None:
+        # components under an id of our own go by the smallest doc_id in them
+        least = named.where(F.col("component") < lowest).groupBy("component").agg(F.min("doc").alias("first"))
+        named = materialize(named.join(least, "component", "left").withColumn("component", F.coalesce("first", "component")).drop("first", "doc"), "minhash-renamed")
     key = ["n_shingles", "set_a", "set_b"]
     hot = named.where(F.col("n_rows") > HOT_ROWS).select(*key, F.col("component").alias("hot"))
     # there are at most rows / HOT_ROWS hot classes; their rows take part in no shuffle, nor do those without words
-    known = signed.select("doc_id", *key).join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, key, "left")
-    done = known.where("hot is not null or n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("hot").alias("component"))
-    rest = known.where("hot is null and n_shingles > 0 and doc_id is not null").join(named, key).select("doc_id", "n_shingles", "component")
+    known = signed.select("doc_id", "th", *key).join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, key, "left")
+    done = known.where("hot is not null or n_shingles = 0 or doc_id is null").select("doc_id", "th", "n_shingles", F.col("hot").alias("component"))
+    rest = known.where("hot is null and n_shingles > 0 and doc_id is not null").join(named, key).select("doc_id", "th", "n_shingles", "component")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return done.unionByName(rest).select("doc_id", "n_shingles", group.alias("component_id"), (F.col("doc_id") == group).alias("kept"))
+    return done.unionByName(rest).select("doc_id", "th", "n_shingles", group.alias("component_id"), (F.col("doc_id") == group).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose group has a smaller doc_id; columns stay. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without the rows whose group has a smaller doc_id; columns stay. Rows with a null doc_id stay."""
+    gone = _grouped(docs).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__text")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__text"]), "left_anti")

@@ -10,11 +10,11 @@ import pytest
 from lectern.llm import decontaminate, lines, minhash, topk
 from lectern.llm.components import connected_components
 
-DOCS = "doc_id long, text string, lang string, source string, kept string, bucket string, h1 string, __gone_key string"
+DOCS = "doc_id long, text string, lang string, source string, kept string, bucket string, h1 string, __gone_key string, __gone string, __GONE_id string"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", s, "x", "y", "z", "w") for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", s, "x", "y", "z", "w", "g", "i") for i, t, s in rows], DOCS)
 
 
 def words(rng, n):
@@ -110,6 +110,24 @@ def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
     assert minhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_a_doc_id_that_repeats_with_different_texts_is_several_documents(spark):
+    """Rows are compared by their own texts, whichever ids they carry; ids are compared only at the end."""
+    rng = random.Random(12)
+    base = [" ".join(words(rng, 60)) for _ in range(6)]
+    near = lambda t: t + " tail"
+    rows = [(5, base[0]), (5, base[1]), (7, near(base[1])), (3, base[2]), (5, base[2]), (9, base[0].upper()), (8, near(base[0])), (5, base[3]), (2, near(base[3])), (-4, base[4]), (-4, base[5]), (6, near(base[5])), (1, base[4] + " x y"), (5, base[1])]
+    nodes = brute_components([(k, t) for k, (_, t) in enumerate(rows)])
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[nodes[k][1]] = min(least.get(nodes[k][1], i), i)
+    want = sorted((i, nodes[k][0], least[nodes[k][1]], i == least[nodes[k][1]]) for k, (i, _) in enumerate(rows))
+    docs = frame(spark, [(i, t, "s") for i, t in rows])
+    assert sorted(tuple(r) for r in minhash.near_duplicates(docs).collect()) == want
+    assert (7, 57, 5, False) in want and (2, 57, 2, True) in want
+    kept = sorted((r.doc_id, r.text) for r in minhash.keep_one(docs).collect())
+    assert kept == sorted((i, t) for k, (i, t) in enumerate(rows) if i == least[nodes[k][1]])
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     one = np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64))
