@@ -265,12 +265,13 @@ def recover_choice(c) -> Column:
 
 
 def batch_prompt(quotes: DataFrame, context: int = 200) -> DataFrame:
-    """quotes with batch_no, batch_pos, candidates, hints, hint (place in the dialogue), warning -> doc_id, chapter_idx,
-    batch_no, quote_ids, prompt: one text a batch, quotes in order."""
+    """quotes with batch_no, batch_pos, candidates, hints, hint (place in the dialogue), warning and, if there is one, `previous`
+    (see quotes.previous_speakers) -> doc_id, chapter_idx, batch_no, quote_ids, prompt: one text a batch, quotes in order."""
+    spoke = [F.lit(" | "), F.col("previous")] if "previous" in quotes.columns else []
     names = F.filter("candidates", lambda n: ~n.isin(L.FALLBACK_CANDIDATES))
     shown = F.when(F.size(names) > 0, F.array_join(names, "、")).otherwise(F.array_join("hints", "、"))
     before, after = F.right("context_before", F.lit(context)), F.left("context_after", F.lit(context))
-    item = F.concat(F.lit("--- "), F.col("batch_pos") + 1, F.lit(" | "), "quote_id", F.lit(" | "), shown, F.when(F.col("hint") != "", F.concat(F.lit(" | "), F.col("hint"))).otherwise(""), F.lit(" ---\n前: "), before, F.lit("\n近: "), F.right(before, F.lit(40)), F.lit("\n句: "), "text", F.lit("\n后: "), after, F.when(F.col("warning") != "", F.concat(F.lit("\n"), F.col("warning"))).otherwise(""))
+    item = F.concat(F.lit("--- "), F.col("batch_pos") + 1, F.lit(" | "), "quote_id", F.lit(" | "), shown, *spoke, F.when(F.col("hint") != "", F.concat(F.lit(" | "), F.col("hint"))).otherwise(""), F.lit(" ---\n前: "), before, F.lit("\n近: "), F.right(before, F.lit(40)), F.lit("\n句: "), "text", F.lit("\n后: "), after, F.when(F.col("warning") != "", F.concat(F.lit("\n"), F.col("warning"))).otherwise(""))
     rows = quotes.withColumn("item", item).groupBy("doc_id", "chapter_idx", "batch_no").agg(F.array_sort(F.collect_list(F.struct("batch_pos", "quote_id", "item"))).alias("items"))
     return rows.select("doc_id", "chapter_idx", "batch_no", F.transform("items", lambda i: i["quote_id"]).alias("quote_ids"), F.array_join(F.transform("items", lambda i: i["item"]), "\n").alias("prompt"))
 

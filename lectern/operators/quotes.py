@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as L
-from ..functions.spans import blocks, cut, piece, running, spans
+from ..functions.spans import blocks, cut, running, spans
 from ..functions.text import clean_narration, let, lstrip, strip
 
 
@@ -88,26 +88,62 @@ def narration_gaps(docs: DataFrame, quotes: DataFrame, context: int = L.CONTEXT_
 
 
 def chapter_of_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """doc_id, quote_id, chapter_idx: how many headings begin at or before the quote (0 before the first)."""
-    offsets = docs.select("doc_id", F.transform(spans("text", L.CHAPTER_OFFSET), lambda s: s["start"]).alias("offsets"))
-    return quotes.join(offsets, "doc_id").select("doc_id", "quote_id", F.size(F.filter("offsets", lambda o: o <= F.col("start"))).alias("chapter_idx"))
+    """doc_id, quote_id, chapter_idx: how many headings begin at or before the quote (0 before the first).
+
+    Headings and quotes of a document are one ordered stream, in which headings are counted: an as-of join by union and sort.
+    """
+    heads = docs.select("doc_id", F.explode(F.transform(spans("text", L.CHAPTER_OFFSET), lambda s: s["start"])).alias("at"))
+    both = heads.select("doc_id", "at", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("quote_id")).unionByName(quotes.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("kind"), "quote_id"))
+    # equal keys are peers of one range, so a heading at a quote's very place counts for it
+    upto = Window.partitionBy("doc_id").orderBy("at", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("chapter_idx", F.count_if(F.col("kind") == 0).over(upto).cast("int"))
+    return counted.where("kind = 1").select("doc_id", "quote_id", "chapter_idx")
 
 
 def chapter_openings(docs: DataFrame, window: int = 400) -> DataFrame:
     """doc_id, chapter_idx, heading, opening (up to `window` characters after the heading's line, none of the next chapter);
-    chapter 0 is what stands before the first heading."""
-    line_end = lambda at: F.call_function("locate", F.lit("\n"), F.col("text"), at + 1) - 1
-    first = lambda at: F.when(F.substring("text", at + 1, F.lit(1)) == "\n", at + 1).otherwise(at)
-    marked = docs.select("doc_id", "text", F.transform(spans("text", L.CHAPTER_OFFSET), lambda s: s["start"]).alias("offsets"))
-    rows = marked.select("doc_id", "text", "offsets", F.posexplode(F.concat(F.array(F.lit(-1)), "offsets")).alias("chapter_idx", "at"))
-    rows = rows.withColumns({"next": F.coalesce(F.get("offsets", F.col("chapter_idx")), F.length("text")), "begin": first(F.col("at"))})
-    rows = rows.withColumns({"stop": line_end(F.col("begin")), "from": F.greatest(line_end(F.col("at")), F.lit(-1))})
-    heading = F.when(F.col("stop") >= 0, piece("text", "begin", "stop")).otherwise(F.substring("text", F.col("begin") + 1, F.lit(80)))
-    start = F.when(F.col("from") < 0, F.col("at")).otherwise(F.col("from"))
-    after = piece("text", start, F.least(start + window, F.col("next")))
-    before = F.substring("text", F.lit(1), F.least(F.lit(window), F.col("next")))
-    front = F.col("at") < 0
-    return rows.select("doc_id", "chapter_idx", F.when(front, "").otherwise(strip(heading)).alias("heading"), F.when(front, before).otherwise(after).alias("opening"))
+    chapter 0 is what stands before the first heading.
+
+    A heading's match ends with its line, so its own text says where lines end; openings are cut out of blocks of the text, and
+    only finished ones are exploded.
+    """
+
+    def openings(text, heads):
+        size = F.length(text)
+
+        def one(parts, h, i):
+            raw, at = h["raw"], h["start"]
+            skip = F.startswith(raw, F.lit("\n")).cast("int")
+            closed = h["end"] < size
+            breaks = lambda begin: F.call_function("locate", F.lit("\n"), raw, begin + 1)
+            # where the line ends that begins at `begin` of the match, seen from the match; null if the text ends first
+            stop = lambda begin: F.when(breaks(begin) > 0, breaks(begin) - 1).when(closed, F.length(raw))
+            heading = F.when(stop(skip).isNotNull(), F.substring(raw, skip + 1, stop(skip) - skip)).otherwise(cut(parts, at + skip, at + skip + 80))
+            start = at + F.coalesce(stop(F.lit(0)), F.lit(0))
+            upto = F.coalesce(F.get(heads, i + 1)["start"], size)
+            return F.struct(strip(heading).alias("heading"), cut(parts, start, F.least(start + window, upto)).alias("opening"))
+
+        front = F.struct(F.lit("").alias("heading"), F.substring(text, F.lit(1), F.least(F.lit(window), F.coalesce(F.get(heads, F.lit(0))["start"], size))).alias("opening"))
+        return let(blocks(text), lambda parts: F.concat(F.array(front), F.transform(heads, lambda h, i: one(parts, h, i))))
+
+    made = let("text", lambda text: let(spans(text, L.CHAPTER_OFFSET), lambda heads: openings(text, heads)))
+    return docs.where("text is not null").select("doc_id", F.posexplode(made).alias("chapter_idx", "o")).select("doc_id", "chapter_idx", "o.*")
+
+
+def previous_speakers(answered: DataFrame, shown: int = L.RECENT) -> DataFrame:
+    """Quotes in batches (doc_id, chapter_idx, batch_no, batch_pos, quote_no) with the `speaker` of a reply (null: none) -> the
+    same rows with `previous`, the name that a batch's prompt shows beside each quote.
+
+    A batch is told the last `shown` named speakers of the batches before it in its chapter: its first quote the last of them,
+    quote i the one at place i - 1. Their names are looked up backwards, past unnamed quotes, so a row carries `shown` names.
+    """
+    named = F.when(~F.coalesce("speaker", F.lit(L.UNKNOWN)).isin(L.FALLBACK_CANDIDATES), F.col("speaker"))
+    back = [F.expr(f"lag(_named, {k}) ignore nulls over (partition by doc_id, chapter_idx order by quote_no)") for k in range(shown, 0, -1)]
+    at_first = Window.partitionBy("doc_id", "chapter_idx", "batch_no").orderBy("quote_no")
+    rows = answered.withColumn("_named", named).withColumn("_back", F.array_compact(F.array(*back))).withColumn("_back", F.first("_back").over(at_first))
+    opening = F.coalesce(F.try_element_at("_back", F.lit(-1)), F.lit("（批次首条）"))
+    previous = F.when(F.col("batch_pos") == 0, opening).otherwise(F.coalesce(F.get("_back", F.col("batch_pos") - 1), F.lit(L.UNKNOWN)))
+    return rows.withColumn("previous", previous).drop("_named", "_back")
 
 
 def quote_batches(quotes: DataFrame, size: int = 10) -> DataFrame:

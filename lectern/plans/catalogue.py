@@ -12,7 +12,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import attribution, audio, candidates, codecs, consistency, quotes, segments, service, splitting
 from ..sources import html, io
-from . import adapters as A, extras, oracles, sequential  # noqa: F401  (extras registers queries of its own)
+from . import adapters as A, extras, logs, oracles, sequential  # noqa: F401  (extras and logs register queries of their own)
 from .novel import parse_novel
 from .registry import ORACLES, QUERIES, query
 

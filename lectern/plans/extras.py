@@ -144,13 +144,6 @@ def presplit_chunks(spark, sf_dir):
     return presplit(books, 1500, 20)
 
 
-@query(O.service_calls())
-def service_calls(spark, sf_dir):
-    """The audit rows of recorded batch replies."""
-    prompts = _batches(spark, sf_dir)
-    return service.ask(prompts.withColumn("prompt", F.lit("")), _batch_replies(prompts), ["doc_id", "chapter_idx", "batch_no"])
-
-
 def _batches(spark, sf_dir):
     text = quotes.normalised(A.prose(spark, sf_dir))
     found = quotes.extract_quotes(text)

@@ -524,14 +524,6 @@ union all
 select doc_id, chunk_idx, 0, 't', content from src left join size using (doc_id, chunk_idx) where not coalesce(n >= {most_lines} or c > {most_chars}, false)"""
 
 
-_REPLY = "\n".join(f"{i}|{A.NAMES[i % 4]}|0.{i % 10}|{'im' if i % 2 else 'zz'}|e{i}" for i in range(1, 10)) + "\n1|苏晚|0.95|ea|again\nbad | row"
-
-
-def service_calls() -> str:
-    reply = " || chr(10) || ".join(f"'{x}'" for x in _REPLY.split("\n"))
-    return f"with {A.SQL_QUOTES}, {_chaptered()} select distinct doc_id, chapter_idx, batch_no, {reply} as response, null::varchar as error, 0 as attempts from inch"
-
-
 def single_choice() -> str:
     return f"""with {A.SQL_QUOTES}, {CAND}, {RANKED},
 opt as (select doc_id, quote_id, {DISTINCT("list_concat(candidates, ['未知'])")}[1:26] as names from ranked),
