@@ -89,19 +89,29 @@ def decode_chunk_plan(plans: DataFrame, lines: DataFrame) -> DataFrame:
     `range | title`; ok says that the ranges cover all lines once and in order. A range with an end before its start runs to
     the last line, as one without a known end does.
     """
-    per = lines.groupBy("doc_id", "chunk_idx").agg(F.max("line_no").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("at"))
-    rows = plans.select("doc_id", "chunk_idx", "content", F.posexplode(rows_of("response", "CHUNKS:")).alias("pos", "row"))
+    key = ["doc_id", "chunk_idx"]
+    rows = plans.select(*key, F.posexplode(rows_of("response", "CHUNKS:")).alias("pos", "row"))
     first, last = line_reference(F.substring_index("row", "|", 1))
     title = F.when(F.instr("row", "|") > 0, strip(F.regexp_extract("row", r"(?s)^[^|]*\|(.*)$", 1))).otherwise("")
-    ranged = rows.select("doc_id", "chunk_idx", "content", "pos", first.alias("a"), last.alias("b"), title.alias("title")).join(per, ["doc_id", "chunk_idx"])
+    size = lines.groupBy(*key).agg(F.max("line_no").alias("n"))
+    ranged = rows.select(*key, "pos", first.alias("a"), last.alias("b"), title.alias("title")).join(size, key)
     ranged = ranged.withColumn("b", F.when((F.col("b") < F.col("a")) | (F.col("b") > F.col("n")), F.col("n")).otherwise(F.col("b")))
-    w = Window.partitionBy("doc_id", "chunk_idx").orderBy("pos")
+    w = Window.partitionBy(*key).orderBy("pos")
     follows = F.coalesce(F.lag("b").over(w), F.lit(0)) + 1 == F.col("a")
-    whole = Window.partitionBy("doc_id", "chunk_idx")
+    whole = Window.partitionBy(*key)
     marked = ranged.withColumn("_f", F.coalesce(follows, F.lit(False))).withColumn("ok", F.min("_f").over(whole) & (F.max("b").over(whole) == F.col("n")))
-    text = F.when((F.col("a") >= 1) & (F.col("a") <= F.col("n")), strip(F.substring("content", F.col("at")[F.col("a") - 1]["start"] + 1, F.col("at")[F.col("b") - 1]["end"] - F.col("at")[F.col("a") - 1]["start"])))
-    number = F.row_number().over(w)
-    return marked.select("doc_id", "chunk_idx", number.alias("part_no"), F.when(F.col("title") == "", F.concat(F.lit("第"), number, F.lit("块"))).otherwise(F.col("title")).alias("title"), text.alias("content"), "ok")
+    # a range's ends are looked up among the lines; its text is cut where the chunk's text is, once a chunk
+    begins = lines.select(*key, F.col("line_no").alias("a"), F.col("start").alias("begin"))
+    ends = lines.select(*key, F.col("line_no").alias("b"), F.col("end").alias("stop"))
+    placed = marked.join(begins, [*key, "a"], "left").join(ends, [*key, "b"], "left")
+    parts = placed.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "title", "begin", "stop", "ok"))).alias("ps"))
+
+    def texts(of):
+        name = lambda p, i: F.when(p["title"] == "", F.concat(F.lit("第"), i + 1, F.lit("块"))).otherwise(p["title"])
+        return F.transform("ps", lambda p, i: F.struct((i + 1).alias("part_no"), name(p, i).alias("title"), F.when(p["begin"].isNotNull(), strip(cut(of, p["begin"], p["stop"]))).alias("content"), p["ok"].alias("ok")))
+
+    rows = plans.select(*key, "content").join(parts, key)
+    return rows.select(*key, F.explode(let(blocks("content"), texts)).alias("x")).select(*key, "x.*")
 
 
 def decode_rewrites(plans: DataFrame, lines: DataFrame) -> DataFrame:

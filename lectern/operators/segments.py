@@ -43,8 +43,10 @@ def postprocess(segments: DataFrame, known: list[str] | None = None) -> DataFram
 
 def mark_missing_from_source(segments: DataFrame, docs: DataFrame) -> DataFrame:
     """Marks speakers that never occur in the document's text; documents without text mark nothing."""
-    names = segments.select("doc_id", "speaker").distinct()
-    absent = names.where(~F.col("speaker").isin("", "旁白", "我", "UNKNOWN")).join(docs.select("doc_id", F.col("text").alias("_doc")), "doc_id").where((F.col("_doc") != "") & ~F.contains("_doc", F.col("speaker"))).select("doc_id", "speaker", F.lit("speaker_missing_from_source").alias("review_reason"))
+    # a document's names travel to its text, not its text to each name
+    names = segments.where(~F.col("speaker").isin("", "旁白", "我", "UNKNOWN")).groupBy("doc_id").agg(F.collect_set("speaker").alias("_names"))
+    told = docs.where(F.col("text") != "").select("doc_id", "text").join(names, "doc_id")
+    absent = told.select("doc_id", F.explode(F.filter("_names", lambda n: ~F.contains(F.col("text"), n))).alias("speaker")).distinct().withColumn("review_reason", F.lit("speaker_missing_from_source"))
     marked = segments.join(absent, ["doc_id", "speaker"], "left")
     missing = F.col("review_reason").isNotNull()
     had = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in segments.columns else F.lit(False)

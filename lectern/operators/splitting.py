@@ -172,15 +172,22 @@ def line_slices(chunks: DataFrame, most_chars: int, most_lines: int, inherited:
     both = lines.join(line_budget(lines, most_chars, most_lines), ["doc_id", "chunk_idx", "line_no"])
     item = F.struct("line_no", "line_id", "start", "end", "text")
     parts = both.groupBy("doc_id", "chunk_idx", "part").agg(F.array_sort(F.collect_list(item)).alias("ls"))
+    # a chunk's parts travel to its text as one array; each slice is cut in the row, and the text is copied to none
+    per = parts.groupBy("doc_id", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("part", "ls"))).alias("ps"), F.sum(F.size("ls")).alias("n"))
     keep = ["title", "content"] + ([inherited] if inherited else [])
-    total = F.sum(F.size("ls")).over(Window.partitionBy("doc_id", "chunk_idx"))
-    rows = parts.withColumn("n", total).join(chunks.select("doc_id", "chunk_idx", *keep), ["doc_id", "chunk_idx"])
-    own = F.transform("ls", lambda x: x["line_id"])
-    ids = F.when(F.size(inherited) == F.col("n"), F.transform("ls", lambda x: F.get(inherited, x["line_no"] - 1))).otherwise(own) if inherited else own
-    first, last = F.element_at("ls", 1)["start"], F.element_at("ls", -1)["end"]
-    text = strip(F.substring(F.col("content"), first + 1, last - first))
-    title = F.concat("title", F.lit("（第"), F.col("part") + 1, F.lit("部分）"))
-    return rows.select("doc_id", "chunk_idx", "part", title.alias("title"), text.alias("content"), ids.alias("line_ids"), F.array_join(F.transform("ls", lambda x: F.concat(x["line_id"], F.lit(": "), x["text"])), "\n").alias("numbered_text"))
+    rows = per.join(chunks.select("doc_id", "chunk_idx", *keep), ["doc_id", "chunk_idx"])
+
+    def slices(blocks_of):
+        def one(p):
+            own = F.transform(p["ls"], lambda x: x["line_id"])
+            ids = F.when(F.size(inherited) == F.col("n"), F.transform(p["ls"], lambda x: F.get(inherited, x["line_no"] - 1))).otherwise(own) if inherited else own
+            text = strip(cut(blocks_of, F.element_at(p["ls"], 1)["start"], F.element_at(p["ls"], -1)["end"]))
+            shown = F.array_join(F.transform(p["ls"], lambda x: F.concat(x["line_id"], F.lit(": "), x["text"])), "\n")
+            return F.struct(p["part"].alias("part"), F.concat("title", F.lit("（第"), p["part"] + 1, F.lit("部分）")).alias("title"), text.alias("content"), ids.alias("line_ids"), shown.alias("numbered_text"))
+
+        return F.transform("ps", one)
+
+    return rows.select("doc_id", "chunk_idx", F.explode(let(blocks("content"), slices)).alias("s")).select("doc_id", "chunk_idx", "s.*")
 
 
 def coerce_chunks(rows: DataFrame, replies: str = "response", title: str = "title") -> DataFrame:

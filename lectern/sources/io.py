@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import col, component, confidence_label, strip, voice_name, voice_style
+from ..functions.text import col, component, confidence_label, let, strip, voice_name, voice_style
 
 SEGMENT = "speaker string, text string, emotion string, style string, ref_audio string, ref_text string, voice_engine string, voice_name string, voice_locale string, cfg_value double, inference_timesteps int"
 EXPORT = [
@@ -102,15 +102,44 @@ def read_rules(spark: SparkSession, path: str) -> tuple[list[tuple], list[str],
     return rules, [t for t in found["preserve"] or [] if t], steps
 
 
+#: Chunks that one turn of the walk follows; turns end with the file.
+CHUNKS_A_TURN = 16
+
+
 def wav_metadata(files: DataFrame) -> DataFrame:
-    """binaryFile rows of PCM clips -> path, channels, sample_rate, frames, duration; other chunks may stand before the data."""
-    head = F.hex(F.substring("content", 1, 4096))
-    little = lambda h: F.conv(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
-    short = lambda h: F.conv(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("long")
-    form, data = r"^(?:..)*?666D7420.{8}(.{4})(.{4})(.{8}).{12}(.{4})", r"^(?:..)*?64617461(.{8})"
-    part = lambda p, i: F.nullif(F.regexp_extract(head, p, i), F.lit(""))
-    base = files.select("path", short(part(form, 2)).alias("channels"), little(part(form, 3)).alias("sample_rate"), short(part(form, 4)).alias("bits"), little(part(data, 1)).alias("bytes"))
-    frames = F.when(F.col("channels") * F.col("bits") > 0, F.floor(F.col("bytes") / (F.col("channels") * F.col("bits") / 8))).otherwise(0)
+    """binaryFile rows of PCM clips -> path, channels, sample_rate, frames, duration.
+
+    The walk goes from chunk header to chunk header by their sizes, the pad byte behind an odd one included, until it has met
+    the format and the data, wherever they stand. A data chunk that the file cuts short counts as far as the file goes. What is
+    no RIFF WAVE file, or has no data, has no frames; without a sample rate the duration is 0.
+    """
+    content, state = F.col("content"), "struct<at:long,channels:int,sample_rate:long,bits:int,bytes:long,done:boolean>"
+    size = F.octet_length("content").cast("long")
+    digits = lambda at, n: F.hex(F.substring(content, (at + 1).cast("int"), F.lit(n)))
+    little = lambda at, n: let(digits(at, n), lambda h: F.conv(F.concat(*[F.substring(h, i, 2) for i in range(2 * n - 1, 0, -2)]), 16, 10).cast("long"))
+
+    def step(s, _):
+        at = s["at"]
+        name, long_ = digits(at, 4), little(at + 4, 4)
+        form, data = name == "666D7420", name == "64617461"
+
+        def met(n):
+            channels = F.when(form, little(at + 10, 2).cast("int")).otherwise(s["channels"])
+            found = F.when(data & s["bytes"].isNull(), F.least(n, size - at - 8)).otherwise(s["bytes"])
+            return F.struct(at + 8 + n + n % 2, channels, F.when(form, little(at + 12, 4)).otherwise(s["sample_rate"]), F.when(form, little(at + 22, 2).cast("int")).otherwise(s["bits"]), found, channels.isNotNull() & found.isNotNull()).cast(state)
+
+        end = F.struct(s["at"], s["channels"], s["sample_rate"], s["bits"], s["bytes"], F.lit(True)).cast(state)
+        return F.when(s["done"], s).when(at + 8 > size, end).otherwise(let(long_, met))
+
+    def turn(s, _):
+        return F.when(s["done"], s).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(CHUNKS_A_TURN)), s, step))
+
+    wave = (digits(F.lit(0), 4) == "52494646") & (digits(F.lit(8), 4) == "57415645")
+    start = F.struct(F.lit(12), F.lit(None), F.lit(None), F.lit(None), F.lit(None), ~F.coalesce(wave, F.lit(False))).cast(state)
+    turns = F.sequence(F.lit(1), F.ceil(size / (8 * CHUNKS_A_TURN)).cast("int") + 1)
+    base = files.select("path", F.aggregate(turns, start, turn).alias("w")).select("path", "w.channels", "w.sample_rate", "w.bits", "w.bytes")
+    wide = F.floor(F.col("channels") * F.col("bits") / 8)
+    frames = F.when(wide > 0, F.floor(F.coalesce("bytes", F.lit(0).cast("long")) / wide)).otherwise(0)
     return base.withColumn("frames", frames).withColumn("duration", F.when(F.col("sample_rate") > 0, F.col("frames") / F.col("sample_rate")).otherwise(0.0)).drop("bytes", "bits")
 
 
@@ -138,22 +167,6 @@ def voice_catalogue(voices: DataFrame, locales: list[str]) -> DataFrame:
     return keyed.withColumn("_n", first).where("_n = 1").drop("_n", "_l")
 
 
-def scan_models(listing: DataFrame) -> DataFrame:
-    """listing (path, length) -> model folders: one with config.json, or each .gguf that is no projector; gguf first."""
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    file = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
-    kind = F.when(file == "config.json", "folder").when(F.endswith(file, F.lit(".gguf")) & ~F.contains(file, F.lit("mmproj")), "gguf")
-    found = listing.withColumns({"kind": kind, "model": F.when(file == "config.json", folder).otherwise(F.col("path"))}).where("kind is not null")
-    return found.groupBy("model", "kind").agg(F.round(F.sum("length") / 1024**3, 2).alias("gigabytes"))
-
-
-def scrape_config(text) -> dict[str, Column]:
-    """Key, URL and model list of a settings page."""
-    t = col(text)
-    get = lambda p: F.nullif(strip(F.regexp_extract(t, p, 1)), F.lit(""))
-    return {"api_key": get(r"(?i)API Key[：:\s]*([^\n\r]+)"), "base_url": base_url(get(r"(?i)Base URL[：:\s]*([^\n\r]+)")), "models": F.filter(F.transform(F.split(get(r"(?i)可用model[：:\s]*([^\n\r]+)"), "[;；]"), strip), lambda m: m != "")}
-
-
 def base_url(c) -> Column:
     """Without trailing slashes, and ending in /v1."""
     x = F.rtrim(col(c), F.lit("/"))
@@ -200,9 +213,19 @@ def write_lrc(lines: DataFrame, path: str) -> None:
     lines.repartition("out").sortWithinPartitions("out", "idx").select("out", F.col("line").alias("value")).write.partitionBy("out").text(path)
 
 
+def archive_layout(rows: DataFrame) -> DataFrame:
+    """rows (day, name and, if present, category) -> the same with `area` and a safe `category`: names that begin with
+    `preview_` are temporary and lie under their day, as `preview` unless they have a category; others are kept by name."""
+    brief = F.startswith(F.lower(strip(F.coalesce("name", F.lit("")))), F.lit("preview_"))
+    given = F.nullif(strip(F.coalesce("category", F.lit(""))), F.lit("")) if "category" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumns({"area": F.when(brief, "temp_by_date").otherwise("outputs"), "category": F.when(brief, component(F.coalesce(given, F.lit("preview")), "misc")).otherwise(component(F.coalesce(given, F.lit("named")), "misc"))})
+
+
 def write_archive(rows: DataFrame, path: str) -> None:
-    """Dated layout: a folder a day and category."""
-    rows.write.partitionBy("day", "category").parquet(path)
+    """Dated layout: a folder a day and category (and area, see archive_layout). A rerun replaces the folders that it writes and
+    leaves the others."""
+    folders = [c for c in ("area", "day", "category") if c in rows.columns]
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
 
 
 def append_calls(calls: DataFrame, path: str) -> None:

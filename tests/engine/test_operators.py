@@ -401,13 +401,10 @@ def test_html(spark):
     assert docs(spark, t).select(html_unescape("text").alias("t")).first().t == html.unescape(t)
 
 
-def test_catalogue_and_models(spark):
+def test_catalogue_and_routes(spark):
     voices = spark.createDataFrame([("Anna Desktop", "zh-CN", 1), ("anna", "zh-cn", 2), ("Bob", "fr-FR", 3)], "name string, locale string, pos int")
     assert values(io.voice_catalogue(voices, ["zh-CN"]), "name") == [("Anna Desktop",)]
-    files = spark.createDataFrame([("/m/a/config.json", 1), ("/m/b.gguf", 2**30), ("/m/mmproj.gguf", 1)], "path string, length long")
-    assert sorted(values(io.scan_models(files), "model", "kind")) == [("/m/a", "folder"), ("/m/b.gguf", "gguf")]
-    made = docs(spark, "API Key: k\nBase URL: http://h/\n可用model: a; b").select(*[c.alias(n) for n, c in io.scrape_config("text").items()]).first()
-    assert (made.api_key, made.base_url, made.models) == ("k", "http://h/v1", ["a", "b"])
+    assert spark.range(1).select(io.base_url(F.lit("http://h/")).alias("u")).first().u == "http://h/v1"
     r = spark.range(1).select(audio.backend_route(F.lit("MIMO"), F.lit("x"), F.lit("")).alias("a"), audio.backend_route(F.lit(None).cast("string"), F.lit(""), F.lit("")).alias("b")).first()
     assert (r.a, r.b) == ("mimo:clone", "local")
 
