@@ -249,9 +249,7 @@ def recover_array(c) -> Column:
         return let(F.array_sort(placed), lambda xs: F.sort_array(F.filter(beside(xs), lambda p: p.isNotNull()), asc=False))
 
     def parsed(piece):
-        # the parser reads one value and ignores what follows; as a field and as an element nothing can follow
-        whole = [F.try_parse_json(F.concat(F.lit(a), piece, F.lit(b))).isNotNull() for a, b in (('{"a":', "}"), ("[", "]"))]
-        return F.when(whole[0] & whole[1], piece)
+        return F.when(_whole_json(piece), piece)
 
     def last(text):
         found = lambda parts, pairs: F.aggregate(pairs, F.lit(None).cast("string"), lambda acc, p: F.coalesce(acc, let(cut(parts, p["start"], p["end"]), parsed)))
@@ -261,6 +259,53 @@ def recover_array(c) -> Column:
     return let(strip_thoughts(c), lambda text: F.coalesce(parsed(F.nullif(F.regexp_extract(text, fence, 1), F.lit(""))), last(text)))
 
 
+def _whole_json(piece: Column) -> Column:
+    """Whether a text is one JSON value: the parser ignores what follows one, but as a field and as an element nothing can."""
+    tried = [F.try_parse_json(F.concat(F.lit(a), piece, F.lit(b))).isNotNull() for a, b in (('{"a":', "}"), ("[", "]"))]
+    return tried[0] & tried[1]
+
+
+def _first_bracketed(text: Column, opens: str, closes: str) -> Column:
+    """From the first opening bracket to the one that closes it, brackets in strings not counted; null if none does."""
+    token = f'(?s)"[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+(?:"|\\z)|[\\{opens}\\{closes}]'
+
+    def closed(rest):
+        def upto(tokens):
+            depths = running(F.transform(tokens, lambda t: F.when(t["raw"] == opens, 1).when(t["raw"] == closes, -1).otherwise(0)), lambda a, b: a + b)
+            return let(F.array_position(depths, F.lit(0)), lambda i: F.when(i > 0, F.left(rest, F.get(tokens, i.cast("int") - 1)["end"])))
+
+        return let(spans(rest, token), upto)
+
+    at = F.instr(text, opens)
+    return F.when(at > 0, let(F.substring(text, at, F.length(text)), closed))
+
+
+def reply_object(c) -> Column:
+    """The JSON object of a reply, as text: the whole reply if it is one, else what its first `{` opens, else what its first
+    `[` opens; a list becomes {"segments": list}. Null where that is no JSON, or neither object nor list."""
+    kind = lambda x: F.when(F.startswith(x, F.lit("{")), x).when(F.startswith(x, F.lit("[")), F.concat(F.lit('{"segments": '), x, F.lit("}")))
+    snippet = lambda t: F.coalesce(_first_bracketed(t, "{", "}"), _first_bracketed(t, "[", "]"))
+    found = lambda t: F.when(_whole_json(t), t).otherwise(let(snippet(t), lambda x: F.when(_whole_json(x), x)))
+    return let(strip(c), lambda t: let(found(t), kind))
+
+
+def decode_json_fixes(replies: DataFrame) -> DataFrame:
+    """The long form of decode_fixes(): {"corrections": [{index, suggested_speaker, confidence}]}, of which only those of high
+    confidence count; of several for a place the last one does."""
+    item = "corrections array<struct<index:string,suggested_speaker:string,confidence:string>>"
+    rows = replies.select("doc_id", "window_start", F.posexplode(F.from_json(reply_object("response"), item)["corrections"]).alias("pos", "x"))
+    sure = rows.where(F.lower(strip(F.coalesce("x.confidence", F.lit("")))) == "high")
+    placed = sure.select("doc_id", "window_start", "pos", F.col("x.index").try_cast("int").alias("local_index"), strip(F.coalesce("x.suggested_speaker", F.lit(""))).alias("speaker")).where("local_index is not null")
+    return placed.groupBy("doc_id", "window_start", "local_index").agg(F.max_by("speaker", "pos").alias("speaker"))
+
+
+def decode_json_guess(c) -> Column:
+    """The long form of decode_pattern_guess(): {pattern, confidence, reason}; null without an object."""
+    told = F.from_json(reply_object(c), "pattern string, confidence string, reason string")
+    text = lambda k: strip(F.coalesce(told[k], F.lit("")))
+    return let(told, lambda t: F.when(t.isNotNull(), F.struct(F.coalesce(F.nullif(text("pattern"), F.lit("")), F.lit("none")).alias("pattern"), text("confidence").alias("confidence"), text("reason").alias("reason"))))
+
+
 def recover_choice(c) -> Column:
     """struct<choice, confidence> of a reply that is JSON, holds JSON, or only mentions both fields."""
     kind = "choice string, confidence double"
@@ -320,8 +365,15 @@ def decode_pattern_guess(c) -> Column:
     return F.when(row.isNotNull(), F.struct(F.coalesce(F.nullif(get(1), F.lit("")), F.lit("none")).alias("pattern"), get(2).alias("confidence"), get(3).alias("reason")))
 
 
-def context_prompt(chunks: DataFrame) -> DataFrame:
-    """chunks with title, numbered_text and (nullable) known, summary, active -> prompt with a context block if any is set."""
+#: Heads of the context block, for the compact and the long prompt.
+CONTEXT_HEADS = {False: ("CTX", "角色: ", "摘要: ", "活跃: "), True: ("【跨块分析上下文】", "已知角色：", "上一块剧情摘要：", "上一块仍在对话的角色：")}
+
+
+def context_prompt(chunks: DataFrame, verbose: bool = False) -> DataFrame:
+    """chunks with title, numbered_text (or content, for the verbose form) and (nullable) known, summary, active -> prompt with a
+    context block if any of them is set."""
+    top, *heads = CONTEXT_HEADS[verbose]
     part = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), F.col(c)))
-    inner = F.concat_ws("\n", part("角色: ", "known"), part("摘要: ", "summary"), part("活跃: ", "active"))
-    return chunks.withColumn("prompt", F.concat_ws("\n\n", F.when(inner != "", F.concat(F.lit("CTX\n"), inner)), F.concat(F.lit("标题: "), F.col("title"), F.lit("\n"), F.col("numbered_text"))))
+    inner = F.concat_ws("\n", *[part(label, c) for label, c in zip(heads, ("known", "summary", "active"))])
+    body = F.concat(F.lit("请分析下面这段文本，并输出 JSON。\n\n标题："), "title", F.lit("\n\n正文：\n"), "content") if verbose else F.concat(F.lit("标题: "), "title", F.lit("\n"), "numbered_text")
+    return chunks.withColumn("prompt", F.concat_ws("\n\n", F.when(inner != "", F.concat(F.lit(top + "\n"), inner)), body))

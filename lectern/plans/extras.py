@@ -92,6 +92,57 @@ def verification(spark, sf_dir):
     return verify_speakers(rows, _fix_replies(rows)).select("doc_id", "seq", "speaker")
 
 
+@query(f"with {A.SQL_SEGMENTS} select doc_id, seq, case when seq % 6 = 0 then '改' || seq || 'w' || (((seq - 1) // 15) * 15) else speaker end as speaker from seg")
+def verification_verbose(spark, sf_dir):
+    """JSON replies to verification windows, in prose: of two fixes to every third segment the sure one of every sixth counts."""
+    rows = A.segments(spark, sf_dir)
+    shown = segments.verify_windows(rows).where("seq % 3 = 0")
+    sure = F.when(F.col("seq") % 2 == 0, " High ").otherwise("medium")
+    item = F.concat(F.lit('{"index": '), "local_index", F.lit(', "suggested_speaker": "改'), F.col("seq").cast("string"), F.lit("w"), F.col("window_start").cast("string"), F.lit('", "confidence": "'), sure, F.lit('"}, {"index": '), "local_index", F.lit(', "suggested_speaker": "x{", "confidence": "low"}'))
+    replies = shown.groupBy("doc_id", "window_start").agg(F.concat(F.lit('Checked "all" of it:\n{"corrections": ['), F.array_join(F.collect_list(item), ", "), F.lit("]}\nDone }")).alias("response"))
+    return verify_speakers(rows, replies, verbose=True).select("doc_id", "seq", "speaker")
+
+
+_PROPS = "case event_id % 5 when 0 then props when 1 then props when 2 then '{\"segments\": [' || props || ', 3]}' when 4 then '{\"segments\": [[' || event_id || ']]}' end"
+
+
+@query(f"select event_id, {_PROPS} as json from events where props is not null")
+def reply_objects(spark, sf_dir):
+    """The object of each reply: whole, in prose, a list, cut short, a list in prose."""
+    e = A._table(spark, sf_dir, "events").where("props is not null")
+    shapes = [F.col("props"), F.concat(F.lit('so "ok" '), "props", F.lit(' and "}" then }')), F.concat(F.lit("["), "props", F.lit(", 3]")), F.concat(F.lit("cut "), F.left("props", F.length("props") - 1)), F.concat(F.lit("see [["), F.col("event_id").cast("string"), F.lit("]] "))]
+    reply = F.element_at(F.array(*shapes), (F.col("event_id") % 5 + 1).cast("int"))
+    return e.select("event_id", codecs.reply_object(reply).alias("json"))
+
+
+@query(f"with {A.SQL_SEGMENTS} select doc_id, seq, case when seq % 3 = 1 then speaker when seq % 3 = 2 then 'none' end as pattern, case when seq % 3 = 1 then 'high' when seq % 3 = 2 then '' end as confidence, case when seq % 3 = 1 then '{{a}}' when seq % 3 = 2 then '' end as reason from seg")
+def pattern_guess_json(spark, sf_dir):
+    """Guesses at the heading pattern in JSON: no object, one in prose, an empty one."""
+    reply = F.when(F.col("seq") % 3 == 0, "no answer").when(F.col("seq") % 3 == 1, F.concat(F.lit('I say {"pattern": " '), "speaker", F.lit(' ", "confidence": "high", "reason": "{a}"} ok'))).otherwise("{}")
+    return A.segments(spark, sf_dir).select("doc_id", "seq", codecs.decode_json_guess(reply).alias("g")).select("doc_id", "seq", "g.pattern", "g.confidence", "g.reason")
+
+
+_NAMED = "speaker not in ('旁白', 'UNKNOWN', '未知')"
+
+
+@query(f"""
+with {A.SQL_PROSE}, {A.SQL_SEGMENTS},
+nm as (select doc_id, string_agg(distinct speaker, ', ' order by speaker) as known, arg_max(speaker, seq) as active from seg where {_NAMED} group by doc_id),
+c as (select doc_id, text, nullif(known, '') as known, case when doc_id % 2 = 0 then active end as active from docs left join nm using (doc_id))
+select doc_id,
+  case when known is null and active is null then '' else 'CTX' || chr(10) || concat_ws(chr(10), '角色: ' || known, '活跃: ' || active) || chr(10) || chr(10) end || '标题: t' || chr(10) || text as compact,
+  case when known is null and active is null then '' else '【跨块分析上下文】' || chr(10) || concat_ws(chr(10), '已知角色：' || known, '上一块仍在对话的角色：' || active) || chr(10) || chr(10) end
+    || '请分析下面这段文本，并输出 JSON。' || chr(10) || chr(10) || '标题：t' || chr(10) || chr(10) || '正文：' || chr(10) || text as verbose
+from c""")
+def context_prompts(spark, sf_dir):
+    """Both forms of the prompt of a chunk, with what is known of the chunks before."""
+    named = A.segments(spark, sf_dir).where(_NAMED)
+    known = named.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("speaker")), ", ").alias("known"), F.max_by("speaker", "seq").alias("last"))
+    chunks = A.prose(spark, sf_dir).join(known, "doc_id", "left").select("doc_id", F.lit("t").alias("title"), F.col("text").alias("numbered_text"), F.col("text").alias("content"), "known", F.lit(None).cast("string").alias("summary"), F.when(F.col("doc_id") % 2 == 0, F.col("last")).alias("active"))
+    both = codecs.context_prompt(codecs.context_prompt(chunks).withColumnRenamed("prompt", "compact"), verbose=True)
+    return both.select("doc_id", "compact", F.col("prompt").alias("verbose"))
+
+
 @query(f"with {A.SQL_SEGMENTS} select doc_id, seq, speaker from seg")
 def verification_without_fixes(spark, sf_dir):
     rows = A.segments(spark, sf_dir)

@@ -66,8 +66,9 @@ def parse_novel_batch(docs: DataFrame, hints: list[str], client: service.Chat |
     return consistency.fix_consistency(out, narrator)
 
 
-def verify_speakers(rows: DataFrame, client: service.Chat | DataFrame) -> DataFrame:
-    """Windows of twenty segments, five of them shared, are shown to a service; its fixes are applied, later windows win.
+def verify_speakers(rows: DataFrame, client: service.Chat | DataFrame, verbose: bool = False) -> DataFrame:
+    """Windows of twenty segments, five of them shared, are shown to a service; its fixes are applied, later windows win. A
+    verbose service answers in JSON and says how sure it is; only fixes of high confidence are taken then.
 
     As everywhere here, a table of recorded replies may stand for the service: service.ask() says how.
     """
@@ -75,7 +76,7 @@ def verify_speakers(rows: DataFrame, client: service.Chat | DataFrame) -> DataFr
     item = F.concat(F.col("local_index"), F.lit(" | "), "speaker", F.lit(" | "), "text")
     prompts = shown.groupBy("doc_id", "window_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_index", item.alias("item")))), lambda x: x["item"]), "\n").alias("prompt"))
     replies = service.ask(prompts, client, ["doc_id", "window_start"]).where("response is not null")
-    return segments.postprocess(segments.apply_fixes(rows, codecs.decode_fixes(replies)))
+    return segments.postprocess(segments.apply_fixes(rows, codecs.decode_json_fixes(replies) if verbose else codecs.decode_fixes(replies)))
 
 
 def merge_aliases(rows: DataFrame, client: service.Chat | DataFrame) -> DataFrame:
