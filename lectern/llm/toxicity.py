@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import _LOWER, ALNUM_WORDS, discard, materialize, segments, utf8_parts
 
 THRESHOLD = 0.5
-#: About so many documents of each kind are learned from, drawn by the hash of doc_id, whatever their length.
+#: About so many documents of each kind are learned from, drawn by hashes of ids and rows, whatever their length.
 POSITIVES, UNLABELLED = 2000, 4000
 LENGTHS = (4, 5, 6, 7, 8)
 #: Grams that the fit may weigh: in MIN_DOCUMENTS positives at least, with a log-likelihood ratio of APART or more, and of these
@@ -187,17 +187,30 @@ class Model:
         return _sigmoid(z)
 
 
-def _drawn(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
-    """text, toxic (1 confirmed, 0 drawn blindly) of the training rows, and the class prior."""
+def _drawn(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[DataFrame, dict[int, int], float]:
+    """text, toxic (1 confirmed, 0 drawn blindly) of the training rows, their numbers, and the class prior.
+
+    Rows that repeat are drawn once, and where an id has so many texts that a draw is over twice its size it is thinned by row.
+    """
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rows = docs.where(~held_out()).select("doc_id", "text")
-    part = lambda seed, share: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)
+    rows = docs.where(~held_out()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    part = lambda key, seed, share: F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)
     # at most about `positives` ids are sent to the documents
-    confirmed = known.where((F.col("toxic") == 1) & part(1, min(1.0, positives / max(n_toxic, 1)))).select("doc_id")
-    toxic = rows.join(F.broadcast(confirmed), "doc_id", "left_semi").select("text", F.lit(1).alias("toxic"))
-    blind = rows.where(part(2, min(1.0, unlabelled / max(rows.count(), 1)))).select("text", F.lit(0).alias("toxic"))
-    return materialize(toxic.unionByName(blind), "toxicity-draw"), float(np.clip(n_toxic / max(n, 1), *PRIOR))
+    confirmed = known.where((F.col("toxic") == 1) & part("doc_id", 1, min(1.0, positives / max(n_toxic, 1)))).select("doc_id")
+    toxic = rows.join(F.broadcast(confirmed), "doc_id", "left_semi").dropDuplicates(["doc_id", "row"]).select("row", "text", F.lit(1).alias("toxic"))
+    blind = rows.where(part("row", 2, min(1.0, unlabelled / max(rows.count(), 1)))).dropDuplicates(["doc_id", "row"]).select("row", "text", F.lit(0).alias("toxic"))
+    drawn = materialize(toxic.unionByName(blind), "toxicity-draw")
+    sizes = {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
+    wide = {kind: most / sizes[kind] for kind, most in ((1, positives), (0, unlabelled)) if sizes.get(kind, 0) > 2 * most}
+    if wide:
+        kept = F.lit(True)
+        for kind, share in wide.items():
+            kept = kept & ((F.col("toxic") != kind) | part("row", 3, share))
+        thin = materialize(drawn.where(kept), "toxicity-draw")
+        discard(drawn)
+        drawn, sizes = thin, {r["toxic"]: r["count"] for r in thin.groupBy("toxic").count().collect()}
+    return drawn, sizes, float(np.clip(n_toxic / max(n, 1), *PRIOR))
 
 
 def _vectors(drawn: DataFrame, lookup: Lookup) -> tuple[Rows, Rows]:
@@ -227,8 +240,7 @@ def _vectors(drawn: DataFrame, lookup: Lookup) -> tuple[Rows, Rows]:
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """A model of the toxic rows of `labels` and of documents drawn without labels; None without a toxic training row."""
-    drawn, prior = _drawn(docs, labels, positives, unlabelled)
-    sizes = {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
+    drawn, sizes, prior = _drawn(docs, labels, positives, unlabelled)
     n_p, n_u = sizes.get(1, 0), max(sizes.get(0, 0), 1)
     if not n_p:
         discard(drawn)

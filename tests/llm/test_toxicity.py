@@ -135,3 +135,13 @@ def test_nothing_to_learn_from(spark):
     assert none is None
     few = T.fit(docs, spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, toxic int"))
     assert all(0 <= r.score <= 1 for r in T.score(docs, few).collect())
+
+
+def test_draws_stay_bounded_where_ids_and_rows_repeat(spark):
+    same = [(1, "idiot here")] * 500 + [(1, f"idiot number {i}") for i in range(400)] + [(i, f"clean text {i}") for i in range(1000, 1200)]
+    docs = spark.createDataFrame(same, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1001, 0), (1002, 0), (1003, 0)], "doc_id long, toxic int")
+    drawn, sizes, _ = T._drawn(docs, labels, 50, 60)
+    assert 20 < sizes[1] < 110 and 20 < sizes[0] <= 130 and drawn.count() == sum(sizes.values())
+    model = T.fit(docs, labels, 50, 60)
+    assert model is not None and T.score(docs, model).count() == len(same)
