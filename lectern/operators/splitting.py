@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon as L
 from ..functions.folds import emitted, grouped
-from ..functions.spans import blocks, cut, running, spans
+from ..functions.lines import line_array, part_array, slice_array
+from ..functions.spans import blocks, cut, spans
 from ..functions.text import col, let, lstrip, normalize_text, preprocess_steps, strip
 
 
@@ -123,33 +124,13 @@ def split_long_chunks(chunks: DataFrame, most: int) -> DataFrame:
     return chunks.select("doc_id", "chunk_idx", F.posexplode(let("content", parts)).alias("part_idx", "p")).select("doc_id", "chunk_idx", "part_idx", "p.title", "p.content")
 
 
-def soft_split(line, most: int = 160) -> Column:
-    """array<string>: a long line is cut at the first sentence end at or after `most` characters."""
-
-    def pieces(x):
-        sentences = F.regexp_extract_all(x, F.lit(f"[^{L.SENTENCE_MARKS}]*+{L.SENTENCE_END}|[^{L.SENTENCE_MARKS}]++"), F.lit(0))
-        ends = lambda s, x: let(s["shut"], lambda new: F.struct((s["g"] + new.cast("int")).alias("g"), s["n"], F.when(new, x["len"]).otherwise(s["size"] + x["len"]).alias("size"), s["shut"]))
-        step = lambda s, x: let(ends(s, x), lambda t: F.struct(t["g"], t["n"], t["size"], t["size"] >= most))
-        start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(False).alias("shut"))
-        return let(sentences, lambda ss: F.transform(grouped(ss, emitted(_sized(ss), _STATE, start, step, lambda s: s["g"])), lambda g: F.array_join(g, "")))
-
-    return let(col(line), lambda x: F.when(F.length(x) <= most, F.array(x)).otherwise(pieces(x)))
-
-
 def number_lines(chunks: DataFrame, most: int = 160) -> DataFrame:
     """chunks (doc_id, chunk_idx, content) -> doc_id, chunk_idx, line_no, line_id, start, end, text.
 
-    Offsets are those of `content`. A chunk is worked off in its row: no shuffle, and the text is not carried along.
+    Offsets are those of `content`. Lines of more than `most` characters are cut at the first sentence end at or after them. A
+    chunk is worked off in its row: no shuffle, and the text is not carried along.
     """
-
-    def lines(raws):
-        ends = running(F.transform(raws, lambda r: F.length(r) + 1), lambda a, b: a + b)
-        placed = lambda es: F.transform(raws, lambda r, i: F.struct((F.get(es, i) - 1 - F.length(lstrip(r))).alias("at"), strip(r).alias("line")))
-        full = let(ends, lambda es: F.filter(placed(es), lambda x: x["line"] != ""))
-        run = lambda ps, at: let(running(F.transform(ps, F.length), lambda a, b: a + b), lambda rs: F.zip_with(ps, rs, lambda p, r: F.struct((at + r - F.length(p)).alias("start"), p.alias("text"))))
-        return F.flatten(F.transform(full, lambda x: F.when(F.length(x["line"]) <= most, F.array(F.struct(x["at"].alias("start"), x["line"].alias("text")))).otherwise(let(soft_split(x["line"], most), lambda ps: run(ps, x["at"])))))
-
-    rows = chunks.select("doc_id", "chunk_idx", F.posexplode(let(F.split("content", "\n", -1), lines)).alias("i", "l"))
+    rows = chunks.select("doc_id", "chunk_idx", line_array("content", most).alias("ls")).select("doc_id", "chunk_idx", F.posexplode("ls").alias("i", "l"))
     number = F.col("i") + 1
     return rows.select("doc_id", "chunk_idx", number.alias("line_no"), F.concat(F.lit("L"), number).alias("line_id"), "l.start", (F.col("l.start") + F.length("l.text")).alias("end"), "l.text")
 
@@ -157,37 +138,42 @@ def number_lines(chunks: DataFrame, most: int = 160) -> DataFrame:
 def line_budget(lines: DataFrame, most_chars: int, most_lines: int) -> DataFrame:
     """Which part of its chunk a line falls into: lines fill a part until it has most_lines or would pass most_chars. Only
     lengths are collected, a chunk at a time."""
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.greatest(F.lit(1), F.length("text")).alias("s")))), lambda x: F.struct(x["s"].alias("len"), F.lit(False).alias("may_end")))
-    packed = lines.groupBy("doc_id", "chunk_idx").agg(sizes.alias("sizes")).select("doc_id", "chunk_idx", F.posexplode(group_numbers("sizes", most_chars, most_items=most_lines)).alias("pos", "part"))
-    return packed.select("doc_id", "chunk_idx", (F.col("pos") + 1).alias("line_no"), "part")
+    sized = lines.select("doc_id", "chunk_idx", F.struct("line_no", F.greatest(F.lit(1), F.length("text")).alias("s")).alias("l"))
+    per = sized.groupBy("doc_id", "chunk_idx").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    packed = per.select("doc_id", "chunk_idx", part_array(F.transform("ls", lambda x: x["s"]), most_chars, most_lines).alias("parts"))
+    return packed.select("doc_id", "chunk_idx", F.posexplode("parts").alias("pos", "part")).select("doc_id", "chunk_idx", (F.col("pos") + 1).alias("line_no"), "part")
+
+
+def _slice_title(part: Column) -> Column:
+    return F.concat("title", F.lit("（第"), part + 1, F.lit("部分）"))
 
 
 def line_slices(chunks: DataFrame, most_chars: int, most_lines: int, inherited: str | None = None) -> DataFrame:
     """chunks (doc_id, chunk_idx, title, content) -> doc_id, chunk_idx, part, title, content, line_ids, numbered_text: the
-    parts of line_budget() as slices of the chunk's own text.
+    parts of line_budget() as slices of the chunk's own text, cut in its row: no shuffle.
 
     `inherited` names an array column of line ids from an earlier cut; they are kept where there is one a line.
     """
-    lines = number_lines(chunks.select("doc_id", "chunk_idx", "content"))
-    both = lines.join(line_budget(lines, most_chars, most_lines), ["doc_id", "chunk_idx", "line_no"])
-    item = F.struct("line_no", "line_id", "start", "end", "text")
-    parts = both.groupBy("doc_id", "chunk_idx", "part").agg(F.array_sort(F.collect_list(item)).alias("ls"))
-    # a chunk's parts travel to its text as one array; each slice is cut in the row, and the text is copied to none
-    per = parts.groupBy("doc_id", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("part", "ls"))).alias("ps"), F.sum(F.size("ls")).alias("n"))
-    keep = ["title", "content"] + ([inherited] if inherited else [])
-    rows = per.join(chunks.select("doc_id", "chunk_idx", *keep), ["doc_id", "chunk_idx"])
-
-    def slices(blocks_of):
-        def one(p):
-            own = F.transform(p["ls"], lambda x: x["line_id"])
-            ids = F.when(F.size(inherited) == F.col("n"), F.transform(p["ls"], lambda x: F.get(inherited, x["line_no"] - 1))).otherwise(own) if inherited else own
-            text = strip(cut(blocks_of, F.element_at(p["ls"], 1)["start"], F.element_at(p["ls"], -1)["end"]))
-            shown = F.array_join(F.transform(p["ls"], lambda x: F.concat(x["line_id"], F.lit(": "), x["text"])), "\n")
-            return F.struct(p["part"].alias("part"), F.concat("title", F.lit("（第"), p["part"] + 1, F.lit("部分）")).alias("title"), text.alias("content"), ids.alias("line_ids"), shown.alias("numbered_text"))
-
-        return F.transform("ps", one)
-
-    return rows.select("doc_id", "chunk_idx", F.explode(let(blocks("content"), slices)).alias("s")).select("doc_id", "chunk_idx", "s.*")
+    kept = [inherited] if inherited else []
+    cuts = chunks.select("doc_id", "chunk_idx", "title", *kept, slice_array("content", most_chars, most_lines).alias("ss"))
+    rows = cuts.select("doc_id", "chunk_idx", "title", *kept, F.try_element_at("ss", F.lit(-1))["last"].alias("n"), F.posexplode("ss").alias("part", "s"))
+    numbers = F.sequence(F.col("s.first"), F.col("s.last"))
+    ids = F.transform(numbers, lambda i: F.concat(F.lit("L"), i))
+    if inherited:
+        ids = F.when(F.size(inherited) == F.col("n"), F.transform(numbers, lambda i: F.get(inherited, i - 1))).otherwise(ids)
+    return rows.select("doc_id", "chunk_idx", "part", _slice_title(F.col("part")).alias("title"), "s.content", ids.alias("line_ids"), F.col("s.shown").alias("numbered_text"))
+
+
+def slice_long_chunks(chunks: DataFrame, most_chars: int, most_lines: int) -> DataFrame:
+    """chunks (doc_id, chunk_idx, title, content) -> doc_id, chunk_idx, part, title, content: line_slices() of the chunks whose
+    numbered text passes most_chars or has most_lines; the others stay, as part 0. No shuffle."""
+    cuts = chunks.select("doc_id", "chunk_idx", "title", "content", slice_array("content", most_chars, most_lines).alias("ss"))
+    # a shown part lacks one line end
+    shown = F.aggregate("ss", F.lit(0), lambda a, s: a + F.length(s["shown"]) + 1)
+    long_ = F.coalesce((F.try_element_at("ss", F.lit(-1))["last"] >= most_lines) | (shown > most_chars), F.lit(False))
+    sliced = F.transform("ss", lambda s, i: F.struct(i.alias("part"), _slice_title(i).alias("title"), s["content"].alias("content")))
+    whole = F.array(F.struct(F.lit(0).alias("part"), F.col("title"), F.col("content")))
+    return cuts.select("doc_id", "chunk_idx", F.explode(F.when(long_, sliced).otherwise(whole)).alias("p")).select("doc_id", "chunk_idx", "p.*")
 
 
 def coerce_chunks(rows: DataFrame, replies: str = "response", title: str = "title") -> DataFrame:

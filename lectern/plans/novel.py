@@ -116,12 +116,7 @@ def _numbered(chunks: DataFrame, lines: DataFrame) -> DataFrame:
 
 def presplit(chunks: DataFrame, most_chars: int = 6000, most_lines: int = 120) -> DataFrame:
     """Chunks whose numbered text is long are cut into line slices before a service plans them; the others stay."""
-    lines = splitting.number_lines(chunks.select("doc_id", "chunk_idx", "content"))
-    size = lines.groupBy("doc_id", "chunk_idx").agg(F.count("*").alias("n"), F.sum(F.length("line_id") + 2 + F.length("text") + 1).alias("c"))
-    long_ = size.where((F.col("n") >= most_lines) | (F.col("c") > most_chars)).select("doc_id", "chunk_idx")
-    parts = splitting.line_slices(chunks.join(long_, ["doc_id", "chunk_idx"], "left_semi"), most_chars, most_lines).select("doc_id", "chunk_idx", "part", "title", "content")
-    rest = chunks.join(long_, ["doc_id", "chunk_idx"], "left_anti").select("doc_id", "chunk_idx", F.lit(0).alias("part"), "title", "content")
-    return rest.unionByName(parts)
+    return splitting.slice_long_chunks(chunks, most_chars, most_lines)
 
 
 def prompt_budget(target: int | None, max_tokens: int) -> int:

@@ -6,6 +6,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from lectern.functions.lines import lines_of, parts_of
+from lectern.operators import splitting
+from lectern.plans.novel import presplit
 from lectern.sources.html import html_unescape_closed
 
 
@@ -22,3 +25,49 @@ def test_unclosed_references_stay(spark):
     assert got == ["a&&amp</title>&lt; é中中 &notit; &quo", None]
     named = "&lt;a&gt;&copy;&middot;&nbsp;&quot;&#39;&amp;"
     assert one_column(spark, named).select(html_unescape_closed("text").alias("t")).first().t == html.unescape(named)
+
+
+def chunked(spark, *texts):
+    rows = [(i, 0, "t", t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, chunk_idx int, title string, content string")
+
+
+def test_lines_and_parts_are_read_on(spark):
+    text = " 甲 \n\u3000\n" + "一二。三四！」五\n" + "x" * 9
+    assert lines_of(text, 4) == [(1, "甲"), (6, "一二。三四！」"), (13, "五"), (15, "x" * 9)]
+    assert parts_of([3, 3, 9, 1, 1, 1], 6, 2) == [0, 0, 1, 2, 2, 3]
+    got = [(r.line_no, r.start, r.end, r.text) for r in splitting.number_lines(chunked(spark, text, None, "", " \n "), 4).orderBy("doc_id", "line_no").collect()]
+    assert got == [(i + 1, s, s + len(t), t) for i, (s, t) in enumerate(lines_of(text, 4))]
+
+
+def test_slices_are_cut_in_the_row(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab。！」\n \u3000") for _ in range(rng.randrange(900))) for _ in range(40)]
+    chunks = chunked(spark, *texts, None, "", " \n ")
+    sliced = splitting.line_slices(chunks, 60, 5)
+    assert exchanges(sliced) == 0
+    lines = splitting.number_lines(chunks.select("doc_id", "chunk_idx", "content"))
+    budget = {(r.doc_id, r.line_no): r.part for r in splitting.line_budget(lines, 60, 5).collect()}
+    by_part = {}
+    for r in lines.orderBy("doc_id", "line_no").collect():
+        by_part.setdefault((r.doc_id, budget[r.doc_id, r.line_no]), []).append(r)
+    want = {k: (f"t（第{k[1] + 1}部分）", texts[k[0]][v[0].start : v[-1].end].strip(), [r.line_id for r in v], "\n".join(f"{r.line_id}: {r.text}" for r in v)) for k, v in by_part.items()}
+    assert {(r.doc_id, r.part): (r.title, r.content, r.line_ids, r.numbered_text) for r in sliced.collect()} == want
+
+
+def test_long_chunks_are_sliced_in_the_row(spark):
+    chunks = chunked(spark, "甲\n乙\n丙", "甲\n乙", "甲" * 9 + "\n乙", None, "", " \n")
+    cut = presplit(chunks, 14, 3)
+    assert exchanges(cut) == 0
+    got = sorted((r.doc_id, r.part, r.title, r.content) for r in cut.where("content is not null").collect())
+    assert got == [(0, 0, "t（第1部分）", "甲\n乙\n丙"), (1, 0, "t", "甲\n乙"), (2, 0, "t（第1部分）", "甲" * 9 + "\n乙"), (4, 0, "t", ""), (5, 0, "t", " \n")]
+    assert cut.where("content is null").count() == 1
+
+
+def test_lines_of_a_long_text_take_little_time(spark):
+    text = "\n".join("word " * 60 + "." for _ in range(4000)) + "\n" + "一句话。" * 20_000
+    chunks = chunked(spark, *[text] * 8)
+    splitting.number_lines(chunks).count()
+    begun = time.monotonic()
+    assert splitting.number_lines(chunks).where("length(text) > 0").count() == 8 * (4000 + 500)
+    assert time.monotonic() - begun < 8
