@@ -38,11 +38,15 @@ def normalize_text(c) -> Column:
 
 
 def tts_cleanup(c) -> Column:
-    """Brackets that a voice cannot read are replaced, in this order; lines without an end mark get one."""
+    """Brackets that a voice cannot read are replaced, in this order; lines without an end mark get one.
+
+    The line end is looked for first: a pattern that begins with any character but end marks tries each character of a text. As
+    a match takes the next line's first character with it, no match follows at once after one (\\G).
+    """
     x = F.replace(F.coalesce(col(c), F.lit("")), F.lit("\r\n"), F.lit("\n"))
     for source, target in (("【", "“"), ("】", "”"), ("（", "，"), ("）", "，"), ("[", "【"), ("]", "】")):
         x = F.replace(x, F.lit(source), F.lit(target))
-    x = F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), "([^\n。！？!?；;：:])\n([^\n])", "$1。\n$2")
+    x = F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), "\n(?<![\n。！？!?；;：:]\n)(?<!\\G\n)([^\n])", "。\n$1")
     return strip(x)
 
 

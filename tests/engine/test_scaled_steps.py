@@ -2,10 +2,12 @@
 
 import html
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.functions.lines import lines_of, parts_of
 from lectern.operators import splitting
 from lectern.plans.novel import presplit
@@ -71,3 +73,15 @@ def test_lines_of_a_long_text_take_little_time(spark):
     begun = time.monotonic()
     assert splitting.number_lines(chunks).where("length(text) > 0").count() == 8 * (4000 + 500)
     assert time.monotonic() - begun < 8
+
+
+def test_line_ends_get_marks_quickly(spark):
+    plainly = lambda t: re.sub("([^\n。！？!?；;：:])\n([^\n])", r"\1。\n\2", re.sub("\n{3,}", "\n\n", t)).strip()
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab\n\n。:𝄞") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    got = one_column(spark, *texts).select("doc_id", T.tts_cleanup("text").alias("t")).orderBy("doc_id").collect()
+    assert [r.t for r in got] == [plainly(t) for t in texts]
+    long_ = spark.range(8).select(F.repeat(F.lit("some words of prose "), 200_000).alias("text"))
+    begun = time.monotonic()
+    assert long_.select(T.tts_cleanup("text").alias("t")).where("length(t) > 0").count() == 8
+    assert time.monotonic() - begun < 8
