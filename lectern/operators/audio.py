@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import lexicon as L
-from ..functions.folds import emitted
-from ..functions.text import col, let, lyric_line, speech_units
+from ..functions.text import col, lyric_line, speech_units
 
 
 def duration_bounds(rows: DataFrame, text: str = "text", digits: int | None = 3) -> DataFrame:
@@ -64,24 +64,35 @@ def lrc(clips: DataFrame, keys=("out",), silence_ms: int = L.SILENCE_MS) -> Data
     return timed.where("lyric <> ''").select(*keys, "idx", "offset_seconds", F.concat(F.lit("["), timestamp_text("offset_seconds"), F.lit("]"), "lyric").alias("line"))
 
 
-def pack_volumes(clips: DataFrame, silence_ms: int = L.SILENCE_MS, most_bytes: int = L.VOLUME_BYTES, most_items: int = L.VOLUME_ITEMS) -> DataFrame:
-    """clips (out, idx, frames, sample_rate, channels) -> out, idx, volume (from 1).
+def pack_volumes(clips: DataFrame, silence_ms: int = L.SILENCE_MS, most_bytes: int = L.VOLUME_BYTES, most_items: int = L.VOLUME_ITEMS, keep: tuple = ()) -> DataFrame:
+    """clips (out, idx, frames, sample_rate, channels) -> out, idx, the columns of `keep`, volume (from 1).
 
-    A left fold over the clips of one output with a three-number state; the order of clips decides, so an output is one
-    group, bounded by the length of one narration.
+    A left fold over the clips of one output with a three-number state. Clips are dealt by output and sorted by place, and the
+    fold reads them batch by batch, so a task holds one batch besides its sort, which can spill.
     """
-    state = "struct<volume:int,n:int,bytes:bigint>"
-    item = F.struct("idx", (F.col("frames") * F.col("channels") * L.SAMPLE_BYTES).alias("bytes"), (F.floor(F.col("sample_rate") * max(0, silence_ms) / 1000) * F.col("channels") * L.SAMPLE_BYTES).alias("gap"))
-    start = F.struct(F.lit(1).alias("volume"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"))
-
-    def step(a, c):
-        ahead = a["bytes"] + c["bytes"] + F.when(a["n"] > 0, c["gap"]).otherwise(0)
-        full = (a["n"] > 0) & ((a["n"] >= most_items) | (F.lit(most_bytes > 0) & (ahead > most_bytes)))
-        return let(full, lambda f: F.struct((a["volume"] + f.cast("int")).alias("volume"), F.when(f, 1).otherwise(a["n"] + 1).alias("n"), F.when(f, c["bytes"]).otherwise(ahead).alias("bytes")))
-
-    ordered = clips.groupBy("out").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    packed = ordered.select("out", F.explode(let("items", lambda xs: F.zip_with(xs, emitted(xs, state, start, step, lambda a: a["volume"]), lambda x, v: F.struct(x["idx"].alias("idx"), v.alias("volume"))))).alias("z"))
-    return packed.select("out", "z.idx", "z.volume")
+    size = (F.col("frames") * F.col("channels") * L.SAMPLE_BYTES).cast("long")
+    gap = (F.floor(F.col("sample_rate") * max(0, silence_ms) / 1000) * F.col("channels") * L.SAMPLE_BYTES).cast("long")
+    sized = clips.select("out", "idx", *keep, F.coalesce(size, F.lit(0)).cast("long").alias("_size"), F.coalesce(gap, F.lit(0)).cast("long").alias("_gap"))
+    schema = StructType([*sized.schema.fields[:-2], StructField("volume", IntegerType())])
+
+    def fold(batches):
+        import pyarrow as pa
+
+        begun, current, volume, n, filled = False, None, 1, 0, 0
+        for batch in batches:
+            volumes = []
+            for out, own, joint in zip(batch.column("out").to_pylist(), batch.column("_size").to_pylist(), batch.column("_gap").to_pylist()):
+                if not begun or out != current:
+                    begun, current, volume, n, filled = True, out, 1, 0, 0
+                ahead = filled + own + (joint if n else 0)
+                if n and (n >= most_items or 0 < most_bytes < ahead):
+                    volume, n, ahead = volume + 1, 0, own
+                n, filled = n + 1, ahead
+                volumes.append(volume)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(volumes, pa.int32())], names=schema.names)
+
+    packed = sized.repartition("out").sortWithinPartitions("out", "idx").mapInArrow(fold, schema)
+    return packed.select("out", "idx", *keep, "volume")
 
 
 def require_one_format(clips: DataFrame) -> DataFrame:
@@ -95,9 +106,13 @@ def require_one_format(clips: DataFrame) -> DataFrame:
 
 def volume_manifest(clips: DataFrame, volumes: DataFrame, silence_ms: int = L.SILENCE_MS) -> DataFrame:
     """out, volume, segments, start_index, end_index, duration_seconds, size_bytes of each volume (44 header bytes)."""
-    both = clips.join(volumes, ["out", "idx"])
+    return manifest_of(clips.join(volumes, ["out", "idx"]), silence_ms)
+
+
+def manifest_of(packed: DataFrame, silence_ms: int = L.SILENCE_MS) -> DataFrame:
+    """volume_manifest() of clips that carry their volume, as pack_volumes() gives them with `keep`: no join."""
     gap = max(0, silence_ms) / 1000
-    return both.groupBy("out", "volume").agg(
+    return packed.groupBy("out", "volume").agg(
         F.count("*").alias("segments"), F.min("idx").alias("start_index"), F.max("idx").alias("end_index"),
         F.round(F.sum(F.col("frames") / F.col("sample_rate")) + (F.count("*") - 1) * gap, 2).alias("duration_seconds"),
         (F.sum(F.col("frames") * F.col("channels") * L.SAMPLE_BYTES) + (F.count("*") - 1) * F.max(F.floor(F.col("sample_rate") * gap) * F.col("channels") * L.SAMPLE_BYTES) + 44).cast("long").alias("size_bytes"),
