@@ -198,7 +198,7 @@ def presplit_chunks(spark, sf_dir):
 def _batches(spark, sf_dir):
     text = quotes.normalised(A.prose(spark, sf_dir))
     found = quotes.extract_quotes(text)
-    return quotes.quote_batches(found.join(quotes.chapter_of_quotes(text, found), ["doc_id", "quote_id"])).select("doc_id", "chapter_idx", "batch_no").distinct()
+    return quotes.quote_batches(quotes.chapter_of_quotes(text, found, "quote_no")).select("doc_id", "chapter_idx", "batch_no").distinct()
 
 
 def _batch_replies(batches):
@@ -217,7 +217,7 @@ def _every_batch(spark, sf_dir):
     """The same reply to whatever batches are left open: batches never outnumber a chapter's quotes."""
     text = quotes.normalised(A.prose(spark, sf_dir))
     found = quotes.extract_quotes(text)
-    return _batch_replies(quotes.quote_batches(found.join(quotes.chapter_of_quotes(text, found), ["doc_id", "quote_id"])).select("doc_id", "chapter_idx", "batch_no").distinct())
+    return _batch_replies(quotes.quote_batches(quotes.chapter_of_quotes(text, found, "quote_no")).select("doc_id", "chapter_idx", "batch_no").distinct())
 
 
 @query()

@@ -127,7 +127,7 @@ def batch_previous(spark, sf_dir):
     """Who spoke before, as each prompt of a batch says it, over recorded replies to batches of two."""
     text = quotes.normalised(A.prose(spark, sf_dir))
     found = quotes.extract_quotes(text)
-    items = found.join(quotes.chapter_of_quotes(text, found), ["doc_id", "quote_id"]).select("doc_id", "chapter_idx", "quote_no", "quote_id")
+    items = quotes.chapter_of_quotes(text, found, "quote_no").select("doc_id", "chapter_idx", "quote_no", "quote_id")
     placed = quotes.quote_batches(items, 2)
     who = lambda i: F.get(T.strings(_SAID), F.pmod(F.col("doc_id") + F.col("chapter_idx") + F.col("batch_no") * 2 + i * 3, F.lit(len(_SAID))).cast("int"))
     row = lambda i: F.concat(F.lit(f"{i + 1}|"), who(i), F.lit("|0.9|im|x"))

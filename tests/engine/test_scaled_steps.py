@@ -7,9 +7,10 @@ import time
 
 from pyspark.sql import functions as F
 
+from lectern.functions import lexicon as L
 from lectern.functions import text as T
 from lectern.functions.lines import lines_of, parts_of
-from lectern.operators import splitting
+from lectern.operators import quotes, splitting
 from lectern.plans.novel import presplit
 from lectern.sources.html import html_unescape_closed
 
@@ -85,3 +86,12 @@ def test_line_ends_get_marks_quickly(spark):
     begun = time.monotonic()
     assert long_.select(T.tts_cleanup("text").alias("t")).where("length(t) > 0").count() == 8
     assert time.monotonic() - begun < 8
+
+
+def test_colon_quotes_are_the_same_with_a_look_ahead(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("甲乙说道问：:a_ 。\n「") for _ in range(rng.randrange(80))) for _ in range(3000)]
+    texts += ["甲" * n + "说：走。" for n in range(30)] + ["甲" * n + "心想：走。" for n in range(30)]
+    every = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    rows = one_column(spark, *texts).select(every(L.COLON_QUOTE).alias("a"), every(quotes._COLON_QUOTE).alias("b"))
+    assert rows.where("a <> b").count() == 0 and rows.where("size(a) > 0").count() > 50
