@@ -58,6 +58,21 @@ def slices_of(text: str, most: int, most_chars: int, most_lines: int) -> list[tu
     return cut
 
 
+def reworded(text: str, lines: list[dict], rows: list[dict]) -> str:
+    """The text with each line (start, end) as the first of the rows (a, b, new) over it has it, or as it is."""
+    new = [None] * len(lines)
+    for row in reversed(rows):
+        if row["a"] is not None and row["b"] is not None:
+            a, b = max(row["a"], 1), min(row["b"], len(lines))
+            if a <= b:
+                new[a - 1 : b] = [row["new"]] * (b - a + 1)
+    done, at = [], 0
+    for line, swap in zip(lines, new):
+        done += text[at : line["start"]], text[line["start"] : line["end"]] if swap is None else swap
+        at = line["end"]
+    return "".join(done) + text[at:]
+
+
 def _lists(texts: pa.Array, work, fields: dict) -> pa.Array:
     """work(text) of each row, a list of tuples, as a list of structs; null where the text is."""
     ends, values = [0], [[] for _ in fields]
@@ -98,3 +113,14 @@ def part_array(sizes, most_chars: int, most_lines: int) -> Column:
         return pa.array([None if row is None else parts_of(row, most_chars, most_lines) for row in rows.to_pylist()], pa.list_(pa.int32()))
 
     return found(col(sizes))
+
+
+def rewritten(text, lines, rows) -> Column:
+    """reworded() a text column; null where anything is."""
+
+    @F.arrow_udf("string")
+    def found(texts: pa.Array, lines: pa.Array, rows: pa.Array) -> pa.Array:
+        each = zip(texts.to_pylist(), lines.to_pylist(), rows.to_pylist())
+        return pa.array([None if t is None or ls is None or rs is None else reworded(t, ls, rs) for t, ls, rs in each], pa.string())
+
+    return found(col(text), col(lines), col(rows))

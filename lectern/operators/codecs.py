@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import lexicon as L
+from ..functions.lines import rewritten
 from ..functions.spans import blocks, cut, running, spans
 from ..functions.text import col, let, strings, strip
 
@@ -83,6 +84,35 @@ def line_reference(c) -> tuple[Column, Column]:
     return first, F.coalesce(F.regexp_extract(x, pattern, 2).try_cast("int"), first)
 
 
+def _spans_of(lines: DataFrame) -> DataFrame:
+    """doc_id, chunk_idx, ls: a chunk's lines in order, as array<struct<line_no, start, end>>."""
+    return lines.groupBy("doc_id", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("line_no", "start", "end"))).alias("ls"))
+
+
+def _follows(rows: Column, row: Column, i: Column) -> Column:
+    """The row's range begins where the one before it ended."""
+    return F.coalesce(F.coalesce(F.get(rows, i - 1)["b"], F.lit(0)) + 1 == row["a"], F.lit(False))
+
+
+def planned_parts(response, content, ls) -> Column:
+    """array<struct<part_no, title, content, ok>> of a plan over a text and its lines (array<struct<start, end, …>>, in order),
+    see decode_chunk_plan(); made in the row."""
+    n = F.size(col(ls))
+
+    def ranged(row):
+        first, last = line_reference(F.substring_index(row, "|", 1))
+        title = F.when(F.instr(row, "|") > 0, strip(F.regexp_extract(row, r"(?s)^[^|]*\|(.*)$", 1))).otherwise("")
+        return F.struct(first.alias("a"), F.when((last < first) | (last > n), n).otherwise(last).alias("b"), title.alias("title"))
+
+    def parts(rs, of):
+        ok = F.forall(F.transform(rs, lambda r, i: _follows(rs, r, i)), lambda f: f) & F.coalesce(F.try_element_at(rs, F.lit(-1))["b"] == n, F.lit(False))
+        name = lambda r, i: F.when(r["title"] == "", F.concat(F.lit("第"), i + 1, F.lit("块"))).otherwise(r["title"])
+        text = lambda r: let(F.get(col(ls), r["a"] - 1)["start"], lambda begin: F.when(begin.isNotNull(), strip(cut(of, begin, F.get(col(ls), r["b"] - 1)["end"]))))
+        return let(ok, lambda k: F.transform(rs, lambda r, i: F.struct((i + 1).alias("part_no"), name(r, i).alias("title"), text(r).alias("content"), k.alias("ok"))))
+
+    return let(F.transform(rows_of(response, "CHUNKS:"), ranged), lambda rs: let(blocks(col(content)), lambda of: parts(rs, of)))
+
+
 def decode_chunk_plan(plans: DataFrame, lines: DataFrame) -> DataFrame:
     """plans (doc_id, chunk_idx, content, response) and the chunk's lines -> doc_id, chunk_idx, part_no, title, content, ok.
 
@@ -90,47 +120,36 @@ def decode_chunk_plan(plans: DataFrame, lines: DataFrame) -> DataFrame:
     the last line, as one without a known end does.
     """
     key = ["doc_id", "chunk_idx"]
-    rows = plans.select(*key, F.posexplode(rows_of("response", "CHUNKS:")).alias("pos", "row"))
-    first, last = line_reference(F.substring_index("row", "|", 1))
-    title = F.when(F.instr("row", "|") > 0, strip(F.regexp_extract("row", r"(?s)^[^|]*\|(.*)$", 1))).otherwise("")
-    size = lines.groupBy(*key).agg(F.max("line_no").alias("n"))
-    ranged = rows.select(*key, "pos", first.alias("a"), last.alias("b"), title.alias("title")).join(size, key)
-    ranged = ranged.withColumn("b", F.when((F.col("b") < F.col("a")) | (F.col("b") > F.col("n")), F.col("n")).otherwise(F.col("b")))
-    w = Window.partitionBy(*key).orderBy("pos")
-    follows = F.coalesce(F.lag("b").over(w), F.lit(0)) + 1 == F.col("a")
-    whole = Window.partitionBy(*key)
-    marked = ranged.withColumn("_f", F.coalesce(follows, F.lit(False))).withColumn("ok", F.min("_f").over(whole) & (F.max("b").over(whole) == F.col("n")))
-    # a range's ends are looked up among the lines; its text is cut where the chunk's text is, once a chunk
-    begins = lines.select(*key, F.col("line_no").alias("a"), F.col("start").alias("begin"))
-    ends = lines.select(*key, F.col("line_no").alias("b"), F.col("end").alias("stop"))
-    placed = marked.join(begins, [*key, "a"], "left").join(ends, [*key, "b"], "left")
-    parts = placed.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "title", "begin", "stop", "ok"))).alias("ps"))
-
-    def texts(of):
-        name = lambda p, i: F.when(p["title"] == "", F.concat(F.lit("第"), i + 1, F.lit("块"))).otherwise(p["title"])
-        return F.transform("ps", lambda p, i: F.struct((i + 1).alias("part_no"), name(p, i).alias("title"), F.when(p["begin"].isNotNull(), strip(cut(of, p["begin"], p["stop"]))).alias("content"), p["ok"].alias("ok")))
-
-    rows = plans.select(*key, "content").join(parts, key)
-    return rows.select(*key, F.explode(let(blocks("content"), texts)).alias("x")).select(*key, "x.*")
+    rows = plans.select(*key, "content", "response").join(_spans_of(lines), key)
+    return rows.select(*key, F.explode(planned_parts("response", "content", "ls")).alias("x")).select(*key, "x.*")
+
+
+def rewrite_rows(response) -> Column:
+    """array<struct<a, b, new, known>>: `range =` keeps lines, `Lx ~ text` replaces one."""
+
+    def ranged(row):
+        swap = F.instr(row, " ~ ") > 0
+        first, last = line_reference(F.when(swap, F.substring_index(row, " ~ ", 1)).otherwise(F.regexp_replace(row, r"=\s*$", "")))
+        new = F.when(swap, strip(F.regexp_extract(row, r"(?s)^.*? ~ (.*)$", 1)))
+        return F.struct(first.alias("a"), last.alias("b"), new.alias("new"), (swap | F.endswith(row, F.lit("="))).alias("known"))
+
+    return F.transform(rows_of(response, "OPT:"), ranged)
+
+
+def rewrites_cover(rows, ls) -> Column:
+    """Whether rewrite_rows() cover all lines once and in order."""
+    fine = lambda r, i: r["known"] & _follows(col(rows), r, i) & (r["b"] >= r["a"]) & (r["new"].isNull() | (r["a"] == r["b"]))
+    every = F.forall(F.transform(col(rows), fine), lambda f: F.coalesce(f, F.lit(False)))
+    return F.coalesce(every & (F.try_element_at(col(rows), F.lit(-1))["b"] == F.size(col(ls))), F.lit(False))
 
 
 def decode_rewrites(plans: DataFrame, lines: DataFrame) -> DataFrame:
     """plans (doc_id, chunk_idx, content, response): `range =` keeps, `Lx ~ text` replaces one line -> doc_id, chunk_idx,
-    content (rebuilt with what stood between the lines), ok (all lines covered once, in order)."""
-    rows = plans.select("doc_id", "chunk_idx", F.posexplode(rows_of("response", "OPT:")).alias("pos", "row"))
-    swap = F.instr("row", " ~ ") > 0
-    first, last = line_reference(F.when(swap, F.substring_index("row", " ~ ", 1)).otherwise(F.regexp_replace("row", r"=\s*$", "")))
-    ranged = rows.select("doc_id", "chunk_idx", "pos", first.alias("a"), last.alias("b"), F.when(swap, strip(F.regexp_extract("row", r"(?s)^.*? ~ (.*)$", 1))).alias("new"), (swap | F.endswith("row", F.lit("="))).alias("known"))
-    w, whole = Window.partitionBy("doc_id", "chunk_idx").orderBy("pos"), Window.partitionBy("doc_id", "chunk_idx")
-    fine = F.col("known") & (F.coalesce(F.lag("b").over(w), F.lit(0)) + 1 == F.col("a")) & (F.col("b") >= F.col("a")) & (F.col("new").isNull() | (F.col("a") == F.col("b")))
-    checked = ranged.withColumn("_f", F.coalesce(fine, F.lit(False))).withColumns({"fine": F.min("_f").over(whole), "reach": F.max("b").over(whole)})
-    cover = checked.where("a is not null and b >= a").select("doc_id", "chunk_idx", "fine", "reach", "new", F.explode(F.sequence("a", "b")).alias("line_no")).dropDuplicates(["doc_id", "chunk_idx", "line_no"])
-    joined = lines.join(cover, ["doc_id", "chunk_idx", "line_no"], "left")
-    per = joined.groupBy("doc_id", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("line_no", "start", "end", F.coalesce("new", "text").alias("text")))).alias("ls"), F.max("line_no").alias("n"), F.max("fine").alias("fine"), F.max("reach").alias("reach"))
-    both = plans.join(per, ["doc_id", "chunk_idx"])
-    parts = F.transform("ls", lambda l, i: F.concat(F.substring("content", F.when(i == 0, F.lit(0)).otherwise(F.get("ls", i - 1)["end"]) + 1, l["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get("ls", i - 1)["end"])), l["text"]))
-    tail = F.substring("content", F.element_at("ls", -1)["end"] + 1, F.length("content"))
-    return both.select("doc_id", "chunk_idx", strip(F.concat(F.array_join(parts, ""), tail)).alias("content"), F.coalesce(F.col("fine") & (F.col("reach") == F.col("n")), F.lit(False)).alias("ok"))
+    content (rebuilt with what stood between the lines), ok (all lines covered once, in order). Of several rows over a line the
+    first counts."""
+    key = ["doc_id", "chunk_idx"]
+    rows = plans.select(*key, "content", rewrite_rows("response").alias("rows")).join(_spans_of(lines), key)
+    return rows.select(*key, strip(rewritten("content", "ls", "rows")).alias("content"), rewrites_cover("rows", "ls").alias("ok"))
 
 
 #: A row of a compact reply: lines, role, emotion, confidence or anchor, anchor.

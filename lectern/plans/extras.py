@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions.lines import line_array
 from ..operators import attribution, audio, candidates, codecs, quotes, resplit, segments, service, splitting
 from ..sources import io
 from . import adapters as A, oracles as O
@@ -161,11 +162,15 @@ def _prose_chunks(spark, sf_dir):
     return A.prose(spark, sf_dir).select("doc_id", F.lit(0).alias("chunk_idx"), F.lit("t").alias("title"), F.col("text").alias("content"))
 
 
+def _line_counts(chunks):
+    """doc_id, chunk_idx, n of the chunks that have a line."""
+    return chunks.select("doc_id", "chunk_idx", F.size(line_array("content")).alias("n")).where("n > 0")
+
+
 def _plan_replies(chunks):
     """Half of the plans cut a chunk after its second line, the other half leave a gap and are no plans."""
     cut = F.when(F.col("doc_id") % 2 == 0, "CHUNKS:\nL1-L2 | 头\nL3- | 尾").otherwise("CHUNKS:\nL2 | x")
-    size = splitting.number_lines(chunks.select("doc_id", "chunk_idx", "content")).groupBy("doc_id", "chunk_idx").agg(F.max("line_no").alias("n"))
-    return size.select("doc_id", "chunk_idx", F.replace(cut, F.lit("L3-"), F.concat(F.lit("L3-L"), "n")).alias("response"))
+    return _line_counts(chunks).select("doc_id", "chunk_idx", F.replace(cut, F.lit("L3-"), F.concat(F.lit("L3-L"), "n")).alias("response"))
 
 
 @query(O.chunk_planning())
@@ -177,7 +182,7 @@ def chunk_planning(spark, sf_dir):
 @query(O.chunk_rewriting())
 def chunk_rewriting(spark, sf_dir):
     chunks = _prose_chunks(spark, sf_dir)
-    n = splitting.number_lines(chunks.select("doc_id", "chunk_idx", "content")).groupBy("doc_id", "chunk_idx").agg(F.max("line_no").alias("n"))
+    n = _line_counts(chunks)
     reply = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("OPT:\nL1 ~ 新\nL2-L"), "n", F.lit(" ="))).otherwise("OPT:\nL1 =")
     return optimise_chunks(chunks, n.select("doc_id", "chunk_idx", reply.alias("response")))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import strings
+from ..functions.lines import line_array, rewritten
+from ..functions.text import strings, strip, tts_cleanup
 from ..operators import attribution, candidates, codecs, consistency, quotes, segments, service, splitting
 
 
@@ -86,32 +87,44 @@ def merge_aliases(rows: DataFrame, client: service.Chat | DataFrame) -> DataFram
     return candidates.canonicalize(rows, candidates.observed_aliases(rows, codecs.decode_alias_groups(replies)))
 
 
+_KEY = ["doc_id", "chunk_idx"]
+
+
+def _answered(chunks: DataFrame, client: service.Chat | DataFrame) -> DataFrame:
+    """chunks with their lines (ls) and the reply to them, null where there is none. A chunk meets its reply in one join and
+    is worked off in its row; of several recorded replies all rows count, so none of them is a plan."""
+    said = client if isinstance(client, DataFrame) else service.ask(_numbered(chunks), client, _KEY)
+    one = said.where("response is not null").groupBy(*_KEY).agg(F.array_join(F.array_sort(F.collect_list("response")), "\n").alias("response"))
+    spans = F.transform("ls", lambda l: F.struct(l["start"].alias("start"), (l["start"] + F.length(l["text"])).alias("end")))
+    both = chunks.select(*_KEY, "title", "content").join(one, _KEY, "left")
+    return both.withColumn("ls", line_array(F.when(F.col("response").isNotNull(), F.col("content")))).withColumn("ls", spans)
+
+
 def plan_chunks(chunks: DataFrame, client: service.Chat | DataFrame) -> DataFrame:
     """Chunks cut as a service plans it, where its plan covers all lines in order; else as they are."""
-    lines = splitting.number_lines(chunks)
-    prompts = _numbered(chunks, lines)
-    plans = service.ask(prompts, client, ["doc_id", "chunk_idx"]).where("response is not null").join(chunks.select("doc_id", "chunk_idx", "content"), ["doc_id", "chunk_idx"])
-    good = codecs.decode_chunk_plan(plans, lines).where("ok").select("doc_id", "chunk_idx", "part_no", "title", "content")
-    rest = chunks.join(good.select("doc_id", "chunk_idx").distinct(), ["doc_id", "chunk_idx"], "left_anti")
-    return good.unionByName(rest.select("doc_id", "chunk_idx", F.lit(1).alias("part_no"), "title", "content"))
+    parts = codecs.planned_parts("response", "content", "ls")
+    whole = F.array(F.struct(F.lit(1).alias("part_no"), F.col("title"), F.col("content"), F.lit(False).alias("ok")))
+    planned = _answered(chunks, client).withColumn("ps", F.when(F.size("ls") > 0, parts))
+    kept = F.when(F.coalesce(F.try_element_at("ps", F.lit(1))["ok"], F.lit(False)), F.col("ps")).otherwise(whole)
+    return planned.select(*_KEY, F.explode(kept).alias("p")).select(*_KEY, "p.part_no", "p.title", "p.content")
 
 
 def optimise_chunks(chunks: DataFrame, client: service.Chat | DataFrame) -> DataFrame:
     """Chunks reworded by a service where its reply covers all lines, else cleaned by rule."""
-    from ..functions.text import tts_cleanup
-
-    lines = splitting.number_lines(chunks)
-    plans = service.ask(_numbered(chunks, lines), client, ["doc_id", "chunk_idx"]).where("response is not null").join(chunks.select("doc_id", "chunk_idx", "content"), ["doc_id", "chunk_idx"])
-    good = codecs.decode_rewrites(plans, lines).where("ok").select("doc_id", "chunk_idx", F.col("content").alias("_new"))
-    return chunks.join(good, ["doc_id", "chunk_idx"], "left").withColumn("content", F.coalesce("_new", tts_cleanup("content"))).drop("_new")
+    rows = _answered(chunks, client).withColumn("rows", codecs.rewrite_rows("response"))
+    ok = codecs.rewrites_cover("rows", "ls") & (F.size("ls") > 0)
+    # only what a reply covers is sent to be reworded
+    told = rows.withColumn("told", F.when(ok, F.col("content")))
+    return told.select(*_KEY, "title", F.coalesce(strip(rewritten("told", "ls", "rows")), tts_cleanup("content")).alias("content"))
 
 
-def _numbered(chunks: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, chunk_idx, prompt: title and numbered lines."""
-    row = F.concat("line_id", F.lit(": "), "text")
-    text = lines.groupBy("doc_id", "chunk_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("row")))), lambda x: x["row"]), "\n").alias("numbered_text"))
+def _numbered(chunks: DataFrame) -> DataFrame:
+    """doc_id, chunk_idx, prompt: title and numbered lines of the chunks that have any."""
     none = F.lit(None).cast("string")
-    return codecs.context_prompt(chunks.select("doc_id", "chunk_idx", "title").join(text, ["doc_id", "chunk_idx"]).withColumns({"known": none, "summary": none, "active": none})).select("doc_id", "chunk_idx", "prompt")
+    lines = chunks.select(*_KEY, "title", line_array("content").alias("ls")).where(F.size("ls") > 0)
+    shown = F.transform("ls", lambda l, i: F.concat(F.lit("L"), i + 1, F.lit(": "), l["text"]))
+    told = lines.select(*_KEY, "title", F.array_join(shown, "\n").alias("numbered_text"), none.alias("known"), none.alias("summary"), none.alias("active"))
+    return codecs.context_prompt(told).select(*_KEY, "prompt")
 
 
 def presplit(chunks: DataFrame, most_chars: int = 6000, most_lines: int = 120) -> DataFrame:

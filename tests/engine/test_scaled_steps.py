@@ -11,7 +11,7 @@ from lectern.functions import lexicon as L
 from lectern.functions import text as T
 from lectern.functions.lines import lines_of, parts_of
 from lectern.operators import quotes, splitting
-from lectern.plans.novel import presplit
+from lectern.plans.novel import optimise_chunks, plan_and_optimise, plan_chunks, presplit
 from lectern.sources.html import html_unescape_closed
 
 
@@ -95,3 +95,21 @@ def test_colon_quotes_are_the_same_with_a_look_ahead(spark):
     every = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
     rows = one_column(spark, *texts).select(every(L.COLON_QUOTE).alias("a"), every(quotes._COLON_QUOTE).alias("b"))
     assert rows.where("a <> b").count() == 0 and rows.where("size(a) > 0").count() > 50
+
+
+def replies(spark, *texts):
+    return spark.createDataFrame([(i, 0, t) for i, t in texts], "doc_id long, chunk_idx int, response string")
+
+
+def test_plans_and_rewrites_meet_their_chunk_once(spark):
+    """Every step that read the chunks anew read them again for each step before it: 186 scans of a table in the end."""
+    chunks = chunked(spark, "一。\n\n 二【x】\n三", "甲\n乙", " \n", "丙\n丁", "戊")
+    plans = replies(spark, (0, "CHUNKS:\nL1 | 头\nL2-L3 |"), (1, "L1 | x"), (2, "L1 | x"), (3, "L1-L2 | y"), (3, "L1-L2 | y"), (9, "L1 | z"))
+    got = [(r.doc_id, r.part_no, r.title, r.content) for r in plan_chunks(chunks, plans).orderBy("doc_id", "part_no").collect()]
+    assert got == [(0, 1, "头", "一。"), (0, 2, "第2块", "二【x】\n三"), (1, 1, "t", "甲\n乙"), (2, 1, "t", " \n"), (3, 1, "t", "丙\n丁"), (4, 1, "t", "戊")]
+    told = replies(spark, (0, "OPT:\nL1 ~ 壹\nL2-L3 ="), (1, "L1 =\nL1-L2 ="), (3, "L1 ~ 叁\nL2-L2 ="), (4, "L1-L999999999 ="))
+    assert [r.content for r in optimise_chunks(chunks, told).orderBy("doc_id").collect()] == ["壹\n\n 二【x】\n三", "甲。\n乙", "", "叁\n丁", "戊"]
+    both = plan_and_optimise(chunks, plans, told)
+    assert [(r.doc_id, r.chunk_idx, r.title) for r in both.orderBy("doc_id", "chunk_idx").collect()] == [(0, 0, "头"), (0, 1, "第2块"), (1, 0, "t"), (2, 0, "t"), (3, 0, "t"), (4, 0, "t")]
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") <= 3 and plan.count("Exchange") <= 8
