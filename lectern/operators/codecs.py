@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import lexicon as L
+from ..functions.folds import emitted
 from ..functions.lines import rewritten
 from ..functions.spans import blocks, cut, running, spans
 from ..functions.text import col, let, strings, strip
@@ -167,44 +168,66 @@ def readable_rows(response: str, lines: Column) -> Column:
     return F.filter(_segment_rows(response), lambda r: r.rlike(SEGMENT_ROW) & (first(r) >= 1) & (first(r) <= lines))
 
 
-def decode_segments(replies: DataFrame, lines: DataFrame) -> DataFrame:
-    """replies (doc_id, chunk_idx, response) and numbered lines -> doc_id, chunk_idx, seq, speaker, style, emotion,
-    confidence_label, text, line_id.
-
-    `ROLES: id=name|style, …` and rows `Lx[-Ly] role emotion [h|m|l] ["anchor"|rest]`. Anchors eat a line from left to right:
-    an anchor takes what lies up to its end, anything else takes the rest. The left-to-right fold runs per line.
-    """
-    role_rows = F.filter(F.transform(F.split("response", "\n", -1), strip), lambda r: F.startswith(r, F.lit("ROLES:")))
+def _roles(response: str) -> Column:
+    """array<struct<id, name, style>> of `ROLES: id=name|style, …`."""
+    role_rows = F.filter(F.transform(F.split(response, "\n", -1), strip), lambda r: F.startswith(r, F.lit("ROLES:")))
     entry = lambda e: F.struct(strip(F.substring_index(e, "=", 1)).alias("id"), strip(F.substring_index(F.regexp_extract(e, r"(?s)^[^=]*=(.*)$", 1), "|", 1)).alias("name"), strip(F.replace(F.regexp_extract(e, r"(?s)^[^=|]*=[^|]*\|(.*)$", 1), F.lit("_"), F.lit(" "))).alias("style"))
     entries = F.filter(F.flatten(F.transform(role_rows, lambda r: F.filter(F.split(F.substring(r, F.lit(7), F.length(r)), ",", -1), lambda e: F.instr(e, "=") > 0))), lambda e: strip(F.substring_index(e, "=", 1)) != "")
-    head = replies.select("doc_id", "chunk_idx", "response", F.transform(entries, entry).alias("roles"))
-    rows = head.select("doc_id", "chunk_idx", "roles", F.posexplode(_segment_rows("response")).alias("row_no", "row"))
-    g = lambda i: F.regexp_extract("row", SEGMENT_ROW, i)
+    return F.transform(entries, entry)
+
+
+def _segment(row: Column, roles: Column) -> Column:
+    """struct<a, b, speaker, style, emotion, confidence_label, anchor> of a row of a compact reply."""
+    g = lambda i: F.regexp_extract(row, SEGMENT_ROW, i)
     fourth = g(5)
     sure = fourth.isin(list(L.CONFIDENCE_CODES))
-    role = F.try_element_at(F.filter(F.concat(F.array(F.struct(F.lit("0").alias("id"), F.lit("旁白").alias("name"), F.lit("female moderate pitch").alias("style"))), "roles"), lambda r: r["id"] == g(3)), F.lit(-1))
+    role = F.try_element_at(F.filter(F.concat(F.array(F.struct(F.lit("0").alias("id"), F.lit("旁白").alias("name"), F.lit("female moderate pitch").alias("style"))), roles), lambda r: r["id"] == g(3)), F.lit(-1))
     speaker = F.when(g(3) == "?", "UNKNOWN").when(g(3) == "0", "旁白").otherwise(F.coalesce(F.nullif(role["name"], F.lit("")), F.lit("UNKNOWN")))
-    parsed = rows.where(F.col("row").rlike(SEGMENT_ROW)).select(
-        "doc_id", "chunk_idx", "row_no", F.substring(g(1), 2, 9).cast("int").alias("a"), F.substring(F.coalesce(F.nullif(g(2), F.lit("")), g(1)), 2, 9).cast("int").alias("b"),
+    return F.struct(
+        F.substring(g(1), 2, 9).cast("int").alias("a"), F.substring(F.coalesce(F.nullif(g(2), F.lit("")), g(1)), 2, 9).cast("int").alias("b"),
         speaker.alias("speaker"), F.when(g(3) == "?", "").otherwise(F.coalesce(role["style"], F.lit(""))).alias("style"), _mapped(F.lower(g(4)), L.EMOTION_CODES, "neutral").alias("emotion"),
         F.when(sure, _mapped(fourth, L.CONFIDENCE_CODES, "high")).otherwise("high").alias("confidence_label"), strip(F.when(sure, g(6)).otherwise(F.concat_ws(" ", F.nullif(fourth, F.lit("")), F.nullif(g(6), F.lit(""))))).alias("anchor"),
     )
-    sizes = lines.groupBy("doc_id", "chunk_idx").agg(F.max("line_no").alias("n"))
-    placed = parsed.join(sizes, ["doc_id", "chunk_idx"]).where("a between 1 and n").withColumn("line_no", F.explode(F.sequence("a", F.when((F.col("b") < F.col("a")) | (F.col("b") > F.col("n")), F.col("n")).otherwise(F.col("b")))))
-    per_line = placed.groupBy("doc_id", "chunk_idx", "line_no").agg(F.array_sort(F.collect_list(F.struct("row_no", "anchor", "speaker", "style", "emotion", "confidence_label"))).alias("takes")).join(lines.select("doc_id", "chunk_idx", "line_no", "line_id", F.col("text").alias("line")), ["doc_id", "chunk_idx", "line_no"])
-    kind = "struct<at:int,outs:array<string>>"
-
-    def step(acc, t):
-        quoted = t["anchor"].rlike('\\A"(?s:.+)"\\z') & (F.length(t["anchor"]) > 2)
-        rest = F.substring("line", acc["at"] + 1, F.length("line"))
-        hit = F.call_function("instr", rest, F.substring(t["anchor"], F.lit(2), F.length(t["anchor"]) - 2))
-        end = F.when(quoted & (hit > 0), acc["at"] + hit - 1 + F.length(t["anchor"]) - 2).otherwise(F.greatest(F.length("line"), acc["at"]))
-        return F.struct(end.alias("at"), F.concat(acc["outs"], F.array(strip(F.substring("line", acc["at"] + 1, end - acc["at"])))).alias("outs")).cast(kind)
-
-    eaten = per_line.withColumn("outs", F.aggregate("takes", F.struct(F.lit(0).alias("at"), strings([]).alias("outs")).cast(kind), step, lambda a: a["outs"]))
-    flat = eaten.select("doc_id", "chunk_idx", "line_no", "line_id", F.explode(F.arrays_zip("takes", "outs")).alias("z")).select("doc_id", "chunk_idx", "line_no", "line_id", "z.takes.*", F.col("z.outs").alias("text")).where("text <> ''")
-    seq = F.row_number().over(Window.partitionBy("doc_id", "chunk_idx").orderBy("row_no", "line_no"))
-    return flat.select("doc_id", "chunk_idx", seq.alias("seq"), "speaker", "style", "emotion", "confidence_label", "text", "line_id")
+
+
+def segments_of(response: str, ls) -> Column:
+    """array<struct<speaker, style, emotion, confidence_label, text, line_id>> of a compact reply over lines (array<struct<…,
+    line_id, text>>, in order), see decode_segments(); made in the row."""
+    n = F.size(col(ls))
+    last = lambda r: F.when((r["b"] < r["a"]) | (r["b"] > n), n).otherwise(r["b"])
+    placed = lambda r, i: F.transform(F.sequence(r["a"], last(r)), lambda no: F.struct(no.alias("line_no"), i.alias("row_no"), r.alias("row")))
+
+    def step(s, t):
+        anchor, line = t["row"]["anchor"], F.get(col(ls), t["line_no"] - 1)["text"]
+        quoted = anchor.rlike('\\A"(?s:.+)"\\z') & (F.length(anchor) > 2)
+        hit = lambda at: F.when(quoted, F.call_function("instr", F.substring(line, at + 1, F.length(line)), F.substring(anchor, F.lit(2), F.length(anchor) - 2))).otherwise(0)
+        end = lambda at: let(hit(at), lambda h: F.when(h > 0, at + h - 1 + F.length(anchor) - 2).otherwise(F.greatest(F.length(line), at)))
+        out = lambda at: let(end(at), lambda e: F.struct(t["line_no"].alias("line"), e.alias("at"), strip(F.substring(line, at + 1, e - at)).alias("text")))
+        return let(F.when(s["line"] == t["line_no"], s["at"]).otherwise(0), out)
+
+    def texts(takes):
+        begin = F.struct(F.lit(0).alias("line"), F.lit(0).alias("at"), F.lit("").alias("text"))
+        out = emitted(takes, "struct<line:int,at:int,text:string>", begin, step, lambda s: s["text"], "string")
+        kept = F.filter(F.zip_with(takes, out, lambda t, x: F.struct(t["row_no"].alias("row_no"), t["line_no"].alias("line_no"), t["row"].alias("row"), x.alias("text"))), lambda t: t["text"] != "")
+        told = lambda t: F.struct(*[t["row"][c].alias(c) for c in ("speaker", "style", "emotion", "confidence_label")], t["text"].alias("text"), F.get(col(ls), t["line_no"] - 1)["line_id"].alias("line_id"))
+        return F.transform(F.sort_array(kept), told)
+
+    rows = let(_roles(response), lambda roles: F.transform(F.filter(_segment_rows(response), lambda r: r.rlike(SEGMENT_ROW)), lambda r: _segment(r, roles)))
+    takes = let(F.filter(rows, lambda r: r["a"].between(1, n)), lambda rs: F.sort_array(F.flatten(F.transform(rs, placed))))
+    return let(takes, texts)
+
+
+def decode_segments(replies: DataFrame, lines: DataFrame) -> DataFrame:
+    """replies (doc_id, chunk_idx, response) and numbered lines -> doc_id, chunk_idx, seq, speaker, style, emotion,
+    confidence_label, text, line_id.
+
+    `ROLES: id=name|style, …` and rows `Lx[-Ly] role emotion [h|m|l] ["anchor"|rest]`. Anchors eat a line from left to right:
+    an anchor takes what lies up to its end, anything else takes the rest. A reply meets its lines in one join.
+    """
+    key = ["doc_id", "chunk_idx"]
+    per = lines.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("line_no", "line_id", "text"))).alias("ls"))
+    both = replies.select(*key, "response").join(per, key)
+    return both.select(*key, F.posexplode(segments_of("response", "ls")).alias("i", "s")).select(*key, (F.col("i") + 1).alias("seq"), "s.*")
 
 
 def _balanced(text: str, start: int, brackets: str) -> int:

@@ -235,11 +235,12 @@ def _recorded_calls(spark, sf_dir, most_chars: int = 2000):
     chunks = _prose_chunks(spark, sf_dir)
     lines = splitting.number_lines(chunks.select("doc_id", "chunk_idx", "content")).withColumn("title", F.lit("t"))
     size = F.greatest(F.lit(1), F.length("text"))
-    reach = Window.partitionBy("doc_id", "chunk_idx").orderBy("line_no")
-    ends = lines.select("doc_id", "chunk_idx", "line_no", F.sum(size).over(reach).alias("upto"), size.alias("len"))
-    per = ends.groupBy("doc_id", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("line_no", "upto", "len"))).alias("ls"))
-    row = per.select("doc_id", "chunk_idx", "ls", F.explode("ls").alias("a"))
-    ranges = row.select("doc_id", "chunk_idx", F.col("a.line_no").alias("first"), F.explode(F.filter("ls", lambda b: (b["line_no"] == F.col("a.line_no")) | ((b["line_no"] > F.col("a.line_no")) & (b["upto"] - F.col("a.upto") + F.col("a.len") <= most_chars)))).alias("b"))
+    chunk = Window.partitionBy("doc_id", "chunk_idx")
+    sized = lines.select("doc_id", "chunk_idx", "line_no", size.alias("len"), (F.sum(size).over(chunk.orderBy("line_no")) - size).alias("begin"))
+    # a line meets the lines that begin within reach of it, not all of its chunk
+    near = F.collect_list(F.struct("line_no", (F.col("begin") + F.col("len")).alias("end"))).over(chunk.orderBy("begin").rangeBetween(0, most_chars - 1))
+    ahead = sized.select("doc_id", "chunk_idx", F.col("line_no").alias("first"), "begin", near.alias("near"))
+    ranges = ahead.select("doc_id", "chunk_idx", "first", "begin", F.explode("near").alias("b")).where((F.col("b.line_no") == F.col("first")) | (F.col("b.end") - F.col("begin") <= most_chars))
     calls = ranges.select("doc_id", "chunk_idx", "first", F.col("b.line_no").alias("last")).withColumns({"error": F.expr(O.CALL_KIND), "unreadable": F.expr(O.CALL_UNREADABLE)})
     rest = F.when(F.col("last") > F.col("first"), F.concat(F.lit("\nL2-L"), F.col("last") - F.col("first") + 1, F.lit(" 1 ne h"))).otherwise("")
     reply = F.when(F.col("error").isNull(), F.when(F.col("unreadable"), "I cannot do that.").otherwise(F.concat(F.lit("ROLES: 1=陆沉|male_adult\nSEGS:\nL1 0 co m"), rest)))

@@ -90,3 +90,23 @@ def test_awkward_logs(spark):
     got = {(r.doc_id, r.line_id): (r.speaker, r.skip_reason) for r in resplit.analyse_recorded(lines, twice).collect()}
     assert got == {(1, "L1"): ("旁白", None), (1, "L2"): ("旁白", None), (2, "L1"): ("UNKNOWN", "compact_decode_failed")}
     assert resplit.analyse_recorded(lines.limit(0), twice).count() == 0
+
+
+def test_a_chunk_and_its_calls_are_read_once(spark):
+    """Pieces, replies and given-up lines each read the chunks and the calls anew: 12 scans of a table in the end."""
+    lines = spark.createDataFrame([(1, 0, i, f"L{i}", "x" * (i % 7 + 1), "t") for i in range(1, 1501)], "doc_id long, chunk_idx int, line_no int, line_id string, text string, title string")
+    calls = [(1, 0, a, b, f"SEGS:\nL1-L{b - a + 1} 0 ne h" if b - a < 5 and a % 10 != 1 else None, "content_filter" if a % 10 == 1 else "finish_reason=length") for a in range(1, 1501) for b in range(a, min(a + 10, 1501))]
+    log = spark.createDataFrame([(*c[:5], None if c[4] else c[5]) for c in calls], "doc_id long, chunk_idx int, first int, last int, response string, error string")
+    done = resplit.analyse_recorded(lines, log, 1200, 48)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2 and plan.count("ArrowEvalPython") == 1
+    events = resplit.resplit_events(lines, log, 1200, 48)
+    assert events._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    verdict = {(c[2], c[3]): None if c[4] else "filter" if "filter" in c[5] else "length" for c in calls}
+    sizes = [i % 7 + 1 for i in range(1, 1501)]
+    shown = sum(len(f"L{i}") + 3 + n for i, n in enumerate(sizes, 1)) - 1
+    settled, told = plain(sizes, shown, lambda a, b: verdict.get((a, b), "decode"), 1200, 48)
+    want = {i: r for a, b, _, r in settled for i in range(a, b + 1)}
+    rows = done.orderBy("seq").collect()
+    assert [(r.seq, r.line_id, r.skip_reason) for r in rows] == [(i, f"L{i}", want[i]) for i in range(1, 1501)]
+    assert sorted((r.event, r.title, r.parts) for r in events.collect()) == sorted(told)
