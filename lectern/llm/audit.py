@@ -147,11 +147,12 @@ def row_flags(matrix: DataFrame) -> DataFrame:
 
 def _beside(rows: DataFrame, side: DataFrame, key: str, salt) -> DataFrame:
     """rows left-joined with side (key once each, written). A small side is broadcast, behind a count; of a larger one each row
-    is copied for SALTS shares of the documents, so that a key that a third of all rows hold is many tasks' work."""
+    is copied for SALTS shares of the documents, so that a key that a third of all rows hold is many tasks' work. The hint is
+    needed: the planner goes by the size of side's files, takes no account of the copies, and would broadcast them all."""
     if side.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(side), key, "left")
     copies = side.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.withColumn("salt", F.pmod(salt, F.lit(SALTS))).join(copies, [key, "salt"], "left").drop("salt")
+    return rows.withColumn("salt", F.pmod(salt, F.lit(SALTS))).join(copies.hint("merge"), [key, "salt"], "left").drop("salt")
 
 
 def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:

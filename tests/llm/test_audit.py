@@ -6,6 +6,7 @@ from itertools import permutations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import audit
 from lectern.llm.common import table
@@ -119,3 +120,14 @@ def test_row_sums_and_nonzero_counts(spark):
     got = sorted((r.doc_id, r.n_words, r.n_distinct) for r in audit.row_flags(audit.csr_shards(docs)).collect())
     want = sorted((r.doc_id, len(w), len(set(w))) for r in docs.collect() for w in [WORD.findall((r.text or "").encode())])
     assert got == want
+
+
+def test_copies_of_a_large_side_are_not_broadcast(spark, monkeypatch):
+    """The planner takes the copies to be as small as the side's files: it would send SALTS times the side through the driver."""
+    monkeypatch.setattr(audit, "BROADCAST_ROWS", 0)
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").cast("binary").alias("digest"))
+    side = audit.materialize(spark.createDataFrame([(b"0", 0), (b"1", 1)], "digest binary, first long"), "side")
+    joined = audit._beside(rows, side, "digest", F.xxhash64("doc_id"))
+    assert sorted((r.doc_id, r.first) for r in joined.collect()) == [(i, i % 3 if i % 3 < 2 else None) for i in range(300)]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
